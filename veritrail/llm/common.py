@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.runtime import ship
+from veritrail.runtime import materialize, ship
 
 #: Rows of one Arrow batch between the JVM and Python; texts may be long.
 BATCH_ROWS = 400
@@ -33,6 +35,26 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def stable_rows(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """Add a key of each row that is the same whenever the rows are read again.
+
+    Rows of files get the file's hash and their place in it, which do not
+    depend on how files are split among tasks. Other tables are written to the
+    shared folder once, with a key, and read from there.
+    """
+    try:
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name))
+    except AnalysisException:
+        keyed = df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i")))
+        return materialize(keyed, "rows")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_of_id(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")), F.lit(n))
