@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, quality, repeats, winnow
+from veritrail.llm import bpe, quality, repeats, toxicity, winnow
+from veritrail.llm.common import bucket_of_id
 from veritrail.runtime import table
 
 QUERIES: dict = {}
@@ -47,3 +48,11 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    held = bucket_of_id("doc_id", toxicity.HELD_MOD) == toxicity.HELD
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("segments").alias("n_segments"))
