@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, quality, repeats, toxicity, winnow
+from veritrail.llm import bpe, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
 from veritrail.llm.common import bucket_of_id
 from veritrail.runtime import table
 
@@ -56,3 +56,36 @@ def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     held = bucket_of_id("doc_id", toxicity.HELD_MOD) == toxicity.HELD
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("segments").alias("n_segments"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    vocabulary = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, vocabulary)
+    found = langid.identify(docs.select("doc_id", "text"), model, vocabulary)
+    return found.select("doc_id", (bucket_of_id("doc_id", langid.HELD_MOD) == langid.HELD).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar.similar_classes(docs).select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_grams")
+
+
+@query
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op2_line_runs"] = lines.ORACLE
