@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -42,11 +43,16 @@ def stable_rows(df: DataFrame, name: str = "_rid") -> DataFrame:
     depend on how files are split among tasks. Other tables are written to the
     shared folder once, with a key, and read from there.
     """
+    log = logging.getLogger("DataFrameQueryContextLogger")
+    level = log.level
+    log.setLevel(logging.CRITICAL)
     try:
         return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name))
     except AnalysisException:
         keyed = df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i")))
         return materialize(keyed, "rows")
+    finally:
+        log.setLevel(level)
 
 
 def release(spark: SparkSession) -> None:

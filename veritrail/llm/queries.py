@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
+from veritrail.llm import bpe, chat, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
 from veritrail.llm.common import bucket_of_id
 from veritrail.runtime import table
 
@@ -89,3 +89,12 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_line_runs"] = lines.ORACLE
+
+
+@query
+def op9_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations")).drop("result_of")
+
+
+#: The conversations have no tool messages; for plain ones SQL says the whole result.
+ORACLES["op9_tool_linking"] = chat.ORACLE

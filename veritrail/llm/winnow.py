@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import with_row_id
+from veritrail.llm.common import stable_rows, with_row_id
 from veritrail.runtime import materialize
 
 SPAN = 10
@@ -115,7 +115,8 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
         _fingerprinted(items.select("_w"), lengths, False).join(items.select(F.size("_w").alias("n_words"), F.least(F.size("_w"), F.lit(SPAN)).alias("own")).distinct(), "n_words").filter("len = own").select("len", "key").distinct(),
         "marks",
     ).withColumn("met", F.lit(True))
-    docs = with_row_id(documents).withColumn("_w", words(F.col("text"))).drop("text")
+    documents = documents if "_rid" in documents.columns else with_row_id(documents)
+    docs = documents.withColumn("_w", words(F.col("text"))).drop("text")
     found = _fingerprinted(docs, lengths, True).join(_bounded(marks, rows), ["len", "key"], "left").filter("met OR len = 0")
     spread = found.withColumn("_x", F.explode_outer(_windows())).select("*", "_x.at", "_x.win").drop("_x", "ws", "key", "start", "met")
     known = windows.select("win", "len").distinct().withColumn("met", F.lit(True))
@@ -141,6 +142,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select(*keep, F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` in which no benchmark window occurs, with all their columns."""
+    rows = stable_rows(documents)
+    found, _ = hits(rows.select("_rid", "text"), benchmark)
+    return rows.join(materialize(found.filter("win IS NOT NULL").select("_rid").distinct(), "contaminated"), "_rid", "left_anti").drop("_rid")
+
+
 def oracle_words(column: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
