@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+from itertools import chain
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import extended, prepare, slices
 
 #: Entries of one cache generation; two generations live at most.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 #: Pieces encoded by one recursive query.
 QUERY_PIECES = 20_000
 LONG_PIECE = 512
@@ -56,6 +58,9 @@ SELECT w, string_agg(hex, '' ORDER BY pos) AS hex
 FROM ids JOIN vocab USING (tok) GROUP BY w
 """
 
+#: White space that a single space does not end: units may not be cut there.
+_WIDE_SPACE = re.compile(r" \s|\s |\A\s|\s\Z")
+
 _loaded: dict[bytes, "Coder"] = {}
 
 
@@ -133,7 +138,7 @@ class Coder:
 
     def decode_ids(self, rows: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids, by a join with the vocabulary and an ordered aggregate."""
-        flat = np.fromiter((x for ids in rows for x in ids), "int32")
+        flat = np.fromiter(chain.from_iterable(rows), "int32")
         w = np.repeat(np.arange(len(rows), dtype="int32"), [len(ids) for ids in rows])
         got = self._rows(DECODE_SQL, "ids", {"w": w, "pos": np.arange(len(flat), dtype="int64"), "tok": flat})
         return [bytes.fromhex(got.get(i, "")) for i in range(len(rows))]
@@ -149,10 +154,12 @@ class Coder:
 
     def _split(self, text: str) -> list[str]:
         """Pieces of ``text``; units between single spaces are cut out first, as the pattern never joins them."""
+        if not text:
+            return []
+        if _WIDE_SPACE.search(text):
+            return [text]
         units = text.split(" ")
-        if len(units) > 1 and not any(not u or u[0].isspace() or u[-1].isspace() for u in units):
-            return [units[0], *[f" {u}" for u in units[1:]]]
-        return [text] if text else []
+        return [units[0], *[f" {u}" for u in units[1:]]]
 
     def code(self, texts: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         """Ids as text, number of ids and decoded bytes of each text."""
