@@ -1,6 +1,479 @@
-"""Registered queries of the engine and the DuckDB SQL that each must equal."""
+"""Registered queries of the engine and the DuckDB SQL that each must equal.
+
+Every query runs over whole tables. Inputs are derived from the given tables as
+:mod:`veritrail.sources.derived` says.
+"""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritrail.functions import canon, text
+from veritrail.operators import detect, events, index, merkle, policy, receipts, trajectory
+from veritrail.plans import oracle as sql
+from veritrail.runtime import materialize, ship, table
+from veritrail.sources import derived
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+KEY = derived.TEST_KEY
+FLAGS = policy.VerificationPolicy()
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# --- text and fingerprints -------------------------------------------------
+
+
+@query(f"SELECT doc_id, {sql.norm('text')} AS normalized, 'nfc,zero_width,whitespace' AS steps FROM documents")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.normalize(F.col("text")).alias("normalized"), F.array_join(text.applied_steps(), ",").alias("steps"))
+
+
+@query(f"SELECT page_id, {sql.fp('lower(' + sql.norm('url') + ')')} AS fingerprint FROM pages")
+def casefold_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.chunk_fingerprint(F.col("url"), case_fold=True).alias("fingerprint"))
+
+
+@query(f"SELECT doc_id, {sql.fp(sql.norm('text'))} AS fingerprint FROM documents")
+def fingerprint_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.chunk_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(f"SELECT conv_id, {sql.fp(sql.norm('string_agg(text, chr(10) ORDER BY turn)'))} AS document_version, count(*) AS chunks FROM conversations GROUP BY conv_id")
+def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as one logical document: its turns joined by newline."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("chunks"))
+    joined = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("whole"), "chunks")
+    return joined.select("conv_id", text.chunk_fingerprint(F.col("whole")).alias("document_version"), "chunks")
+
+
+@query(
+    f"""SELECT doc_id, "offset"::INT AS "offset", length(t[("offset" + 1) : ("offset" + {text.WINDOW})])::INT AS length, {sql.fp(f't[("offset" + 1) : ("offset" + {text.WINDOW})]')} AS fingerprint
+    FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {text.WINDOW} THEN [0] ELSE range(0, length(t) - {text.WINDOW} + 1, {text.STRIDE}) END) AS "offset"
+    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents))"""
+)
+def fingerprint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return text.windows(docs, "t", keep=("doc_id",))
+
+
+@query(
+    f"""SELECT doc_id, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(t, 1, {text.WINDOW}), ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (a * {text.ROLLING_BASE} + c) % {text.ROLLING_MODULUS})::BIGINT AS rolling_hash
+    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents)"""
+)
+def rolling_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling hash of each document's first window."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return docs.select("doc_id", text.rolling_hash(F.substring("t", 1, text.WINDOW)).alias("rolling_hash"))
+
+
+@query(
+    f"""SELECT page_id, (i * 800)::INT AS "offset", {sql.fp('t[(i * 800 + 1) : (i * 800 + 800)]')} AS fingerprint
+    FROM (SELECT page_id, t, unnest(range(0, (length(t) + 799) // 800)) AS i FROM (SELECT page_id, {sql.norm('html')} AS t FROM pages))"""
+)
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut into chunks of 800 characters, each fingerprinted."""
+    pages = table(spark, sf_dir, "pages").select("page_id", text.normalize(F.col("html")).alias("t"))
+    at = pages.filter("length(t) > 0").select("page_id", "t", F.explode(F.expr("sequence(0, length(t) - 1, 800)")).alias("offset"))
+    return at.select("page_id", "offset", text.fingerprint(F.substring("t", F.col("offset") + 1, F.lit(800))).alias("fingerprint"))
+
+
+# --- index -----------------------------------------------------------------
+
+
+@query(f"WITH {sql.LOG} SELECT seq, fingerprint, document_id, chunk_offset, chunk_length, ingested_at, signature FROM log QUALIFY row_number() OVER (PARTITION BY fingerprint, document_id, document_version ORDER BY seq) = 1")
+def index_rows_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.stored_rows(derived.signed_log(spark, sf_dir))
+    return rows.select("seq", "fingerprint", "document_id", "chunk_offset", "chunk_length", "ingested_at", "signature")
+
+
+@query(f"WITH {sql.INDEX} SELECT seq, document_id, document_version, authorized, current_version, superseded FROM idx")
+def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.index_rows(derived.signed_log(spark, sf_dir)).select("seq", "document_id", "document_version", "authorized", "current_version", "superseded")
+
+
+def _supersede_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest log and a supersede event for every tenth add, by a version that nothing has."""
+    log = derived.ingest_log(spark, sf_dir)
+    more = log.filter("seq % 10 = 3").withColumns({"seq": F.col("seq") * 2 + 1, "kind": F.lit("supersede"), "document_version": F.concat(F.lit("sha256:new-"), F.col("seq"))})
+    return log.withColumn("seq", F.col("seq") * 2).unionByName(more)
+
+
+@query(
+    f"""WITH {sql.LOG},
+  ev AS (SELECT seq * 2 AS seq, 'add' AS kind, fingerprint, document_id, document_version FROM log UNION ALL SELECT seq * 2 + 1, 'supersede', fingerprint, document_id, 'sha256:new-' || seq FROM log WHERE seq % 10 = 3),
+  st AS (SELECT * FROM ev WHERE kind = 'add' QUALIFY row_number() OVER (PARTITION BY fingerprint, document_id, document_version ORDER BY seq) = 1),
+  hit AS (SELECT st.document_id, st.seq AS s0, min(e.seq) AS at FROM st JOIN ev e ON e.document_id = st.document_id AND e.seq > st.seq AND e.document_version <> st.document_version GROUP BY ALL)
+  SELECT ev.document_id, ev.seq, count(hit.at) AS marked FROM ev LEFT JOIN hit ON hit.document_id = ev.document_id AND hit.at = ev.seq WHERE kind = 'supersede' GROUP BY ev.document_id, ev.seq"""
+)
+def superseded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.superseded_counts(_supersede_log(spark, sf_dir))
+
+
+@query(f"WITH {sql.BEST} SELECT fingerprint, document_id, superseded, ingested_at, authorized FROM best")
+def lookup_best_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.best_rows(index.index_rows(derived.signed_log(spark, sf_dir))).select("fingerprint", "document_id", "superseded", "ingested_at", "authorized")
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.verify(derived.retrieved(spark, sf_dir).drop("text"), index.index_rows(derived.signed_log(spark, sf_dir)), KEY)
+
+
+@query(f"WITH {sql.VERIFIED} SELECT request_id, chunk_index, document_id, outcome FROM verified")
+def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(spark, sf_dir).select("request_id", "chunk_index", "document_id", "outcome")
+
+
+@query(f"WITH {sql.VERIFIED} SELECT outcome, origin, count(*) AS chunks FROM verified GROUP BY ALL")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(spark, sf_dir).groupBy("outcome", "origin").agg(F.count("*").alias("chunks"))
+
+
+GATE = "outcome IN ('UNAUTHORIZED', 'TAMPERED')"
+
+
+@query(f"WITH {sql.VERIFIED} SELECT request_id, chunk_index, {GATE} AS blocked, outcome <> 'VERIFIED' AS flagged FROM verified")
+def verification_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _verified(spark, sf_dir)
+    return v.select("request_id", "chunk_index", FLAGS.blocks(F.col("outcome")).alias("blocked"), FLAGS.flags(F.col("outcome")).alias("flagged"))
+
+
+# --- policies --------------------------------------------------------------
+
+CHUNK_POLICY = {
+    "version": 1,
+    "policy_id": "chunks",
+    "access_control": {
+        "defaults": {"unknown_metadata": "deny"},
+        "rules": [
+            {"name": "residency", "when": {"chunk.corpus": {"in": ["src1", "src2", "src3"]}}, "require": {"chunk.residency": {"in": ["en", "de"]}}, "on_violation": "deny"},
+            {"name": "personal_data", "when": {"chunk.contains_pii": "true"}, "require": {"request.purpose": "support"}, "on_violation": "deny"},
+            {"name": "freshness", "require": {"chunk.ingested_at": {"not_older_than": "10m"}}, "on_violation": "deny"},
+        ],
+    },
+}
+NOW = "2024-01-01T00:15:00.000Z"
+
+
+def _chunk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    meta = F.map_filter(
+        F.create_map(F.lit("residency"), F.col("lang"), F.lit("corpus"), F.col("source"), F.lit("contains_pii"), F.when(F.col("doc_id") % 5 == 0, "true"), F.lit("ingested_at"), derived.iso(F.lit(derived.EPOCH_MS) + F.col("doc_id") * 1000)),
+        lambda _, v: v.isNotNull(),
+    )
+    rows = docs.select("doc_id", meta.alias("m"), F.when(F.col("doc_id") % 3 == 0, "support").otherwise("search").alias("purpose"))
+    bound = policy.map_binding({"request.purpose": (F.col("purpose"), "string")}, {"chunk": F.col("m")})
+    decision, fired = policy.bundle(CHUNK_POLICY, "access_control").compile(bound, F.lit(NOW))
+    return rows.select("doc_id", decision.alias("decision"), fired.alias("rules_fired"))
+
+
+_CHUNK_SQL = f"""
+w AS (SELECT doc_id, source IN ('src1', 'src2', 'src3') AS w0, lang IS NULL OR lang NOT IN ('en', 'de') AS v0, doc_id % 5 = 0 AS w1, doc_id % 3 <> 0 AS v1, 900 - doc_id > 600 AS v2 FROM documents),
+x AS (SELECT *, least(CASE WHEN w0 AND v0 THEN 0 END, CASE WHEN w1 AND v1 THEN 1 END, CASE WHEN v2 THEN 2 END) AS d FROM w),
+decided AS (SELECT doc_id, CASE WHEN d IS NULL THEN 'allow' ELSE 'deny' END AS decision,
+  list_filter([CASE WHEN w0 THEN 'residency' END, CASE WHEN w1 AND coalesce(d, 3) >= 1 THEN 'personal_data' END, CASE WHEN coalesce(d, 3) >= 2 THEN 'freshness' END], lambda r: r IS NOT NULL) AS rules_fired FROM x)"""
+
+
+@query(f"WITH {_CHUNK_SQL} SELECT doc_id, decision, array_to_string(rules_fired, ',') AS rules_fired FROM decided")
+def policy_decisions_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_decisions(spark, sf_dir).withColumn("rules_fired", F.array_join("rules_fired", ","))
+
+
+@query(f"WITH {_CHUNK_SQL} SELECT rule, decision, count(*) AS hits FROM (SELECT decision, unnest(rules_fired) AS rule FROM decided) GROUP BY ALL")
+def policy_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_decisions(spark, sf_dir).select("decision", F.explode("rules_fired").alias("rule")).groupBy("rule", "decision").agg(F.count("*").alias("hits"))
+
+
+TOOL_POLICY = {
+    "version": 1,
+    "policy_id": "tools",
+    "tool_call_control": {
+        "defaults": {"unknown_metadata": "allow"},
+        "rules": [
+            {"name": "known_tools", "require": {"tool.name": {"not_in": ["error"]}}, "on_violation": "deny"},
+            {"name": "no_round_users", "when": {"tool.name": {"in": ["click", "purchase"]}}, "require": {"tool.parameters.caller": {"not_matches_pattern": "user-*[05]"}}, "on_violation": "deny"},
+            {"name": "short_amounts", "when": {"tool.name": "purchase"}, "require": {"tool.parameters.amount": {"length_at_most": 2}}, "on_violation": "deny"},
+        ],
+    },
+}
+
+
+def _tool_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = derived.calls(spark, sf_dir)
+    params = F.create_map(F.lit("caller"), F.col("caller"), F.lit("amount"), F.col("amount").cast("string"))
+    bound = policy.map_binding({"tool.name": (F.col("event_type"), "string")}, {"tool.parameters": params})
+    decision, fired = policy.bundle(TOOL_POLICY, "tool_call_control").compile(bound, F.lit(NOW))
+    return calls.withColumns({"decision": decision, "rules_fired": fired})
+
+
+_TOOL_SQL = (
+    sql.CALLS
+    + """,
+tw AS (SELECT *, event_type = 'error' AS v0, event_type IN ('click', 'purchase') AS w1, caller GLOB 'user-*[05]' AS v1, event_type = 'purchase' AS w2, length(amount::VARCHAR) > 2 AS v2 FROM calls),
+tx AS (SELECT *, least(CASE WHEN v0 THEN 0 END, CASE WHEN w1 AND v1 THEN 1 END, CASE WHEN w2 AND v2 THEN 2 END) AS d FROM tw),
+tools AS (SELECT *, CASE WHEN d IS NULL THEN 'allow' ELSE 'deny' END AS decision,
+  list_filter(['known_tools', CASE WHEN w1 AND coalesce(d, 3) >= 1 THEN 'no_round_users' END, CASE WHEN w2 AND coalesce(d, 3) >= 2 THEN 'short_amounts' END], lambda r: r IS NOT NULL) AS rules_fired FROM tx)"""
+)
+
+
+@query(f"WITH {_TOOL_SQL} SELECT event_id, receipt_id, decision, array_to_string(rules_fired, ',') AS rules_fired FROM tools")
+def tool_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tool_decisions(spark, sf_dir).select("event_id", "receipt_id", "decision", F.array_join("rules_fired", ",").alias("rules_fired"))
+
+
+# --- receipts --------------------------------------------------------------
+
+
+@query(
+    f"""WITH {sql.VERIFIED} SELECT request_id, count(*) AS total_chunks, count(*) FILTER (WHERE outcome = 'VERIFIED') AS verified, count(*) FILTER (WHERE outcome = 'STALE') AS stale,
+  count(*) FILTER (WHERE outcome = 'UNAUTHORIZED') AS unauthorized, count(*) FILTER (WHERE outcome = 'UNVERIFIED') AS unverified, count(*) FILTER (WHERE outcome = 'TAMPERED') AS tampered,
+  CASE WHEN bool_or({GATE}) THEN 'FAIL' WHEN bool_or(outcome <> 'VERIFIED') THEN 'PARTIAL' ELSE 'PASS' END AS overall_status FROM verified GROUP BY request_id"""
+)
+def receipt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipts.source_summary(_verified(spark, sf_dir), "request_id", FLAGS.blocks(F.col("outcome")))
+
+
+@query(f"WITH {_TOOL_SQL} SELECT caller, count(*) AS total_actions, count(*) FILTER (WHERE decision = 'allow') AS actions_allowed, count(*) FILTER (WHERE decision = 'deny') AS actions_denied, CASE WHEN bool_or(decision = 'deny') THEN 'FAIL' ELSE 'PASS' END AS overall_status FROM tools GROUP BY caller")
+def action_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = receipts.action_summary(_tool_decisions(spark, sf_dir), "caller")
+    return out.withColumn("overall_status", receipts.combined_status(F.lit(None).cast("string"), F.col("actions_denied")))
+
+
+@query(
+    f"""WITH {sql.CALLS} SELECT event_id, {sql.fp("'{\"id\":\"' || caller || '\",\"role\":\"member\"}'")} AS caller_hash,
+  {sql.fp("'{\"amount\":\"' || amount || '\",\"k\":\"' || k || '\"}'")} AS parameters_hash, {sql.fp("''")} AS output_hash FROM calls"""
+)
+def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caller and parameter hashes over canonical JSON, written in any key order."""
+    c = derived.calls(spark, sf_dir)
+    caller = F.to_json(F.struct(F.lit("member").alias("role"), F.col("caller").alias("id")))
+    params = canon.string_map_json(F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("amount"), F.col("amount").cast("string")))
+    return c.select("event_id", canon.json_hash(caller).alias("caller_hash"), canon.text_hash(params).alias("parameters_hash"), canon.text_hash(F.lit("")).alias("output_hash"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 8 FROM documents)) + (SELECT count(*) FROM (SELECT DISTINCT item_id // 8 FROM benchmark)) + (SELECT count(*) FROM (SELECT DISTINCT (conv_id * 100 + turn) // 8 FROM conversations)) AS receipts, 'valid' AS signature_state, true AS ok")
+def receipt_signatures_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {k: getattr(FLAGS, k) for k in FLAGS.__dataclass_fields__}
+    made = receipts.verification_receipts(_verified(spark, sf_dir), flags, F.lit(NOW))
+    signed = made.withColumn("receipt", receipts.sign_json(F.col("receipt"), KEY))
+    return receipts.audit(signed, "receipt", KEY).groupBy("signature_state", "ok").agg(F.count("*").alias("receipts"))
+
+
+# --- Merkle log ------------------------------------------------------------
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = index.stored_rows(index.sign(derived.ingest_log(spark, sf_dir), KEY))
+    rows = merkle.numbered(stored, ["seq"])
+    return materialize(rows.select("leaf_index", "fingerprint", F.encode(canon.row_payload(*index.SIGNED), "UTF-8").alias("payload")), "leaves")
+
+
+_LEAF_SQL = f"""{sql.LOG},
+leaf AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS leaf_index, unhex(sha256('\\x00'::BLOB || encode({sql.PAYLOAD.replace('chunk_offset', "'0'")}))) AS h
+  FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY fingerprint, document_id, document_version ORDER BY seq) = 1))"""
+
+
+def _levels(n: int = 24) -> str:
+    out = ["l0 AS (SELECT leaf_index AS i, h FROM leaf)"]
+    for k in range(1, n):
+        out.append(f"l{k} AS MATERIALIZED (SELECT i // 2 AS i, CASE WHEN count(*) = 2 THEN unhex(sha256('\\x01'::BLOB || arg_min(h, i) || arg_max(h, i))) ELSE any_value(h) END AS h FROM l{k - 1} GROUP BY i // 2)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_LEAF_SQL}, {_levels()} SELECT (SELECT count(*) FROM leaf) AS tree_size, (SELECT lower(hex(h)) FROM l23) AS tree_root")
+def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.root(merkle.nodes(_leaves(spark, sf_dir)))
+
+
+@query(f"WITH {_LEAF_SQL} SELECT leaf_index, true AS holds FROM leaf")
+def merkle_proof_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf's proof, made from the node table and checked against the root."""
+    leaves = _leaves(spark, sf_dir)
+    tree = materialize(merkle.nodes(leaves), "tree")
+    proofs = merkle.proofs(tree, leaves.select("leaf_index"))
+    checked = leaves.join(proofs, "leaf_index").crossJoin(F.broadcast(merkle.root(tree))).withColumn("leaf", merkle.leaf_hash(F.col("payload")))
+    return checked.select("leaf_index", merkle.proof_holds("leaf", "leaf_index", "proof", "tree_size", "tree_root").alias("holds"))
+
+
+@query()
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = _leaves(spark, sf_dir)
+    return merkle.proofs(materialize(merkle.nodes(leaves), "tree"), leaves.select("leaf_index"))
+
+
+# --- trajectories ----------------------------------------------------------
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.linked_sessions(derived.calls(spark, sf_dir))
+
+
+@query(f"WITH {sql.STEPS} SELECT trajectory_id, receipt_id, parent AS parent_id FROM steps WHERE parent IS NOT NULL")
+def trajectory_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.edges(_steps(spark, sf_dir))
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with some receipts lost, so that parents dangle."""
+    return materialize(_steps(spark, sf_dir).filter("event_id % 11 <> 0"), "steps")
+
+
+@query(f"WITH {sql.STEPS}, kept AS (SELECT * FROM steps WHERE event_id % 11 <> 0) SELECT trajectory_id, receipt_id, parent AS parent_id FROM kept k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent)")
+def dangling_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.dangling(_broken(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sql.STEPS}, kept AS (SELECT * FROM steps WHERE event_id % 11 <> 0),
+  g AS (SELECT k.trajectory_id, bool_and(k.parent IS NULL OR p.receipt_id IS NOT NULL) AS whole, bool_or(k.parent IS NULL) AS root FROM kept k LEFT JOIN kept p ON p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent GROUP BY k.trajectory_id)
+  SELECT trajectory_id, unnest(['has_trajectory_block', 'shared_trajectory_id', 'no_dangling_parents', 'dag_acyclic', 'has_root_step']) AS "check", unnest([true, true, whole, true, root]) AS ok FROM g"""
+)
+def dag_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.dag_checks(_broken(spark, sf_dir).withColumn("audit", F.col("trajectory_id")), "audit").withColumnRenamed("audit", "trajectory_id")
+
+
+_ROLL_SQL = f"{_TOOL_SQL}, {sql.STEPS[len(sql.CALLS) + 1 :]}"
+
+
+@query(
+    f"""WITH {_ROLL_SQL}, r AS (SELECT steps.trajectory_id, steps.step_kind, tools.decision FROM steps JOIN tools USING (event_id))
+  SELECT trajectory_id, count(*) AS receipts, count(*) AS total_actions, count(*) FILTER (WHERE decision = 'allow') AS actions_allowed, count(*) FILTER (WHERE decision = 'deny') AS actions_denied,
+    CASE WHEN bool_or(decision = 'deny') THEN 'FAIL' ELSE 'PASS' END AS overall_status,
+    (SELECT string_agg(step_kind || '=' || c, ',' ORDER BY step_kind) FROM (SELECT step_kind, count(*) AS c FROM r q WHERE q.trajectory_id = r.trajectory_id GROUP BY step_kind)) AS kinds
+  FROM r GROUP BY trajectory_id"""
+)
+def trajectory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = _tool_decisions(spark, sf_dir)
+    denied = (F.col("decision") == "deny").cast("long")
+    zero = F.lit(0).cast("long")
+    one = trajectory.linked_sessions(decided).withColumns(
+        {c: zero for c in ("total_chunks", "verified", "stale", "unauthorized", "unverified", "tampered")}
+        | {"total_actions": F.lit(1).cast("long"), "actions_denied": denied, "actions_allowed": 1 - denied, "overall_status": F.when(denied == 1, "FAIL").otherwise("PASS")}
+    )
+    out = trajectory.rollup(one)
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("per_step_kind")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("trajectory_id", "receipts", "total_actions", "actions_allowed", "actions_denied", "overall_status", kinds.alias("kinds"))
+
+
+# --- security events -------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    gate = FLAGS.blocks(F.col("outcome"))
+    chunks = _verified(spark, sf_dir).join(_chunk_decisions(spark, sf_dir).withColumns({"origin": F.lit("documents"), "n": F.col("doc_id")}).drop("doc_id"), ["origin", "n"], "left")
+    kind = events.source_kind(F.col("outcome"), gate, F.col("decision"))
+    sources = chunks.select(
+        kind.alias("kind"), events.severity(kind, F.col("outcome"), F.col("decision")).alias("severity_id"), events.title(kind, F.col("outcome"), F.col("decision"), F.col("rules_fired")).alias("title"),
+        F.concat(F.lit("prx_"), F.substring(F.sha2(F.col("request_id").cast("binary"), 256), 1, 32)).alias("receipt_id"), F.col("chunk_index").cast("long").alias("item"), F.lit(NOW).alias("issued_at"), none.alias("trajectory_id"),
+    )
+    steps = trajectory.linked_sessions(_tool_decisions(spark, sf_dir))
+    akind = events.action_kind(F.col("decision"))
+    actions = steps.select(
+        akind.alias("kind"), events.severity(akind, none, F.col("decision")).alias("severity_id"), events.title(akind, none, F.col("decision"), F.col("rules_fired")).alias("title"),
+        "receipt_id", F.lit(0).cast("long").alias("item"), "issued_at", "trajectory_id",
+    )
+    return events.skeleton(sources.unionByName(actions))
+
+
+_EVENT_SQL = f"""{sql.VERIFIED}, {_CHUNK_SQL}, {_ROLL_SQL},
+sev AS (SELECT v.request_id, v.chunk_index, v.outcome, d.decision, d.rules_fired, coalesce({GATE}, false) OR coalesce(d.decision = 'deny', false) AS blocked FROM verified v LEFT JOIN decided d ON v.origin = 'documents' AND v.n = d.doc_id),
+ev AS (SELECT 'prx_' || sha256(request_id)[1:32] AS receipt_id, chunk_index::BIGINT AS item, CASE WHEN blocked THEN 2004 ELSE 6005 END AS class_uid,
+    CASE WHEN NOT blocked THEN 1 WHEN outcome <> 'VERIFIED' THEN 5 ELSE 4 END AS severity_id,
+    CASE WHEN NOT blocked THEN NULL WHEN outcome <> 'VERIFIED' THEN 'Verification block: ' || outcome ELSE 'Access control denied chunk; rules: ' || array_to_string(rules_fired, ', ') END AS title,
+    1704068100000 AS "time", NULL AS correlation_uid FROM sev
+  UNION ALL SELECT t.receipt_id, 0, CASE WHEN t.decision = 'deny' THEN 2004 ELSE 6003 END, CASE WHEN t.decision = 'deny' THEN 4 ELSE 1 END,
+    CASE WHEN t.decision = 'deny' THEN 'Tool-call admission denied; rules: ' || array_to_string(t.rules_fired, ', ') END, (epoch_us(t.ts) // 1000), s.trajectory_id FROM tools t JOIN steps s USING (event_id))"""
+
+
+@query(f"WITH {_EVENT_SQL} SELECT receipt_id, item, class_uid::INT AS class_uid, (class_uid * 100 + 1)::INT AS type_uid, severity_id::INT AS severity_id, title, \"time\", correlation_uid FROM ev")
+def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("receipt_id", "item", "class_uid", "type_uid", "severity_id", "title", "time", "correlation_uid")
+
+
+@query(f"WITH {_EVENT_SQL} SELECT class_uid::INT AS class_uid, severity_id::INT AS severity_id, count(*) AS n FROM ev GROUP BY ALL")
+def event_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("class_uid", "severity_id").agg(F.count("*").alias("n"))
+
+
+# --- detection -------------------------------------------------------------
+
+
+@query(f"WITH {sql.CALLS} SELECT caller, count(*) FILTER (WHERE step_kind = 'tool_call') AS actions, count(*) FILTER (WHERE step_kind = 'retrieval') AS retrievals, count(*) AS receipts FROM calls GROUP BY caller")
+def caller_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.caller_activity(derived.calls(spark, sf_dir))
+
+
+@query(f"WITH {_TOOL_SQL} SELECT caller, count(*) AS denies FROM tools WHERE decision = 'deny' GROUP BY caller")
+def caller_denies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.caller_denies(_tool_decisions(spark, sf_dir))
+
+
+@query(f"WITH {sql.STEPS} SELECT session_id, count(*)::BIGINT AS steps, count(DISTINCT step_kind) AS kinds, count(DISTINCT step_kind) = 1 AS single_shape FROM steps GROUP BY session_id")
+def session_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.session_shape(_steps(spark, sf_dir))
+
+
+@query("SELECT 'user-' || user_id AS caller, true AS consistent FROM events GROUP BY user_id")
+def caller_hash_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a caller's hash, derived again for each receipt, is the same in all of them."""
+    c = derived.calls(spark, sf_dir).select("caller", canon.text_hash(canon.string_map_json(F.create_map(F.lit("id"), F.col("caller")))).alias("h"))
+    return c.groupBy("caller").agg((F.min("h") == F.max("h")).alias("consistent"))
+
+
+@query(f"WITH {sql.CALLS}, h AS (SELECT caller, (epoch_us(ts) // 1000) // 3600000 AS hour, count(*) AS n FROM calls GROUP BY ALL), m AS (SELECT caller, sum(n)::BIGINT AS total, count(*) AS hours FROM h GROUP BY caller) SELECT caller, hour, n, total, hours FROM h JOIN m USING (caller) WHERE n >= 2 AND n * hours >= 1.5 * total")
+def rate_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.rate_anomaly(derived.calls(spark, sf_dir), factor=1.5, least=2)
+
+
+@query(f"WITH {sql.CALLS} SELECT event_id, caller, count(*) OVER (PARTITION BY caller ORDER BY (epoch_us(ts) // 1000) // 1000 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour FROM calls")
+def trailing_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.trailing_hour(derived.calls(spark, sf_dir))
+
+
+_SPLIT = 1704067200 + 20 * 86400
+
+
+@query(
+    f"""WITH {sql.CALLS}, q AS (SELECT step_kind, (count(*) FILTER (WHERE (epoch_us(ts) // 1000) // 1000 < {_SPLIT}) + 1)::DOUBLE AS q FROM calls GROUP BY step_kind), qq AS (SELECT step_kind, q / sum(q) OVER () AS q FROM q),
+  p AS (SELECT caller, step_kind, count(*) AS c FROM calls WHERE (epoch_us(ts) // 1000) // 1000 >= {_SPLIT} GROUP BY ALL), pp AS (SELECT caller, step_kind, c / sum(c) OVER (PARTITION BY caller) AS p FROM p)
+  SELECT caller, round(sum(p * ln(p / q)), 9) AS kl FROM pp JOIN qq USING (step_kind) GROUP BY caller"""
+)
+def step_kind_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.kind_drift(derived.calls(spark, sf_dir), _SPLIT)
+
+
+@query(f"WITH {_TOOL_SQL} SELECT caller, rule, count(*) AS hits FROM (SELECT caller, unnest(rules_fired) AS rule FROM tools WHERE decision = 'allow') GROUP BY ALL HAVING count(*) >= 3")
+def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.near_misses(_tool_decisions(spark, sf_dir), 3)
+
+
+@query(
+    f"""WITH {sql.CALLS}, n AS (SELECT *, lag(step_kind) OVER w AS pk, lag(receipt_id) OVER w AS prev_id, lag(ts) OVER w AS pt FROM calls WINDOW w AS (PARTITION BY caller ORDER BY ts, receipt_id))
+  SELECT caller, prev_id, receipt_id, (epoch_us(ts) // 1000) // 1000 - (epoch_us(pt) // 1000) // 1000 AS gap_s FROM n WHERE pk = 'memory_write' AND step_kind = 'tool_call' AND (epoch_us(ts) // 1000) // 1000 - (epoch_us(pt) // 1000) // 1000 <= 36000"""
+)
+def memwrite_then_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.write_then_call(derived.calls(spark, sf_dir), 36000)
+
+
+@query(f"WITH {sql.CALLS}, n AS (SELECT caller, ts::DATE AS day, step_kind, count(*) AS n FROM calls GROUP BY ALL) SELECT caller, day, step_kind, n, round(n / sum(n) OVER (PARTITION BY caller, day), 9) AS ratio FROM n")
+def content_source_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.kind_ratio(derived.calls(spark, sf_dir))
