@@ -198,10 +198,12 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     spark = df.sparkSession
     prepare(spark)
     added = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
-    keep = [c for c in df.columns if c != text and c not in added]
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    names = [c for c in df.columns if c != text and c not in added]
+    keep = [f"_k{i}" for i in range(len(names))]  # no column of the caller's meets one of ours
+    df = stable_rows(df).withColumn("_held", bucket_of_id(doc_id, HELD_MOD) == HELD).select(*[F.col(c).alias(k) for c, k in zip(names, keep)], F.col(text).alias("text"), "_held", "_rid")
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // CHUNK_BYTES))
-    docs = stable_rows(df.select(*keep, text)).select(*keep, F.col(text).alias("text"), (bucket_of_id(doc_id, HELD_MOD) == HELD).alias("held"), F.pmod(F.xxhash64("_rid"), F.lit(n_chunks)).cast("int").alias("chunk"))
+    docs = df.select(*keep, "text", F.col("_held").alias("held"), F.pmod(F.xxhash64("_rid"), F.lit(n_chunks)).cast("int").alias("chunk"))
     seen = materialize(docs.select("chunk", "held", "text").repartition(n_chunks, "chunk").mapInArrow(_report, "chunk int, key long, n long"), "chunk-keys")
     release(spark)
     counts = materialize(seen.groupBy("key").agg(F.sum("n").alias("n")), "key-counts")
@@ -263,4 +265,5 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     schema = f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    out = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    return out.withColumnsRenamed(dict(zip(keep, names)))

@@ -66,6 +66,8 @@ class Rule:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by its counts; every count is over the whole text."""
     own = ("_w", "_l", "_h", "_s", "_p")
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "base_failed", "rule", "kept")
+    docs = docs.drop(*[c for c in results if c in docs.columns])
     df = docs.withColumn("_w", F.coalesce(F.array_remove(F.split(F.col(text), WORD_SPACE), ""), F.array().cast("array<string>")))
     df = df.withColumn("_l", F.expr(f"filter(split(coalesce({text}, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"))
     df = df.withColumn("_h", F.expr("IF(size(_w) >= 3, transform(sequence(1, greatest(size(_w) - 2, 1)), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2))), array())").cast("array<bigint>"))

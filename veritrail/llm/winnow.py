@@ -125,8 +125,9 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row: its columns but the text, n_words, n_hit, n_items, items (array of ids), contaminated."""
-    keep = [c for c in documents.columns if c not in ("text", "n_words", "n_hit", "n_items", "items", "contaminated")]
-    occurrences, windows = hits(documents.select(*keep, "text"), benchmark)
+    names = [c for c in documents.columns if c not in ("text", "n_words", "n_hit", "n_items", "items", "contaminated")]
+    keep = [f"_k{i}" for i in range(len(names))]  # no column of the caller's meets one of ours
+    occurrences, windows = hits(documents.select(*[F.col(c).alias(k) for c, k in zip(names, keep)], "text"), benchmark)
     occurrences = materialize(occurrences, "hits")
     # Words in the union of [at, at + len): sorted starts, then one fold with the end of what is covered.
     covered = F.expr(
@@ -139,7 +140,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("_rid").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
     )
     out = spans.join(items, "_rid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select(*keep, F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, keep)], F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
