@@ -63,7 +63,8 @@ def release(spark: SparkSession) -> None:
 
 def bucket_of_id(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")), F.lit(n))
+    value = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.pmod(F.crc32(F.coalesce(value, F.lit("")).cast("binary")), F.lit(n))
 
 
 def bucket_of_id_py(value, n: int) -> int:

@@ -110,7 +110,7 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
         "windows",
     )
     rows = windows.count()
-    lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # SPAN values at most
+    lengths = sorted(r.len for r in windows.select("len").distinct().collect()) or [SPAN]  # SPAN values at most
     marks = materialize(
         _fingerprinted(items.select("_w"), lengths, False).join(items.select(F.size("_w").alias("n_words"), F.least(F.size("_w"), F.lit(SPAN)).alias("own")).distinct(), "n_words").filter("len = own").select("len", "key").distinct(),
         "marks",
