@@ -72,17 +72,19 @@ def bucket_of_id_py(value, n: int) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each piece have about ``limit`` bytes; no row is cut."""
+    """Batches with about ``limit`` bytes of text each: small ones are joined, large ones cut; no row is cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        start = size = 0
-        lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
-        for i, n in enumerate(lengths):
+        start = 0
+        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
             if size and size + (n or 0) > limit:
-                yield batch.slice(start, i - start)
-                start, size = i, 0
+                yield pa.concat_batches([*held, batch.slice(start, i - start)])
+                held, start, size = [], i, 0
             size += n or 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        held.append(batch.slice(start))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def extended(df: DataFrame, **columns: str) -> T.StructType:

@@ -138,7 +138,7 @@ def lattice(raw: bytes) -> Lattice:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 16 << 20):
+    for part in slices(batches, "text", 8 << 20):
         counts: dict[str, Counter] = {}
         for t, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
             counts.setdefault(lang, Counter()).update(words(t))
@@ -219,7 +219,7 @@ def identify(df: DataFrame, model: Model | None, vocabulary: str, text: str = "t
         lat = None if m is None else lattice(raw)
         known: dict[bytes, int] = {}
         logs = np.zeros((0, 0))
-        for part in slices(batches, text, 16 << 20):
+        for part in slices(batches, text, 8 << 20):
             texts = part.column(text).to_pylist()
             found, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
             at = [] if m is None else [i for i, t in enumerate(texts) if t and _LETTER.search(t)]

@@ -23,7 +23,7 @@ the prior share of toxic documents scaled below ``THRESHOLD``; without labels
 of both classes every score is 0; rows are scored one by one, so repeated rows
 give repeated results. Of several labels of one id the highest counts.
 
-The model is fitted on at most ``MAX_LABELLED`` labelled rows (those with the
+The model is fitted on about ``MAX_LABELLED`` labelled rows at most (those with the
 least hash of their id) and keeps at most ``MAX_TOKENS`` tokens, which bounds
 what goes to the workers.
 """
@@ -152,7 +152,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     prepare(docs.sparkSession)
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(bucket_of_id("doc_id", HELD_MOD) != HELD)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    total = known.count()
+    if total > MAX_LABELLED:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * MAX_LABELLED // total)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("text", "toxic")
     counts = rows.mapInArrow(_count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
