@@ -250,7 +250,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                 sums += np.bincount(who, weights=logs[at], minlength=len(part))
             for t, s in zip(part, sums.tolist()):
                 ws = _words(t)
-                for w in set(ws) - of_word.keys():
+                for w in {w for w in ws if w not in of_word}:
                     of_word[w] = value[_word_key(w)]
                 v = list(map(of_word.__getitem__, ws))
                 v.append(end)
