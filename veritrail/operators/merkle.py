@@ -2,8 +2,8 @@
 
 Leaves get a dense number without passing through one task: rows are range
 partitioned and sorted, each partition is counted, and a partition's rows are
-numbered from the sum of the counts before it. A level of the tree is one
-aggregate of the level below on idx div 2; an odd last node moves up unchanged.
+numbered from the sum of the counts before it. Nodes of a level pair up by idx
+div 2; an odd last node moves up unchanged.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from veritrail.runtime import materialize
 
+#: Levels of the tree made by one pass.
+BLOCK_LEVELS = 8
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "leaf_index") -> DataFrame:
     """Dense numbers from 0 in the order of ``order``, which must be total."""
@@ -34,16 +37,26 @@ def leaf_hash(payload: Column) -> Column:
 
 
 def nodes(leaves: DataFrame) -> DataFrame:
-    """All nodes (level, idx, hash) above and of ``leaves`` (leaf_index, payload binary)."""
+    """All nodes (level, idx, hash) above and of ``leaves`` (leaf_index, payload binary).
+
+    A pass gathers blocks of 2**BLOCK_LEVELS neighbours and makes all levels
+    inside each block at once, so a log of n leaves takes log2(n) / BLOCK_LEVELS
+    shuffles; a block has a fixed size, so nothing large is gathered.
+    """
     level = materialize(leaves.select(F.lit(0).alias("level"), F.col("leaf_index").cast("long").alias("idx"), leaf_hash(F.col("payload")).alias("hash")), "merkle")
-    out, n, depth = level, level.count(), 0
-    while n > 1:
-        depth += 1
-        pair = level.groupBy((F.shiftright("idx", 1)).alias("idx")).agg(F.min_by("hash", "idx").alias("a"), F.max_by("hash", "idx").alias("b"), F.count("*").alias("c"))
-        level = pair.select(F.lit(depth).alias("level"), "idx", F.when(F.col("c") == 2, F.unhex(F.sha2(F.concat(F.lit(bytearray(b"\x01")), "a", "b"), 256))).otherwise(F.col("a")).alias("hash"))
-        level = materialize(level, "merkle")
-        out = out.unionByName(level)
-        n = (n + 1) // 2
+    out, base = level, 0
+    height = max(0, level.count() - 1).bit_length()
+    while base < height:
+        h = min(BLOCK_LEVELS, height - base)
+        blocks = level.groupBy(F.shiftright("idx", h).alias("b")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("x")).select("b", F.transform("x", lambda e: e["hash"]).alias("l0"))
+        for j in range(1, h + 1):
+            pair = f"unhex(sha2(concat(x'01', get(l{j - 1}, 2 * i), get(l{j - 1}, 2 * i + 1)), 256))"
+            blocks = blocks.withColumn(f"l{j}", F.expr(f"transform(sequence(0, cast((size(l{j - 1}) - 1) div 2 AS int)), i -> IF(2 * i + 1 < size(l{j - 1}), {pair}, get(l{j - 1}, 2 * i)))"))
+        made = blocks.select("b", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"l{j}").alias("hs")) for j in range(1, h + 1)])).alias("x")).select("b", "x.j", F.posexplode("x.hs").alias("at", "hash"))
+        new = materialize(made.select((F.col("j") + base).alias("level"), F.expr(f"shiftleft(b, {h} - j) + at").alias("idx"), "hash"), "merkle")
+        out = out.unionByName(new)
+        base += h
+        level = new.filter(F.col("level") == base)
     return out
 
 
