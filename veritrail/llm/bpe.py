@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import extended, prepare, slices
 
 #: Entries of one cache generation; two generations live at most.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Pieces encoded by one recursive query.
 QUERY_PIECES = 20_000
 LONG_PIECE = 512
@@ -81,7 +81,7 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], "int32")
         merges = [(l, r, rank) for b, rank in self.ranks.items() for i in range(1, len(b)) if (l := self.ranks.get(b[:i])) is not None and (r := self.ranks.get(b[i:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         columns = list(zip(*merges)) or [(), (), ()]
         self._table("merges", {k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "merged"), columns)})
         self._table("vocab", {"tok": pa.array(list(self.bytes), pa.int32()), "hex": pa.array([b.hex() for b in self.bytes.values()])})

@@ -44,7 +44,9 @@ PIECE_BYTES = 12
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.1
 #: Words whose probabilities a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Words whose lattices are worked on at once.
+BATCH_WORDS = 5_000
 HELD_MOD, HELD = 5, 0
 UNKNOWN = "und"
 
@@ -68,7 +70,7 @@ class Lattice:
 
     def __init__(self, raw: bytes) -> None:
         pieces = sorted(b for b in read_ranks(raw) if len(b) <= PIECE_BYTES)
-        self.roller = Roller((WORD_BYTES + 1) * 60_000, 5)
+        self.roller = Roller((WORD_BYTES + 1) * BATCH_WORDS, 5)
         keys = []
         for b in pieces:
             x = np.frombuffer(b, "uint8")
@@ -138,7 +140,7 @@ def lattice(raw: bytes) -> Lattice:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 8 << 20):
+    for part in slices(batches, "text", 2 << 20):
         counts: dict[str, Counter] = {}
         for t, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
             counts.setdefault(lang, Counter()).update(words(t))
@@ -175,8 +177,8 @@ def learn(docs: DataFrame, vocabulary: str) -> Model | None:
             lat = lattice(raw.value)
             sums = np.zeros((lat.size, len(langs)))
             for part in batches:
-                for at in range(0, part.num_rows, 20_000):
-                    cut = part.slice(at, 20_000)
+                for at in range(0, part.num_rows, BATCH_WORDS):
+                    cut = part.slice(at, BATCH_WORDS)
                     batch = cut.column("word").to_pylist()
                     n = cut.column("n").to_numpy()
                     lang = np.array([number[x] for x in cut.column("lang").to_pylist()])
@@ -219,7 +221,7 @@ def identify(df: DataFrame, model: Model | None, vocabulary: str, text: str = "t
         lat = None if m is None else lattice(raw)
         known: dict[bytes, int] = {}
         logs = np.zeros((0, 0))
-        for part in slices(batches, text, 8 << 20):
+        for part in slices(batches, text, 2 << 20):
             texts = part.column(text).to_pylist()
             found, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
             at = [] if m is None else [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
@@ -230,8 +232,8 @@ def identify(df: DataFrame, model: Model | None, vocabulary: str, text: str = "t
                     known, logs = {}, np.zeros((0, 0))
                     fresh = list(set().union(*split))
                 new = [np.zeros((0, len(m.langs)))] if not len(logs) else [logs]
-                for k in range(0, len(fresh), 20_000):
-                    cut = fresh[k : k + 20_000]
+                for k in range(0, len(fresh), BATCH_WORDS):
+                    cut = fresh[k : k + BATCH_WORDS]
                     sums = lat.forward(cut, m.probs)
                     new.append(np.log(sums[np.arange(len(cut)), [len(w) for w in cut]]))
                 base = len(known)
