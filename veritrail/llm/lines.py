@@ -113,7 +113,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     own = ("n_lines", "n_removed", "n_runs", "_rid")
     rows = stable_rows(df.drop(*[c for c in own if c in df.columns]))
     gone = later_copies(rows.select("_rid", F.col(doc_id).alias("_id"), F.col(text).alias("text")))
-    out = rows.join(gone.select(F.struct("f", "i").alias("_rid"), F.col("gone").alias("_gone")), "_rid", "left").drop("_rid")
+    out = rows.join(gone.select(F.struct("f", "i").alias("_rid"), F.col("gone").alias("_gone")).hint("merge"), "_rid", "left").drop("_rid")
     out = out.withColumn("_lines", F.split(text, "\n")).withColumn("_with", F.expr("filter(transform(_lines, (l, j) -> IF(l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]', j, NULL)), j -> j IS NOT NULL)"))
     out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), transform(_gone, g -> element_at(_with, g + 1))), j -> element_at(_lines, j + 1)), '\\n')")
