@@ -44,7 +44,7 @@ PIECE_BYTES = 12
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.1
 #: Words whose probabilities a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Words whose lattices are worked on at once.
 BATCH_WORDS = 5_000
 HELD_MOD, HELD = 5, 0
@@ -55,8 +55,11 @@ _state: dict = {}
 
 
 def words(text: str | None) -> list[bytes]:
+    found = tokens(text)
+    if not found or max(map(len, found)) < WORD_BYTES:
+        return list(map(b" ".__add__, found))
     out = []
-    for w in tokens(text):
+    for w in found:
         if len(w) < WORD_BYTES:
             out.append(b" " + w)
         else:
@@ -75,61 +78,83 @@ class Lattice:
         for b in pieces:
             x = np.frombuffer(b, "uint8")
             keys.append(int(self.roller.every(self.roller.prefix(x), len(b))[0]) ^ len(b))
-        order = np.argsort(np.array(keys, "uint64"))
-        self.keys = np.array(keys, "uint64")[order]
-        self.ids = order.astype("int32")
         self.size = len(pieces)
+        # Three hash tables; a piece stands in the first whose place is free, the few left over are searched.
+        keys = np.array(keys, "uint64")
+        self.tables, left = [], np.arange(len(keys))
+        for shift in (0, 20, 40):
+            slot = self._slot(keys[left], shift)
+            table = np.full(1 << 20, -1, "int32")
+            table[slot[::-1]] = left[::-1]
+            self.tables.append(table)
+            left = left[table[slot] != left]
+        self.keys = np.append(keys, np.uint64(0))  # place -1 meets no hash
+        order = np.argsort(keys[left])
+        self.rest, self.rest_ids = keys[left][order], left[order].astype("int32")
+
+    @staticmethod
+    def _slot(h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype("int64")
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each hash, or -1."""
+        out = np.full(len(h), -1, "int32")
+        for table, shift in zip(self.tables, (0, 20, 40)):
+            found = table[self._slot(h, shift)]
+            hit = (found >= 0) & (self.keys[found] == h)
+            out[hit] = found[hit]
+        if len(self.rest):
+            k = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
+            hit = self.rest[k] == h
+            out[hit] = self.rest_ids[k[hit]]
+        return out
 
     def edges(self, batch: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Word, first byte, end and piece of each place where a piece fits, in order of end and word."""
+        """Word, first byte, end and piece of each place where a piece fits, in order of end and piece length."""
         lengths = np.array([len(w) for w in batch])
         raw = np.frombuffer(b"".join(batch), "uint8")
         ends = np.cumsum(lengths)
         word = np.repeat(np.arange(len(batch)), lengths)
         first = ends[word] - lengths[word]
+        room = ends[word] - np.arange(len(raw))
         prefix = self.roller.prefix(raw)
         found = []
-        for n in range(1, PIECE_BYTES + 1):
-            if len(raw) < n:
-                break
-            at = np.flatnonzero(np.arange(len(raw) - n + 1) + n <= ends[word[: len(raw) - n + 1]])
-            h = self.roller.window(prefix, at, at + n) ^ np.uint64(n)
-            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[k] == h
-            at, k = at[hit], k[hit]
-            found.append((word[at], at - first[at], at - first[at] + n, self.ids[k]))
+        for n in range(1, min(PIECE_BYTES, int(lengths.max())) + 1):
+            at = np.flatnonzero(room >= n)
+            p = self._find(self.roller.window(prefix, at, at + n) ^ np.uint64(n))
+            hit = p >= 0
+            at = at[hit]
+            found.append((word[at], at - first[at], at - first[at] + n, p[hit]))
         w, a, b, p = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((w, b))
+        order = np.argsort(b.astype("uint8"), kind="stable")
         return w[order], a[order], b[order], p[order], lengths
 
+    @staticmethod
+    def _runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches where neither x nor y changes; a word occurs once at most in one of equal end and start."""
+        cut = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        return list(zip(cut.tolist(), [*cut[1:].tolist(), len(x)]))
+
     def forward(self, batch: list[bytes], probs: np.ndarray, edges: tuple | None = None) -> np.ndarray:
         """Sums over segmentations up to each byte: words x places x languages."""
         w, a, b, p, lengths = edges or self.edges(batch)
-        out = np.zeros((len(batch), int(lengths.max()) + 1, probs.shape[1]))
-        out[:, 0] = 1
-        cuts = np.searchsorted(b, np.arange(1, out.shape[1] + 1))
-        for e in range(1, out.shape[1]):
-            s = slice(cuts[e - 1], cuts[e])
-            if s.start < s.stop:
-                ww = w[s]
-                starts = np.flatnonzero(np.r_[True, ww[1:] != ww[:-1]])
-                out[ww[starts], e] = np.add.reduceat(out[ww, a[s]] * probs[p[s]], starts)
-        return out
+        out = np.zeros((int(lengths.max()) + 1, len(batch), probs.shape[1]))
+        out[0] = 1
+        for lo, hi in self._runs(a, b):
+            ww = w[lo:hi]
+            out[b[lo], ww] += out[a[lo], ww] * probs[p[lo:hi]]
+        return out.transpose(1, 0, 2)
 
     def backward(self, batch: list[bytes], probs: np.ndarray, edges: tuple) -> np.ndarray:
         w, a, b, p, lengths = edges
-        order = np.lexsort((w, a))
+        order = np.argsort(np.uint8(255) - a.astype("uint8"), kind="stable")
         w, a, b, p = w[order], a[order], b[order], p[order]
-        out = np.zeros((len(batch), int(lengths.max()) + 1, probs.shape[1]))
-        out[np.arange(len(batch)), lengths] = 1
-        cuts = np.searchsorted(a, np.arange(out.shape[1] + 1))
-        for e in range(out.shape[1] - 2, -1, -1):
-            s = slice(cuts[e], cuts[e + 1])
-            if s.start < s.stop:
-                ww = w[s]
-                starts = np.flatnonzero(np.r_[True, ww[1:] != ww[:-1]])
-                out[ww[starts], e] += np.add.reduceat(out[ww, b[s]] * probs[p[s]], starts)
-        return out
+        out = np.zeros((int(lengths.max()) + 1, len(batch), probs.shape[1]))
+        out[lengths, np.arange(len(batch))] = 1
+        for lo, hi in self._runs(a, b):
+            ww = w[lo:hi]
+            out[a[lo], ww] += out[b[lo], ww] * probs[p[lo:hi]]
+        return out.transpose(1, 0, 2)
 
 
 def lattice(raw: bytes) -> Lattice:
