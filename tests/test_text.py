@@ -55,6 +55,20 @@ def test_rolling_hash(spark):
         assert r.h == h
 
 
+def test_windows_carry_the_rolling_hash_of_the_whole_text(spark):
+    texts = ["abcdefghij" * 40, "hi", "", "\U0001f600é漢" * 70, "\U0010ffff" * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {(r.k, r.offset): r.rolling_hash for r in text.windows(df.withColumn("k", F.col("t")), "t", keep=("k",)).collect()}
+    want = {}
+    for t in texts:
+        for o in range(0, max(1, len(t) - text.WINDOW + 1) if t else 0, text.STRIDE):
+            h = 0
+            for c in t[o : o + text.WINDOW]:
+                h = (h * 1000003 + ord(c)) % ((1 << 61) - 1)
+            want[t, o] = h
+    assert got == want
+
+
 def test_hmac_and_canonical_json(spark):
     import hmac
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 WINDOW, STRIDE = 128, 64
 #: The characters removed as zero-width, the base and the modulus of the rolling hash.
@@ -82,10 +83,32 @@ def window_offsets(normal: str, width: int = WINDOW, stride: int = STRIDE) -> Co
 
 
 def windows(df, normal: str, width: int = WINDOW, stride: int = STRIDE, keep: tuple[str, ...] = ()):
-    """One row per window of column ``normal``: the kept columns, offset, length, fingerprint."""
-    out = df.select(*keep, normal, F.explode(window_offsets(normal, width, stride)).alias("offset"))
-    part = F.substring(normal, F.col("offset") + 1, F.lit(width))
-    return out.select(*keep, "offset", F.length(part).alias("length"), fingerprint(part).alias("fingerprint"))
+    """One row per window of column ``normal``: the kept columns, offset, length, fingerprint, rolling_hash."""
+    # The window leaves the generator as a row of its own, so no row beyond it carries the whole text.
+    cut = F.transform(window_offsets(normal, width, stride), lambda o: F.struct(o.alias("offset"), F.substring(normal, o + 1, F.lit(width)).alias("part")))
+    out = df.select(*keep, F.explode(cut).alias("_w"))
+    part = F.col("_w.part")
+    return out.select(*keep, "_w.offset", F.length(part).alias("length"), fingerprint(part).alias("fingerprint"), _rolling_hash(part).alias("rolling_hash"))
+
+
+@pandas_udf(LongType())
+def _rolling_hash(s: pd.Series) -> pd.Series:
+    """As ``rolling_hash``, for many short texts at once: one step per place takes it in all of them."""
+    low41, low20, m = np.uint64((1 << 41) - 1), np.uint64((1 << 20) - 1), np.uint64(ROLLING_MODULUS)
+    base, b41, b20 = np.uint64(ROLLING_BASE), np.uint64(41), np.uint64(20)
+    points = np.frombuffer("".join(s).encode("utf-32-le"), "<u4").astype("uint64")
+    size = s.str.len().to_numpy("int64")
+    order = np.argsort(-size, kind="stable")  # texts that have a place j are the first ones
+    first, size = (np.cumsum(size) - size)[order], size[order]
+    h = np.zeros(len(s), "uint64")
+    for j in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -j))
+        a = h[:n]
+        x = (a >> b41) * base  # times 2**41, of which 2**61 is 1
+        h[:n] = ((a & low41) * base + (x >> b20) + ((x & low20) << b41) + points[first[:n] + j]) % m
+    out = np.empty(len(s), "int64")
+    out[order] = h.astype("int64")
+    return pd.Series(out)
 
 
 def rolling_hash(text: Column) -> Column:

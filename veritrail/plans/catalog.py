@@ -72,7 +72,7 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fingerprint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
-    return text.windows(docs, "t", keep=("doc_id",))
+    return text.windows(docs, "t", keep=("doc_id",)).drop("rolling_hash")
 
 
 @query(
@@ -85,6 +85,17 @@ def rolling_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.rolling_hash(F.substring("t", 1, text.WINDOW)).alias("rolling_hash"))
 
 
+@query(
+    f"""SELECT doc_id, "offset"::INT AS "offset", list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(t[("offset" + 1) : ("offset" + {text.WINDOW})], ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (a * {text.ROLLING_BASE} + c) % {text.ROLLING_MODULUS})::BIGINT AS rolling_hash
+    FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {text.WINDOW} THEN [0] ELSE range(0, length(t) - {text.WINDOW} + 1, {text.STRIDE}) END) AS "offset"
+    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents))"""
+)
+def rolling_hash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling hash of every window of the whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return text.windows(docs, "t", keep=("doc_id",)).select("doc_id", "offset", "rolling_hash")
+
+
 @query(
     f"""SELECT page_id, (i * 800)::INT AS "offset", {sql.fp('t[(i * 800 + 1) : (i * 800 + 800)]')} AS fingerprint
     FROM (SELECT page_id, t, unnest(range(0, (length(t) + 799) // 800)) AS i FROM (SELECT page_id, {sql.norm('html')} AS t FROM pages))"""
