@@ -226,3 +226,15 @@ def test_context_tree(corpus, none):
         want[(i, held(i), len(ts), sum(counts[x] > 0 for x in ts), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in ts), 6), round(s, 6))] += 1
     assert got == want
     assert ctw.score(none).count() == 0
+
+
+def test_context_tree_sees_two_words_of_two_byte_letters(corpus):
+    rng = random.Random(18)
+    rows = []
+    for i in range(300):
+        w = [rng.randrange(30), rng.randrange(30)]
+        for _ in range(150):
+            w.append((w[-1] + w[-2]) % 30 if rng.random() < 0.8 else rng.randrange(30))
+        rows.append((i, " ".join(chr(0x430 + x) for x in w), "", "", 0))
+    held = [r for r in ctw.score(corpus(rows)).collect() if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held)

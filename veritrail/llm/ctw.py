@@ -12,10 +12,10 @@ before the text's start are a symbol of their own.
 
 The corpus is dealt into chunks of about ``CHUNK_BYTES`` of text. A chunk reports
 its distinct byte strings of DEPTH + 1 and distinct words with training counts;
-the counts are summed per key, trees are built per most recent context byte
+the counts are summed per key, trees are built per two most recent context bytes
 from distinct strings, and each chunk gets back the values of its own keys. So
 nothing that grows with the corpus is broadcast or collected: the driver sees
-at most 256 * 255 root statistics.
+at most 256 * 255 statistics of contexts of one byte.
 
 The unigram baseline follows the same way: tokens are white-space words in
 ASCII lower case and one end token a text, add-one smoothed. Keys of words are
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import bucket_of_id, prepare, release, stable_rows
 from veritrail.runtime import materialize
 
-DEPTH = 4
+DEPTH = 6  # a byte string and the mark of its kind have room in 64 bits up to this depth
 CHUNK_BYTES = 24 << 20
 #: Distinct byte strings of one training task, on average.
 TASK_KEYS = 400_000
@@ -136,8 +136,20 @@ def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
 
 
+def _above(node: np.ndarray) -> np.ndarray:
+    """Nodes of the same choice whose context is shorter by its oldest byte."""
+    return node >> U(16) << U(8) | (node & U(0xFF))
+
+
+def _mix(zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Weight and estimate of nodes, and ln of their weighted probability, from that of their children; nodes never seen have 0."""
+    own = kt(zero, one)
+    weighted = np.logaddexp(own, below) - math.log(2)
+    return (np.exp(own - weighted - math.log(2)), (one + 0.5) / (zero + one + 1)), weighted
+
+
 class Trees:
-    """The context trees below some most recent bytes, from distinct byte strings and their counts."""
+    """The context trees below some pairs of most recent bytes, from distinct byte strings and their counts."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
         keys = keys >> U(1)
@@ -155,22 +167,23 @@ class Trees:
         weighted = kt(zero, one)
         self.up: list[tuple] = []  # of each depth above: parent of each node, its weight and estimate
         self.leaf = (one + 0.5) / (zero + one + 1)
-        for _ in range(DEPTH - 1):
-            parent, place = np.unique(node >> U(16) << U(8) | (node & U(0xFF)), return_inverse=True)
+        for _ in range(DEPTH - 2):
+            parent, place = np.unique(_above(node), return_inverse=True)
             zero, one, below = (np.bincount(place, weights=x, minlength=len(parent)) for x in (zero, one, weighted))
-            own = kt(zero, one)
-            weighted = np.logaddexp(own, below) - math.log(2)
-            self.up.append((place, np.exp(own - weighted - math.log(2)), (one + 0.5) / (zero + one + 1)))
+            given, weighted = _mix(zero, one, below)
+            self.up.append((place, *given))
             node = parent
         self.top = node, zero, one, weighted
 
-    def log_probabilities(self, root: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """log10 probability of the last byte of each string; root: weight and estimate of each binary choice."""
+    def log_probabilities(self, root: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 probability of the last byte of each string; root, first: weight and estimate of each binary choice, without context and by the most recent byte."""
         q, anc = self.leaf, np.arange(len(self.leaf))
         for place, w, estimate in self.up:
             anc = place[anc]
             q = w[anc] * estimate[anc] + (1 - w[anc]) * q
-        z = (self.top[0] & U(0xFF)).astype(int)[anc]
+        z = _above(self.top[0]).astype(int)[anc]
+        q = first[0][z] * first[1][z] + (1 - first[0][z]) * q
+        z &= 0xFF
         q = root[0][z] * root[1][z] + (1 - root[0][z]) * q
         q = q[self.at]
         return np.log10(np.where(self.bits, q, 1 - q)).reshape(8, -1).sum(axis=0)
@@ -190,7 +203,8 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = _collected(batches)
     if trees is not None:
         node, zero, one, weighted = trees.top
-        yield pa.RecordBatch.from_arrays([pa.array((node & U(0xFF)).astype("int32")), pa.array(zero), pa.array(one), pa.array(weighted)], names=["z", "zero", "one", "weighted"])
+        z, at = np.unique(_above(node), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(z.astype("int32")), *[pa.array(np.bincount(at, weights=x, minlength=len(z))) for x in (zero, one, weighted)]], names=["z", "zero", "one", "weighted"])
 
 
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,17 +225,17 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     is_word = F.col("key").bitwiseAND(1) == 1
     train_tokens, vocabulary, strings = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count_if(is_word & (F.col("n") > 0)), F.count_if(~is_word)).first()
     tasks = max(1, -(-strings // TASK_KEYS))
-    grams = counts.filter(~is_word).repartition(tasks, F.shiftrightunsigned("key", 8 * DEPTH + 1))
-    root = np.zeros((4, 256))  # zeros, ones and weighted probability below each of 255 choices
+    grams = counts.filter(~is_word).repartition(tasks, F.shiftrightunsigned("key", 8 * (DEPTH - 1) + 1))
+    below = np.zeros((3, 1 << 16))  # zeros, ones and weighted probability below each choice after each byte
     for r in grams.mapInArrow(_roots, "z int, zero double, one double, weighted double").groupBy("z").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("weighted")).collect():
-        root[:3, r.z] = r.zero, r.one, r.weighted
-    own = kt(root[0], root[1])
-    given = np.exp(own - np.logaddexp(own, root[2])), (root[1] + 0.5) / (root[0] + root[1] + 1)
+        below[:, r.z] = r.zero, r.one, r.weighted
+    first, weighted = _mix(*below)
+    root, _ = _mix(*(x.reshape(256, 256).sum(axis=0) for x in (below[0], below[1], weighted)))
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _collected(batches)
         if trees is not None:
-            logs = trees.log_probabilities(given)
+            logs = trees.log_probabilities(root, first)
             for lo in range(0, len(logs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(trees.keys[lo : lo + 200_000].view("int64")), pa.array(logs[lo : lo + 200_000])], names=["key", "value"])
 
