@@ -44,3 +44,39 @@ def test_schemas():
     assert chat.problems({"n": 1.5, "t": 1, "l": ["x"]}, s) == []
     assert len(chat.problems({"n": 0, "t": True, "l": ["x", 2]}, s)) == 4
     assert chat.problems(True, {"type": "integer"}) and not chat.problems(2.0, {"type": "integer"})
+
+
+def test_schema_keywords():
+    cases = [
+        ({"$ref": "#/$defs/n", "$defs": {"n": {"type": "integer"}}}, 1, "x"),
+        ({"properties": {"k": {"$ref": "#"}}, "additionalProperties": False}, {"k": {"k": {}}}, {"k": {"z": 1}}),
+        ({"anyOf": [{"type": "null"}, {"type": "string"}]}, None, 1),
+        ({"oneOf": [{"minimum": 1}, {"maximum": 5}]}, 0, 3),
+        ({"allOf": [{"minimum": 1}, {"maximum": 5}]}, 3, 6),
+        ({"not": {"type": "string"}}, 1, "x"),
+        ({"if": {"minimum": 5}, "then": {"multipleOf": 5}, "else": {"multipleOf": 2}}, 10, 3),
+        ({"pattern": "^\\d+$"}, "12", "12\n"),
+        ({"exclusiveMinimum": 1}, 2, 1),
+        ({"exclusiveMaximum": 1}, 0, 1),
+        ({"minimum": 1, "exclusiveMinimum": True}, 2, 1),
+        ({"multipleOf": 0.1}, 0.3, 0.35),
+        ({"uniqueItems": True}, [1, True, "1"], [1, 1.0]),
+        ({"prefixItems": [{"type": "string"}], "items": False}, ["x"], ["x", 1]),
+        ({"items": [{"type": "string"}], "additionalItems": False}, ["x"], ["x", 1]),
+        ({"contains": {"const": 1}, "maxContains": 1}, [1, 2], [1, 1]),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, {"x1": 1}, {"y": 1}),
+        ({"propertyNames": {"maxLength": 1}}, {"a": 1}, {"ab": 1}),
+        ({"dependentRequired": {"a": ["b"]}}, {"a": 1, "b": 1}, {"a": 1}),
+        ({"const": 1}, 1.0, True),
+    ]
+    for schema, good, bad in cases:
+        assert chat.checked(good, schema) == [] and chat.checked(bad, schema), schema
+
+
+def test_what_is_not_checked_is_not_valid(corpus):
+    for schema in ({"$ref": "http://x/y"}, {"$ref": "#"}, {"$ref": "#/none"}, {"unevaluatedProperties": False}, {"pattern": "\\p{L}"}, {"minimum": "x"}):
+        assert chat.checked({"a": 1} if "minimum" not in schema else 1, schema if "pattern" not in schema else {"propertyNames": schema}) is None
+    tools = json.dumps({"tools": [{"name": "f", "parameters": {"unevaluatedProperties": False}}, {"name": "g", "parameters": {"anyOf": [{"required": ["a"]}]}}]})
+    rows = [(1, 0, "system", tools, "x"), (1, 1, "assistant", call(("a", "f", {}, []), ("b", "g", {}, []), ("c", "g", {"a": 1}, [])), "x")]
+    r = chat.format_chats(corpus(rows, "conversations", SCHEMA)).filter("turn = 1").first()
+    assert (r.n_calls, r.n_valid, r.n_invalid) == (3, 1, 1)

@@ -19,13 +19,18 @@ gathered in one task.
 
 Defined results: a null text is null content; a null role is ``user``; malformed
 JSON, or a malformed part of such an object, makes the message plain; a result
-without a call is kept, not linked; repeated rows are messages of their own.
+without a call is kept, not linked; a call whose tool is not declared, or whose
+schema cannot be checked in full, counts neither as valid nor as invalid; repeated rows are messages of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,45 +97,169 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, ()))
 
 
-def problems(value, schema, at: str = "$") -> list[str]:
-    """Where ``value`` breaks ``schema``: type, enum, const, properties, required, additionalProperties, items and bounds."""
+class Unchecked(Exception):
+    """The schema asks for something that is not checked here."""
+
+
+#: Keywords that decide validity and are not checked; ``format`` and the like are notes, as JSON Schema has them by default.
+UNCHECKED = ("$dynamicRef", "$recursiveRef", "unevaluatedProperties", "unevaluatedItems", "nullable", "extends", "disallow", "divisibleBy")
+
+
+def _same(value) -> str:
+    """Canonical text in which equal numbers are equal and true is not 1."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [plain(v) for v in x]
+        return int(x) if isinstance(x, float) and x.is_integer() else x
+
+    return canonical(plain(value))
+
+
+_CLASSES = {"d": "0-9", "w": "A-Za-z0-9_"}
+
+
+@functools.lru_cache(1000)
+def _pattern(source: str) -> re.Pattern:
+    """An ECMA pattern for Python; what differs and is not translated is not checked."""
+    out, inside, i = [], False, 0
+    while i < len(source):
+        c, two = source[i], source[i : i + 2]
+        if c == "\\":
+            x = source[i + 1 : i + 2]
+            if x in _CLASSES:
+                two = _CLASSES[x] if inside else f"[{_CLASSES[x]}]"
+            elif x in ("D", "W") and not inside:
+                two = f"[^{_CLASSES[x.lower()]}]"
+            elif x.isalpha() and x not in "sStnrfvxu" and (inside or x not in "bB"):
+                raise Unchecked(source)
+            out.append(two)
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+            out.append("\\[" if c == "[" else c)
+        elif c == "[":
+            inside = True
+            if re.match(r"\[\^?\]", source[i:]):
+                raise Unchecked(source)
+            out.append(c)
+        elif two == "(?" and not re.match(r"\(\?(:|=|!|<=|<!|<[A-Za-z_])", source[i:]):
+            raise Unchecked(source)
+        elif re.match(r"\(\?<[A-Za-z_]", source[i:]):
+            out.append("(?P<")
+            i += 3
+            continue
+        else:
+            out.append(r"\Z" if c == "$" else c)
+        i += 1
+    return re.compile("".join(out))
+
+
+def _target(ref: str, root):
+    """The part of the schema that ``#`` or ``#/a/b`` names."""
+    if ref != "#" and not ref.startswith("#/"):
+        raise Unchecked(ref)
+    found = root
+    for step in ref.split("/")[1:]:
+        step = unquote(step).replace("~1", "/").replace("~0", "~")
+        found = found[int(step)] if isinstance(found, list) else found[step]
+    return found
+
+
+def problems(value, schema, at: str = "$", root=None) -> list[str]:
+    """Where ``value`` breaks ``schema``; raises Unchecked where that depends on a keyword of ``UNCHECKED``."""
     if schema is True or not isinstance(schema, dict):
         return [] if schema is not False else [f"{at}: nothing is allowed"]
+    root = schema if root is None else root
     out = []
+    found = [k for k in UNCHECKED if k in schema]
+    if found or "$id" in schema and schema is not root:
+        raise Unchecked(found)
+    below = lambda v, s, where=at: problems(v, s, where, root)
+    fits = lambda s, v=value: not below(v, s)
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
+    if "$ref" in schema:
+        out += below(value, _target(schema["$ref"], root))
+    if "enum" in schema and _same(value) not in map(_same, schema["enum"]):
         out.append(f"{at}: enum")
-    if "const" in schema and canonical(value) != canonical(schema["const"]):
+    if "const" in schema and _same(value) != _same(schema["const"]):
         out.append(f"{at}: const")
+    for s in schema.get("allOf", ()):
+        out += below(value, s)
+    if "anyOf" in schema and not any(map(fits, schema["anyOf"])):
+        out.append(f"{at}: anyOf")
+    if "oneOf" in schema and sum(map(fits, schema["oneOf"])) != 1:
+        out.append(f"{at}: oneOf")
+    if "not" in schema and fits(schema["not"]):
+        out.append(f"{at}: not")
+    if "if" in schema:
+        out += below(value, schema.get("then" if fits(schema["if"]) else "else", True))
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
+        known, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
         out += [f"{at}.{k}: required" for k in schema.get("required") or [] if k not in value]
         for k, v in value.items():
-            if k in known:
-                out += problems(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            own = [known[k]] if k in known else []
+            own += [s for p, s in patterns.items() if _pattern(p).search(k)]
+            for s in own:
+                out += below(v, s, f"{at}.{k}")
+            if not own and schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: not allowed")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                out += problems(v, schema["additionalProperties"], f"{at}.{k}")
-    if isinstance(value, list) and "items" in schema:
+            elif not own and "additionalProperties" in schema:
+                out += below(v, schema["additionalProperties"], f"{at}.{k}")
+            if "propertyNames" in schema:
+                out += below(k, schema["propertyNames"], f"{at}.{k}")
+        for word in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for k, s in (schema.get(word) or {}).items():
+                if k in value and isinstance(s, list):
+                    out += [f"{at}.{x}: required" for x in s if x not in value]
+                elif k in value:
+                    out += below(value, s)
+    if isinstance(value, list):
+        first, rest = schema.get("prefixItems", ()), schema.get("items", True)
+        if isinstance(rest, list):  # as older drafts write prefixItems
+            first, rest = rest, schema.get("additionalItems", True)
         for i, v in enumerate(value):
-            out += problems(v, schema["items"], f"{at}[{i}]")
+            out += below(v, first[i] if i < len(first) else rest, f"{at}[{i}]")
+        if schema.get("uniqueItems") and len(set(map(_same, value))) < len(value):
+            out.append(f"{at}: uniqueItems")
+        if "contains" in schema:
+            n = sum(fits(schema["contains"], v) for v in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                out.append(f"{at}: contains")
+    if isinstance(value, str) and "pattern" in schema and not _pattern(schema["pattern"]).search(value):
+        out.append(f"{at}: pattern")
     size = len(value) if isinstance(value, (str, list, dict)) else None
     unit = {str: "Length", list: "Items", dict: "Properties"}.get(type(value))
     if _is(value, "number"):
-        out += [f"{at}: {k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        low, high = (schema.get(k) if x is True else None if x is False else x for k, x in (("minimum", low), ("maximum", high)))
+        bad = {"minimum": value < schema.get("minimum", value), "maximum": value > schema.get("maximum", value)}
+        bad |= {"exclusiveMinimum": low is not None and value <= low, "exclusiveMaximum": high is not None and value >= high}
+        bad["multipleOf"] = "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])) != 0
+        out += [f"{at}: {k}" for k, x in bad.items() if x]
     elif size is not None and (size < schema.get(f"min{unit}", size) or size > schema.get(f"max{unit}", size)):
         out.append(f"{at}: size")
     return out
 
 
+def checked(value, schema) -> list[str] | None:
+    """The problems of a call, or None where its schema is malformed, without end or not checked in full."""
+    try:
+        return problems(value, schema)
+    except (Unchecked, re.error, LookupError, TypeError, ValueError, AttributeError, ArithmeticError, RecursionError):
+        return None
+
+
 def _validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for arguments, schema in zip(batch.column("arguments").to_pylist(), batch.column("schema").to_pylist()):
-            found.append(None if schema is None else problems(json.loads(arguments), json.loads(schema)))
+            found.append(None if schema is None else checked(json.loads(arguments), json.loads(schema)))
         keep = [c for c in batch.schema.names if c not in ("arguments", "schema")]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.string()))], names=[*keep, "problems"])
 
