@@ -38,3 +38,11 @@ def test_entry_registers_what_is_there():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_graph_checks_cover_every_trajectory(spark):
+    every = {r.trajectory_id for r in catalog._steps(spark, DATA).select("trajectory_id").distinct().collect()}
+    rows = catalog.QUERIES["dag_checks_all_steps"](spark, DATA).collect()
+    assert {r.trajectory_id for r in rows} == every
+    assert {(r.check, r.ok) for r in rows} >= {(c, x) for c in ("no_dangling_parents", "has_root_step") for x in (True, False)}

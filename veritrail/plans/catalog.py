@@ -361,6 +361,30 @@ def dag_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.dag_checks(_broken(spark, sf_dir).withColumn("audit", F.col("trajectory_id")), "audit").withColumnRenamed("audit", "trajectory_id")
 
 
+def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps, some with a parent that does not exist, in place of their own or as first steps."""
+    lost = F.when((F.size("parent_step_ids") > 0) & (F.col("event_id") % 11 == 0), F.concat(F.lit("lost-"), F.get("parent_step_ids", F.lit(0)))).when((F.size("parent_step_ids") == 0) & (F.col("event_id") % 13 == 0), F.concat(F.lit("lost-"), "receipt_id"))
+    steps = _steps(spark, sf_dir)
+    return materialize(steps.withColumn("parent_step_ids", F.when(lost.isNotNull(), F.array(lost)).otherwise(F.col("parent_step_ids"))), "steps")
+
+
+_REWRITTEN_SQL = f"""{sql.STEPS}, told AS (SELECT * REPLACE (CASE WHEN parent IS NOT NULL AND event_id % 11 = 0 THEN 'lost-' || parent WHEN parent IS NULL AND event_id % 13 = 0 THEN 'lost-' || receipt_id ELSE parent END AS parent) FROM steps)"""
+
+
+@query(f"WITH {_REWRITTEN_SQL} SELECT trajectory_id, receipt_id, parent AS parent_id FROM told k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM told p WHERE p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent)")
+def dangling_parents_all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.dangling(_rewritten(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_REWRITTEN_SQL},
+  g AS (SELECT k.trajectory_id, bool_and(k.parent IS NULL OR p.receipt_id IS NOT NULL) AS whole, bool_or(k.parent IS NULL) AS root FROM told k LEFT JOIN told p ON p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent GROUP BY k.trajectory_id)
+  SELECT trajectory_id, unnest(['has_trajectory_block', 'shared_trajectory_id', 'no_dangling_parents', 'dag_acyclic', 'has_root_step']) AS "check", unnest([true, true, whole, true, root]) AS ok FROM g"""
+)
+def dag_checks_all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.dag_checks(_rewritten(spark, sf_dir).withColumn("audit", F.col("trajectory_id")), "audit").withColumnRenamed("audit", "trajectory_id")
+
+
 _ROLL_SQL = f"{_TOOL_SQL}, {sql.STEPS[len(sql.CALLS) + 1 :]}"
 
 
