@@ -1,8 +1,8 @@
-"""Repeated byte windows by a depth-limited most-significant-digit radix sort of suffixes.
+"""Repeated byte windows by minimisers and hash grouping, in place of a radix sort of suffixes.
 
-Suffixes are ordered through ``LENGTH`` bytes only; suffixes that stay equal
-are exactly the repeated windows. A pass groups suffixes by the next digit and
-drops groups of one, so each pass works on what the one before kept:
+Suffixes are never put in order: windows of ``LENGTH`` bytes are grouped by
+hashes, here called digits, and windows that stay equal are the repeated ones.
+A pass drops groups of one, so each works on what the one before kept:
 
 1. Digit one of a window is its least hashed ``GRAM``-byte string (the leftmost
    of equals) and that string's place in the window. Equal windows have equal
