@@ -3,38 +3,43 @@
 Each match of the split pattern ("piece") is encoded alone. A query holds one
 row per token and position; every round joins neighbouring tokens with the
 merge table, contracts each piece's leftmost pair of minimum rank, and stops
-when no piece has a pair left. Decoding joins ids with the vocabulary and
-aggregates bytes in order of position.
+when no piece has a pair left. The ids of a text go out as numbers and as
+text from one array, and that array is what decoding reads: ids join the
+vocabulary and the bytes are aggregated in order of position, text by text.
+
+A piece of more than ``LONG_PIECE`` bytes is first cut where no vocabulary entry
+that stands in it crosses the cut, so that no merge can; its parts are then
+encoded by the same query in a form that contracts all pairs of the minimum
+rank in a round (every second one of an overlapping run, from the left). That
+is the same result in fewer rounds where the new token is not part of a merge
+of lower rank; where it is, only the leftmost pair is contracted.
 
 Defined results: a null text is encoded as the empty text (no ids, empty
 bytes); any Unicode text round-trips; rows are independent, so repeated rows
-give repeated results; an empty table gives an empty table. A piece is encoded
-once and remembered in a two-generation cache of ``CACHE_PIECES`` entries, so
-memory is bounded and a full cache only costs time. Pieces of more than
-``LONG_PIECE`` bytes would need as many rounds as bytes; they are merged by a
-heap with the same rule (leftmost minimum rank first).
+give repeated results; an empty table gives an empty table. Pieces already
+encoded are remembered, ``CACHE_PIECES`` entries at most, so memory is bounded
+and a full cache only costs time.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import re
-from itertools import chain
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import extended, prepare, slices
+from veritrail.llm.common import extended, prepare, slices, worker_state
 
-#: Entries of one cache generation; two generations live at most.
-CACHE_PIECES = 200_000
+#: Entries of the cache of encoded strings; beyond it the cache starts anew.
+CACHE_PIECES = 300_000
 #: Pieces encoded by one recursive query.
-QUERY_PIECES = 20_000
-LONG_PIECE = 512
+QUERY_PIECES = 60_000
+LONG_PIECE = 64
 
 ENCODE_SQL = """
 WITH RECURSIVE t(w, pos, tok, done) AS (
@@ -50,7 +55,27 @@ WITH RECURSIVE t(w, pos, tok, done) AS (
    SELECT n.w, n.pos, CASE WHEN n.pos = (b & 4294967295) THEN (b >> 32)::INT ELSE tok END, b IS NULL
    FROM n LEFT JOIN best USING (w)
    WHERE b IS NULL OR pp IS NULL OR pp <> (b & 4294967295)))
-SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE done GROUP BY w
+SELECT w, tok FROM t WHERE done ORDER BY pos
+"""
+
+#: As above, with all pairs of the minimum rank contracted in one round where that is the same (``NOT alone``).
+ENCODE_LONG_SQL = """
+WITH RECURSIVE t(w, pos, tok, done) AS (
+  SELECT w, pos, tok, false FROM seed
+  UNION ALL
+  (WITH n AS (
+     SELECT w, pos, tok, lead(tok) OVER o AS nx, lead(w) OVER o AS nw, row_number() OVER o AS rn
+     FROM t WHERE NOT done WINDOW o AS (ORDER BY pos)),
+   c AS (SELECT n.w, n.rn, m.merged, m.alone FROM n JOIN merges m ON m.l = n.tok AND m.r = n.nx WHERE n.nw = n.w),
+   best AS (SELECT w, min(merged) AS b, arg_min(rn, merged::BIGINT << 32 | rn) AS leftmost FROM c GROUP BY w),
+   hit AS (SELECT c.rn, best.b, c.rn - row_number() OVER (ORDER BY c.rn) AS run
+     FROM c JOIN best ON best.w = c.w AND best.b = c.merged WHERE NOT c.alone OR c.rn = best.leftmost),
+   chosen AS (SELECT rn, b FROM (SELECT rn, b, rn - min(rn) OVER (PARTITION BY run) AS nth FROM hit) WHERE nth % 2 = 0),
+   change AS (SELECT rn, b FROM chosen UNION ALL SELECT rn + 1, NULL FROM chosen)
+   SELECT n.w, n.pos, CASE WHEN change.rn IS NULL THEN n.tok ELSE change.b END, best.b IS NULL
+   FROM n LEFT JOIN change USING (rn) LEFT JOIN best ON best.w = n.w
+   WHERE change.rn IS NULL OR change.b IS NOT NULL))
+SELECT w, tok FROM t WHERE done ORDER BY pos
 """
 
 DECODE_SQL = """
@@ -58,12 +83,6 @@ SELECT w, string_agg(hex, '' ORDER BY pos) AS hex
 FROM ids JOIN vocab USING (tok) GROUP BY w
 """
 
-#: White space that a single space does not end: units may not be cut there.
-_WIDE_SPACE = re.compile(r" \s|\s |\A\s|\s\Z")
-
-_loaded: dict[bytes, "Coder"] = {}
-
-
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     """Ranks by token bytes from a file with one base64 token and its rank a line."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
@@ -77,129 +96,110 @@ class Coder:
         import regex
 
         self.ranks = read_ranks(raw)
-        self.bytes = {r: b for b, r in self.ranks.items()}
+        self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], "int32")
         merges = [(l, r, rank) for b, rank in self.ranks.items() for i in range(1, len(b)) if (l := self.ranks.get(b[:i])) is not None and (r := self.ranks.get(b[i:])) is not None]
+        falling = {x for l, r, m in merges for x in (l, r) if m < x}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         columns = list(zip(*merges)) or [(), (), ()]
-        self._table("merges", {k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "merged"), columns)})
-        self._table("vocab", {"tok": pa.array(list(self.bytes), pa.int32()), "hex": pa.array([b.hex() for b in self.bytes.values()])})
-        self.new: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        alone = pa.array([m in falling for m in columns[2]], pa.bool_())
+        self._table("merges", {k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "merged"), columns)} | {"alone": alone})
+        self._table("vocab", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([b.hex() for b in self.ranks])})
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache: the place of each known string, and the ids at each place."""
+        self.known: dict[str, int] = {}
+        self.flat, self.start = np.zeros(0, "int32"), np.zeros(1, "int64")
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _rows(self, sql: str, name: str, columns: dict) -> dict[int, object]:
+    def _rows(self, sql: str, name: str, columns: dict) -> pa.Table:
         self.con.register(name, pa.table(columns))
         try:
-            return dict(self.con.execute(sql).fetchall())
+            return self.con.sql(sql).to_arrow_table()
         finally:
             self.con.unregister(name)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; the recursive query for all that are not single tokens."""
-        out: list[list[int] | None] = [[i] if (i := self.ranks.get(p)) is not None else None for p in pieces]
-        todo = [i for i, ids in enumerate(out) if ids is None and pieces[i]]
-        for i in todo:
-            if len(pieces[i]) > LONG_PIECE:
-                out[i] = self._merge_long(pieces[i])
-        todo = [i for i in todo if out[i] is None]
-        for at in range(0, len(todo), QUERY_PIECES):
-            part = todo[at : at + QUERY_PIECES]
-            raw = np.frombuffer(b"".join(pieces[i] for i in part), "uint8")
-            w = np.repeat(np.arange(len(part), dtype="int32"), [len(pieces[i]) for i in part])
-            got = self._rows(ENCODE_SQL, "seed", {"w": w, "pos": np.arange(len(raw), dtype="int32"), "tok": self.of_byte[raw]})
-            for k, ids in got.items():
-                out[part[k]] = ids
-        return [x or [] for x in out]
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same contraction by a heap of (rank, position), for pieces too long for one round a merge."""
-        n, rank = len(piece), self.ranks
-        nxt, prv, part = list(range(1, n + 1)), list(range(-1, n - 1)), [piece[i : i + 1] for i in range(n)]
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if j >= n or part[i] != a or part[j] != b or not a:
-                continue
-            part[i], part[j], nxt[i] = a + b, b"", nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y < n and (q := rank.get(part[x] + part[y])) is not None:
-                    heapq.heappush(heap, (q, x, part[x], part[y]))
-        return [rank[p] for p in part if p]
-
-    def decode_ids(self, rows: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids, by a join with the vocabulary and an ordered aggregate."""
-        flat = np.fromiter(chain.from_iterable(rows), "int32")
-        w = np.repeat(np.arange(len(rows), dtype="int32"), [len(ids) for ids in rows])
-        got = self._rows(DECODE_SQL, "ids", {"w": w, "pos": np.arange(len(flat), dtype="int64"), "tok": flat})
-        return [bytes.fromhex(got.get(i, "")) for i in range(len(rows))]
+    def _cut(self, piece: bytes) -> list[bytes]:
+        """The parts of a piece between places that no vocabulary entry crosses."""
+        crossed = np.zeros(len(piece) + 1, "int32")
+        for n in range(2, min(self.longest, len(piece)) + 1):
+            at = [i for i in range(len(piece) - n + 1) if piece[i : i + n] in self.ranks]
+            np.add.at(crossed, np.array(at, "int64") + 1, 1)
+            np.add.at(crossed, np.array(at, "int64") + n, -1)
+        ends = [0, *(np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _contract(self, sql: str, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and their number in each."""
+        flat, sizes = [np.zeros(0, "int32")], [np.zeros(0, "int64")]
+        for at in range(0, len(parts), QUERY_PIECES):
+            part = parts[at : at + QUERY_PIECES]
+            raw = np.frombuffer(b"".join(part), "uint8")
+            w = np.repeat(np.arange(len(part), dtype="int32"), [len(p) for p in part])
+            got = self._rows(sql, "seed", {"w": w, "pos": np.arange(len(raw), dtype="int32"), "tok": self.of_byte[raw]})
+            flat.append(got.column("tok").to_numpy())
+            sizes.append(np.bincount(got.column("w").to_numpy(), minlength=len(part)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.new) + len(pieces) > CACHE_PIECES:
-            self.old, self.new = self.new, {}
-        for at in range(0, len(pieces), QUERY_PIECES):
-            part = pieces[at : at + QUERY_PIECES]
-            ids = self.encode_pieces([p.encode() for p in part])
-            for p, i, b in zip(part, ids, self.decode_ids(ids)):
-                self.new[p] = (",".join(map(str, i)), len(i), b)
-
-    def _split(self, text: str) -> list[str]:
-        """Pieces of ``text``; units between single spaces are cut out first, as the pattern never joins them."""
-        if not text:
-            return []
-        if _WIDE_SPACE.search(text):
-            return [text]
-        units = text.split(" ")
-        return [units[0], *[f" {u}" for u in units[1:]]]
+        """Encode distinct pieces into the cache; a recursive query for all that are not single tokens."""
+        raw = [p.encode() for p in pieces]
+        found = list(map(self.ranks.get, raw))
+        whole = [i for i, r in enumerate(found) if r is not None]
+        self._remember([pieces[i] for i in whole], np.array([found[i] for i in whole], "int32"), np.ones(len(whole), "int64"))
+        short = [i for i, r in enumerate(found) if r is None and len(raw[i]) <= LONG_PIECE]
+        self._remember([pieces[i] for i in short], *self._contract(ENCODE_SQL, [raw[i] for i in short]))
+        long = [i for i, r in enumerate(found) if r is None and len(raw[i]) > LONG_PIECE]
+        parts = [self._cut(raw[i]) for i in long]
+        flat, sizes = self._contract(ENCODE_LONG_SQL, [p for ps in parts for p in ps])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parts)])]
+        self._remember([pieces[i] for i in long], flat, np.diff(ends))
+
+    def decode_ids(self, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Bytes of each list of ids (``flat``, one after the other), by a join with the vocabulary and an ordered aggregate."""
+        w = np.repeat(np.arange(len(lengths), dtype="int32"), lengths)
+        got = self._rows(DECODE_SQL, "ids", {"w": w, "pos": np.arange(len(flat), dtype="int64"), "tok": flat})
+        out = [b""] * len(lengths)
+        for k, h in zip(got.column("w").to_pylist(), got.column("hex").to_pylist()):
+            out[k] = bytes.fromhex(h)
+        return out
+
+    def _remember(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.start) - 1
+        self.known.update(zip(strings, range(first, first + len(strings))))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat.astype("int32")])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and their number in each."""
+        found = list(map(self.pattern.findall, texts))
+        pieces = pa.array(chain.from_iterable(found), pa.string(), size=sum(map(len, found))).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        self._learn([p for p in distinct if p not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, distinct), "int64", len(distinct))[pieces.indices.to_numpy()]
+        first = self.start[at]
+        size = self.start[at + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        return flat, np.diff(ends[np.cumsum([0, *map(len, found)])])
 
     def code(self, texts: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         """Ids as text, number of ids and decoded bytes of each text."""
-        units = [self._split(t) for t in texts]
-        seen = set().union(*units) if units else set()
-        find = self.pattern.findall
-        known: dict[str, tuple[str, int, bytes]] = {}
-        parts: dict[str, list[str]] = {}
-        lost = set()
-        new, old = self.new, self.old
-        for u in seen:
-            got = new.get(u) or old.get(u)
-            if got is not None:
-                known[u] = new[u] = got
-            else:
-                parts[u] = find(u)
-                lost.update(parts[u])
-        pieces: dict[str, tuple[str, int, bytes]] = {}
-        todo = []
-        for p in lost:
-            got = new.get(p) or old.get(p)
-            if got is None:
-                todo.append(p)
-            else:
-                pieces[p] = new[p] = got
-        self._learn(todo)
-        for p in todo:
-            pieces[p] = self.new[p]
-        for u, ps in parts.items():
-            got = [pieces[p] for p in ps]
-            known[u] = (",".join(g[0] for g in got), sum(g[1] for g in got), b"".join(g[2] for g in got))
-        rows = [[known[u] for u in us] for us in units]
-        return [",".join([g[0] for g in r]) for r in rows], [sum([g[1] for g in r]) for r in rows], [b"".join([g[2] for g in r]) for r in rows]
+        flat, n = self.encode(texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat).cast(pa.string()))
+        return pc.binary_join(lists, ",").to_pylist(), n.tolist(), self.decode_ids(flat, n)
 
 
 def coder(raw: bytes, pattern: str) -> Coder:
-    key = raw[:64] + len(raw).to_bytes(8, "big") + pattern.encode()
-    if key not in _loaded:
-        _loaded[key] = Coder(raw, pattern)
-    return _loaded[key]
+    return worker_state("bpe", (hash(raw), pattern), lambda: Coder(raw, pattern))
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
@@ -240,7 +240,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(raw.value, r"(?s:.+)")
         for part in batches:
-            b = c.decode_ids([x or [] for x in part.column(ids).to_pylist()])
+            rows = [x or [] for x in part.column(ids).to_pylist()]
+            b = c.decode_ids(np.array([i for x in rows for i in x], "int32"), np.array([len(x) for x in rows], "int64"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(b, pa.binary())], names=[*part.schema.names, decoded])
 
     return df.mapInArrow(run, extended(df, **{decoded: "binary"}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import logging
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -61,12 +61,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_state: dict = {}
+
+
+def worker_state(kind: str, key, build: Callable):
+    """What ``build`` makes, kept in this process for the next task; a worker holds the state of one operator at a time."""
+    if _state.get("key") != (kind, key):
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _state.update(key=(kind, key), value=build())
+    return _state["value"]
+
+
 def bucket_of_id(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as empty text."""
     value = (F.col(col) if isinstance(col, str) else col).cast("string")
     return F.pmod(F.crc32(F.coalesce(value, F.lit("")).cast("binary")), F.lit(n))
 
 
+def hash_below(col: str, part: int, whole: int) -> Column:
+    """Whether a row is among the share ``part`` of ``whole`` with the least hashes of ``col``."""
+    return F.pmod(F.xxhash64(col), F.lit(1 << 62)) < F.lit((1 << 62) * part // whole)
+
+
 def bucket_of_id_py(value, n: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % n
 
