@@ -115,7 +115,7 @@ def test_lines_against_sql(corpus, odd, none):
     rows = [(i, "\n".join(rng.choice([*pool, "", " ", f"own line number {i} {k} of this text"]) for k in range(rng.randint(0, 14))), "", "", 0) for i in range(60)]
     df = corpus(rows)
     out = lines.dedup_lines(df.withColumnRenamed("source", "gone"))
-    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.k) for r in out.withColumn("k", F.sha2(F.col("text").cast("binary"), 256)).collect())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.k) for r in out.withColumn("k", F.sha2(F.col("text").cast("binary"), 256)).collect())
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
@@ -126,6 +126,13 @@ def test_lines_against_sql(corpus, odd, none):
     assert by[1][0].text is None and by[2][0].text == "" and by[3][0].text == " \n\t "
     assert by[5][0].text == "same words here\nsame words here\nsame words here".rsplit("\n", 1)[0] or by[5][0].n_removed >= 1
     assert all(r.n_removed == 3 for r in by[6])
+    # The suffix at each place, compared with all others.
+    split = [[x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)] for _, t, *_ in rows]
+    tails = [(d, k, ls[k:]) for d, ls in enumerate(split) for k in range(len(ls))]
+    same = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    reach = {(d, k): max(same(t, u) for e, j, u in tails if (e, j) != (d, k)) for d, k, t in tails}
+    want = {rows[d][0]: (sum(n > 0 and reach.get((d, k - 1), 0) <= n for (e, k), n in reach.items() if e == d), max([n for (e, _), n in reach.items() if e == d], default=0)) for d in range(len(rows))}
+    assert {r[0]: (r[3], r[4]) for r in got} == want
     assert lines.dedup_lines(none).count() == 0
 
 

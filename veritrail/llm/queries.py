@@ -85,7 +85,7 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.dedup_lines(docs)
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLES["op2_line_runs"] = lines.ORACLE
