@@ -24,6 +24,7 @@ and a full cache only costs time.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,9 +37,13 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import extended, prepare, slices, worker_state
 
 #: Entries of the cache of encoded strings; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Pieces encoded by one recursive query.
-QUERY_PIECES = 60_000
+QUERY_PIECES = 20_000
+#: Bytes of text that a worker works on at once.
+SLICE = 2 << 20
+#: What a worker's database may hold.
+WORKER_MEMORY = "120MB"
 LONG_PIECE = 64
 
 ENCODE_SQL = """
@@ -99,13 +104,16 @@ class Coder:
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], "int32")
-        merges = [(l, r, rank) for b, rank in self.ranks.items() for i in range(1, len(b)) if (l := self.ranks.get(b[:i])) is not None and (r := self.ranks.get(b[i:])) is not None]
-        falling = {x for l, r, m in merges for x in (l, r) if m < x}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        columns = list(zip(*merges)) or [(), (), ()]
-        alone = pa.array([m in falling for m in columns[2]], pa.bool_())
-        self._table("merges", {k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "merged"), columns)} | {"alone": alone})
-        self._table("vocab", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([b.hex() for b in self.ranks])})
+        merges = array("i")
+        for b, rank in self.ranks.items():
+            for i in range(1, len(b)):
+                if (l := self.ranks.get(b[:i])) is not None and (r := self.ranks.get(b[i:])) is not None:
+                    merges.extend((l, r, rank))
+        l, r, merged = np.frombuffer(merges, "int32").reshape(-1, 3).T if merges else np.zeros((3, 0), "int32")
+        falling = np.concatenate([l[merged < l], r[merged < r]])
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": WORKER_MEMORY, "allocator_flush_threshold": "1MB"})
+        self._table("merges", {"l": l.copy(), "r": r.copy(), "merged": merged.copy(), "alone": np.isin(merged, falling)})
+        self._table("vocab", {"tok": np.fromiter(self.ranks.values(), "int32"), "hex": [b.hex() for b in self.ranks]})
         self._forget()
 
     def _forget(self) -> None:
@@ -217,7 +225,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(raw.value, pattern)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             a, n, b = c.code([t or "" for t in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a, pa.string()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], names=[*part.schema.names, ids, count, decoded])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import logging
 import zlib
@@ -61,6 +63,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that nothing uses back to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _state: dict = {}
 
 
@@ -68,8 +78,7 @@ def worker_state(kind: str, key, build: Callable):
     """What ``build`` makes, kept in this process for the next task; a worker holds the state of one operator at a time."""
     if _state.get("key") != (kind, key):
         _state.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
         _state.update(key=(kind, key), value=build())
     return _state["value"]
 
