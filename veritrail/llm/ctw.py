@@ -12,8 +12,8 @@ before the text's start are a symbol of their own.
 
 The corpus is dealt into chunks of about ``CHUNK_BYTES`` of text. A chunk reports
 its distinct byte strings of DEPTH + 1 and distinct words with training counts;
-the counts are summed per key, trees are built per two most recent context bytes
-from distinct strings, and each chunk gets back the values of its own keys. So
+strings are dealt by the two most recent context bytes to tasks that sum their
+counts, build their trees and send each chunk the values of its own keys. So
 nothing that grows with the corpus is broadcast or collected: the driver sees
 at most 256 * 255 statistics of contexts of one byte.
 
@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import bucket_of_id, prepare, release, stable_rows
-from veritrail.runtime import materialize
+from veritrail.runtime import discard, materialize
 
 DEPTH = 6  # a byte string and the mark of its kind have room in 64 bits up to this depth
 CHUNK_BYTES = 24 << 20
-#: Distinct byte strings of one training task, on average.
+#: Reported byte strings of one training task, on average.
 TASK_KEYS = 400_000
 HELD_MOD, HELD = 7, 2
 #: Symbols that no UTF-8 text has: before the start, and the end.
@@ -51,6 +51,8 @@ END_TOKEN = -1
 
 U = np.uint64
 _TILE = 2 << 20
+#: Keys are written sorted, so that their differences are small.
+_PACKED = {"parquet.writer.version": "v2", "compression": "zstd"}
 
 
 def _word_key(w: bytes) -> int:
@@ -112,7 +114,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [END_TOKEN if w is None else _word_key(w) for w in counts] + [_word_key(w) for w in others - counts.keys()]
         ns = list(counts.values()) + [0] * (len(keys) - len(counts))
         k = np.concatenate([u.view("int64"), np.array(keys, "int64")])
-        v = np.concatenate([n, np.array(ns, "int64")])
+        order = np.argsort(k)
+        k, v = k[order], np.concatenate([n, np.array(ns, "int64")])[order]
         for lo in range(0, len(k), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[lo : lo + 200_000]), c, "int32")), pa.array(k[lo : lo + 200_000]), pa.array(v[lo : lo + 200_000])], names=["chunk", "key", "n"])
 
@@ -189,20 +192,23 @@ class Trees:
         return np.log10(np.where(self.bits, q, 1 - q)).reshape(8, -1).sum(axis=0)
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> Trees | None:
-    parts = [(b.column("key").to_numpy().view(U), b.column("n").to_numpy()) for b in batches if b.num_rows]
+def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The trees of one task, and chunk, key and place among the distinct strings of each of its rows, in order of key."""
+    parts = [tuple(b.column(c).to_numpy() for c in ("chunk", "key", "n")) for b in batches if b.num_rows]
     if not parts:
         return None
-    keys = np.concatenate([p[0] for p in parts])
-    trees = Trees(keys, np.concatenate([p[1] for p in parts]))
-    trees.keys = keys
-    return trees
+    chunk, key, n = map(np.concatenate, zip(*parts))
+    order = np.argsort(key)
+    chunk, key = chunk[order], key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    place = np.cumsum(new) - 1
+    return Trees(key[new].view(U), np.bincount(place, weights=n[order])), chunk, key, place
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees = _collected(batches)
-    if trees is not None:
-        node, zero, one, weighted = trees.top
+    found = _collected(batches)
+    if found is not None:
+        node, zero, one, weighted = found[0].top
         z, at = np.unique(_above(node), return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(z.astype("int32")), *[pa.array(np.bincount(at, weights=x, minlength=len(z))) for x in (zero, one, weighted)]], names=["z", "zero", "one", "weighted"])
 
@@ -218,31 +224,35 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // CHUNK_BYTES))
     docs = df.select(*keep, "text", F.col("_held").alias("held"), F.pmod(F.xxhash64("_rid"), F.lit(n_chunks)).cast("int").alias("chunk"))
-    seen = materialize(docs.select("chunk", "held", "text").repartition(n_chunks, "chunk").mapInArrow(_report, "chunk int, key long, n long"), "chunk-keys")
-    release(spark)
-    counts = materialize(seen.groupBy("key").agg(F.sum("n").alias("n")), "key-counts")
+    seen = materialize(docs.select("chunk", "held", "text").repartition(n_chunks, "chunk").mapInArrow(_report, "chunk int, key long, n long"), "chunk-keys", **_PACKED)
     release(spark)
     is_word = F.col("key").bitwiseAND(1) == 1
-    train_tokens, vocabulary, strings = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count_if(is_word & (F.col("n") > 0)), F.count_if(~is_word)).first()
-    tasks = max(1, -(-strings // TASK_KEYS))
-    grams = counts.filter(~is_word).repartition(tasks, F.shiftrightunsigned("key", 8 * (DEPTH - 1) + 1))
+    words = materialize(seen.filter(is_word).groupBy("key").agg(F.sum("n").alias("n")), "word-counts", **_PACKED)
+    train_tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    tasks = max(1, -(-seen.filter(~is_word).count() // TASK_KEYS))
+    grams = seen.filter(~is_word).repartition(tasks, F.shiftrightunsigned("key", 8 * (DEPTH - 1) + 1))
     below = np.zeros((3, 1 << 16))  # zeros, ones and weighted probability below each choice after each byte
     for r in grams.mapInArrow(_roots, "z int, zero double, one double, weighted double").groupBy("z").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("weighted")).collect():
         below[:, r.z] = r.zero, r.one, r.weighted
     first, weighted = _mix(*below)
     root, _ = _mix(*(x.reshape(256, 256).sum(axis=0) for x in (below[0], below[1], weighted)))
 
+    release(spark)
+
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = _collected(batches)
-        if trees is not None:
-            logs = trees.log_probabilities(root, first)
-            for lo in range(0, len(logs), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(trees.keys[lo : lo + 200_000].view("int64")), pa.array(logs[lo : lo + 200_000])], names=["key", "value"])
-
-    known = grams.mapInArrow(values, "key long, value double").unionByName(counts.filter(is_word).select("key", F.log10(F.col("n") + 1.0).alias("value")))
-    known = materialize(known, "key-values")
+        found = _collected(batches)
+        if found is not None:
+            trees, chunk, key, place = found
+            logs = trees.log_probabilities(root, first)[place]
+            for lo in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in (chunk, key, logs)], names=["chunk", "key", "value"])
+
+    known = grams.mapInArrow(values, "chunk int, key long, value double")
+    known = known.unionByName(seen.filter(is_word).select("chunk", "key").join(words, "key").select("chunk", "key", F.log10(F.col("n") + 1.0).alias("value")))
+    answers = materialize(known, "answers", **_PACKED)
+    discard(seen)
+    discard(words)
     release(spark)
-    answers = seen.select("chunk", "key").join(known, "key").select("chunk", "key", "value")
     denominator = math.log10(train_tokens + vocabulary + 1)
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
