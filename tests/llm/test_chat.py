@@ -35,6 +35,19 @@ def test_linking_order_and_validation(corpus):
     assert by[(None, None)].message == '{"content":"{bad","role":"user"}' and by[(2, 4)].message == '{"content":null,"role":"user"}'
 
 
+def test_any_json(corpus):
+    tools = json.dumps({"tools": [{"name": n, "parameters": p} for n, p in (("a", {"required": 5}), ("b", {"minimum": "x"}), ("c", {"enum": 4}), ("d", {"type": 5}), ("e", {"properties": [1]}), ("f", {"maxLength": "3"}), ("g", [1]), ("h", {"properties": {"\ud800": False}}))]})
+    texts = [tools, call(*[(n, n, x, []) for n, x in zip("abcdefgh", ({}, 1, 1, 1, {"k": 1}, '"long"', 1, {"\ud800": 1}))]), '{"tool_call_id":"a","content":"\\ud800"}', '{"tool_call_id":"a","content":1e999}', '{"tool_call_id":"\\ud800"}', '{"tools":5}', '{"tool_calls":[1]}', "{" * 5000, '{"tool_calls":null}']
+    rows = [(c, i, "tool", t, "x") for c in (1, None) for i, t in enumerate(texts)]
+    out = chat.format_chats(corpus(rows, "conversations", SCHEMA)).collect()
+    assert len(out) == len(rows)
+    by = {r.turn: r for r in out if r.conv_id == 1}
+    assert (by[1].n_calls, by[1].n_valid, by[1].n_invalid) == (8, 0, 1)
+    assert by[2].linked and by[2].message == '{"content":"\\ud800","name":"a","role":"tool","tool_call_id":"a"}'
+    assert [by[i].kind for i in range(3, 9)] == ["plain"] * 6
+    assert not any(r.linked or r.n_valid or r.n_invalid for r in out if r.conv_id is None)
+
+
 def test_empty(corpus):
     assert chat.format_chats(corpus([], "conversations", SCHEMA)).count() == 0
 

@@ -18,7 +18,9 @@ marked. One row per message goes out, so a conversation of any length is never
 gathered in one task.
 
 Defined results: a null text is null content; a null role is ``user``; malformed
-JSON, or a malformed part of such an object, makes the message plain; a result
+JSON (numbers beyond a double too), or a malformed part of such an object, makes
+the message plain; rows without conv_id never link; half a surrogate pair is
+written as an escape; a result
 without a call is kept, not linked; a call whose tool is not declared, or whose
 schema cannot be checked in full, counts neither as valid nor as invalid; repeated rows are messages of their own.
 """
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -43,7 +46,9 @@ _PARSED = "kind string, calls array<struct<id:string,name:string,arguments:strin
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    """Sorted keys, no white space; half a surrogate pair stays an escape, as it is no character."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _strict(pairs):
@@ -57,8 +62,20 @@ def _no_constant(name):
     raise ValueError(name)
 
 
+def _finite(text):
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(text)
+    return x
+
+
+def _text(value) -> str:
+    """An identifier or name; one with half a surrogate pair is malformed."""
+    return str(value).encode().decode()
+
+
 def loads(text: str):
-    return json.loads(text, object_pairs_hook=_strict, parse_constant=_no_constant)
+    return json.loads(text, object_pairs_hook=_strict, parse_constant=_no_constant, parse_float=_finite)
 
 
 def parse(text: str | None) -> tuple:
@@ -69,7 +86,7 @@ def parse(text: str | None) -> tuple:
     try:
         value = loads(text)
         if "tools" in value:
-            tools = [{"name": str(t["name"]), "schema": canonical(t.get("parameters") or {})} for t in value["tools"]]
+            tools = [{"name": _text(t["name"]), "schema": canonical(t.get("parameters") or {})} for t in value["tools"]]
             return "tools", [], None, tools, canonical(value)
         if "tool_calls" in value:
             calls = []
@@ -77,10 +94,10 @@ def parse(text: str | None) -> tuple:
                 f = c.get("function") or c
                 arguments = f.get("arguments", {})
                 arguments = loads(arguments) if isinstance(arguments, str) else arguments
-                calls.append({"id": str(c["id"]), "name": str(f["name"]), "arguments": canonical(arguments), "depends_on": [str(x) for x in c.get("depends_on") or []]})
+                calls.append({"id": _text(c["id"]), "name": _text(f["name"]), "arguments": canonical(arguments), "depends_on": [_text(x) for x in c.get("depends_on") or []]})
             return "calls", calls, None, [], canonical(value.get("content"))
         if "tool_call_id" in value:
-            return "result", [], str(value["tool_call_id"]), [], canonical(value.get("content"))
+            return "result", [], _text(value["tool_call_id"]), [], canonical(value.get("content"))
     except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
         pass
     return plain
@@ -171,8 +188,10 @@ def _target(ref: str, root):
 
 def problems(value, schema, at: str = "$", root=None) -> list[str]:
     """Where ``value`` breaks ``schema``; raises Unchecked where that depends on a keyword of ``UNCHECKED``."""
-    if schema is True or not isinstance(schema, dict):
-        return [] if schema is not False else [f"{at}: nothing is allowed"]
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: nothing is allowed"]
+    if not isinstance(schema, dict) or not all(isinstance(schema.get(k) or {}, dict) for k in ("properties", "patternProperties")):
+        raise Unchecked(schema)
     root = schema if root is None else root
     out = []
     found = [k for k in UNCHECKED if k in schema]
@@ -250,7 +269,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
 def checked(value, schema) -> list[str] | None:
     """The problems of a call, or None where its schema is malformed, without end or not checked in full."""
     try:
-        return problems(value, schema)
+        return [p.encode(errors="backslashreplace").decode() for p in problems(value, schema)]
     except (Unchecked, re.error, LookupError, TypeError, ValueError, AttributeError, ArithmeticError, RecursionError):
         return None
 
