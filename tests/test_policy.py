@@ -114,3 +114,36 @@ def test_verification_policy(spark):
     with pytest.raises(TypeError):
         policy.coerce_policy(3)
     assert re.match("sha256:", policy.NULL_BUNDLES["access_control"].version_hash)
+
+
+def typed(spark, rules, metas, **kw):
+    df = spark.createDataFrame(list(enumerate(metas)), "i int, m string")
+    d, _ = bundle(rules, **kw).compile(policy.json_binding({}, {"chunk.metadata": F.col("m")}), F.lit(NOW))
+    return [r.d for r in df.select("i", d.alias("d")).orderBy("i").collect()]
+
+
+def test_json_values_keep_their_types(spark):
+    flag = [rule(when={"chunk.metadata.pii": True}, require={"chunk.metadata.never": "x"})]
+    assert typed(spark, flag, ['{"pii":true}', '{"pii":false}', '{"pii":"true"}', '{"pii":1}', "{}", "junk", None, '{"pii":null}']) == ["deny", "allow", "allow", "deny", "allow", "allow", "allow", "allow"]
+    need = lambda x: [rule(require={"chunk.metadata.a.b": x})]
+    assert typed(spark, need(5), ['{"a":{"b":5}}', '{"a":{"b":5.0}}', '{"a":{"b":"5"}}', '{"a":5}', '{"a":{"b":{"c":5}}}']) == ["allow", "allow", "deny", "deny", "deny"]
+    assert typed(spark, need({"in": ["x", None, 1]}), ['{"a":{"b":"x"}}', '{"a":{"b":null}}', '{"a":{"b":true}}', '{"a":{"b":"1"}}']) == ["allow", "allow", "allow", "deny"]
+    assert typed(spark, need({"matches_pattern": "x*"}), ['{"a":{"b":"xy"}}', '{"a":{"b":7}}', '{"a":{"b":null}}']) == ["allow", "deny", "deny"]
+    assert typed(spark, need({"length_at_most": 2}), ['{"a":{"b":"xy"}}', '{"a":{"b":"xyz"}}', '{"a":{"b":1}}']) == ["allow", "deny", "deny"]
+    assert typed(spark, need({"not_older_than": "90d"}), ['{"a":{"b":"2026-05-12T00:00:00Z"}}', '{"a":{"b":1}}']) == ["allow", "deny"]
+
+
+def test_conditions_that_cannot_be_met_are_errors(spark):
+    for literal in (True, 5, {"in": ["x", 1]}):
+        with pytest.raises(policy.PolicyError):
+            decide(spark, [rule(when={"chunk.x": literal})], [{"x": "true"}])
+    with pytest.raises(policy.PolicyError):
+        typed(spark, [rule(when={"chunk.metadata.x": ["a"]})], ["{}"])
+
+
+def test_version_mismatch_is_a_default():
+    made = policy.bundle({"version": 1, "policy_id": "p", "rules": [], "defaults": {"unknown_metadata": "allow", "policy_version_mismatch": "allow"}}, "access_control")
+    assert (made.unknown, made.version_mismatch) == ("allow", "allow")
+    for bad in ({"policy_version_mismatch": "warn"}, {"other": "deny"}, ["deny"]):
+        with pytest.raises(policy.PolicyError):
+            policy.bundle({"version": 1, "policy_id": "p", "rules": [], "defaults": bad}, "access_control")

@@ -19,7 +19,8 @@ WINDOW, STRIDE = 128, 64
 #: The characters removed as zero-width, the base and the modulus of the rolling hash.
 ZERO_WIDTH = "​‌‍⁠﻿"
 ROLLING_BASE, ROLLING_MODULUS = 1000003, (1 << 61) - 1
-SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: A run of white space, unless it is one plain space already.
+SPACES = r"[[\s\x1c-\x1f\x85\p{Z}]&&[^ ]][\s\x1c-\x1f\x85\p{Z}]*| [\s\x1c-\x1f\x85\p{Z}]+"
 #: Texts of characters below U+0300 only are in composed form already.
 _MAY_COMPOSE = "[^\\x00-\\u02ff]"
 
@@ -45,7 +46,7 @@ def casefold(text: Column) -> Column:
 
 
 def strip_zero_width(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{ZERO_WIDTH}]", "")
+    return F.when(text.rlike(_MAY_COMPOSE), F.regexp_replace(text, f"[{ZERO_WIDTH}]", "")).otherwise(text)
 
 
 def collapse_spaces(text: Column) -> Column:

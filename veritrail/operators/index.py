@@ -4,13 +4,15 @@ An event has ``seq``, ``kind`` (add, supersede or set_authorization),
 ``fingerprint``, ``document_id``, ``document_version``, ``chunk_offset``,
 ``chunk_length``, ``ingested_at`` and ``authorized``. Nothing is updated in place:
 rows, document state and supersession are aggregates with map-side combine, so
-neither a document nor a fingerprint with very many events is gathered anywhere.
+neither a document nor a fingerprint with very many events is gathered anywhere;
+only ``superseded_counts`` sorts the events of each document in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.functions.canon import has_control, hmac_native, row_payload
 from veritrail.functions.times import instant
@@ -19,12 +21,22 @@ SIGNED = ("fingerprint", "document_id", "document_version", "ingested_at", "chun
 OUTCOMES = ("VERIFIED", "STALE", "UNAUTHORIZED", "UNVERIFIED", "TAMPERED")
 
 
-def rejected(events: DataFrame) -> DataFrame:
-    """Add events that the index must refuse: wrong prefix or a control character in a signed text."""
+def _refused() -> Column:
+    """Whether an event is an add that the index must refuse: wrong prefix or a control character in a signed text."""
     bad = ~F.col("fingerprint").startswith("sha256:") | ~F.col("document_version").startswith("sha256:")
     for c in ("fingerprint", "document_id", "document_version", "ingested_at"):
         bad = bad | has_control(c)
-    return events.filter((F.col("kind") == "add") & F.coalesce(bad, F.lit(True)))
+    return (F.col("kind") == "add") & F.coalesce(bad, F.lit(True))
+
+
+def rejected(events: DataFrame) -> DataFrame:
+    """Add events that the index refuses."""
+    return events.filter(_refused())
+
+
+def accepted(events: DataFrame) -> DataFrame:
+    """The events that take effect; refused adds change neither rows nor the state of their document."""
+    return events.filter(~F.coalesce(_refused(), F.lit(False)))
 
 
 def sign(rows: DataFrame, key: bytes) -> DataFrame:
@@ -35,7 +47,7 @@ def stored_rows(events: DataFrame) -> DataFrame:
     """The first add of each (fingerprint, document, version); later ones are ignored."""
     keys = ["fingerprint", "document_id", "document_version"]
     rest = [c for c in events.columns if c not in (*keys, "kind", "seq", "authorized")]
-    first = events.filter("kind = 'add'").groupBy(*keys).agg(F.min(F.struct("seq", *rest)).alias("x"))
+    first = accepted(events).filter("kind = 'add'").groupBy(*keys).agg(F.min(F.struct("seq", *rest)).alias("x"))
     return first.select(*keys, "x.*")
 
 
@@ -66,6 +78,7 @@ def with_supersession(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def index_rows(events: DataFrame) -> DataFrame:
     """Stored rows with supersession and the state of their document."""
+    events = accepted(events)
     return with_supersession(stored_rows(events), events).join(document_state(events), "document_id")
 
 
@@ -97,7 +110,12 @@ def verify(chunks: DataFrame, index: DataFrame, key: bytes) -> DataFrame:
 
 def superseded_counts(events: DataFrame) -> DataFrame:
     """For each supersede event, the stored rows that it newly marks."""
-    rows = stored_rows(events)
-    marks = events.filter("kind IN ('add', 'supersede')").select("document_id", F.col("seq").alias("at"), F.col("document_version").alias("named"), "kind")
-    first = rows.join(marks, "document_id").filter("at > seq AND named <> document_version").groupBy("fingerprint", "document_id", "document_version").agg(F.min("at").alias("at"))
+    # The first event after a row that names another version: runs of events that name one version are numbered
+    # by their place, so a row needs the start of the next run only, not a meeting with every event.
+    marks = events.filter("kind IN ('add', 'supersede')").select("document_id", "seq", "document_version")
+    order = Window.partitionBy("document_id").orderBy("seq")
+    starts = marks.withColumn("_before", F.lag("document_version").over(order)).filter("_before IS NULL OR _before <> document_version")
+    runs = starts.select("document_id", "seq", F.lead("seq").over(order).alias("at"))
+    both = runs.select("document_id", "seq", "at", F.lit(0).alias("_row")).unionByName(stored_rows(events).select("document_id", "seq", F.lit(None).cast("long").alias("at"), F.lit(1).alias("_row")))
+    first = both.withColumn("_last", F.last(F.when(F.col("_row") == 0, F.struct("at")), ignorenulls=True).over(Window.partitionBy("document_id").orderBy("seq", "_row"))).filter("_row = 1 AND _last.at IS NOT NULL").select("document_id", F.col("_last.at").alias("at"))
     return events.filter("kind = 'supersede'").select("document_id", F.col("seq").alias("at"), "document_version").join(first.groupBy("document_id", "at").agg(F.count("*").alias("marked")), ["document_id", "at"], "left").select("document_id", F.col("at").alias("seq"), F.coalesce("marked", F.lit(0)).alias("marked"))

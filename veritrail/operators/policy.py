@@ -32,6 +32,7 @@ RESERVED = ("any_of", "all_of", "not", "nested")
 ROOTS = {"access_control": ("chunk", "request"), "tool_call_control": ("tool", "request")}
 TOP_KEYS = ("version", "policy_id", "description", "verification", "access_control", "tool_call_control")
 HALF_KEYS = ("rules", "defaults")
+DEFAULTS = ("unknown_metadata", "policy_version_mismatch")
 
 
 class PolicyError(ValueError):
@@ -85,11 +86,15 @@ def glob_regex(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Value:
-    """A resolved path: the Column, whether it is there, and its kind (string, number, boolean or other)."""
+    """A resolved path: the Column, whether it is there, and its kind (string, number, boolean, variant or other).
+
+    ``untyped`` says that the value is a text whatever it was before, as in a map of strings.
+    """
 
     column: Column
     present: Column
     kind: str = "string"
+    untyped: bool = False
 
 
 Binding = Callable[[str], Value]
@@ -106,8 +111,10 @@ def _literal_kind(v) -> str:
 def _equals(value: Value, literal) -> Column:
     """Equality of values of like kinds; booleans equal the numbers 0 and 1, a text never equals a number."""
     if literal is None:
-        return value.column.isNull()
+        return F.is_variant_null(value.column) if value.kind == "variant" else value.column.isNull()
     kind = _literal_kind(literal)
+    if value.kind == "variant":
+        return _variant_equals(value.column, kind, literal)
     if kind == value.kind:
         return value.column.eqNullSafe(F.lit(literal))
     if {kind, value.kind} == {"boolean", "number"}:
@@ -115,6 +122,22 @@ def _equals(value: Value, literal) -> Column:
     return F.lit(False)
 
 
+def _typed(column: Column, kind: str) -> Column:
+    """A variant as string, boolean or number (a boolean is 0 or 1); null where it is of another type."""
+    found = F.schema_of_variant(column)
+    if kind == "number":
+        number = F.when(found == "BOOLEAN", F.try_variant_get(column, "$", "boolean").cast("double"))
+        return number.when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(column, "$", "double"))
+    return F.when(found == {"string": "STRING", "boolean": "BOOLEAN"}[kind], F.try_variant_get(column, "$", kind))
+
+
+def _variant_equals(column: Column, kind: str, literal) -> Column:
+    if kind == "other":
+        return F.lit(False)
+    number = kind in ("boolean", "number")
+    return F.coalesce(_typed(column, "number") == F.lit(float(literal)) if number else _typed(column, "string") == F.lit(literal), F.lit(False))
+
+
 def _member(value: Value, literals: list) -> Column:
     out = F.lit(False)
     for x in literals:
@@ -123,15 +146,18 @@ def _member(value: Value, literals: list) -> Column:
 
 
 def _age(value: Value, limit: int, now: Column) -> Column:
-    then = F.unix_seconds(instant(value.column))
-    return F.coalesce(F.unix_seconds(instant(now)) - then <= limit, F.lit(False)) if value.kind == "string" else F.lit(False)
+    if value.kind not in ("string", "variant"):
+        return F.lit(False)
+    text = _typed(value.column, "string") if value.kind == "variant" else value.column
+    return F.coalesce(F.unix_seconds(instant(now)) - F.unix_seconds(instant(text)) <= limit, F.lit(False))
 
 
 def _satisfies(value: Value, constraint, now: Column) -> Column:
     """Whether a present value meets a ``require`` constraint; of several operators in one mapping the first counts."""
     if not isinstance(constraint, Mapping):
         return _equals(value, constraint)
-    text = value.kind == "string"
+    text = value.kind in ("string", "variant")
+    column = _typed(value.column, "string") if value.kind == "variant" else value.column
     for op in OPERATORS:
         if op not in constraint:
             continue
@@ -145,14 +171,20 @@ def _satisfies(value: Value, constraint, now: Column) -> Column:
         if not text:
             return F.lit(False)
         if op == "length_at_most":
-            return F.coalesce(F.length(value.column) <= int(x), F.lit(False))
-        usable = F.coalesce(F.length(value.column) <= GLOB_INPUT_LIMIT, F.lit(False))
-        hit = F.coalesce(value.column.rlike(glob_regex(x)), F.lit(False))
+            return F.coalesce(F.length(column) <= int(x), F.lit(False))
+        usable = F.coalesce(F.length(column) <= GLOB_INPUT_LIMIT, F.lit(False))
+        hit = F.coalesce(column.rlike(glob_regex(x)), F.lit(False))
         return usable & (hit if op == "matches_pattern" else ~hit)
     return F.lit(False)
 
 
 def _applies(value: Value, constraint) -> Column:
+    """Whether a rule applies; a condition that no value here could ever meet is an error, as the rule would silently allow."""
+    literals = constraint.get("in", []) if isinstance(constraint, Mapping) else [constraint]
+    if any(_literal_kind(x) == "other" for x in literals if x is not None):
+        raise PolicyError(f"when compares with texts, numbers, booleans or null: {constraint!r}")
+    if value.untyped and any(_literal_kind(x) in ("boolean", "number") for x in literals):
+        raise PolicyError(f"a map of texts cannot meet {constraint!r}; bind the metadata as JSON")
     if isinstance(constraint, Mapping):
         return value.present & _member(value, constraint["in"]) if "in" in constraint else F.lit(False)
     return value.present & _equals(value, constraint)
@@ -200,6 +232,7 @@ class Bundle:
     rules: tuple[Rule, ...]
     unknown: str
     version_hash: str
+    version_mismatch: str = "deny"
 
     def compile(self, binding: Binding, now: Column) -> tuple[Column, Column]:
         """Decision (allow or deny) and names of the rules that fired, up to the first violated one."""
@@ -249,8 +282,8 @@ def bundle(document: Mapping | str, domain: str) -> Bundle:
     if not isinstance(half, Mapping) or set(half) - set(HALF_KEYS) or not isinstance(half.get("rules"), list):
         raise PolicyError("rules must be a list")
     defaults = half.get("defaults") or {}
-    if set(defaults) - {"unknown_metadata"} or defaults.get("unknown_metadata", "deny") not in ("allow", "deny"):
-        raise PolicyError("defaults.unknown_metadata is allow or deny")
+    if not isinstance(defaults, Mapping) or set(defaults) - set(DEFAULTS) or any(x not in ("allow", "deny") for x in defaults.values()):
+        raise PolicyError(f"defaults has {' and '.join(DEFAULTS)}, each allow or deny")
     rules = []
     for r in half["rules"]:
         if not isinstance(r, Mapping) or set(r) - {"name", "when", "require", "on_violation", "description"} or not isinstance(r.get("name"), str) or not r["name"]:
@@ -268,7 +301,7 @@ def bundle(document: Mapping | str, domain: str) -> Bundle:
     if len({r.name for r in rules}) != len(rules):
         raise PolicyError("rule names must differ")
     normal = {k: document[k] for k in ("version", "policy_id", "description") if k in document} | dict(half)
-    return Bundle(document["policy_id"], domain, tuple(rules), defaults.get("unknown_metadata", "deny"), sha256_text(canonical_json(json.loads(json.dumps(normal)))))
+    return Bundle(document["policy_id"], domain, tuple(rules), defaults.get("unknown_metadata", "deny"), sha256_text(canonical_json(json.loads(json.dumps(normal)))), defaults.get("policy_version_mismatch", "deny"))
 
 
 def map_binding(fields: Mapping[str, tuple[Column, str]], maps: Mapping[str, Column]) -> Binding:
@@ -281,7 +314,31 @@ def map_binding(fields: Mapping[str, tuple[Column, str]], maps: Mapping[str, Col
         root, _, key = path.rpartition(".")
         if root in maps:
             m = maps[root]
-            return Value(F.try_element_at(m, F.lit(key)), F.coalesce(F.map_contains_key(m, key), F.lit(False)))
+            return Value(F.try_element_at(m, F.lit(key)), F.coalesce(F.map_contains_key(m, key), F.lit(False)), untyped=True)
+        return Value(F.lit(None).cast("string"), F.lit(False))
+
+    return resolve
+
+
+def json_binding(fields: Mapping[str, tuple[Column, str]], documents: Mapping[str, Column]) -> Binding:
+    """Paths to plain columns and into JSON texts, whose values keep their types at any depth.
+
+    A key that is there with null is present; a path through what is no object,
+    and any path into a text that is no JSON, is missing.
+    """
+    parsed = {root: F.try_parse_json(c) for root, c in documents.items()}
+
+    def resolve(path: str) -> Value:
+        if path in fields:
+            column, kind = fields[path]
+            return Value(column, F.lit(True), kind)
+        for root, v in parsed.items():
+            if path.startswith(f"{root}."):
+                keys = path[len(root) + 1 :].split(".")
+                if any(set("'\\[]\"") & set(k) for k in keys):
+                    raise PolicyError(f"not a path into JSON: {path!r}")
+                found = F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), "variant")
+                return Value(found, found.isNotNull(), "variant")
         return Value(F.lit(None).cast("string"), F.lit(False))
 
     return resolve

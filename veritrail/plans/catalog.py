@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from veritrail.functions import canon, text
 from veritrail.operators import detect, events, index, merkle, policy, receipts, trajectory
 from veritrail.plans import oracle as sql
-from veritrail.runtime import materialize, ship, table
+from veritrail.runtime import materialize, ship
+from veritrail.runtime import spread_table as table
 from veritrail.sources import derived
 
 QUERIES: dict = {}
@@ -153,6 +154,18 @@ def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir).select("request_id", "chunk_index", "document_id", "outcome")
 
 
+@query(
+    f"""WITH {sql.WINDOW_BEST}, cut AS (SELECT doc_id, {sql.fp(sql.norm(f't[{text.STRIDE + 1} : {text.STRIDE + text.WINDOW}]'))} AS fingerprint FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents) WHERE length(t) >= {text.STRIDE + text.WINDOW})
+  SELECT doc_id, b.document_id, b.chunk_offset, CASE WHEN b.document_id IS NULL THEN 'UNVERIFIED' WHEN {sql.hmac(sql.PAYLOAD.replace('fingerprint', 'b.fingerprint'))} <> b.signature THEN 'TAMPERED'
+    WHEN NOT b.authorized THEN 'UNAUTHORIZED' WHEN b.superseded THEN 'STALE' ELSE 'VERIFIED' END AS outcome FROM cut LEFT JOIN best b ON cut.fingerprint = b.fingerprint"""
+)
+def rechunked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a retriever cut anew, verified through the sliding windows of the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t")).filter(F.length("t") >= text.STRIDE + text.WINDOW)
+    cut = docs.select("doc_id", text.chunk_fingerprint(F.substring("t", text.STRIDE + 1, text.WINDOW)).alias("fingerprint"))
+    return index.verify(cut, index.index_rows(derived.window_log(spark, sf_dir)), KEY).select("doc_id", "document_id", "chunk_offset", "outcome")
+
+
 @query(f"WITH {sql.VERIFIED} SELECT outcome, origin, count(*) AS chunks FROM verified GROUP BY ALL")
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir).groupBy("outcome", "origin").agg(F.count("*").alias("chunks"))
@@ -213,6 +226,37 @@ def policy_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_decisions(spark, sf_dir).select("decision", F.explode("rules_fired").alias("rule")).groupBy("rule", "decision").agg(F.count("*").alias("hits"))
 
 
+TYPED_POLICY = {
+    "version": 1,
+    "policy_id": "typed",
+    "access_control": {
+        "defaults": {"unknown_metadata": "deny", "policy_version_mismatch": "deny"},
+        "rules": [
+            {"name": "personal_data", "when": {"chunk.metadata.contains_pii": True}, "require": {"request.purpose": "support"}, "on_violation": "deny"},
+            {"name": "tiers", "when": {"chunk.metadata.owner.tier": {"in": [1, 2]}}, "require": {"chunk.metadata.owner.lang": {"in": ["en", "de"]}}, "on_violation": "deny"},
+            {"name": "no_secrets", "require": {"chunk.metadata.secret": {"not_in": [True]}}, "on_violation": "deny"},
+        ],
+    },
+}
+
+
+@query(
+    """WITH w AS (SELECT doc_id, doc_id % 5 = 0 AS w0, doc_id % 3 <> 0 AS v0, doc_id % 4 IN (1, 2) AS w1, lang IS NULL OR lang NOT IN ('en', 'de') AS v1, doc_id % 7 IN (0, 1) AS v2 FROM documents),
+  x AS (SELECT *, least(CASE WHEN w0 AND v0 THEN 0 END, CASE WHEN w1 AND v1 THEN 1 END, CASE WHEN v2 THEN 2 END) AS d FROM w)
+  SELECT doc_id, CASE WHEN d IS NULL THEN 'allow' ELSE 'deny' END AS decision,
+    array_to_string(list_filter([CASE WHEN w0 THEN 'personal_data' END, CASE WHEN w1 AND coalesce(d, 3) >= 1 THEN 'tiers' END, CASE WHEN coalesce(d, 3) >= 2 THEN 'no_secrets' END], lambda r: r IS NOT NULL), ',') AS rules_fired FROM x"""
+)
+def policy_typed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions over JSON metadata with booleans, numbers and nested objects; ``secret`` is true, missing, null, a text or a number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    secret = F.when(F.col("doc_id") % 7 == 0, ',"secret":true').when(F.col("doc_id") % 7 == 1, "").when(F.col("doc_id") % 7 == 2, ',"secret":null').when(F.col("doc_id") % 7 == 3, ',"secret":"true"').otherwise(',"secret":0')
+    owner = F.to_json(F.struct((F.col("doc_id") % 4).alias("tier"), "lang"))
+    meta = F.concat(F.lit('{"contains_pii":'), (F.col("doc_id") % 5 == 0).cast("string"), F.lit(',"owner":'), owner, secret, F.lit("}"))
+    bound = policy.json_binding({"request.purpose": (F.when(F.col("doc_id") % 3 == 0, "support").otherwise("search"), "string")}, {"chunk.metadata": meta})
+    decision, fired = policy.bundle(TYPED_POLICY, "access_control").compile(bound, F.lit(NOW))
+    return docs.select("doc_id", decision.alias("decision"), F.array_join(fired, ",").alias("rules_fired"))
+
+
 TOOL_POLICY = {
     "version": 1,
     "policy_id": "tools",
@@ -288,6 +332,20 @@ def receipt_signatures_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.audit(signed, "receipt", KEY).groupBy("signature_state", "ok").agg(F.count("*").alias("receipts"))
 
 
+@query("SELECT event_id, ['valid', 'invalid', 'unsigned', 'malformed', 'invalid'][event_id % 5 + 1] AS signature_state, event_id % 5 = 0 AS ok FROM events")
+def receipt_signatures_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of tool calls: of five, one as signed, one changed after that, one without signature, one cut off, one of another algorithm."""
+    c = derived.calls(spark, sf_dir)
+    body = F.to_json(F.struct("receipt_id", "issued_at", "caller", "amount"))
+    signed = c.select("event_id", receipts.sign_json(body, KEY).alias("receipt"), body.alias("body"))
+    kind = F.col("event_id") % 5
+    told = (
+        F.when(kind == 0, F.col("receipt")).when(kind == 1, F.regexp_replace("receipt", '"caller":"', '"caller":"x')).when(kind == 2, F.col("body"))
+        .when(kind == 3, F.substring("receipt", 1, 40)).otherwise(F.replace("receipt", F.lit(receipts.ALGORITHM), F.lit("none")))
+    )
+    return receipts.audit(signed.select("event_id", told.alias("receipt")), "receipt", KEY).select("event_id", "signature_state", "ok")
+
+
 # --- Merkle log ------------------------------------------------------------
 
 
@@ -324,7 +382,12 @@ def merkle_proof_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("leaf_index", merkle.proof_holds("leaf", "leaf_index", "proof", "tree_size", "tree_root").alias("holds"))
 
 
-@query()
+def _siblings(n: int = 23) -> str:
+    """Sibling hashes of each leaf, from the leaf up, as one list."""
+    return " UNION ALL ".join(f"SELECT leaf_index, {k} AS level, lower(hex(l{k}.h)) AS h FROM leaf JOIN l{k} ON l{k}.i = xor(leaf_index >> {k}, 1) WHERE (SELECT count(*) FROM l{k}) > 1" for k in range(n))
+
+
+@query(f"WITH {_LEAF_SQL}, {_levels()}, sib AS ({_siblings()}) SELECT leaf_index, coalesce(p, []) AS proof FROM leaf LEFT JOIN (SELECT leaf_index, list(h ORDER BY level) AS p FROM sib GROUP BY leaf_index) USING (leaf_index)")
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _leaves(spark, sf_dir)
     return merkle.proofs(materialize(merkle.nodes(leaves), "tree"), leaves.select("leaf_index"))

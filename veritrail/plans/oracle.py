@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from veritrail.functions.text import STRIDE, WINDOW
 from veritrail.sources.derived import EPOCH_MS, TAMPER_EVERY, TEST_KEY
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
@@ -40,6 +41,15 @@ log0 AS (SELECT doc_id AS seq, 'add' AS kind, {fp(norm('text'))} AS fingerprint,
 log1 AS (SELECT *, fingerprint AS document_version FROM log0),
 log AS (SELECT * REPLACE (CASE WHEN seq % {TAMPER_EVERY} = 0 THEN chunk_offset + 1 ELSE chunk_offset END AS chunk_offset), {hmac(PAYLOAD)} AS signature FROM log1)"""
 
+#: The log with an add for each sliding window besides that of the whole text.
+WINDOW_LOG = LOG.replace(
+    "log AS (SELECT",
+    f"""win0 AS (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {WINDOW} THEN [0] ELSE range(0, length(t) - {WINDOW} + 1, {STRIDE}) END) AS o FROM (SELECT doc_id, {norm('text')} AS t FROM documents)),
+win AS (SELECT doc_id, o, length(t[(o + 1) : (o + {WINDOW})]) AS n, {fp(f't[(o + 1) : (o + {WINDOW})]')} AS part FROM win0),
+log2 AS (SELECT * FROM log1 UNION ALL BY NAME SELECT l.* REPLACE (part AS fingerprint, o::INT AS chunk_offset, n::INT AS chunk_length) FROM win JOIN log1 l ON l.seq = win.doc_id WHERE part <> l.fingerprint),
+log AS (SELECT""",
+).replace("AS signature FROM log1)", "AS signature FROM log2)")
+
 INDEX = (
     LOG
     + """,
@@ -52,6 +62,8 @@ idx AS (SELECT s.* EXCLUDE (authorized), state.authorized, state.current_version
 
 BEST = INDEX + ",\nbest AS (SELECT * FROM idx QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY superseded, ingested_at DESC, document_id, document_version) = 1)"
 
+WINDOW_BEST = BEST.replace(LOG, WINDOW_LOG).replace("ORDER BY seq) = 1", "ORDER BY seq, chunk_offset) = 1")
+
 RETRIEVED = f"""
 retrieved AS (SELECT *, {fp(norm('text'))} AS fingerprint FROM (
   SELECT 'documents-' || (doc_id // 8) AS request_id, (doc_id % 8)::INT AS chunk_index, 'documents' AS origin, doc_id AS n, lang AS residency, text FROM documents

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import text
 from veritrail.functions.times import iso, micros_of_local
 from veritrail.operators import index
-from veritrail.runtime import table
+from veritrail.runtime import spread_table as table
 
 #: A key for derived test data; production keys never stand in code.
 TEST_KEY = b"veritrail-test-key"
@@ -49,6 +49,16 @@ def signed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
 
 
+def window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest log, signed, with an add for each sliding window of each text besides that of the whole text."""
+    whole = ingest_log(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), text.normalize(F.col("text")).alias("t"))
+    parts = text.windows(docs, "t", keep=("seq",)).select("seq", F.col("fingerprint").alias("_part"), "offset", "length")
+    more = whole.join(parts, "seq").filter("_part <> fingerprint").withColumns({"fingerprint": F.col("_part"), "chunk_offset": F.col("offset"), "chunk_length": F.col("length")})
+    signed = index.sign(whole.unionByName(more.select(*whole.columns)), TEST_KEY)
+    return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
+
+
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that requests retrieved: all documents, benchmark items and conversation turns, eight a request."""
     parts = []

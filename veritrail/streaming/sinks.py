@@ -38,8 +38,14 @@ def hourly(path: str, column: str = "receipt") -> Sink:
     return write
 
 
-def console(column: str = "receipt", rows: int = 20) -> Sink:
-    return lambda df: df.select(column).show(rows, truncate=False)
+def console(column: str = "receipt") -> Sink:
+    """Print every row as a line, a partition at a time, so that the driver never holds all of them."""
+
+    def write(df: DataFrame) -> None:
+        for row in df.select(column).toLocalIterator():
+            print(row[0], flush=True)
+
+    return write
 
 
 def fan_out(sinks: Sequence[Sink]) -> Sink:
