@@ -33,7 +33,18 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(map(str, ids))
 
 
-def test_winnowing(corpus, odd, none):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_winnowing(spark, corpus, odd, none, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(winnow, "BROADCAST_ROWS", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _winnowing(corpus, odd, none)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _winnowing(corpus, odd, none):
     rng = random.Random(3)
     pool = [f"w{i}" for i in range(40)] + ["É", "ÉA", "Of"]
     items = [(1, " ".join(rng.choices(pool, k=25))), (2, "two words"), (3, "a " * 12), (4, None), (5, ""), (None, "x y"), (20, " ".join(rng.choices(pool, k=10)))]

@@ -72,8 +72,8 @@ def _candidates(lengths: list[int], wide: bool) -> Column:
             )
     kind = "array<struct<len:int,key:bigint,start:int,ws:array<string>>>"
     parts = [p.cast(kind) for p in parts]
-    if wide:  # one row for every document, found or not
-        parts.append(F.expr(f"array(struct(0 AS len, cast(null AS bigint) AS key, cast(null AS int) AS start, cast(null AS array<string>) AS ws))").cast(kind))
+    if wide:  # one row for every document, found or not; its key spreads such rows and meets nothing, as no mark has length 0
+        parts.append(F.expr(f"array(struct(0 AS len, xxhash64(_rid) AS key, cast(null AS int) AS start, cast(null AS array<string>) AS ws))").cast(kind))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -118,9 +118,10 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     documents = documents if "_rid" in documents.columns else with_row_id(documents)
     docs = documents.withColumn("_w", words(F.col("text"))).drop("text")
     found = _fingerprinted(docs, lengths, True).join(_bounded(marks, rows), ["len", "key"], "left").filter("met OR len = 0")
-    spread = found.withColumn("_x", F.explode_outer(_windows())).select("*", "_x.at", "_x.win").drop("_x", "ws", "key", "start", "met")
+    spread = found.withColumn("_x", F.explode_outer(_windows())).select("*", "_x.at", F.coalesce("_x.win", F.col("key").cast("string")).alias("win")).drop("_x", "ws", "key", "start", "met")
     known = windows.select("win", "len").distinct().withColumn("met", F.lit(True))
-    return spread.join(_bounded(known, rows), ["win", "len"], "left").filter("met OR len = 0").drop("met"), windows
+    met = spread.join(_bounded(known, rows), ["win", "len"], "left").filter("met OR len = 0").drop("met")
+    return met.withColumn("win", F.when(F.col("len") > 0, F.col("win"))), windows
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
