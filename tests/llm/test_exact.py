@@ -114,6 +114,12 @@ def test_repeated_windows(corpus, none, monkeypatch, tile, group):
         b = (t or "").encode()
         cover = {q for p in range(len(b) - 399) if count[b[p : p + 400]] > 1 for q in range(p, p + 400)}
         want[(i, len(b), len(cover), sum(q - 1 not in cover for q in cover), bytes(x for q, x in enumerate(b) if q not in cover))] += 1
+    passage = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([50, 51, 60]))) for _ in range(6)]
+    talk = [(i, " ".join([noise(60), rng.choice(passage), noise(50), rng.choice(passage)]), "", "", 0) for i in range(12)] + [(20, "so " * 70, "", "", 0), (21, "so " * 50, "", "", 0), (22, None, "", "", 0)]
+    split = [[x for x in re.split("[\x20\x09-\x0d]+", t or "") if x] for _, t, *_ in talk]
+    seen = Counter(tuple(w[k : k + 51]) for w in split for k in range(len(w) - 50))
+    told = {i: len({q for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for q in range(k, k + 51)}) for (i, *_), w in zip(talk, split)}
+    assert {r.doc_id: r.n_passage_words for r in repeats.remove_repeats(corpus(talk)).collect()} == told and len(set(told.values())) > 3
     got = repeats.remove_repeats(df.withColumnRenamed("lang", "kept"))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
     assert repeats.remove_repeats(none).count() == 0

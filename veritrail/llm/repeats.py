@@ -21,11 +21,17 @@ rows are copies of each other like any others; an empty table gives an empty
 one. A text is worked on in tiles, so its length does not bound memory.
 Groups of step 3 with more than ``GROUP_ROWS`` members are spread window by
 window over all tasks, smaller ones meet in one task.
+
+The same passes over words (maximal runs of other than white space) in place of
+bytes find the words in runs of ``WORDS.length`` that start at two places or
+more. Passages of so many words are often shorter than ``LENGTH`` bytes; they are
+counted (``n_passage_words``), not removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import extended, prepare, release, stable_rows
+from veritrail.llm.similar import _word_hashes
 from veritrail.llm.windows import Roller, mix, sliding_min
 from veritrail.runtime import discard, materialize
 
@@ -45,6 +52,28 @@ GROUP_ROWS = 20_000
 #: Anchors of a task of step 3.
 TASK_ROWS = 30_000
 
+#: Bytes between words become spaces.
+_SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a sequence of, the length of a window and of the strings by which windows are grouped."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+    def sequence(self, text: str | None) -> np.ndarray:
+        return _word_hashes(text or "", _SPACES) if self.words else np.frombuffer((text or "").encode(), "uint8")
+
+    def read(self, part: bytes) -> np.ndarray:
+        return np.frombuffer(part, "uint64" if self.words else "uint8")
+
+
+BYTES = Unit(LENGTH, GRAM)
+WORDS = Unit(51, 26, words=True)
+
 U = np.uint64
 _LOCAL = U((1 << 24) - 1)
 _rollers: list[Roller] = []
@@ -56,34 +85,34 @@ def _roll() -> list[Roller]:
     return _rollers
 
 
-def _tile_anchors(raw: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+def _tile_anchors(raw: np.ndarray, lo: int, hi: int, u: Unit) -> tuple[np.ndarray, ...]:
     """Anchors of the windows that start in [lo, hi): place, first and last window, string hash, hashes of surroundings."""
-    n = len(raw)
-    first, last = max(0, lo - GRAM), min(n, hi + 2 * LENGTH)
+    n, length, gram = len(raw), u.length, u.gram
+    first, last = max(0, lo - gram), min(n, hi + 2 * length)
     part = raw[first:last]
     a, b = _roll()
     pa_, pb = a.prefix(part), b.prefix(part)
     at = lo - first
-    grams = a.every(pa_[at : at + (hi - 1 - lo) + LENGTH + 1], GRAM) if at == 0 else a.every(pa_, GRAM)[at : at + (hi - lo) + LENGTH - GRAM]
+    grams = a.every(pa_[at : at + (hi - 1 - lo) + length + 1], gram) if at == 0 else a.every(pa_, gram)[at : at + (hi - lo) + length - gram]
     packed = (grams & ~_LOCAL) | np.arange(len(grams), dtype=U)
-    least = sliding_min(packed, LENGTH - GRAM + 1)[: hi - lo]
+    least = sliding_min(packed, length - gram + 1)[: hi - lo]
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end = np.r_[start[1:], len(least)] - 1
     local = (least[start] & _LOCAL).astype(np.int64)
     place = local + lo
-    left, right = np.maximum(place - GRAM, 0), np.minimum(place + LENGTH, n)
+    left, right = np.maximum(place - gram, 0), np.minimum(place + length, n)
     shape = mix((place - left).astype(U) * U(1024) + (right - place).astype(U) + U(1))
     return place, start + lo, end + lo, grams[local], a.window(pa_, left - first, right - first) ^ shape, b.window(pb, left - first, right - first) ^ mix(shape)
 
 
-def anchors(raw: np.ndarray) -> list[np.ndarray]:
+def anchors(raw: np.ndarray, u: Unit = BYTES) -> list[np.ndarray]:
     """Anchors of one text; runs that tiles cut are joined again."""
-    n = len(raw) - LENGTH + 1
+    n = len(raw) - u.length + 1
     if n <= 0:
         return []
     parts: list[list[np.ndarray]] = []
     for lo in range(0, n, TILE):
-        new = list(_tile_anchors(raw, lo, min(n, lo + TILE)))
+        new = list(_tile_anchors(raw, lo, min(n, lo + TILE), u))
         if parts and new[0][0] == parts[-1][0][-1]:
             new[1][0] = parts[-1][1][-1]
             parts[-1] = [x[:-1] for x in parts[-1]]
@@ -91,11 +120,7 @@ def anchors(raw: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), "uint8")
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], u: Unit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid = batch.column("_rid")
         f, i = rid.field("f").to_pylist(), rid.field("i").to_pylist()
@@ -109,7 +134,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["f", "i", "place", "far", "near", "gram", "c1", "c2"])
 
         for k, text in enumerate(batch.column("text").to_pylist()):
-            if found := anchors(_bytes(text)):
+            if found := anchors(u.sequence(text), u):
                 m = len(found[0])
                 got.append([np.full(m, f[k], "int64"), np.full(m, i[k], "int64"), *found])
                 held += m
@@ -120,46 +145,46 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(got)
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per anchor with the bytes that its windows can reach."""
+def _surroundings(batches: Iterator[pa.RecordBatch], u: Unit) -> Iterator[pa.RecordBatch]:
+    """One row per anchor with the part of the text that its windows can reach."""
     for batch in batches:
         texts, marks = batch.column("text").to_pylist(), batch.column("_marks").to_pylist()
         rid = batch.column("_rid")
         f, i = rid.field("f").to_pylist(), rid.field("i").to_pylist()
         rows: list[tuple] = []
         for k, text in enumerate(texts):
-            raw = (text or "").encode()
+            raw = u.sequence(text)
             for m in marks[k]:
-                rows.append((m["gram"], m["big"], f[k], i[k], m["place"], m["far"], m["near"], raw[m["place"] - m["far"] : m["place"] - m["near"] + LENGTH]))
+                rows.append((m["gram"], m["big"], f[k], i[k], m["place"], m["far"], m["near"], raw[m["place"] - m["far"] : m["place"] - m["near"] + u.length].tobytes()))
             if len(rows) > 20_000 or (k == len(texts) - 1 and rows):
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["gram", "big", "f", "i", "place", "far", "near", "part"])
                 rows = []
 
 
-def _window_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _window_hashes(batch: pa.RecordBatch, u: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and distance from the anchor of each window of a batch of surroundings, and its two hashes."""
     a, b = _roll()
     parts = batch.column("part").to_pylist()
     far, near = batch.column("far").to_numpy(), batch.column("near").to_numpy()
     rows, ds, h1, h2 = [], [], [], []
     for k, part in enumerate(parts):
-        raw = np.frombuffer(part, "uint8")
+        raw = u.read(part)
         m = int(far[k]) - int(near[k]) + 1
         rows.append(np.full(m, k, "int32"))
         ds.append(np.arange(far[k], far[k] - m, -1, dtype="int16"))
-        h1.append(a.every(a.prefix(raw), LENGTH))
-        h2.append(b.every(b.prefix(raw), LENGTH))
+        h1.append(a.every(a.prefix(raw), u.length))
+        h2.append(b.every(b.prefix(raw), u.length))
     return tuple(np.concatenate(x) for x in (rows, ds, h1, h2))
 
 
-def _resolve_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve_task(batches: Iterator[pa.RecordBatch], u: Unit) -> Iterator[pa.RecordBatch]:
     """Least and greatest distance of each anchor's repeated windows, where a task holds whole groups."""
     names = ["f", "i", "place"]
     held, keys, n = [], [], 0
     for batch in batches:
         if batch.num_rows:
-            rows, ds, h1, h2 = _window_hashes(batch)
+            rows, ds, h1, h2 = _window_hashes(batch, u)
             gram = batch.column("gram").to_numpy().view(U)[rows]
             keys.append((rows + n, ds, mix(h1 ^ gram), h2))
             held.append(batch.select(names))
@@ -179,28 +204,28 @@ def _resolve_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from table.filter(pa.array(far >= 0)).combine_chunks().to_batches()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], u: Unit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            rows, ds, h1, h2 = _window_hashes(part)
+            rows, ds, h1, h2 = _window_hashes(part, u)
             columns = [part.column(c).take(pa.array(rows)) for c in ("f", "i", "place")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ds), pa.array(h1.view("int64")), pa.array(h2.view("int64"))], names=["f", "i", "place", "d", "h1", "h2"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Covered stretches of each row of ``docs`` (``_rid``, ``text``): f, i, lo, hi; stretches may overlap."""
+def repeated_spans(docs: DataFrame, u: Unit = BYTES) -> DataFrame:
+    """Covered stretches of each row of ``docs`` (``_rid``, ``text``) in its unit: f, i, spans; stretches may overlap."""
     spark = docs.sparkSession
     prepare(spark)
     place = "f long, i long, place int, far short, near short"
-    found = materialize(docs.select("_rid", "text").mapInArrow(_anchor_rows, f"{place}, gram long, c1 long, c2 long"), "anchors")
+    found = materialize(docs.select("_rid", "text").mapInArrow(lambda x: _anchor_rows(x, u), f"{place}, gram long, c1 long, c2 long"), "anchors")
     shared = found.groupBy("gram").count().filter("count > 1").select("gram")
     kept = materialize(found.join(shared, "gram"), "shared")
     release(spark)
     discard(found)
     # Digit two: anchors by their surroundings; the least member stands for its group.
     groups = materialize(kept.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("f", "i", "place", "far", "near")).alias("one")), "groups")
-    copied = kept.join(groups.filter("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"]).select("f", "i", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near") + LENGTH).alias("hi"))
+    copied = kept.join(groups.filter("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"]).select("f", "i", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near") + u.length).alias("hi"))
     copied = copied.groupBy("f", "i").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     copied = materialize(copied, "copied")
     release(spark)
@@ -209,16 +234,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = groups.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("members")).filter("least = 1 AND members > 1").select("gram", (F.col("members") > GROUP_ROWS).alias("big"))
     edges = groups.join(mixed, "gram").select("gram", "big", "n", "one.*")
     marks = edges.groupBy(F.struct("f", "i").alias("_rid")).agg(F.collect_list(F.struct("gram", "big", "place", "far", "near")).alias("_marks"))
-    near_by = docs.select("_rid", "text").join(marks, "_rid").mapInArrow(_surroundings, f"gram long, big boolean, {place}, part binary")
+    near_by = docs.select("_rid", "text").join(marks, "_rid").mapInArrow(lambda x: _surroundings(x, u), f"gram long, big boolean, {place}, part binary")
     near_by = materialize(near_by, "surroundings")
     release(spark)
     total, big = near_by.agg(F.count("*"), F.count_if("big")).first()
-    small = near_by.filter("NOT big").repartition(max(1, -(-(total - big) // TASK_ROWS)), "gram").mapInArrow(_resolve_task, place)
+    small = near_by.filter("NOT big").repartition(max(1, -(-(total - big) // TASK_ROWS)), "gram").mapInArrow(lambda x: _resolve_task(x, u), place)
     if big:
-        rows = materialize(near_by.filter("big").mapInArrow(_window_rows, "f long, i long, place int, d short, h1 long, h2 long"), "rows")
+        rows = materialize(near_by.filter("big").mapInArrow(lambda x: _window_rows(x, u), "f long, i long, place int, d short, h1 long, h2 long"), "rows")
         twice = rows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
         small = small.unionByName(rows.join(twice, ["h1", "h2"]).groupBy("f", "i", "place").agg(F.max("d").alias("far"), F.min("d").alias("near")))
-    partly = small.select("f", "i", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near") + LENGTH).alias("hi")).groupBy("f", "i").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    partly = small.select("f", "i", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near") + u.length).alias("hi")).groupBy("f", "i").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = copied.unionByName(partly).groupBy("f", "i").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = materialize(spans, "spans")
     release(spark)
@@ -238,20 +263,24 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add to each row ``spans`` (removed stretches, in bytes), ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``.
+    """Add to each row ``spans`` (removed stretches, in bytes), ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``n_passage_words``.
 
     Columns of these names in ``df`` are replaced.
     """
-    own = ("spans", "kept", "n_bytes", "n_removed", "n_spans", "_rid")
+    own = ("spans", "kept", "n_bytes", "n_removed", "n_spans", "n_passage_words", "_rid")
     df = stable_rows(df.drop(*[c for c in own if c in df.columns]))
-    found = repeated_spans(df.select("_rid", F.col(text).alias("text")))
-    joined = df.join(found.select(F.struct("f", "i").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left").drop("_rid")
-    rest = joined.drop("_spans")
+    docs = df.select("_rid", F.col(text).alias("text"))
+    both = None
+    for unit, name in ((BYTES, "_spans"), (WORDS, "_passages")):
+        found = repeated_spans(docs, unit).select("f", "i", F.col("spans").alias(name))
+        both = found if both is None else both.join(found, ["f", "i"], "full")
+    joined = df.join(both.select(F.struct("f", "i").alias("_rid"), "_spans", "_passages"), "_rid", "left").drop("_rid")
+    rest = joined.drop("_spans", "_passages")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: [] for k in ("spans", "kept", "n_bytes", "n_removed", "n_spans")}
-            for t, s in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+            columns = {k: [] for k in ("spans", "kept", "n_bytes", "n_removed", "n_spans", "n_passage_words")}
+            for t, s, p in zip(*(batch.column(c).to_pylist() for c in (text, "_spans", "_passages"))):
                 raw, at, kept = (t or "").encode(), 0, []
                 runs = _merged(s)
                 for lo, hi in runs:
@@ -259,12 +288,12 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
                     at = hi
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for k, v in zip(columns, ([{"lo": a, "hi": b} for a, b in runs], left, len(raw), len(raw) - len(left), len(runs))):
+                for k, v in zip(columns, ([{"lo": a, "hi": b} for a, b in runs], left, len(raw), len(raw) - len(left), len(runs), sum(b - a for a, b in _merged(p)))):
                     columns[k].append(v)
-            kinds = [pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            old = [c for c in batch.schema.names if c != "_spans"]
+            kinds = [pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.binary(), *[pa.int64()] * 4]
+            old = [c for c in batch.schema.names if c not in ("_spans", "_passages")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in old], *[pa.array(v, t) for v, t in zip(columns.values(), kinds)]], names=[*old, *columns])
 
-    return joined.mapInArrow(cut, extended(rest, spans="array<struct<lo:int,hi:int>>", kept="binary", n_bytes="long", n_removed="long", n_spans="long"))
+    return joined.mapInArrow(cut, extended(rest, spans="array<struct<lo:int,hi:int>>", kept="binary", n_bytes="long", n_removed="long", n_spans="long", n_passage_words="long"))
 
 

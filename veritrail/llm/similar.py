@@ -58,9 +58,9 @@ _MULTIPLY = _splitmix(BANDS * ROWS, 21) | U(1)
 _ADD = _splitmix(BANDS * ROWS, 22)
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, tile by tile."""
-    raw = text.encode().translate(_TABLE)
+def _word_hashes(text: str, table: bytes = _TABLE) -> np.ndarray:
+    """64-bit hashes of the words, tile by tile; ``table`` makes spaces of the bytes between words."""
+    raw = text.encode().translate(table)
     out = []
     for lo in range(0, len(raw), 1 << 22):
         hi = min(len(raw), lo + (1 << 22))

@@ -38,8 +38,9 @@ class Roller:
         return np.multiply.accumulate(out)
 
     def prefix(self, raw: np.ndarray) -> np.ndarray:
+        """Sums for windows of bytes, or of hashes (uint64) as they are."""
         out = np.zeros(len(raw) + 1, U)
-        np.cumsum(self.code[raw] * self.up[: len(raw)], out=out[1:])
+        np.cumsum((self.code[raw] if raw.dtype == np.uint8 else raw) * self.up[: len(raw)], out=out[1:])
         return out
 
     def window(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
