@@ -50,6 +50,9 @@ def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
+ORACLES["op10_radix_repeats"] = repeats.ORACLE
+
+
 @query
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +78,9 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_classes(docs).select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_grams")
 
 
+ORACLES["op6_ngram_jaccard"] = similar.ORACLE
+
+
 @query
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -297,3 +297,23 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     return joined.mapInArrow(cut, extended(rest, spans="array<struct<lo:int,hi:int>>", kept="binary", n_bytes="long", n_removed="long", n_spans="long", n_passage_words="long"))
 
 
+def _covered(source: str, length: int) -> str:
+    """Stretches lo to hi (from 1, hi excluded) covered by windows of ``length`` in ``source`` (rid, i, h) that occur twice."""
+    return f"""(SELECT rid, min(i) AS lo, max(i) + {length} AS hi FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k
+    FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh
+      FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM {source}) WHERE n > 1)) GROUP BY rid, k)"""
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT rid, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+s AS MATERIALIZED {_covered('x', LENGTH)},
+y AS (SELECT rid, i, md5(array_to_string(w[i : i + {WORDS.length - 1}], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - {WORDS.length - 2})) AS i FROM d)),
+p AS (SELECT rid, sum(hi - lo) AS n FROM {_covered('y', WORDS.length)} GROUP BY rid),
+gap AS (SELECT rid, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 1) AS a, lo AS z FROM s UNION ALL SELECT rid, max(hi), any_value(octet_length(b)) + 1 FROM s JOIN d USING (rid) GROUP BY rid),
+kept AS (SELECT rid, string_agg(hex(array_slice(b, a, z - 1)), '' ORDER BY a) AS x FROM gap JOIN d USING (rid) WHERE z > a GROUP BY rid),
+c AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN c.rid IS NULL THEN b ELSE unhex(coalesce(kept.x, '')) END) AS kept_sha256, coalesce(p.n, 0)::BIGINT AS n_passage_words
+FROM d LEFT JOIN c USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN p USING (rid)
+"""

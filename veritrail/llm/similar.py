@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import prepare, release, stable_rows
 from veritrail.llm.components import components
 from veritrail.llm.windows import U, _splitmix, mix
+from veritrail.llm.winnow import oracle_words
 from veritrail.runtime import discard, materialize
 
 GRAM = 5
@@ -239,3 +240,17 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     classes = similar_classes(rows, doc_id, text)
     first = classes.groupBy("class_node", F.col("n_grams") > 0).agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_rid"))).alias("x")).select("x._rid")
     return rows.join(materialize(first, "kept"), "_rid", "left_semi").drop("_rid")
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {oracle_words('text')} AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, w[i : i + n - 1] AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT rid, w, least(len(w), {GRAM}) AS n FROM d WHERE len(w) > 0))),
+size AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+pair AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size a ON a.rid = x JOIN size b ON b.rid = y WHERE {THRESHOLD[1]} * c >= {THRESHOLD[0]} * (a.n + b.n - c)),
+reach AS (SELECT rid AS x, rid AS y FROM size UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+class AS (SELECT x AS rid, min(doc_id) AS class_id FROM reach JOIN d ON d.rid = reach.y GROUP BY x),
+degree AS (SELECT x AS rid, count(*) AS n FROM link GROUP BY x)
+SELECT doc_id, coalesce(class_id, doc_id)::BIGINT AS class_id, coalesce(degree.n, 0)::BIGINT AS n_links, coalesce(size.n, 0)::BIGINT AS n_grams
+FROM d LEFT JOIN class USING (rid) LEFT JOIN degree USING (rid) LEFT JOIN size USING (rid)
+"""
