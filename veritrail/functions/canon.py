@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import json
 import os
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,7 +67,7 @@ def hmac_from_env(message: Column, variable: str) -> Column:
 
     @pandas_udf(StringType())
     def sign(s: pd.Series) -> pd.Series:
-        key = os.environ[variable].encode()
+        key = Secret(variable).read()
         return s.map(lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
 
     return sign(message)
@@ -80,3 +81,48 @@ def row_payload(*columns: str) -> Column:
 def has_control(column: str) -> Column:
     """Whether a field could break the payload's lines (LF, CR or NUL)."""
     return F.col(column).rlike(r"[\n\r\x00]")
+
+
+@dataclass(frozen=True)
+class Secret:
+    """A key in the environment of executors and driver; nothing falls back to a default."""
+
+    variable: str
+
+    def read(self) -> bytes:
+        value = os.environ.get(self.variable)
+        if not value:
+            raise RuntimeError(f"{self.variable} must hold the key")
+        return value.encode()
+
+
+def key_bytes(key: bytes | Secret) -> bytes:
+    return key.read() if isinstance(key, Secret) else key
+
+
+def mac(message: Column, key: bytes | Secret) -> Column:
+    """HMAC-SHA256 as hex: native for a key given as bytes (tests), read where it is used for a secret."""
+    return hmac_from_env(message, key.variable) if isinstance(key, Secret) else hmac_native(message, key)
+
+
+def caller_hash(caller_json: Column, salt: bytes | Secret | None = None) -> Column:
+    """Hash of a caller's canonical JSON; with a salt it is keyed, and its prefix says so. Null for null."""
+    body = canonical(caller_json)
+    if salt is None:
+        return F.concat(F.lit("sha256:"), F.sha2(F.encode(body, "UTF-8"), 256))
+    return F.concat(F.lit("hmac-sha256:"), mac(body, salt))
+
+
+def value_hash(value: Column, kind: str = "text") -> Column:
+    """Hash of a ``text`` or ``binary`` value as it is, of ``json`` text in canonical form. Null for null."""
+    if kind == "json":
+        return json_hash(value)
+    if kind not in ("text", "binary"):
+        raise ValueError(f"no such kind of value: {kind}")
+    return F.concat(F.lit("sha256:"), F.sha2(F.encode(value, "UTF-8") if kind == "text" else value, 256))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """One JSON object from the texts of two that share no key, as ``to_json`` writes them."""
+    both = F.concat(first.substr(F.lit(1), F.length(first) - 1), F.lit(","), second.substr(F.lit(2), F.length(second)))
+    return F.when(second == "{}", first).when(first == "{}", second).otherwise(both)

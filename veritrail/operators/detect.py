@@ -62,3 +62,28 @@ def kind_ratio(calls: DataFrame) -> DataFrame:
     """Share of each step kind in a caller's day."""
     per = calls.groupBy("caller", day(F.col("ts")).alias("day"), "step_kind").agg(F.count("*").alias("n"))
     return per.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("caller", "day")), 9))
+
+
+def sorted_percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """count, min, max, mean and the p50, p95, p99, p999 of each key: the value at place floor(p * (n - 1)) of all in order.
+
+    Equal values are counted before they are sorted, so a key with very many rows
+    but few different values is no hot one. Nulls of ``value`` do not count.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("c").over(Window.partitionBy(key))
+    ranked = counts.withColumns({"upto": upto, "n": total})
+    places = {"p50": F.expr("(n - 1) div 2"), **{name: F.floor(F.lit(p) * (F.col("n") - 1)) for name, p in (("p95", 0.95), ("p99", 0.99), ("p999", 0.999))}}
+    at = [F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()]
+    return ranked.groupBy(key).agg(F.max("n").alias("count"), F.min(value).alias("min"), *at, F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"))
+
+
+def labelled(rows: DataFrame, names: DataFrame, max_names: int = 100_000) -> DataFrame:
+    """Left join with names of caller hashes (caller_hash, label); the first label of a hash in text order, the hash itself without one.
+
+    The names are broadcast where there are at most ``max_names`` of them.
+    """
+    one = names.groupBy("caller_hash").agg(F.min("label").alias("label"))
+    small = one.limit(max_names + 1).count() <= max_names
+    return rows.join(F.broadcast(one) if small else one, "caller_hash", "left").withColumn("label", F.coalesce("label", "caller_hash"))

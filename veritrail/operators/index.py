@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.functions.canon import has_control, hmac_native, row_payload
+from veritrail.functions.canon import Secret, has_control, mac, row_payload
 from veritrail.functions.times import instant
 
 SIGNED = ("fingerprint", "document_id", "document_version", "ingested_at", "chunk_offset", "chunk_length")
@@ -39,8 +39,8 @@ def accepted(events: DataFrame) -> DataFrame:
     return events.filter(~F.coalesce(_refused(), F.lit(False)))
 
 
-def sign(rows: DataFrame, key: bytes) -> DataFrame:
-    return rows.withColumn("signature", hmac_native(row_payload(*SIGNED), key))
+def sign(rows: DataFrame, key: bytes | Secret) -> DataFrame:
+    return rows.withColumn("signature", mac(row_payload(*SIGNED), key))
 
 
 def stored_rows(events: DataFrame) -> DataFrame:
@@ -90,9 +90,9 @@ def best_rows(index: DataFrame) -> DataFrame:
     return best.select("fingerprint", "x.o.superseded", "x.o.document_id", "x.o.document_version", "x.r.*")
 
 
-def outcome(key: bytes) -> Column:
+def outcome(key: bytes | Secret) -> Column:
     """Outcome of a chunk joined with its best row; the first that applies counts."""
-    genuine = hmac_native(row_payload(*SIGNED), key) == F.col("signature")
+    genuine = mac(row_payload(*SIGNED), key) == F.col("signature")
     return (
         F.when(F.col("document_id").isNull(), "UNVERIFIED")
         .when(~F.coalesce(genuine, F.lit(False)), "TAMPERED")
@@ -102,12 +102,29 @@ def outcome(key: bytes) -> Column:
     )
 
 
-def verify(chunks: DataFrame, index: DataFrame, key: bytes) -> DataFrame:
+def verify(chunks: DataFrame, index: DataFrame, key: bytes | Secret) -> DataFrame:
     """Left join of chunks (with ``fingerprint``) and best rows; a chunk that is not found is unverified."""
     found = chunks.join(best_rows(index), "fingerprint", "left")
     return found.withColumn("outcome", outcome(key))
 
 
+def verify_memory(chunks: DataFrame, index: DataFrame, key: bytes | Secret) -> DataFrame:
+    """Verify entries of a memory store. ``step_kind`` and ``content_source`` of a row win over the defaults."""
+    found = verify(chunks, index, key)
+    for name, default in (("step_kind", "memory_read"), ("content_source", "memory_store")):
+        found = found.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in chunks.columns else F.lit(default))
+    return found
+
+
+def ingest_counts(events: DataFrame) -> DataFrame:
+    """Chunks and fingerprints that were sent in for each document: attempts, whether or not a row was stored.
+
+    ``whole`` marks the add of a chunk itself, as against those of its windows.
+    """
+    adds = events.filter("kind = 'add'").groupBy("document_id")
+    return adds.agg(F.count("*").alias("fingerprint_count"), F.count_if("whole").alias("chunk_count"))
+
+
 def superseded_counts(events: DataFrame) -> DataFrame:
     """For each supersede event, the stored rows that it newly marks."""
     # The first event after a row that names another version: runs of events that name one version are numbered

@@ -29,6 +29,32 @@ def linked_sessions(calls: DataFrame, gap: int = SESSION_GAP_S) -> DataFrame:
     ).drop("_new", "_n")
 
 
+def next_steps(calls: DataFrame) -> DataFrame:
+    """Steps of given trajectories, each the successor of the one before.
+
+    ``calls`` has trajectory_id, ts, receipt_id and optionally step_kind,
+    agent_id, session_id (of the trajectory) and request_session_id. An agent or
+    session holds until another is named; a request's session wins over the
+    trajectory's for its step and after; a step's kind is its own. A row without
+    receipt_id advances the number and leaves the parents as they were, so the
+    rows that are returned, those with a receipt, may have gaps in step_index.
+    """
+    have = lambda c: F.col(c) if c in calls.columns else F.lit(None).cast("string")
+    order = Window.partitionBy("trajectory_id").orderBy("ts", F.col("receipt_id").asc_nulls_last())
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    parent = F.last("receipt_id", ignorenulls=True).over(before)
+    steps = calls.withColumns(
+        {
+            "step_index": F.row_number().over(order) - 1,
+            "parent_step_ids": F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent)),
+            "trajectory_started_at": F.first("ts").over(so_far),
+            "agent_id": F.last(have("agent_id"), ignorenulls=True).over(so_far),
+            "session_id": F.last(F.coalesce(have("request_session_id"), have("session_id")), ignorenulls=True).over(so_far),
+        }
+    )
+    return steps.filter("receipt_id IS NOT NULL")
+
+
 def edges(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
     return receipts.select(group, "receipt_id", F.explode("parent_step_ids").alias("parent_id"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import canon, text
-from veritrail.operators import detect, events, index, merkle, policy, receipts, trajectory
+from veritrail.operators import decisions, detect, events, index, merkle, policy, receipts, trajectory
 from veritrail.plans import oracle as sql
 from veritrail.runtime import materialize, ship
 from veritrail.runtime import spread_table as table
@@ -171,6 +171,26 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir).groupBy("outcome", "origin").agg(F.count("*").alias("chunks"))
 
 
+@query(
+    f"""WITH {sql.BEST}, mem AS (SELECT conv_id, turn, {sql.fp(sql.norm('text'))} AS fingerprint FROM conversations)
+  SELECT conv_id, turn, CASE WHEN b.document_id IS NULL THEN 'UNVERIFIED' WHEN {sql.hmac(sql.PAYLOAD.replace('fingerprint', 'b.fingerprint'))} <> b.signature THEN 'TAMPERED'
+    WHEN NOT b.authorized THEN 'UNAUTHORIZED' WHEN b.superseded THEN 'STALE' ELSE 'VERIFIED' END AS outcome, 'memory_read' AS step_kind, CASE WHEN turn = 0 THEN 'live_tool_output' ELSE 'memory_store' END AS content_source
+  FROM mem LEFT JOIN best b ON mem.fingerprint = b.fingerprint"""
+)
+def memory_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as entries of a memory store; first turns name another source, which wins."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.chunk_fingerprint(F.col("text")).alias("fingerprint"), F.when(F.col("turn") == 0, "live_tool_output").alias("content_source"))
+    found = index.verify_memory(turns, index.index_rows(derived.signed_log(spark, sf_dir)), KEY)
+    return found.select("conv_id", "turn", "outcome", "step_kind", "content_source")
+
+
+@query(f"WITH {sql.WINDOW_LOG} SELECT document_id, count(*) AS fingerprint_count, count(DISTINCT seq) AS chunk_count FROM log GROUP BY document_id")
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ingestion reports of each document: chunks, and fingerprints of chunks and windows, repeats included."""
+    log = derived.window_log(spark, sf_dir)
+    return index.ingest_counts(log.withColumn("whole", F.col("fingerprint") == F.col("document_version")))
+
+
 GATE = "outcome IN ('UNAUTHORIZED', 'TAMPERED')"
 
 
@@ -294,6 +314,76 @@ def tool_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tool_decisions(spark, sf_dir).select("event_id", "receipt_id", "decision", F.array_join("rules_fired", ",").alias("rules_fired"))
 
 
+# --- decision records --------------------------------------------------------
+
+ACCESS = policy.bundle(CHUNK_POLICY, "access_control")
+TOOLS = policy.bundle(TOOL_POLICY, "tool_call_control")
+_CALLER_SQL = """'{"id":"' || caller || '","role":"member"}'"""
+_REQUESTER_SQL = """'{"id":"' || request_id || '"}'"""
+
+
+def _named(b: policy.Bundle) -> dict[str, str]:
+    return {"evaluator": "rules", "policy_id": b.policy_id, "policy_version_hash": b.version_hash}
+
+
+def _chunk_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of the decision on each document; those divisible by seven name a source of their own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    own = F.when(F.col("doc_id") % 7 == 0, "live_tool_output")
+    meta = F.to_json(F.struct(F.col("source").alias("corpus"), F.col("lang").alias("residency"), F.when(F.col("doc_id") % 5 == 0, "true").alias("contains_pii"), own.alias("content_source")))
+    request = decisions.request_block(F.lit('{"id":"caller"}'), F.lit(None).cast("string"), F.when(F.col("doc_id") % 3 == 0, "support").otherwise("search"), F.lit(NOW))
+    inputs = decisions.chunk_inputs(meta, derived.iso(F.lit(derived.EPOCH_MS) + F.col("doc_id") * 1000), F.lit("indexed_corpus"), request)
+    return docs.select("doc_id", inputs.alias("inputs")).withColumn("inputs_hash", decisions.inputs_hash(F.col("inputs")))
+
+
+_INPUTS_SQL = f"""
+inputs AS (SELECT doc_id, '{{"chunk_metadata":{{' || concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN '"contains_pii":"true"' END, '"content_source":"' || CASE WHEN doc_id % 7 = 0 THEN 'live_tool_output' ELSE 'indexed_corpus' END || '"',
+    '"corpus":"' || source || '"', '"ingested_at":"' || {sql.iso(f'{derived.EPOCH_MS} + doc_id * 1000')} || '"', '"residency":"' || lang || '"') ||
+  '}},"request_context":{{"caller":{{"id":"caller"}},"jurisdiction":null,"purpose":"' || CASE WHEN doc_id % 3 = 0 THEN 'support' ELSE 'search' END || '","timestamp":"{NOW}"}}}}' AS inputs FROM documents)"""
+
+
+@query(f"WITH {_INPUTS_SQL} SELECT doc_id, inputs, {sql.fp('inputs')} AS inputs_hash FROM inputs")
+def decision_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_inputs(spark, sf_dir)
+
+
+def _recorded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decided tool calls with the fields of an action record; purchases name a target, clicks an invocation."""
+    calls = _tool_decisions(spark, sf_dir).withColumns(
+        {
+            "name": F.col("event_type"),
+            "operation": F.lit("invoke"),
+            "parameters": F.to_json(F.struct("caller", "amount")),
+            "target_system": F.when(F.col("event_type") == "purchase", "billing"),
+            "invocation_id": F.when(F.col("event_type") == "click", F.concat(F.lit("call-"), "event_id")),
+            "caller_json": F.to_json(F.struct(F.lit("member").alias("role"), F.col("caller").alias("id"))),
+        }
+    )
+    request = decisions.request_block(F.col("caller_json"), F.lit("EU"), F.lit(None).cast("string"), F.col("issued_at"))
+    inputs = decisions.tool_inputs(F.col("name"), F.col("operation"), F.col("parameters"), request, F.col("target_system"), F.col("invocation_id"))
+    return calls.withColumns({"inputs": inputs, "parameters_hash": canon.json_hash(F.col("parameters"))}).withColumn("inputs_hash", decisions.inputs_hash(F.col("inputs")))
+
+
+_RECORDED_SQL = f"""
+params AS (SELECT *, '{{"amount":' || amount || ',"caller":"' || caller || '"}}' AS parameters FROM tools),
+recorded AS (SELECT *, {sql.fp('parameters')} AS parameters_hash,
+    '{{"request_context":{{"caller":' || {_CALLER_SQL} || ',"jurisdiction":"EU","purpose":null,"timestamp":"' || issued_at || '"}},"tool_parameters":{{' ||
+    concat_ws(',', CASE WHEN event_type = 'click' THEN '"invocation_id":"call-' || event_id || '"' END, '"name":"' || event_type || '"', '"operation":"invoke"', '"parameters":' || parameters, CASE WHEN event_type = 'purchase' THEN '"target_system":"billing"' END) || '}}}}' AS inputs FROM params)"""
+
+
+@query(f"WITH {_TOOL_SQL}, {_RECORDED_SQL} SELECT event_id, parameters_hash, {sql.fp('inputs')} AS inputs_hash, 'hmac-sha256:' || {sql.hmac('(' + _CALLER_SQL + ')')} AS caller_hash FROM recorded")
+def tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of each call: parameters, inputs of the decision, and the caller under a salt."""
+    return _recorded_calls(spark, sf_dir).select("event_id", "parameters_hash", "inputs_hash", canon.caller_hash(F.col("caller_json"), KEY).alias("caller_hash"))
+
+
+@query(f"WITH {_TOOL_SQL}, d AS (SELECT user_id % 50 AS subject, arg_max(decision, event_id) AS decision FROM tools GROUP BY 1) SELECT event_id, subject, d.decision FROM tools JOIN d ON tools.user_id % 50 = d.subject")
+def last_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls joined with the last of several decisions on their subject."""
+    decided = _tool_decisions(spark, sf_dir).withColumn("subject", F.col("user_id") % 50)
+    return decisions.attach(decided.select("event_id", "subject"), decided.select("subject", F.col("event_id").alias("pos"), "decision"), ["subject"], "pos").select("event_id", "subject", "decision")
+
+
 # --- receipts --------------------------------------------------------------
 
 
@@ -346,6 +436,67 @@ def receipt_signatures_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.audit(signed.select("event_id", told.alias("receipt")), "receipt", KEY).select("event_id", "signature_state", "ok")
 
 
+def _decided_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved chunks with their outcome and, where they are documents, the decision on them."""
+    decided = _chunk_decisions(spark, sf_dir).join(_chunk_inputs(spark, sf_dir), "doc_id").withColumns({"origin": F.lit("documents"), "n": F.col("doc_id"), "pos": F.lit(0)}).drop("doc_id")
+    return decisions.attach(_verified(spark, sf_dir), decided, ["origin", "n"], "pos")
+
+
+def _whole_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of requests with retrieved chunks, memory entries, tool calls, or both kinds."""
+    chunks = _decided_chunks(spark, sf_dir)
+    claim = F.array(F.struct(F.lit("relevant").alias("type"), F.lit("agent-1").alias("asserted_by"), F.lit(True).alias("value")))
+    sources = chunks.withColumns({"content_source": F.when(F.col("origin") == "conversations", "memory_store"), "claims": F.when(F.col("chunk_index") == 0, claim)})
+    calls = _recorded_calls(spark, sf_dir).withColumn("request_id", F.concat(F.lit("documents-"), F.floor(F.col("event_id") / 8).cast("long")))
+    actions = calls.withColumn("action_index", (F.col("event_id") % 8).cast("int"))
+    short = F.substring(F.sha2(F.col("request_id").cast("binary"), 256), 1, 32)
+    part = F.substring_index("request_id", "-", 1)
+    step = F.struct(
+        F.concat(F.lit("trj_"), short).alias("trajectory_id"), F.lit(0).alias("step_index"), F.array().cast("array<string>").alias("parent_step_ids"), F.lit(NOW).alias("trajectory_started_at"),
+        F.when(part == "conversations", "memory_read").when(part == "benchmark", "retrieval").alias("step_kind"),
+    )
+    requests = derived.retrieved(spark, sf_dir).select("request_id").union(derived.calls(spark, sf_dir).select(F.concat(F.lit("documents-"), F.floor(F.col("event_id") / 8).cast("long")))).distinct()
+    heads = requests.withColumns(
+        {
+            "receipt_id": F.concat(F.lit("prx_"), short),
+            "issued_at": F.lit(NOW),
+            "output_text": F.col("request_id"),
+            "caller_hash": canon.caller_hash(F.to_json(F.struct(F.col("request_id").alias("id"))), KEY),
+            "trajectory": step,
+        }
+    )
+    return receipts.full_receipts(heads, FLAGS, sources, actions, _named(ACCESS), _named(TOOLS))
+
+
+@query(
+    f"""WITH {sql.VERIFIED}, {_CHUNK_SQL}, {_TOOL_SQL}, {_INPUTS_SQL}, {_RECORDED_SQL},
+  src AS (SELECT v.request_id, count(*) AS total_chunks, count(*) FILTER (WHERE outcome = 'VERIFIED') AS verified, bool_or({GATE}) AS b, bool_or(outcome <> 'VERIFIED') AS o, count(*) FILTER (WHERE d.decision = 'deny') AS access_denied,
+      string_agg({sql.fp('i.inputs')}, ',' ORDER BY chunk_index, fingerprint) AS inputs_hashes, count(*) FILTER (WHERE chunk_index = 0) AS claims, bool_or(origin = 'conversations') AS mem
+    FROM verified v LEFT JOIN decided d ON v.origin = 'documents' AND v.n = d.doc_id LEFT JOIN inputs i ON v.origin = 'documents' AND v.n = i.doc_id GROUP BY v.request_id),
+  act AS (SELECT 'documents-' || (event_id // 8) AS request_id, count(*) AS total_actions, count(*) FILTER (WHERE decision = 'deny') AS actions_denied, string_agg(parameters_hash, ',' ORDER BY event_id % 8) AS parameters_hashes FROM recorded GROUP BY 1)
+  SELECT request_id, 'prx_' || sha256(request_id)[1:32] AS receipt_id, 'hmac-sha256:' || {sql.hmac('(' + _REQUESTER_SQL + ')')} AS caller_hash, {sql.fp('request_id')} AS output_hash, coalesce(total_chunks, 0) AS total_chunks, coalesce(verified, 0) AS verified,
+    total_actions, actions_denied, CASE WHEN coalesce(b, false) OR coalesce(actions_denied, 0) > 0 THEN 'FAIL' WHEN coalesce(o, false) THEN 'PARTIAL' ELSE 'PASS' END AS overall_status, coalesce(access_denied, 0) AS access_denied, coalesce(inputs_hashes, '') AS inputs_hashes, coalesce(parameters_hashes, '') AS parameters_hashes,
+    coalesce(claims, 0) AS claims, CASE WHEN mem THEN 'memory_store' END AS content_source, CASE WHEN request_id LIKE 'conv%' THEN 'memory_read' WHEN request_id LIKE 'bench%' THEN 'retrieval' END AS step_kind,
+    'trj_' || sha256(request_id)[1:32] AS trajectory_id, '{ACCESS.version_hash}' AS access_version, 'valid' AS signature_state FROM src FULL JOIN act USING (request_id)"""
+)
+def whole_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed receipts with all their blocks, read back from their JSON."""
+    signed = _whole_receipts(spark, sf_dir).withColumn("receipt", receipts.sign_json(F.col("receipt"), KEY))
+    state = receipts.audit(signed, "receipt", KEY).withColumn("v", F.try_parse_json("receipt"))
+    get = lambda p, t="string": F.expr(f"try_variant_get(v, '$.{p}', '{t}')")
+    fields = lambda p, t: F.expr(f"coalesce(try_variant_get(v, '$.{p}', 'array<struct<{t}>>'), array())")
+    seen = fields("policy.access_control.decisions", "decision:string,inputs_hash:string")
+    sources, actions = fields("sources", "content_source:string,claims:array<struct<type:string>>"), fields("actions", "parameters_hash:string")
+    return state.select(
+        "request_id", "receipt_id", get("caller_hash").alias("caller_hash"), get("output.hash").alias("output_hash"),
+        *[get(f"summary.{c}", "bigint").alias(c) for c in ("total_chunks", "verified", "total_actions", "actions_denied")], get("summary.overall_status").alias("overall_status"),
+        F.size(F.filter(seen, lambda d: d["decision"] == "deny")).cast("long").alias("access_denied"), F.array_join(F.transform(seen, lambda d: d["inputs_hash"]), ",").alias("inputs_hashes"),
+        F.array_join(F.transform(actions, lambda a: a["parameters_hash"]), ",").alias("parameters_hashes"), F.size(F.filter(sources, lambda x: x["claims"].isNotNull())).cast("long").alias("claims"),
+        F.get(sources, F.lit(0))["content_source"].alias("content_source"), get("trajectory.step_kind").alias("step_kind"), get("trajectory.trajectory_id").alias("trajectory_id"),
+        get("policy.access_control.policy_version_hash").alias("access_version"), "signature_state",
+    )
+
+
 # --- Merkle log ------------------------------------------------------------
 
 
@@ -512,6 +663,49 @@ def event_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("class_uid", "severity_id").agg(F.count("*").alias("n"))
 
 
+def _event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    chunks = _decided_chunks(spark, sf_dir)
+    kind = events.source_kind(F.col("outcome"), FLAGS.blocks(F.col("outcome")), F.col("decision"))
+    sources = chunks.select(
+        kind.alias("kind"), events.severity(kind, F.col("outcome"), F.col("decision")).alias("severity_id"), F.concat(F.lit("prx_"), F.substring(F.sha2(F.col("request_id").cast("binary"), 256), 1, 32)).alias("receipt_id"),
+        F.col("chunk_index").cast("long").alias("item"), F.lit(NOW).alias("issued_at"), F.lit("retrieval").alias("step_kind"), none.alias("trajectory_id"), "document_id", "document_version", "fingerprint", "outcome", "decision", "rules_fired", "inputs_hash",
+        F.lit(ACCESS.policy_id).alias("policy_id"),
+    )
+    steps = trajectory.linked_sessions(_recorded_calls(spark, sf_dir))
+    akind = events.action_kind(F.col("decision"))
+    actions = steps.select(
+        akind.alias("kind"), events.severity(akind, none, F.col("decision")).alias("severity_id"), "receipt_id", F.lit(0).cast("long").alias("item"), "issued_at", "step_kind", "trajectory_id", "session_id",
+        canon.caller_hash(F.col("caller_json")).alias("caller_hash"), "name", "operation", "target_system", "parameters_hash", "decision", "rules_fired", "inputs_hash", F.lit(TOOLS.policy_id).alias("policy_id"),
+    )
+    rows = sources.unionByName(actions, allowMissingColumns=True).withColumn("issuer", F.lit(receipts.ISSUER))
+    return events.blocks(events.skeleton(rows))
+
+
+@query(
+    f"""WITH {_EVENT_SQL}, {_INPUTS_SQL}, {_RECORDED_SQL},
+  s AS (SELECT v.*, d.decision, d.rules_fired, {sql.fp('i.inputs')} AS inputs_hash, coalesce({GATE}, false) OR coalesce(d.decision = 'deny', false) AS blocked FROM verified v LEFT JOIN decided d ON v.origin = 'documents' AND v.n = d.doc_id LEFT JOIN inputs i ON i.doc_id = d.doc_id),
+  a AS (SELECT r.*, {sql.fp('r.inputs')} AS inputs_hash, r.decision = 'deny' AS blocked, st.session_id, st.trajectory_id FROM recorded r JOIN steps st USING (event_id))
+  SELECT 'prx_' || sha256(request_id)[1:32] AS receipt_id, chunk_index::BIGINT AS item, CASE WHEN blocked THEN 'verification.block' ELSE 'verification.allow' END AS event_code,
+    array_to_string(list_filter(['step_kind:retrieval', 'verification_outcome:' || outcome, CASE WHEN NOT blocked THEN 'inputs_hash:' || inputs_hash END,
+      CASE WHEN (NOT blocked OR outcome = 'VERIFIED') AND len(rules_fired) > 0 THEN 'rules_fired:' || array_to_string(rules_fired, ',') END], lambda x: x IS NOT NULL), '|') AS labels,
+    NULL AS session_uid, 'chunks' AS policy_uid, NULL AS actor_uid, coalesce(document_id, fingerprint) AS resource_uid, NULL AS service, NULL AS service_label,
+    CASE WHEN blocked THEN CASE WHEN outcome <> 'VERIFIED' THEN outcome ELSE 'ACCESS_CONTROL_DENY' END END AS finding, CASE WHEN blocked THEN inputs_hash END AS related FROM s
+  UNION ALL SELECT receipt_id, 0, CASE WHEN blocked THEN 'admission.deny' ELSE 'admission.allow' END,
+    array_to_string(list_filter(['step_kind:' || step_kind, CASE WHEN len(rules_fired) > 0 THEN 'rules_fired:' || array_to_string(rules_fired, ',') END, CASE WHEN NOT blocked THEN 'inputs_hash:' || inputs_hash END,
+      CASE WHEN NOT blocked AND len(rules_fired) > 0 THEN 'rules_fired:' || array_to_string(rules_fired, ',') END], lambda x: x IS NOT NULL), '|'),
+    session_id, 'tools', {sql.fp('(' + _CALLER_SQL + ')')}, NULL, event_type, CASE WHEN event_type = 'purchase' THEN 'target_system:billing' END, CASE WHEN blocked THEN 'ADMISSION_DENY' END, CASE WHEN blocked THEN inputs_hash || ',' || parameters_hash END FROM a"""
+)
+def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested parts of security events: labels, actor, resource, service, findings."""
+    m = F.col("metadata")
+    return _event_blocks(spark, sf_dir).select(
+        "receipt_id", "item", m["event_code"].alias("event_code"), F.array_join(m["labels"], "|").alias("labels"), m["session_uid"].alias("session_uid"), m["policy_uid"].alias("policy_uid"),
+        F.col("actor.user.uid").alias("actor_uid"), F.get("resources", F.lit(0))["uid"].alias("resource_uid"), F.col("api.service.name").alias("service"), F.get(F.col("api.service.labels"), F.lit(0)).alias("service_label"),
+        F.get(F.col("finding_info.types"), F.lit(0)).alias("finding"), F.array_join(F.transform("finding_info.related_events", lambda x: x["uid"]), ",").alias("related"),
+    )
+
+
 # --- detection -------------------------------------------------------------
 
 
@@ -575,3 +769,29 @@ def memwrite_then_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sql.CALLS}, n AS (SELECT caller, ts::DATE AS day, step_kind, count(*) AS n FROM calls GROUP BY ALL) SELECT caller, day, step_kind, n, round(n / sum(n) OVER (PARTITION BY caller, day), 9) AS ratio FROM n")
 def content_source_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.kind_ratio(derived.calls(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sql.CALLS}, r AS (SELECT step_kind, amount, row_number() OVER (PARTITION BY step_kind ORDER BY amount) - 1 AS i, count(*) OVER (PARTITION BY step_kind) AS n FROM calls WHERE amount IS NOT NULL)
+  SELECT step_kind, max(n) AS "count", min(amount) AS min, max(amount) AS max, max(amount) FILTER (WHERE i = (n - 1) // 2) AS p50, max(amount) FILTER (WHERE i = floor(0.95::DOUBLE * (n - 1))) AS p95,
+    max(amount) FILTER (WHERE i = floor(0.99::DOUBLE * (n - 1))) AS p99, max(amount) FILTER (WHERE i = floor(0.999::DOUBLE * (n - 1))) AS p999, round(sum(amount)::DOUBLE / max(n), 6) AS mean FROM r GROUP BY step_kind"""
+)
+def amount_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.sorted_percentiles(derived.calls(spark, sf_dir), "step_kind", "amount").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""WITH {sql.CALLS}, t AS (SELECT *, CASE WHEN event_type <> 'error' THEN receipt_id END AS rid, CASE WHEN event_type = 'signup' THEN 'agent-' || k END AS agent, CASE WHEN event_type = 'purchase' THEN 'session-' || k END AS sess FROM calls),
+  o AS (SELECT rid, caller, (row_number() OVER w - 1)::INT AS step_index, last_value(agent IGNORE NULLS) OVER w AS agent_id, last_value(sess IGNORE NULLS) OVER w AS session_id,
+      last_value(rid IGNORE NULLS) OVER (PARTITION BY caller ORDER BY ts, rid NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_id
+    FROM t WINDOW w AS (PARTITION BY caller ORDER BY ts, rid NULLS LAST, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT rid AS receipt_id, 'trj-' || caller AS trajectory_id, step_index, agent_id, session_id, parent_id FROM o WHERE rid IS NOT NULL"""
+)
+def trajectory_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a trajectory per caller: hand-overs between agents, sessions of requests, and errors that leave a gap."""
+    c = derived.calls(spark, sf_dir)
+    rows = c.select(
+        F.concat(F.lit("trj-"), "caller").alias("trajectory_id"), "ts", F.when(F.col("event_type") != "error", F.col("receipt_id")).alias("receipt_id"), "step_kind",
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("agent-"), "k")).alias("agent_id"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("session-"), "k")).alias("request_session_id"),
+    )
+    return trajectory.next_steps(rows).select("receipt_id", "trajectory_id", "step_index", "agent_id", "session_id", F.get("parent_step_ids", F.lit(0)).alias("parent_id"))

@@ -60,16 +60,30 @@ def chunk_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce(*have))
 
 
+def _content(x):
+    """Text of an object that says it by ``get_content()``; None where it has no such method, or one that needs arguments."""
+    try:
+        return x.get_content()
+    except (AttributeError, TypeError):
+        return None
+
+
 def chunk_rows(spark: SparkSession, value) -> DataFrame:
-    """Chunks from Python values: a text, a list of texts, or of dicts or objects with one of the known fields."""
+    """Chunks from Python values: a text, a list of texts, or of dicts or objects with one of the known fields.
+
+    What a scored hit holds under ``node`` is taken out first; ``get_content()`` comes before the fields.
+    """
     items = [value] if isinstance(value, (str, dict)) or not isinstance(value, (list, tuple)) else list(value)
     texts = []
     for x in items:
+        if not isinstance(x, (str, dict)):
+            x = getattr(x, "node", x)
         if isinstance(x, str):
             texts.append(x)
             continue
         get = x.get if isinstance(x, dict) else lambda k, x=x: getattr(x, k, None)
-        found = next((t for k in ("page_content", "content", "text") if isinstance(t := get(k), str)), None)
+        said = _content(x)
+        found = said if isinstance(said, str) else next((t for k in ("page_content", "content", "text") if isinstance(t := get(k), str)), None)
         if found is None:
             raise TypeError(f"not a chunk: {type(x).__name__}")
         texts.append(found)

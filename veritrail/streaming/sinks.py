@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import re
+from collections import deque
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -31,6 +33,19 @@ def jsonl(path: str, column: str = "receipt") -> Sink:
     return write
 
 
+def daily_lines(path: str, prefix: str = "receipts", column: str = "receipt") -> Sink:
+    """Append lines under ``path``/``prefix``-YYYY-MM-DD, by the day of issue (UTC); the prefix must be a plain name."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", prefix):
+        raise ValueError(f"not a plain name: {prefix!r}")
+
+    def write(df: DataFrame) -> None:
+        # The writer names folders of a partition column key=value; the name of the file goes into the value.
+        day = F.concat_ws("-", F.lit(prefix), "year", "month", "day")
+        dated(df).select(day.alias("file"), F.col(column).alias("value")).write.mode("append").partitionBy("file").text(path)
+
+    return write
+
+
 def hourly(path: str, column: str = "receipt") -> Sink:
     def write(df: DataFrame) -> None:
         dated(df).select("year", "month", "day", "hour", F.col(column).alias("value")).write.mode("append").partitionBy("year", "month", "day", "hour").text(path)
@@ -65,6 +80,52 @@ def fan_out(sinks: Sequence[Sink]) -> Sink:
     return write
 
 
+class Retrying:
+    """A sink that keeps failed batches and offers them again, oldest first, before the next one.
+
+    At most ``keep`` batches wait; beyond that the oldest is lost, which is
+    logged once each time the queue becomes full. A batch waits as its plan, so
+    its source must still be there when it is written. Where nothing may be lost,
+    let the stream's checkpoint retry instead (``start``). For one caller at a time.
+    """
+
+    def __init__(self, sink: Sink, keep: int = 1000):
+        self.sink, self.waiting, self.closed, self._told = sink, deque(maxlen=keep), False, False
+
+    def _wait(self, df: DataFrame) -> None:
+        if len(self.waiting) == self.waiting.maxlen and not self._told:
+            log.warning("queue of %d batches is full, the oldest are lost", self.waiting.maxlen)
+            self._told = True
+        self.waiting.append(df)
+
+    def _drain(self) -> bool:
+        while self.waiting:
+            try:
+                self.sink(self.waiting[0])
+            except Exception as e:  # noqa: BLE001
+                log.warning("%d batches wait: %s", len(self.waiting), type(e).__name__)
+                return False
+            self.waiting.popleft()
+            self._told = False
+        return True
+
+    def __call__(self, df: DataFrame) -> None:
+        if self.closed:
+            raise RuntimeError("the sink is closed")
+        if self._drain():
+            try:
+                return self.sink(df)
+            except Exception as e:  # noqa: BLE001
+                log.warning("a batch waits: %s", type(e).__name__)
+        self._wait(df)
+
+    def close(self) -> int:
+        """Offer what waits once more; the number of batches that are lost."""
+        self.closed = True
+        self._drain()
+        return len(self.waiting)
+
+
 def start(stream: DataFrame, sink: Sink, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Run a sink on each batch of a stream; the checkpoint and task retries take the place of a retry queue."""
     return stream.writeStream.foreachBatch(lambda df, _: sink(df)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
