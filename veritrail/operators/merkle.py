@@ -67,14 +67,30 @@ def root(tree: DataFrame) -> DataFrame:
 
 
 def proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Inclusion proof (array of hex, from the leaf up) of each leaf_index in ``wanted``."""
+    """Inclusion proof (array of hex, from the leaf up) of each leaf_index in ``wanted``.
+
+    Paths are made a band of BLOCK_LEVELS levels at a time, from the top down. A
+    band's nodes are gathered in blocks of a fixed size, one of which holds all
+    siblings on a path through the band; so a leaf meets one row per band, and
+    the path above a block is found once for all leaves below it.
+    """
     height = tree.agg(F.max("level")).first()[0] or 0
-    if not height:
-        return wanted.select("leaf_index").distinct().withColumn("proof", F.array().cast("array<string>"))
-    steps = wanted.select("leaf_index").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    steps = steps.withColumn("idx", F.expr("shiftright(leaf_index, level) ^ 1"))
-    found = steps.join(tree, ["level", "idx"], "left").groupBy("leaf_index").agg(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("level", F.lower(F.hex("hash")).alias("h"))))).alias("p"))
-    return found.select("leaf_index", F.transform("p", lambda x: x["h"]).alias("proof"))
+    leaves = wanted.select("leaf_index").distinct()
+    above = None
+    for base in reversed(range(0, height, BLOCK_LEVELS)):
+        h = min(BLOCK_LEVELS, height - base)
+        band = tree.filter((F.col("level") >= base) & (F.col("level") < base + h)).withColumn("_j", F.col("level") - base)
+        lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_j") == j, F.struct("idx", F.lower(F.hex("hash")).alias("h"))))), lambda x: x["h"]).alias(f"_l{j}") for j in range(h)]
+        blocks = band.groupBy(F.expr(f"shiftright(idx, {h} - _j)").alias("_b")).agg(*lists)
+        at = leaves.select(F.expr(f"shiftright(leaf_index, {base})").alias("_w")).distinct().withColumn("_b", F.expr(f"shiftright(_w, {h})"))
+        own = "array_compact(array(%s))" % ", ".join(f"get(_l{j}, cast((shiftright(_w, {j}) ^ 1) - shiftleft(_b, {h - j}) AS int))" for j in range(h))
+        found = at.join(blocks, "_b").select("_w", "_b", F.expr(own).alias("_p"))
+        if above is not None:
+            found = found.join(above.select(F.col("_w").alias("_b"), F.col("proof").alias("_up")), "_b").withColumn("_p", F.concat("_p", "_up"))
+        above = found.select("_w", F.col("_p").alias("proof"))
+    if above is None:
+        return leaves.withColumn("proof", F.array().cast("array<string>"))
+    return above.withColumnRenamed("_w", "leaf_index")
 
 
 def proof_holds(leaf: str, index: str, proof: str, size: str, expected: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import text
 from veritrail.functions.times import iso, micros_of_local
 from veritrail.operators import index
+from veritrail.runtime import materialize
 from veritrail.runtime import spread_table as table
 
 #: A key for derived test data; production keys never stand in code.
@@ -23,11 +24,14 @@ EPOCH_MS = 1704067200000
 
 
 def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One add per document, its whole text as one chunk; two versions per document_id."""
+    """One add per document, its whole text as one chunk; two versions per document_id.
+
+    The log is written, as an index keeps it: rows, state and supersession each read it, and texts are hashed once.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     fp = text.chunk_fingerprint(F.col("text"))
-    return (
+    log = (
         docs.join(toxic, "doc_id", "left")
         .select(
             F.col("doc_id").alias("seq"),
@@ -41,6 +45,7 @@ def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumn("document_version", F.col("fingerprint"))
     )
+    return materialize(log, "log")
 
 
 def signed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
