@@ -12,7 +12,7 @@ before the text's start are a symbol of their own.
 
 The corpus is dealt into chunks of about ``CHUNK_BYTES`` of text. A chunk reports
 its distinct byte strings of DEPTH + 1 and distinct words with training counts;
-strings are dealt by the two most recent context bytes to tasks that sum their
+strings are packed and dealt by the two most recent context bytes to tasks that sum their
 counts, build their trees and send each chunk the values of its own keys. So
 nothing that grows with the corpus is broadcast or collected: the driver sees
 at most 256 * 255 statistics of contexts of one byte.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,28 @@ END_TOKEN = -1
 
 U = np.uint64
 _TILE = 2 << 20
-#: Keys are written sorted, so that their differences are small.
+#: Keys of words are written sorted, so that their differences are small.
 _PACKED = {"parquet.writer.version": "v2", "compression": "zstd"}
+#: The bits of a key below its two most recent context bytes.
+_BELOW_PAIR = 8 * (DEPTH - 1) + 1
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Eight-byte numbers as compressed bytes, all first bytes before all second ones."""
+    return _CODEC.compress(np.ascontiguousarray(x).view("uint8").reshape(-1, 8).T.tobytes(), asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(raw, 8 * n, asbytes=True), "uint8").reshape(8, n).T.copy().view(kind).ravel()
+
+
+def _pack_keys(sorted_keys: np.ndarray) -> bytes:
+    return _pack(np.diff(sorted_keys, prepend=U(0)))
+
+
+def _unpack_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(raw, n, "uint64"), dtype=U)
 
 
 def _word_key(w: bytes) -> int:
@@ -89,7 +110,7 @@ def _gram_keys(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of each chunk with their training counts."""
+    """Distinct keys of each chunk with their training counts: a row for each word, and for all byte strings of one pair of most recent bytes."""
     words: dict[int, tuple[Counter, set]] = {}
     grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
@@ -106,23 +127,43 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[None] += 1
             for key, _ in _gram_keys(texts):
                 u, n = np.unique(key, return_counts=True)
-                grams.setdefault(c, []).append((u, np.zeros_like(n) if h else n))
-            if len(grams[c]) > 24:
-                grams[c] = [_merged(grams[c])]
+                held = grams.setdefault(c, [])
+                held.append((u, np.zeros_like(n) if h else n))
+                while len(held) > 1 and len(held[-2][0]) < 2 * len(held[-1][0]):  # so few pieces of falling size are kept
+                    held.append(_merged(held.pop(), held.pop()))
     for c, (counts, others) in words.items():
-        u, n = _merged(grams[c])
+        held = grams.pop(c)
+        while len(held) > 1:
+            held.append(_merged(held.pop(), held.pop()))
+        u, n = held.pop()
         keys = [END_TOKEN if w is None else _word_key(w) for w in counts] + [_word_key(w) for w in others - counts.keys()]
-        ns = list(counts.values()) + [0] * (len(keys) - len(counts))
-        k = np.concatenate([u.view("int64"), np.array(keys, "int64")])
+        k = np.array(keys, "int64")
         order = np.argsort(k)
-        k, v = k[order], np.concatenate([n, np.array(ns, "int64")])[order]
+        k, v = k[order], np.array(list(counts.values()) + [0] * (len(keys) - len(counts)), "int64")[order]
         for lo in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[lo : lo + 200_000]), c, "int32")), pa.array(k[lo : lo + 200_000]), pa.array(v[lo : lo + 200_000])], names=["chunk", "key", "n"])
+            m = len(k[lo : lo + 200_000])
+            yield _rows(np.full(m, c), np.full(m, -1), k[lo : lo + 200_000], v[lo : lo + 200_000], [None] * m, [None] * m)
+        pair = (u >> U(_BELOW_PAIR)).astype("int64")
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        ends = np.r_[starts[1:], len(u)]
+        for lo in range(0, len(starts), 2000):
+            spans = list(zip(starts[lo : lo + 2000].tolist(), ends[lo : lo + 2000].tolist()))
+            m = len(spans)
+            yield _rows(np.full(m, c), pair[starts[lo : lo + 2000]], np.zeros(m, "int64"), np.array([e - b for b, e in spans]), [_pack_keys(u[b:e]) for b, e in spans], [_pack(n[b:e]) for b, e in spans])
+
 
+def _rows(chunk, pair, key, n, keys: list, counts: list) -> pa.RecordBatch:
+    arrays = [pa.array(chunk, pa.int32()), pa.array(pair, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["chunk", "pair", "key", "n", "keys", "counts"])
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return u, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype("int64")
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of two sorted pieces, each once, with the sum of its counts."""
+    key, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], np.add.reduceat(n[order], starts)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -155,7 +196,7 @@ class Trees:
     """The context trees below some pairs of most recent bytes, from distinct byte strings and their counts."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
-        keys = keys >> U(1)
+        keys = keys >> U(1)  # the mark of the kind goes
         symbol, context = keys & U(0xFF), keys >> U(8)
         ids, ones = [], []
         for i in range(8):
@@ -192,17 +233,25 @@ class Trees:
         return np.log10(np.where(self.bits, q, 1 - q)).reshape(8, -1).sum(axis=0)
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The trees of one task, and chunk, key and place among the distinct strings of each of its rows, in order of key."""
-    parts = [tuple(b.column(c).to_numpy() for c in ("chunk", "key", "n")) for b in batches if b.num_rows]
-    if not parts:
+def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[Trees, list[tuple[int, int, bytes]], np.ndarray] | None:
+    """The trees of one task, its rows (chunk, number of strings, their packed keys), and the place of each row's strings among the distinct ones."""
+    rows, keys, counts = [], [], []
+    for b in batches:
+        for chunk, n, k, c in zip(*(b.column(x).to_pylist() for x in ("chunk", "n", "keys", "counts"))):
+            rows.append((chunk, n, k))
+            keys.append(_unpack_keys(k, n))
+            counts.append(_unpack(c, n, "int64"))
+    if not rows:
         return None
-    chunk, key, n = map(np.concatenate, zip(*parts))
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
     order = np.argsort(key)
-    chunk, key = chunk[order], key[order]
+    key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    place = np.cumsum(new) - 1
-    return Trees(key[new].view(U), np.bincount(place, weights=n[order])), chunk, key, place
+    place = np.empty(len(key), "int32")
+    place[order] = np.cumsum(new) - 1
+    key = key[new]
+    return Trees(key, np.bincount(place, weights=n)), rows, place
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +273,14 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // CHUNK_BYTES))
     docs = df.select(*keep, "text", F.col("_held").alias("held"), F.pmod(F.xxhash64("_rid"), F.lit(n_chunks)).cast("int").alias("chunk"))
-    seen = materialize(docs.select("chunk", "held", "text").repartition(n_chunks, "chunk").mapInArrow(_report, "chunk int, key long, n long"), "chunk-keys", **_PACKED)
+    seen = materialize(docs.select("chunk", "held", "text").repartitionById(n_chunks, "chunk").mapInArrow(_report, "chunk int, pair int, key long, n long, keys binary, counts binary"), "chunk-keys", **_PACKED)
     release(spark)
-    is_word = F.col("key").bitwiseAND(1) == 1
+    is_word = F.col("pair") < 0
     words = materialize(seen.filter(is_word).groupBy("key").agg(F.sum("n").alias("n")), "word-counts", **_PACKED)
     train_tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tasks = max(1, -(-seen.filter(~is_word).count() // TASK_KEYS))
-    grams = seen.filter(~is_word).repartition(tasks, F.shiftrightunsigned("key", 8 * (DEPTH - 1) + 1))
+    strings = seen.filter(~is_word).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, -(-strings // TASK_KEYS))
+    grams = seen.filter(~is_word).select("chunk", "pair", "n", "keys", "counts").repartition(tasks, "pair")
     below = np.zeros((3, 1 << 16))  # zeros, ones and weighted probability below each choice after each byte
     for r in grams.mapInArrow(_roots, "z int, zero double, one double, weighted double").groupBy("z").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("weighted")).collect():
         below[:, r.z] = r.zero, r.one, r.weighted
@@ -242,13 +292,19 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _collected(batches)
         if found is not None:
-            trees, chunk, key, place = found
-            logs = trees.log_probabilities(root, first)[place]
-            for lo in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in (chunk, key, logs)], names=["chunk", "key", "value"])
-
-    known = grams.mapInArrow(values, "chunk int, key long, value double")
-    known = known.unionByName(seen.filter(is_word).select("chunk", "key").join(words, "key").select("chunk", "key", F.log10(F.col("n") + 1.0).alias("value")))
+            trees, rows, place = found
+            logs, at = trees.log_probabilities(root, first), 0
+            for lo in range(0, len(rows), 2000):
+                part, packed = rows[lo : lo + 2000], []
+                for _, n, _ in part:
+                    packed.append(_pack(logs[place[at : at + n]]))
+                    at += n
+                arrays = [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "n", "keys", "logs"])
+
+    known = grams.mapInArrow(values, "chunk int, n long, keys binary, logs binary")
+    of_words = seen.filter(is_word).select("chunk", "key").join(words, "key").select("chunk", "key", F.log10(F.col("n") + 1.0).alias("value"))
+    known = known.unionByName(of_words, allowMissingColumns=True)
     answers = materialize(known, "answers", **_PACKED)
     discard(seen)
     discard(words)
@@ -257,11 +313,14 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, vals = right.column("key").to_numpy(), right.column("value").to_numpy()
-        word = (keys & 1) == 1
-        value = dict(zip(keys[word].tolist(), vals[word].tolist()))
-        order = np.argsort(keys[~word].view(U))
-        gram, logs = keys[~word].view(U)[order], vals[~word][order]
+        word = pc.is_valid(right.column("key"))
+        named, packed = right.filter(word), right.filter(pc.invert(word))
+        value = dict(zip(named.column("key").to_pylist(), named.column("value").to_pylist()))
+        parts = list(zip(*(packed.column(c).to_pylist() for c in ("n", "keys", "logs"))))
+        gram = np.concatenate([np.zeros(0, U), *[_unpack_keys(k, n) for n, k, _ in parts]])
+        logs = np.concatenate([np.zeros(0), *[_unpack(x, n, "float64") for n, _, x in parts]])
+        order = np.argsort(gram)
+        gram, logs = gram[order], logs[order]
         of_word: dict[bytes, float] = {}
         end = value.get(END_TOKEN, 0.0)
         out = {k: [] for k, _ in kinds}
