@@ -12,8 +12,8 @@ before the text's start are a symbol of their own.
 
 The corpus is dealt into chunks of about ``CHUNK_BYTES`` of text. A chunk reports
 its distinct byte strings of DEPTH + 1 and distinct words with training counts;
-strings are packed and dealt by the two most recent context bytes to tasks that sum their
-counts, build their trees and send each chunk the values of its own keys. So
+both are packed; strings are dealt by the two most recent context bytes, words by
+their hash, to tasks that sum their counts, build their trees and send each chunk the values of its own keys. So
 nothing that grows with the corpus is broadcast or collected: the driver sees
 at most 256 * 255 statistics of contexts of one byte.
 
@@ -44,6 +44,8 @@ DEPTH = 6  # a byte string and the mark of its kind have room in 64 bits up to t
 CHUNK_BYTES = 24 << 20
 #: Reported byte strings of one training task, on average.
 TASK_KEYS = 400_000
+#: Text per part of the hashes of words, about; a power of two parts.
+WORD_PART_BYTES = 8 << 20
 HELD_MOD, HELD = 7, 2
 #: Symbols that no UTF-8 text has: before the start, and the end.
 START, END = 0xFE, 0xFF
@@ -52,8 +54,6 @@ END_TOKEN = -1
 
 U = np.uint64
 _TILE = 2 << 20
-#: Keys of words are written sorted, so that their differences are small.
-_PACKED = {"parquet.writer.version": "v2", "compression": "zstd"}
 #: The bits of a key below its two most recent context bytes.
 _BELOW_PAIR = 8 * (DEPTH - 1) + 1
 _CODEC = pa.Codec("zstd", 1)
@@ -109,8 +109,8 @@ def _gram_keys(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
         yield keys(held, sizes)
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of each chunk with their training counts: a row for each word, and for all byte strings of one pair of most recent bytes."""
+def _report(batches: Iterator[pa.RecordBatch], word_parts: int) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each chunk with their training counts: a row for all byte strings of one pair of most recent bytes, and for all words of one part of the hashes (numbered from -1 down)."""
     words: dict[int, tuple[Counter, set]] = {}
     grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
@@ -137,24 +137,26 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(_merged(held.pop(), held.pop()))
         u, n = held.pop()
         keys = [END_TOKEN if w is None else _word_key(w) for w in counts] + [_word_key(w) for w in others - counts.keys()]
-        k = np.array(keys, "int64")
+        k, v = np.array(keys, "int64").view(U), np.array(list(counts.values()) + [0] * (len(keys) - len(counts)), "int64")
         order = np.argsort(k)
-        k, v = k[order], np.array(list(counts.values()) + [0] * (len(keys) - len(counts)), "int64")[order]
-        for lo in range(0, len(k), 200_000):
-            m = len(k[lo : lo + 200_000])
-            yield _rows(np.full(m, c), np.full(m, -1), k[lo : lo + 200_000], v[lo : lo + 200_000], [None] * m, [None] * m)
-        pair = (u >> U(_BELOW_PAIR)).astype("int64")
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        ends = np.r_[starts[1:], len(u)]
-        for lo in range(0, len(starts), 2000):
-            spans = list(zip(starts[lo : lo + 2000].tolist(), ends[lo : lo + 2000].tolist()))
-            m = len(spans)
-            yield _rows(np.full(m, c), pair[starts[lo : lo + 2000]], np.zeros(m, "int64"), np.array([e - b for b, e in spans]), [_pack_keys(u[b:e]) for b, e in spans], [_pack(n[b:e]) for b, e in spans])
-
-
-def _rows(chunk, pair, key, n, keys: list, counts: list) -> pa.RecordBatch:
-    arrays = [pa.array(chunk, pa.int32()), pa.array(pair, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["chunk", "pair", "key", "n", "keys", "counts"])
+        k, v = k[order], v[order]
+        yield from _rows(c, -1 - (k >> U(1) & U(word_parts - 1)).astype("int64"), k, v)
+        yield from _rows(c, (u >> U(_BELOW_PAIR)).astype("int64"), u, n)
+
+
+def _rows(chunk: int, part: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys of a chunk with their counts, packed into a row for each part."""
+    order = np.argsort(part, kind="stable")
+    part, key, n = part[order], key[order], n[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = np.r_[starts[1:], len(part)]
+    for lo in range(0, len(starts), 2000):
+        spans = list(zip(starts[lo : lo + 2000].tolist(), ends[lo : lo + 2000].tolist()))
+        arrays = [
+            pa.array([chunk] * len(spans), pa.int32()), pa.array(part[starts[lo : lo + 2000]]), pa.array([e - b for b, e in spans], pa.int64()),
+            pa.array([_pack_keys(key[b:e]) for b, e in spans], pa.binary()), pa.array([_pack(n[b:e]) for b, e in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "part", "n", "keys", "counts"])
 
 
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +235,8 @@ class Trees:
         return np.log10(np.where(self.bits, q, 1 - q)).reshape(8, -1).sum(axis=0)
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[Trees, list[tuple[int, int, bytes]], np.ndarray] | None:
-    """The trees of one task, its rows (chunk, number of strings, their packed keys), and the place of each row's strings among the distinct ones."""
+def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]], np.ndarray] | None:
+    """Distinct keys of one task and their counts, its rows (chunk, number of keys, packed keys), and the place of each row's keys among the distinct ones."""
     rows, keys, counts = [], [], []
     for b in batches:
         for chunk, n, k, c in zip(*(b.column(x).to_pylist() for x in ("chunk", "n", "keys", "counts"))):
@@ -250,14 +252,37 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[Trees, list[tuple[int
     new = np.r_[True, key[1:] != key[:-1]]
     place = np.empty(len(key), "int32")
     place[order] = np.cumsum(new) - 1
-    key = key[new]
-    return Trees(key, np.bincount(place, weights=n)), rows, place
+    return key[new], np.bincount(place, weights=n), rows, place
+
+
+def _answers(rows: list[tuple[int, int, bytes]], logs: np.ndarray, place: np.ndarray, words: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one task with the values of their keys."""
+    at = 0
+    for lo in range(0, len(rows), 2000):
+        part, packed = rows[lo : lo + 2000], []
+        for _, n, _ in part:
+            packed.append(_pack(logs[place[at : at + n]]))
+            at += n
+        arrays = [pa.array([r[0] for r in part], pa.int32()), pa.array([words] * len(part)), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "words", "n", "keys", "logs"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _collected(batches)
+    if found is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([int(found[1].sum())]), pa.array([int((found[1] > 0).sum())])], names=["tokens", "known"])
+
+
+def _word_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _collected(batches)
+    if found is not None:
+        yield from _answers(found[2], np.log10(found[1] + 1), found[3], True)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = _collected(batches)
     if found is not None:
-        node, zero, one, weighted = found[0].top
+        node, zero, one, weighted = Trees(*found[:2]).top
         z, at = np.unique(_above(node), return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(z.astype("int32")), *[pa.array(np.bincount(at, weights=x, minlength=len(z))) for x in (zero, one, weighted)]], names=["z", "zero", "one", "weighted"])
 
@@ -273,14 +298,14 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // CHUNK_BYTES))
     docs = df.select(*keep, "text", F.col("_held").alias("held"), F.pmod(F.xxhash64("_rid"), F.lit(n_chunks)).cast("int").alias("chunk"))
-    seen = materialize(docs.select("chunk", "held", "text").repartitionById(n_chunks, "chunk").mapInArrow(_report, "chunk int, pair int, key long, n long, keys binary, counts binary"), "chunk-keys", **_PACKED)
+    word_parts = 1 << max(0, (total // WORD_PART_BYTES).bit_length())
+    # Word keys as unsigned numbers; the end token's is the greatest.
+    seen = materialize(docs.select("chunk", "held", "text").repartitionById(n_chunks, "chunk").mapInArrow(lambda b: _report(b, word_parts), "chunk int, part long, n long, keys binary, counts binary"), "chunk-keys")
     release(spark)
-    is_word = F.col("pair") < 0
-    words = materialize(seen.filter(is_word).groupBy("key").agg(F.sum("n").alias("n")), "word-counts", **_PACKED)
-    train_tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    strings = seen.filter(~is_word).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = max(1, -(-strings // TASK_KEYS))
-    grams = seen.filter(~is_word).select("chunk", "pair", "n", "keys", "counts").repartition(tasks, "pair")
+    words = seen.filter("part < 0").repartition(word_parts, "part")
+    train_tokens, vocabulary = words.mapInArrow(_totals, "tokens long, known long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    strings = seen.filter("part >= 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    grams = seen.filter("part >= 0").repartition(max(1, -(-strings // TASK_KEYS)), "part")
     below = np.zeros((3, 1 << 16))  # zeros, ones and weighted probability below each choice after each byte
     for r in grams.mapInArrow(_roots, "z int, zero double, one double, weighted double").groupBy("z").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("weighted")).collect():
         below[:, r.z] = r.zero, r.one, r.weighted
@@ -292,45 +317,37 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _collected(batches)
         if found is not None:
-            trees, rows, place = found
-            logs, at = trees.log_probabilities(root, first), 0
-            for lo in range(0, len(rows), 2000):
-                part, packed = rows[lo : lo + 2000], []
-                for _, n, _ in part:
-                    packed.append(_pack(logs[place[at : at + n]]))
-                    at += n
-                arrays = [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "n", "keys", "logs"])
-
-    known = grams.mapInArrow(values, "chunk int, n long, keys binary, logs binary")
-    of_words = seen.filter(is_word).select("chunk", "key").join(words, "key").select("chunk", "key", F.log10(F.col("n") + 1.0).alias("value"))
-    known = known.unionByName(of_words, allowMissingColumns=True)
-    answers = materialize(known, "answers", **_PACKED)
+            yield from _answers(found[2], Trees(*found[:2]).log_probabilities(root, first), found[3], False)
+
+    schema = "chunk int, words boolean, n long, keys binary, logs binary"
+    answers = materialize(grams.mapInArrow(values, schema).unionByName(words.mapInArrow(_word_values, schema)), "answers")
     discard(seen)
-    discard(words)
     release(spark)
     denominator = math.log10(train_tokens + vocabulary + 1)
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        word = pc.is_valid(right.column("key"))
-        named, packed = right.filter(word), right.filter(pc.invert(word))
-        value = dict(zip(named.column("key").to_pylist(), named.column("value").to_pylist()))
-        parts = list(zip(*(packed.column(c).to_pylist() for c in ("n", "keys", "logs"))))
-        gram = np.concatenate([np.zeros(0, U), *[_unpack_keys(k, n) for n, k, _ in parts]])
-        logs = np.concatenate([np.zeros(0), *[_unpack(x, n, "float64") for n, _, x in parts]])
-        order = np.argsort(gram)
-        gram, logs = gram[order], logs[order]
+        def known(words: bool) -> tuple[np.ndarray, np.ndarray]:
+            rows = right.filter(pc.equal(right.column("words"), words))
+            parts = list(zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "logs"))))
+            key = np.concatenate([np.zeros(0, U), *[_unpack_keys(k, n) for n, k, _ in parts]])
+            logs = np.concatenate([np.zeros(0), *[_unpack(x, n, "float64") for n, _, x in parts]])
+            order = np.argsort(key)
+            return key[order], logs[order]
+
+        key, logs = known(True)
+        value = dict(zip(key.view("int64").tolist(), logs.tolist()))
+        gram, logs = known(False)
         of_word: dict[bytes, float] = {}
         end = value.get(END_TOKEN, 0.0)
         out = {k: [] for k, _ in kinds}
         texts = left.column("text").to_pylist()
-        for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
+        for lo in range(0, len(texts), 2000):
+            part = texts[lo : lo + 2000]
             sums = np.zeros(len(part))
             for k, who in _gram_keys(part):
-                at = np.searchsorted(gram, k)
-                sums += np.bincount(who, weights=logs[at], minlength=len(part))
+                order = np.argsort(k)  # neighbours are looked up one after the other
+                sums += np.bincount(who[order], weights=logs[np.searchsorted(gram, k[order])], minlength=len(part))
             for t, s in zip(part, sums.tolist()):
                 ws = _words(t)
                 for w in {w for w in ws if w not in of_word}:
