@@ -13,9 +13,10 @@ before the text's start are a symbol of their own.
 The corpus is dealt into chunks of about ``CHUNK_BYTES`` of text. A chunk reports
 its distinct byte strings of DEPTH + 1 and distinct words with training counts;
 both are packed; strings are dealt by the two most recent context bytes, words by
-their hash, to tasks that sum their counts, build their trees and send each chunk the values of its own keys. So
-nothing that grows with the corpus is broadcast or collected: the driver sees
-at most 256 * 255 statistics of contexts of one byte.
+their hash, to tasks that sum their counts, build their trees and send each
+chunk the values of its own keys. So nothing that grows with the corpus is
+broadcast or collected: the driver sees at most 256 * 255 statistics of contexts
+of one byte.
 
 The unigram baseline follows the same way: tokens are white-space words in
 ASCII lower case and one end token a text, add-one smoothed. Keys of words are
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import bucket_of_id, prepare, release, stable_rows
-from veritrail.runtime import discard, materialize
+from veritrail.runtime import materialize
 
 DEPTH = 6  # a byte string and the mark of its kind have room in 64 bits up to this depth
 CHUNK_BYTES = 24 << 20
@@ -320,9 +321,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             yield from _answers(found[2], Trees(*found[:2]).log_probabilities(root, first), found[3], False)
 
     schema = "chunk int, words boolean, n long, keys binary, logs binary"
-    answers = materialize(grams.mapInArrow(values, schema).unionByName(words.mapInArrow(_word_values, schema)), "answers")
-    discard(seen)
-    release(spark)
+    # Not written: the shuffle to the chunks holds them already, and what an executor loses comes again from the reported keys.
+    answers = grams.mapInArrow(values, schema).unionByName(words.mapInArrow(_word_values, schema))
     denominator = math.log10(train_tokens + vocabulary + 1)
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
