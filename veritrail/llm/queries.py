@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, chat, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
+from veritrail.llm import align, bpe, chat, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
 from veritrail.llm.common import bucket_of_id
 from veritrail.runtime import table
 
@@ -104,3 +104,17 @@ def op9_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The conversations have no tool messages; for plain ones SQL says the whole result.
 ORACLES["op9_tool_linking"] = chat.ORACLE
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    def digest(aligned: DataFrame) -> DataFrame:
+        groups = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+        return aligned.withColumn("groups_sha256", groups).drop("groups", "text")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = map(tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = align.align(docs, *paths, tokenizers.PATTERN, keep=digest)
+    return found.select("doc_id", *align.COUNTS, "n_best", "count_sum", "groups_sha256")
