@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import align, bpe, chat, ctw, langid, lines, quality, repeats, similar, toxicity, winnow
+from veritrail.llm import align, bpe, chat, ctw, divergence, langid, lines, pii, quality, repeats, similar, toxicity, winnow
 from veritrail.llm.common import bucket_of_id
 from veritrail.runtime import table
 
@@ -118,3 +118,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = map(tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     found = align.align(docs, *paths, tokenizers.PATTERN, keep=digest)
     return found.select("doc_id", *align.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLES["op12_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    base = F.filter("pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
