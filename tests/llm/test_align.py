@@ -85,15 +85,29 @@ def test_any_text_equals_the_libraries(texts):
         assert spelt == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain_groups(t)), repr(t)
 
 
-def test_transducer_closes_groups_on_an_empty_residual():
+def test_transducer_closes_groups_on_an_empty_residual(monkeypatch):
     t = align.Transducer({1: b"ab", 2: b"c", 3: b"abc"}, {7: b"a", 8: b"bc", 9: b"abc"})
-    assert t.groups([1, 2, 3], [7, 8, 9]) == [([1, 2], [7, 8]), ([3], [9])]
-    assert t.groups([1], [7]) is None and t.groups([1], [8]) is None and t.groups([], []) == []
+    cases = [([1, 2, 3], [7, 8, 9]), ([1], [7]), ([1], [8]), ([], []), ([3], [9]), ([1, 2], [])]
+    (a, start_a), (b, start_b) = (align.flat(list(x)) for x in zip(*cases))
+    for long in (100, 0):  # side by side, and each alone
+        monkeypatch.setattr(align, "LONG", long)
+        group_a, group_b, closed = t.run((a, b), (start_a, start_b))
+        assert closed.tolist() == [2, -1, -1, 0, 1, -1]
+        assert group_a[:3].tolist() == [0, 0, 1] and group_b[:3].tolist() == [0, 0, 1]
     steps = len(t.step)
-    t.groups([1, 2, 3], [7, 8, 9])
+    t.run((a, b), (start_a, start_b))
     assert len(t.step) == steps
 
 
+def test_wide_groups_count_ids_first(monkeypatch):
+    texts = ["ababababab" * 30 + " xyxyxyxy", "aXbXaXbX" * 20, "日本" * 50]
+    want = ALIGNER.align(texts)
+    monkeypatch.setattr(align, "WIDE", 0)
+    got = align.Aligner(open(A_PATH, "rb").read(), open(B_PATH, "rb").read(), P.PATTERN).align(texts)
+    assert got["n_links"] == want["n_links"] and got["groups"] == want["groups"]
+    assert sorted(got["_times"].flatten().to_pylist()) == sorted(want["_times"].flatten().to_pylist())
+
+
 def test_frames(odd, none, spark):
     df = odd.withColumnRenamed("lang", "groups").withColumnRenamed("source", "n_best")
     rows = align.align(df, A_PATH, B_PATH, P.PATTERN).collect()

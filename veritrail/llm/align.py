@@ -28,31 +28,35 @@ stay; those of the names that the operator adds are replaced.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.llm.common import extended, prepare, slices, worker_state
+from veritrail.llm.common import extended, prepare, slices, trim, worker_state
 from veritrail.runtime import materialize
 
 #: Bytes of text whose pairs are summed together before they are shuffled.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Units and bytes of units that a worker remembers; beyond either it starts anew.
-CACHE_UNITS, CACHE_BYTES = 250_000, 24 << 20
+CACHE_UNITS, CACHE_BYTES = 200_000, 16 << 20
 #: A unit: any white space, words, and white space between them that does not begin with a space.
 UNIT = r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 GROUPS = "groups"
 #: What a document brings to the second pass: places in its slice's table of pairs, and links of each.
-PACKED = {"_slice": "long", "_links": "array<int>", "_times": "array<int>", "_pairs": "array<long>", "_docs": "array<int>"}
+PACKED = {"_slice": "long", "_links": "array<int>", "_times": "array<long>", "_pairs": "array<long>", "_docs": "array<int>"}
 A, B = 0, 1
+#: Bits of a token id in the key of a step.
+TOKEN_BITS = 20
+#: Tokens of a sequence beyond which it is stepped through alone, and links of a group beyond which its ids are counted first.
+LONG, WIDE = 400, 64
 
 
 def byte_of_char() -> dict[str, int]:
@@ -79,42 +83,87 @@ class Transducer:
 
     def forget(self) -> None:
         self.state: list[tuple[int, bytes]] = [(B, b"")]  # nothing left over: A is read next
+        self.reads = np.array([A], "int8")
         self.number = {(A, b""): 0, (B, b""): 0}
-        self.step: dict[tuple[int, int], int] = {}
+        self.step: dict[int, int] = {}
+        self.keys, self.next = np.zeros(0, "int64"), np.zeros(0, "int64")
 
-    def _next(self, state: int, token: int) -> int:
-        """The state after the side that is behind has read ``token``; -1 where the bytes differ."""
-        leads, residual = self.state[state]
-        new = self.tokens[1 - leads].get(token, b"")
+    def _next(self, key: int) -> int:
+        """The state after the side that is behind has read a token; -1 where the bytes differ."""
+        leads, residual = self.state[key >> TOKEN_BITS]
+        new = self.tokens[1 - leads].get(key & (1 << TOKEN_BITS) - 1, b"")
         if new and residual.startswith(new):
-            key = (leads, residual[len(new) :])
-        elif new.startswith(residual) and new:
-            key = (1 - leads, new[len(residual) :])
+            to = (leads, residual[len(new) :])
+        elif new and new.startswith(residual):
+            to = (1 - leads, new[len(residual) :])
         else:
             return -1
-        if key not in self.number:
-            self.number[key] = len(self.state)
-            self.state.append(key)
-        return self.number[key]
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Token ids of A and B in each group; None where the two do not spell the same bytes."""
-        out, at, start, state = [], [0, 0], (0, 0), 0
-        sides, step = (a, b), self.step
-        while at[A] < len(a) or at[B] < len(b):
+        if to not in self.number:
+            self.number[to] = len(self.state)
+            self.state.append(to)
+        return self.number[to]
+
+    def _one(self, key: int) -> int:
+        if (to := self.step.get(key)) is None:
+            to = self.step[key] = self._next(key)
+        return to
+
+    def _many(self, keys: np.ndarray) -> np.ndarray:
+        """The steps of many sequences at once; those not met before are worked out and kept in order of their keys."""
+        at = np.searchsorted(self.keys, keys)
+        new = np.unique(keys[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys)] if len(self.keys) else keys)
+        if len(new):
+            all_keys = np.concatenate([self.keys, new])
+            order = np.argsort(all_keys, kind="stable")
+            self.next = np.concatenate([self.next, [self._one(k) for k in new.tolist()]])[order]
+            self.keys = all_keys[order]
+            self.reads = 1 - np.array([leads for leads, _ in self.state], "int8")
+            at = np.searchsorted(self.keys, keys)
+        return self.next[at]
+
+    def run(self, tokens: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group every sequence pair of two flat token arrays (``starts`` has one place more than there are sequences).
+
+        Returns the group of each token of A and of B within its sequence, and each sequence's number of groups, -1
+        where the two do not spell the same bytes. All sequences go step by step together, long ones go alone.
+        """
+        n = len(starts[A]) - 1
+        group = (np.zeros(len(tokens[A]), "int64"), np.zeros(len(tokens[B]), "int64"))
+        at, end = [s[:-1].copy() for s in starts], [s[1:] for s in starts]
+        state, closed = np.zeros(n, "int64"), np.zeros(n, "int64")
+        size = (end[A] - at[A]) + (end[B] - at[B])
+        for k in np.flatnonzero(size > LONG):
+            closed[k] = self._alone(tokens, group, [int(s[k]) for s in at], [int(e[k]) for e in end])
+        active = np.flatnonzero((size > 0) & (size <= LONG))
+        while len(active):
+            side = self.reads[state[active]]
+            new = np.full(len(active), -1, "int64")
+            for x in (A, B):
+                mine = np.flatnonzero((side == x) & (at[x][active] < end[x][active]))
+                who = active[mine]
+                place = at[x][who]
+                new[mine] = self._many(state[who] << TOKEN_BITS | tokens[x][place])
+                group[x][place] = closed[who]
+                at[x][who] += 1
+            closed[active] += new == 0
+            closed[active[new < 0]] = -1
+            state[active] = new
+            active = active[(new > 0) | (new == 0) & ((at[A][active] < end[A][active]) | (at[B][active] < end[B][active]))]
+        return *group, closed
+
+    def _alone(self, tokens, group, at: list[int], end: list[int]) -> int:
+        closed = state = 0
+        while state or at[A] < end[A] or at[B] < end[B]:
             side = 1 - self.state[state][0]
-            if at[side] == len(sides[side]):
-                return None
-            key = (state, sides[side][at[side]])
+            if at[side] == end[side]:
+                return -1
+            group[side][at[side]] = closed
+            state = self._one(state << TOKEN_BITS | int(tokens[side][at[side]]))
             at[side] += 1
-            if (state := step.get(key, -2)) == -2:
-                state = step[key] = self._next(*key)
             if state < 0:
-                return None
-            if state == 0:
-                out.append((a[start[A] : at[A]], b[start[B] : at[B]]))
-                start = (at[A], at[B])
-        return out if state == 0 else None
+                return -1
+            closed += state == 0
+        return closed
 
 
 class Growing:
@@ -134,6 +183,24 @@ class Growing:
         return self.data[: self.n]
 
 
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers one after the other, and where each list starts."""
+    starts = offsets(np.fromiter(map(len, lists), "int64", len(lists)))
+    return np.fromiter(chain.from_iterable(lists), "int64", int(starts[-1])), starts
+
+
+def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each one's values."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(value, first) if len(first) else value
+
+
 class Aligner:
     """Both tokenizers, the transducer and the known units, in one worker process."""
 
@@ -166,31 +233,58 @@ class Aligner:
 
     def _learn(self, units: list[str]) -> None:
         """Encode, align and remember units. Each begins with the space that B adds by itself."""
-        tokens_a = [self.a.encode_ordinary(u) for u in units]
-        tokens_b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
-        tokens_b = [b if len(u) > 1 else [self.b.piece_to_id("▁")] for u, b in zip(units, tokens_b)]  # it adds no space to nothing
-        rows, pairs, times, first = [], [], [], self.pairs.n
-        for unit, a, b in zip(units, tokens_a, tokens_b):
-            groups = self.transducer.groups(a, b)
-            links: Counter = Counter()
-            for x, y in groups or ():
-                if len(x) == 1 and len(y) == 1:
-                    links[x[0] << 32 | y[0]] += 1
-                else:
-                    for i, m in Counter(x).items():
-                        for j, n in Counter(y).items():
-                            links[i << 32 | j] += m * n
-            for pair, n in links.items():
-                pairs.append(self.pair_of.setdefault(pair, len(self.pair_of)))
-                times.append(n)
-            rows.append((len(a), len(b), len(groups or ()), sum(links.values()), groups is None, first + len(pairs)))
-            self.texts.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups or ()))
-            self.known[unit] = len(self.known)
-            self.bytes += len(unit)
-        for name, column in zip(self.sums, np.array(rows, "int64").reshape(-1, len(self.sums)).T):
+        if not units:
+            return
+        lists_a = [self.a.encode_ordinary(u) for u in units]
+        lists_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        if " " in units:  # B adds no space to nothing
+            lists_b[units.index(" ")] = [self.b.piece_to_id("▁")]
+        tokens, starts = zip(*(flat(x) for x in (lists_a, lists_b)))
+        group_a, group_b, closed = self.transducer.run(tokens, starts)
+        bad = closed < 0
+        first = np.concatenate([[0], np.cumsum(np.where(bad, 0, closed))])
+        unit_of = [np.repeat(np.arange(len(units)), np.diff(s)) for s in starts]
+        good = [~bad[u] for u in unit_of]
+        group = [(first[u] + g)[ok] for u, g, ok in zip(unit_of, (group_a, group_b), good)]
+        ids = [t[ok] for t, ok in zip(tokens, good)]
+        sizes = [np.bincount(g, minlength=first[-1]) for g in group]
+
+        sides = [pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets(n), pa.int32()), pa.array(t).cast(pa.string())), ",") for t, n in zip(ids, sizes)]
+        spelt = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pc.binary_join_element_wise(*sides, "|"))
+        self.texts += pc.binary_join(spelt, ";").to_pylist()
+
+        pair, times, of_group = self._group_links(ids, group, sizes)
+        unit = np.repeat(np.arange(len(units)), np.diff(first))[of_group]
+        distinct, at = np.unique(pair, return_inverse=True)
+        known = np.fromiter((self.pair_of.setdefault(k, len(self.pair_of)) for k in distinct.tolist()), "int64", len(distinct))
+        key, links = summed(unit * len(self.pair_of) + known[at], times)
+        unit, pair = np.divmod(key, max(1, len(self.pair_of)))
+        ends = self.pairs.n + np.cumsum(np.bincount(unit, minlength=len(units)))
+        self.pairs.extend(pair)
+        self.times.extend(links)
+        columns = [*(np.where(bad, 0, np.diff(s)) for s in starts), np.where(bad, 0, closed), np.bincount(unit, links, len(units)), bad, ends]
+        for name, column in zip(self.sums, columns):
             self.sums[name].extend(column)
-        self.pairs.extend(pairs)
-        self.times.extend(times)
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.bytes += sum(map(len, units))
+
+    @staticmethod
+    def _group_links(ids: list[np.ndarray], group: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id pairs (A << 32 | B), how often they are linked, and the group; a pair may come more than once for a group."""
+        wide = sizes[A] * sizes[B] > WIDE
+        start = offsets(sizes[B])
+        narrow = ~wide[group[A]]
+        of_group = group[A][narrow]
+        n = sizes[B][of_group]
+        at = np.repeat(start[of_group] - offsets(n)[:-1], n) + np.arange(n.sum())
+        pair, times, of_group = [np.repeat(ids[A][narrow], n) << 32 | ids[B][at]], [np.ones(len(at), "int64")], [np.repeat(of_group, n)]
+        start_a = offsets(sizes[A])
+        for g in np.flatnonzero(wide):
+            (x, m), (y, n) = (np.unique(t[s[g] : s[g + 1]], return_counts=True) for t, s in zip(ids, (start_a, start)))
+            pair.append((x[:, None] << 32 | y).ravel())
+            times.append((m[:, None] * n).ravel())
+            of_group.append(np.full(len(x) * len(y), g))
+        return np.concatenate(pair), np.concatenate(times), np.concatenate(of_group)
 
     def align(self, texts: list[str]) -> dict[str, pa.Array]:
         """The added columns of one slice of texts; its table of pairs stands in its first row."""
@@ -215,22 +309,16 @@ class Aligner:
         key, m = np.unique(doc * len(self.known) + unit, return_counts=True)
         doc, unit = np.divmod(key, max(1, len(self.known)))
         stop = sums["end"][unit]
-        start = np.where(unit > 0, sums["end"][unit - 1], 0)
-        size = stop - start
+        size = stop - np.where(unit > 0, sums["end"][unit - 1], 0)
         at = np.repeat(stop - np.cumsum(size), size) + np.arange(size.sum())
-        key = np.repeat(doc, size) * len(self.pair_of) + self.pairs.all()[at]
-        links = np.repeat(m, size) * self.times.all()[at]
-        order = np.argsort(key, kind="stable")
-        key, links = key[order], links[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        links = np.add.reduceat(links, first) if len(first) else links
-        doc, pair = np.divmod(key[first], max(1, len(self.pair_of)))
+        key, links = summed(np.repeat(doc, size) * len(self.pair_of) + self.pairs.all()[at], np.repeat(m, size) * self.times.all()[at])
+        doc, pair = np.divmod(key, max(1, len(self.pair_of)))
         held, local, docs = np.unique(pair, return_inverse=True, return_counts=True)
         ids = np.fromiter(self.pair_of, "int64", len(self.pair_of))[held]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32())
+        of_doc = pa.array(offsets(np.bincount(doc, minlength=len(texts))), pa.int32())
         table = pa.array([0] + [len(ids)] * len(texts), pa.int32())
-        out["_links"] = pa.ListArray.from_arrays(offsets, pa.array(local.astype("int32")))
-        out["_times"] = pa.ListArray.from_arrays(offsets, pa.array(links.astype("int32")))
+        out["_links"] = pa.ListArray.from_arrays(of_doc, pa.array(local.astype("int32")))
+        out["_times"] = pa.ListArray.from_arrays(of_doc, pa.array(links))
         out["_pairs"] = pa.ListArray.from_arrays(table, pa.array(ids))
         out["_docs"] = pa.ListArray.from_arrays(table, pa.array(docs.astype("int32")))
         return out
@@ -255,6 +343,8 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, pattern: str, text: st
             found = aligner.align(part.column(text).to_pylist())
             found["_slice"] = pa.array([task | number] * len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, *(found[c] for c in added)], names=[*part.schema.names, *added])
+            del found
+            trim()
 
     return df.mapInArrow(run, schema)
 
@@ -292,7 +382,7 @@ def count_links(packed: DataFrame) -> DataFrame:
         best[at] = table.column("is_best").to_numpy(zero_copy_only=False)
         links, times = (docs.column(c).combine_chunks() for c in ("_links", "_times"))
         doc = np.repeat(np.arange(len(docs)), links.value_lengths().to_numpy(zero_copy_only=False))
-        where, n = links.flatten().to_numpy(), times.flatten().to_numpy().astype("int64")
+        where, n = links.flatten().to_numpy(), times.flatten().to_numpy()
         sums = []
         for value in (best, count):
             total = np.zeros(len(docs), "int64")
