@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ class PolicyError(ValueError):
 
 
 def seconds(text) -> int:
-    """Length of a duration such as 90d, 24h, 30m or 10s."""
-    m = re.fullmatch(r"(\d+)([smhd])", text) if isinstance(text, str) else None
+    """Length of a duration such as 90d, 24h, 30m or 10s; white space around number and unit does not matter."""
+    m = re.fullmatch(r"\s*(\d+)\s*([smhd])\s*", text) if isinstance(text, str) else None
     if not m:
         raise PolicyError(f"not a duration: {text!r}")
     return int(m[1]) * UNITS[m[2]]
@@ -271,22 +271,31 @@ def bundle(document: Mapping | str, domain: str) -> Bundle:
         document = load_yaml(document)
     if not isinstance(document, Mapping):
         raise PolicyError("a policy is a mapping")
-    if document.get("version") != 1 or isinstance(document.get("version"), bool):
+    unified = any(k in document for k in (*ROOTS, "verification"))
+    version = document.get("version", 1 if unified else None)
+    if version != 1 or isinstance(version, bool):
         raise PolicyError("version must be 1")
-    if not isinstance(document.get("policy_id"), str) or not document["policy_id"]:
-        raise PolicyError("policy_id is missing")
-    unified = any(k in document for k in ROOTS)
     if unknown := set(document) - set(TOP_KEYS if unified else TOP_KEYS[:3] + HALF_KEYS):
         raise PolicyError(f"unknown keys: {sorted(unknown)}")
-    half = document.get(domain) or {"rules": []} if unified else {k: document[k] for k in HALF_KEYS if k in document}
-    if not isinstance(half, Mapping) or set(half) - set(HALF_KEYS) or not isinstance(half.get("rules"), list):
+    verification(document.get("verification"))
+    half = (document[domain] if document.get(domain) is not None else {}) if unified else {k: document[k] for k in HALF_KEYS if k in document}
+    if not isinstance(half, Mapping) or set(half) - {*HALF_KEYS, "policy_id"}:
+        raise PolicyError(f"{domain} has {' and '.join(HALF_KEYS)}")
+    half = dict(half)
+    nested = half.pop("policy_id", None)
+    policy_id = document.get("policy_id") or nested
+    if not isinstance(policy_id, str) or not policy_id:
+        raise PolicyError("policy_id is missing")
+    if unified:
+        half.setdefault("rules", [])
+    if not isinstance(half.get("rules"), list):
         raise PolicyError("rules must be a list")
     defaults = half.get("defaults") or {}
     if not isinstance(defaults, Mapping) or set(defaults) - set(DEFAULTS) or any(x not in ("allow", "deny") for x in defaults.values()):
         raise PolicyError(f"defaults has {' and '.join(DEFAULTS)}, each allow or deny")
     rules = []
     for r in half["rules"]:
-        if not isinstance(r, Mapping) or set(r) - {"name", "when", "require", "on_violation", "description"} or not isinstance(r.get("name"), str) or not r["name"]:
+        if not isinstance(r, Mapping) or set(r) - {"name", "when", "require", "on_violation"} or not isinstance(r.get("name"), str) or not r["name"]:
             raise PolicyError(f"not a rule: {r!r}")
         if r.get("on_violation", "deny") != "deny":
             raise PolicyError("on_violation must be deny")
@@ -300,8 +309,8 @@ def bundle(document: Mapping | str, domain: str) -> Bundle:
         rules.append(Rule(r["name"], when, require))
     if len({r.name for r in rules}) != len(rules):
         raise PolicyError("rule names must differ")
-    normal = {k: document[k] for k in ("version", "policy_id", "description") if k in document} | dict(half)
-    return Bundle(document["policy_id"], domain, tuple(rules), defaults.get("unknown_metadata", "deny"), sha256_text(canonical_json(json.loads(json.dumps(normal)))), defaults.get("policy_version_mismatch", "deny"))
+    normal = {"version": version, "policy_id": policy_id} | {k: document[k] for k in ("description",) if k in document} | half
+    return Bundle(policy_id, domain, tuple(rules), defaults.get("unknown_metadata", "deny"), sha256_text(canonical_json(json.loads(json.dumps(normal)))), defaults.get("policy_version_mismatch", "deny"))
 
 
 def map_binding(fields: Mapping[str, tuple[Column, str]], maps: Mapping[str, Column]) -> Binding:
@@ -371,9 +380,87 @@ class VerificationPolicy:
 NULL_BUNDLES = {d: Bundle("none", d, (), "allow", sha256_text("{}")) for d in ROOTS}
 
 
-def coerce_policy(value) -> VerificationPolicy:
-    if value is None:
+def verification(block) -> VerificationPolicy:
+    """The verification half of a policy document; what is left out keeps its default, anything unknown is an error."""
+    if block is None:
         return VerificationPolicy()
+    if not isinstance(block, Mapping):
+        raise PolicyError("verification must be a mapping")
+    if unknown := set(block) - {f.name for f in fields(VerificationPolicy)}:
+        raise PolicyError(f"unknown keys in verification: {sorted(map(str, unknown))}")
+    if wrong := [k for k, v in block.items() if not isinstance(v, bool)]:
+        raise PolicyError(f"verification takes true or false: {wrong}")
+    return VerificationPolicy(**block)
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Everything a policy document says: the gate on outcomes, and the rules of each domain where it has any."""
+
+    verification: VerificationPolicy = field(default_factory=VerificationPolicy)
+    access_control: Bundle | None = None
+    tool_call_control: Bundle | None = None
+
+    def decide(self, domain: str, binding: Binding, now: Column) -> tuple[Column, Column]:
+        """As :meth:`Bundle.compile`; a domain without rules allows."""
+        return (getattr(self, domain) or NULL_BUNDLES[domain]).compile(binding, now)
+
+    def admits(self, outcome: Column, binding: Binding, now: Column) -> tuple[Column, Column, Column]:
+        """Whether a verified chunk passes both halves, whether its outcome is noted, and the rules that fired.
+
+        A chunk that the gate blocks is not asked for access, so no rule fires for it.
+        """
+        decision, fired = self.decide("access_control", binding, now)
+        blocked = self.verification.blocks(outcome)
+        none = F.array().cast("array<string>")
+        return ~blocked & (decision == "allow"), self.verification.flags(outcome), F.when(blocked, none).otherwise(fired)
+
+    def hashes(self) -> dict[str, str]:
+        """The version hash of each half that has rules; the halves have versions of their own."""
+        return {d: b.version_hash for d in ROOTS if (b := getattr(self, d)) is not None}
+
+
+def load(document: Mapping | str) -> Policy:
+    """Validate a policy document (mapping or YAML text) whole: all halves, known keys, known flags.
+
+    Rules may also stand at the top, for access control alone.
+    """
+    if isinstance(document, str):
+        document = load_yaml(document)
+    if not isinstance(document, Mapping):
+        raise PolicyError("a policy is a mapping")
+    if "rules" in document:
+        return Policy(access_control=bundle(document, "access_control"))
+    halves = {d: bundle(document, d) for d in ROOTS if document.get(d) is not None}
+    if not halves:  # nothing but the gate: a policy needs no name then
+        bundle({**document, "policy_id": document.get("policy_id") or "none", "verification": document.get("verification")}, "access_control")
+    return Policy(verification(document.get("verification")), **halves)
+
+
+def load_file(path: str) -> Policy:
+    """The policy in a YAML file on the driver."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return load(f.read())
+    except OSError as e:
+        raise PolicyError(f"cannot read {path}: {e.strerror}") from e
+
+
+def validate(path: str) -> str | None:
+    """What is wrong with a policy file, or None; for checks before a policy is deployed."""
+    try:
+        load_file(path)
+    except PolicyError as e:
+        return str(e)
+    return None
+
+
+def coerce_policy(value) -> Policy:
+    """A policy from a policy, from its verification half alone, or the default from None."""
+    if value is None:
+        return Policy()
     if isinstance(value, VerificationPolicy):
+        return Policy(value)
+    if isinstance(value, Policy):
         return value
     raise TypeError(f"not a policy: {type(value).__name__}")
