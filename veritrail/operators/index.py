@@ -51,24 +51,47 @@ def stored_rows(events: DataFrame) -> DataFrame:
     return first.select(*keys, "x.*")
 
 
-def document_state(events: DataFrame) -> DataFrame:
-    """Authorization and current version of each document that has an add: the last event of the kind decides."""
+def document_marks(events: DataFrame) -> DataFrame:
+    """Per document: number of adds, last event that set the authorization, last event that named a version."""
     is_add, sets = F.col("kind") == "add", F.col("kind").isin("add", "set_authorization")
-    state = events.groupBy("document_id").agg(
+    return events.groupBy("document_id").agg(
         F.count_if(is_add).alias("adds"),
         F.max(F.when(sets, F.struct("seq", "authorized"))).alias("a"),
         F.max(F.when(F.col("kind").isin("add", "supersede"), F.struct("seq", "document_version"))).alias("v"),
     )
-    return state.filter("adds > 0").select("document_id", F.col("a.authorized").alias("authorized"), F.col("v.document_version").alias("current_version"))
 
 
-def with_supersession(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Add ``superseded``: a later add or supersede of the document named another version.
+def merged_documents(marks: DataFrame) -> DataFrame:
+    """One row per document from :func:`document_marks` of several batches."""
+    return marks.groupBy("document_id").agg(F.sum("adds").alias("adds"), F.max("a").alias("a"), F.max("v").alias("v"))
+
+
+def settled(marks: DataFrame) -> DataFrame:
+    """Authorization and current version of each document that has an add."""
+    return marks.filter("adds > 0").select("document_id", F.col("a.authorized").alias("authorized"), F.col("v.document_version").alias("current_version"))
+
+
+def document_state(events: DataFrame) -> DataFrame:
+    """Authorization and current version of each document that has an add: the last event of the kind decides."""
+    return settled(document_marks(events))
+
 
-    It is enough to know the version with the last such event of a document,
-    and when the last event with any other version was.
+def version_marks(events: DataFrame) -> DataFrame:
+    """The last add or supersede that named each version of a document."""
+    return events.filter("kind IN ('add', 'supersede')").groupBy("document_id", "document_version").agg(F.max("seq").alias("m"))
+
+
+def merged_marks(marks: DataFrame) -> DataFrame:
+    """One row per version from :func:`version_marks` of several batches."""
+    return marks.groupBy("document_id", "document_version").agg(F.max("m").alias("m"))
+
+
+def superseded_by(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """Add ``superseded`` to stored rows: a later add or supersede of the document named another version.
+
+    It is enough to know the version with the last such event of a document
+    (``last`` has them all), and when the last event with any other version was.
     """
-    last = events.filter("kind IN ('add', 'supersede')").groupBy("document_id", "document_version").agg(F.max("seq").alias("m"))
     top = last.groupBy("document_id").agg(F.max(F.struct("m", "document_version")).alias("top")).select("document_id", F.col("top.m").alias("m1"), F.col("top.document_version").alias("v1"))
     other = last.join(top, "document_id").filter("document_version <> v1").groupBy("document_id").agg(F.max("m").alias("m2"))
     marks = top.join(other, "document_id", "left")
@@ -76,6 +99,11 @@ def with_supersession(rows: DataFrame, events: DataFrame) -> DataFrame:
     return rows.join(marks, "document_id").withColumn("superseded", F.coalesce(later > F.col("seq"), F.lit(False))).drop("m1", "v1", "m2")
 
 
+def with_supersession(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Add ``superseded`` from the events themselves."""
+    return superseded_by(rows, version_marks(events))
+
+
 def index_rows(events: DataFrame) -> DataFrame:
     """Stored rows with supersession and the state of their document."""
     events = accepted(events)
@@ -104,8 +132,12 @@ def outcome(key: bytes | Secret) -> Column:
 
 def verify(chunks: DataFrame, index: DataFrame, key: bytes | Secret) -> DataFrame:
     """Left join of chunks (with ``fingerprint``) and best rows; a chunk that is not found is unverified."""
-    found = chunks.join(best_rows(index), "fingerprint", "left")
-    return found.withColumn("outcome", outcome(key))
+    return verify_best(chunks, best_rows(index), key)
+
+
+def verify_best(chunks: DataFrame, best: DataFrame, key: bytes | Secret) -> DataFrame:
+    """As :func:`verify`, with the best rows as they are kept."""
+    return chunks.join(best, "fingerprint", "left").withColumn("outcome", outcome(key))
 
 
 def verify_memory(chunks: DataFrame, index: DataFrame, key: bytes | Secret) -> DataFrame:

@@ -8,6 +8,8 @@ div 2; an odd last node moves up unchanged.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +62,64 @@ def nodes(leaves: DataFrame) -> DataFrame:
     return out
 
 
+def grown(entries: DataFrame, start: int, end: int, peaks: dict[int, bytes]) -> list[DataFrame]:
+    """The nodes that become complete when a log grows from ``start`` to ``end`` entries, as written tables.
+
+    ``entries`` has leaf_index (from ``start``) and payload; ``peaks`` are the roots of the full subtrees of the
+    log before, by level. A new node's children are new nodes or the peak of their level, which is the last node
+    there if the count is odd. As in :func:`nodes`, a pass makes BLOCK_LEVELS levels inside blocks of a fixed size.
+    """
+    level = materialize(entries.select(F.lit(0).alias("level"), F.col("leaf_index").cast("long").alias("idx"), leaf_hash(F.col("payload")).alias("hash")), "grown")
+    out, base = [level], 0
+    while end >> (base + 1) > start >> (base + 1):
+        h = BLOCK_LEVELS
+        first = start >> (base + h)
+        blocks = level.groupBy(F.shiftright("idx", h).alias("b")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("x")).select("b", F.transform("x", lambda e: e["hash"]).alias("l0"))
+        places = {}
+        for j in range(1, h + 1):
+            below = f"l{j - 1}"
+            if (start >> (base + j - 1)) & 1:
+                below = f"IF(b = {first}, concat(array(x'{peaks[base + j - 1].hex()}'), {below}), {below})"
+            pair = "unhex(sha2(concat(x'01', get(l, 2 * i), get(l, 2 * i + 1)), 256))"
+            pairs = f"IF(size(l) > 1, transform(sequence(0, cast(size(l) div 2 AS int) - 1), i -> {pair}), array())"
+            blocks = blocks.withColumn(f"l{j}", F.expr(f"transform(array({below}), l -> {pairs})[0]"))
+            places[j] = F.when(F.col("b") == first, F.lit(start >> (base + j))).otherwise(F.shiftleft("b", h - j))
+        levels = F.array(*[F.struct(F.lit(j).alias("j"), places[j].alias("at0"), F.col(f"l{j}").alias("hs")) for j in range(1, h + 1)])
+        made = blocks.select(F.explode(levels).alias("x")).select("x.j", "x.at0", F.posexplode("x.hs").alias("at", "hash"))
+        new = materialize(made.select((F.col("j") + base).cast("int").alias("level"), (F.col("at0") + F.col("at")).cast("long").alias("idx"), "hash"), "grown")
+        out.append(new)
+        base += h
+        level = new.filter(F.col("level") == base)
+    return out
+
+
+def _above(left: bytes, right: bytes) -> bytes:
+    return hashlib.sha256(b"\x01" + left + right).digest()
+
+
+def right_edge(size: int, peaks: dict[int, bytes]) -> list[tuple[int, int, bytes]]:
+    """The last node (level, idx, hash) of each level whose subtree is not full, from the peaks; at most one a level."""
+    out, last, level = [], None, 0
+    while size > 1 and (size - 1) >> level:
+        # the last node of this level is the one made in the round before, or the peak where the level ends even
+        if last is not None:
+            last = _above(peaks[level], last) if size >> level & 1 else last
+        elif size >> level & 1:
+            last = peaks[level]
+        level += 1
+        if last is not None:
+            out.append((level, (size - 1) >> level, last))
+    return out
+
+
+def peaks_root(size: int, peaks: dict[int, bytes]) -> bytes:
+    """Root of a log from its peaks; the empty log has the hash of nothing."""
+    if size == 0:
+        return hashlib.sha256(b"").digest()
+    edge = right_edge(size, peaks)
+    return edge[-1][2] if edge else peaks[size.bit_length() - 1]
+
+
 def root(tree: DataFrame) -> DataFrame:
     """tree_size and tree_root (hex); the empty log has the hash of nothing."""
     top = tree.agg(F.max_by("hash", "level").alias("h"), F.count_if(F.col("level") == 0).alias("tree_size"))
