@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions.times import day
+from veritrail.operators.scan import scan, sliced
 
 
 def caller_activity(calls: DataFrame) -> DataFrame:
@@ -36,9 +37,19 @@ def rate_anomaly(calls: DataFrame, factor: float = 3.0, least: int = 5) -> DataF
 
 
 def trailing_hour(calls: DataFrame) -> DataFrame:
-    """Each call with the caller's number of calls in the hour up to it."""
-    w = Window.partitionBy("caller").orderBy(F.unix_seconds("ts")).rangeBetween(-3600, 0)
-    return calls.select("event_id", "caller", F.count("*").over(w).alias("last_hour"))
+    """Each call with the caller's number of calls in the hour up to it.
+
+    Calls are counted per caller and second first. The number up to a second less the number up to an hour and a second
+    before it is what is asked for; both are running sums of one scan, in which every second stands twice.
+    """
+    at = F.unix_seconds("ts")
+    seconds = calls.groupBy("caller", at.alias("_for")).agg(F.count(F.lit(1)).alias("_c"))
+    twice = seconds.select("caller", "_for", F.explode(F.array(F.struct(F.col("_for").alias("at"), F.lit(0).alias("past"), F.col("_c").alias("c")), F.struct((F.col("_for") - 3601).alias("at"), F.lit(1).alias("past"), F.lit(0).cast("long").alias("c")))).alias("x")).select("caller", "_for", "x.*")
+    order = [F.col("at"), F.col("past")]
+    summed = scan(sliced(twice, ["caller"], order), ["caller"], order, running={"_upto": F.col("c")})
+    hour = summed.groupBy("caller", "_for").agg(F.sum(F.when(F.col("past") == 0, F.col("_upto")).otherwise(-F.col("_upto"))).alias("last_hour")).withColumnRenamed("caller", "_caller")
+    same = F.col("caller").eqNullSafe(F.col("_caller")) & at.eqNullSafe(F.col("_for"))
+    return calls.join(hour, same).select("event_id", "caller", "last_hour")
 
 
 def kind_drift(calls: DataFrame, split_s: int) -> DataFrame:
@@ -52,10 +63,10 @@ def kind_drift(calls: DataFrame, split_s: int) -> DataFrame:
 
 def write_then_call(steps: DataFrame, within_s: int = 600) -> DataFrame:
     """Adjacent steps of a caller where a memory write is followed by a tool call within some seconds."""
-    w = Window.partitionBy("caller").orderBy("ts", "receipt_id")
-    before = steps.withColumns({"prev_kind": F.lag("step_kind").over(w), "prev_id": F.lag("receipt_id").over(w), "prev_ts": F.lag("ts").over(w)})
-    gap = F.unix_seconds("ts") - F.unix_seconds("prev_ts")
-    return before.filter((F.col("prev_kind") == "memory_write") & (F.col("step_kind") == "tool_call") & (gap <= within_s)).select("caller", "prev_id", "receipt_id", gap.alias("gap_s"))
+    order = [F.col("ts"), F.col("receipt_id")]
+    before = scan(sliced(steps, ["caller"], order), ["caller"], order, previous={"_before": ["step_kind", "receipt_id", "ts"]})
+    gap = F.unix_seconds("ts") - F.unix_seconds("_before.ts")
+    return before.filter((F.col("_before.step_kind") == "memory_write") & (F.col("step_kind") == "tool_call") & (gap <= within_s)).select("caller", F.col("_before.receipt_id").alias("prev_id"), "receipt_id", gap.alias("gap_s"))
 
 
 def kind_ratio(calls: DataFrame) -> DataFrame:

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veritrail.runtime import discard, materialize
+from veritrail.operators.scan import scan, sliced
+from veritrail.runtime import discard, materialize, ship
 
 SESSION_GAP_S = 1800
+#: Edges of a group up to which its cycles are looked for in the memory of one task.
+SMALL_GRAPH = 200_000
 CHECKS = ("has_trajectory_block", "shared_trajectory_id", "no_dangling_parents", "dag_acyclic", "has_root_step")
 
 
 def linked_sessions(calls: DataFrame, gap: int = SESSION_GAP_S) -> DataFrame:
-    """Steps of sessions (a caller's calls without a gap): session_id, trajectory_id, step_index, parent_step_ids."""
-    by_caller = Window.partitionBy("caller").orderBy("ts", "receipt_id")
-    new = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by_caller)) > gap * 1_000_000).cast("int"), F.lit(1))
-    out = calls.withColumn("_new", new).withColumn("_n", F.sum("_new").over(by_caller.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("session_id", F.concat_ws("/", "caller", F.col("_n").cast("string")))
-    steps = Window.partitionBy("session_id").orderBy("ts", "receipt_id")
-    parent = F.lag("receipt_id").over(steps)
-    return out.withColumns(
+    """Steps of sessions (a caller's calls without a gap): session_id, trajectory_id, step_index, parent_step_ids.
+
+    Callers and sessions are scanned in slices, so one with most of the calls is spread over tasks.
+    """
+    order = [F.col("ts"), F.col("receipt_id")]
+    rows = scan(sliced(calls, ["caller"], order), ["caller"], order, previous={"_before": ["ts", "receipt_id"]})
+    new = F.coalesce((F.unix_micros("ts") - F.unix_micros("_before.ts") > gap * 1_000_000).cast("int"), F.lit(1))
+    rows = scan(rows.withColumn("_new", new), ["caller"], order, running={"_n": F.col("_new")})
+    rows = scan(rows, ["caller", "_n"], order, running={"_step": F.lit(1)})
+    session = F.concat_ws("/", "caller", F.col("_n").cast("string"))
+    return rows.withColumn("session_id", session).withColumns(
         {
             "trajectory_id": F.concat(F.lit("trj_"), F.substring(F.sha2(F.col("session_id").cast("binary"), 256), 1, 32)),
-            "step_index": F.row_number().over(steps) - 1,
-            "parent_step_ids": F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent)),
+            "step_index": (F.col("_step") - 1).cast("int"),
+            "parent_step_ids": F.when(F.col("_new") == 1, F.array().cast("array<string>")).otherwise(F.array("_before.receipt_id")),
         }
-    ).drop("_new", "_n")
+    ).drop("_new", "_n", "_before", "_step", "_slice")
 
 
 def next_steps(calls: DataFrame) -> DataFrame:
@@ -38,21 +48,24 @@ def next_steps(calls: DataFrame) -> DataFrame:
     trajectory's for its step and after; a step's kind is its own. A row without
     receipt_id advances the number and leaves the parents as they were, so the
     rows that are returned, those with a receipt, may have gaps in step_index.
+    A trajectory is scanned in slices.
     """
     have = lambda c: F.col(c) if c in calls.columns else F.lit(None).cast("string")
-    order = Window.partitionBy("trajectory_id").orderBy("ts", F.col("receipt_id").asc_nulls_last())
-    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last("receipt_id", ignorenulls=True).over(before)
-    steps = calls.withColumns(
-        {
-            "step_index": F.row_number().over(order) - 1,
-            "parent_step_ids": F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent)),
-            "trajectory_started_at": F.first("ts").over(so_far),
-            "agent_id": F.last(have("agent_id"), ignorenulls=True).over(so_far),
-            "session_id": F.last(F.coalesce(have("request_session_id"), have("session_id")), ignorenulls=True).over(so_far),
-        }
+    order = [F.col("ts"), F.col("receipt_id").asc_nulls_last()]
+    rows = calls.withColumns({"_agent": have("agent_id"), "_session": F.coalesce(have("request_session_id"), have("session_id"))}).drop("agent_id", "session_id")
+    # rows of a time that have no receipt cannot be told apart; any number orders them
+    rows = sliced(rows.withColumn("_tie", F.monotonically_increasing_id()), ["trajectory_id"], order)
+    steps = scan(
+        rows,
+        ["trajectory_id"],
+        [*order, F.col("_tie")],
+        running={"_step": F.lit(1)},
+        latest={"agent_id": F.col("_agent"), "session_id": F.col("_session")},
+        before={"_parent": F.col("receipt_id")},
+        first={"trajectory_started_at": F.col("ts")},
     )
-    return steps.filter("receipt_id IS NOT NULL")
+    steps = steps.withColumns({"step_index": (F.col("_step") - 1).cast("int"), "parent_step_ids": F.when(F.col("_parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("_parent"))})
+    return steps.drop("_step", "_parent", "_agent", "_session", "_tie", "_slice").filter("receipt_id IS NOT NULL")
 
 
 def edges(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
@@ -65,24 +78,84 @@ def dangling(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
     return edges(receipts, group).join(have, [group, "parent_id"], "left_anti").select(group, "receipt_id", "parent_id")
 
 
-def cyclic(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
-    """Groups with a cycle, by doubling walks along parents; dangling parents are ignored.
-
-    Two walks that meet make one of double length. A walk longer than its group
-    has receipts must repeat one, so what is left after log2(largest group)
-    rounds, or returns to its start before, is in a group with a cycle.
+def _looped(rows: list[tuple]) -> set:
+    """Groups with a cycle among whole groups of edges (group, child, parent): vertices without parents left go until none is."""
+    waits, below = Counter(), defaultdict(list)
+    for g, child, parent in rows:
+        waits[g, child] += 1
+        below[g, parent].append((g, child))
+    free = [p for p in below if p not in waits]
+    while free:
+        for child in below.pop(free.pop(), ()):
+            waits[child] -= 1
+            if not waits[child]:
+                free.append(child)
+    return {g for (g, _), n in waits.items() if n}
+
+
+def _small_cyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups with a cycle, from edges in order of group; some ``SMALL_GRAPH`` edges are held at a time."""
+    held, schema = [], None
+    for batch in batches:
+        schema = pa.schema([batch.schema.field(0)])
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(held) >= SMALL_GRAPH and row[0] != held[-1][0]:
+                yield pa.RecordBatch.from_arrays([pa.array(_looped(held), schema.types[0])], schema=schema)
+                held = []
+            held.append(row)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(_looped(held), schema.types[0])], schema=schema)
+
+
+def cyclic(receipts: DataFrame, group: str = "trajectory_id", small: int = SMALL_GRAPH) -> DataFrame:
+    """Groups with a cycle; dangling parents are ignored.
+
+    Groups of at most ``small`` edges are sorted topologically, each in memory of a task. Larger ones are taken apart
+    by joins: a round first follows receipts with one parent upwards by doubling, until what has no parent or several,
+    so that chains of any length take log2(n) steps; then their edges go, other edges lead to the ends of their
+    chains, and edges to receipts without parents go. A group whose edges all lead to receipts with parents has a
+    cycle; one without edges has none. Rounds are as many as there are layers of receipts with several parents.
     """
     have = receipts.select(group, F.col("receipt_id").alias("parent_id")).distinct()
-    walks = materialize(edges(receipts, group).distinct().join(have, [group, "parent_id"]), "walks")
-    largest = receipts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(largest).bit_length()):
-        if walks.isEmpty():
+    known = materialize(edges(receipts, group).distinct().join(have, [group, "parent_id"]).select(group, "receipt_id", "parent_id"), "edges")
+    sizes = known.groupBy(group).agg(F.count("*").alias("_n"))
+    ship(receipts.sparkSession)
+    schema = known.select(group).schema
+    few = known.join(sizes.filter(F.col("_n") <= small), group, "left_semi").repartition(group).sortWithinPartitions(group).mapInArrow(_small_cyclic, schema)
+    found = [materialize(few, "cyclic")]
+    left = materialize(known.join(sizes.filter(F.col("_n") > small), group, "left_semi"), "edges")
+    discard(known)
+    while not left.isEmpty():
+        shorter = _without_chains(left, group)
+        discard(left)
+        # groups in which every parent has parents itself
+        children = shorter.select(group, F.col("receipt_id").alias("parent_id")).distinct()
+        tops = shorter.join(children, [group, "parent_id"], "left_anti").select(group).distinct()
+        found.append(materialize(shorter.join(tops, group, "left_anti").select(group).distinct(), "cyclic"))
+        left = materialize(shorter.join(tops, group, "left_semi").join(children, [group, "parent_id"], "left_semi"), "edges")
+        discard(shorter)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _without_chains(graph: DataFrame, group: str) -> DataFrame:
+    """Edges of receipts with several parents, led to the ends of the chains above; a chain that ends nowhere stays as a loop."""
+    parents = graph.groupBy(group, "receipt_id").agg(F.count("*").alias("_n"), F.min("parent_id").alias("_end"))
+    chain = materialize(parents.filter("_n = 1").select(group, "receipt_id", "_end"), "chains")
+    longest = chain.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        up = chain.select(group, F.col("receipt_id").alias("_end"), F.col("_end").alias("_far"))
+        longer = materialize(chain.join(up, [group, "_end"], "left").select(group, "receipt_id", F.coalesce("_far", "_end").alias("_end")), "chains")
+        moved = not longer.join(chain, [group, "receipt_id", "_end"], "left_anti").isEmpty()
+        discard(chain)
+        chain = longer
+        if not moved:
             break
-        on = walks.select(group, F.col("receipt_id").alias("parent_id"), F.col("parent_id").alias("above"))
-        longer = materialize(walks.join(on, [group, "parent_id"]).select(group, "receipt_id", F.col("above").alias("parent_id")).distinct(), "walks")
-        discard(walks)
-        walks = longer
-    return walks.select(group).distinct()
+    # what still ends in a chain after more steps than it has members goes round
+    round_ = chain.join(chain.select(group, F.col("receipt_id").alias("_end")), [group, "_end"], "left_semi").select(group, "receipt_id", F.col("receipt_id").alias("parent_id"))
+    ends = chain.select(group, F.col("receipt_id").alias("parent_id"), "_end")
+    several = graph.join(parents.filter("_n > 1"), [group, "receipt_id"], "left_semi")
+    led = several.join(ends, [group, "parent_id"], "left").select(group, "receipt_id", F.coalesce("_end", "parent_id").alias("parent_id"))
+    return materialize(led.unionByName(round_).distinct(), "edges")
 
 
 def dag_checks(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
