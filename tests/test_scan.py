@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veritrail.operators import detect, trajectory
-from veritrail.operators.scan import scan, sliced
+from veritrail.operators import detect, scan, trajectory
+from veritrail.operators.scan import sliced
 
 
 @pytest.fixture()
-def many_slices(spark):
-    """No coalescing, so that one key lies in several slices."""
+def many_slices(spark, monkeypatch):
+    """No coalescing and no key in one piece, so that a key lies in several slices."""
+    monkeypatch.setattr(scan, "WHOLE_KEY", 0)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     yield
@@ -30,8 +31,8 @@ def test_scan_equals_windows(spark, many_slices):
     df = spark.createDataFrame(data, "i int, k string, t int, v string")
     order = [F.col("t"), F.col("i")]
     cut = sliced(df, ["k"], order)
-    assert cut.filter("k = 'hot'").select("_slice").distinct().count() > 2
-    got = scan(cut, ["k"], order, previous={"p": ["i", "v"]}, running={"n": F.lit(1), "s": F.col("i")}, latest={"l": F.col("v")}, before={"b": F.col("v")}, first={"f": F.col("v")})
+    assert cut.split and cut.rows.filter("k = 'hot'").select("_slice").distinct().count() > 2
+    got = cut.scan(["k"], order, previous={"p": ["i", "v"]}, running={"n": F.lit(1), "s": F.col("i")}, latest={"l": F.col("v")}, before={"b": F.col("v")}, first={"f": F.col("v")}).rows
     w = Window.partitionBy("k").orderBy("t", "i")
     upto, behind = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     want = df.select(
@@ -41,7 +42,7 @@ def test_scan_equals_windows(spark, many_slices):
     assert rows(got, "i", "p", "n", "s", "l", "b", "f") == rows(want, "i", "p", "n", "s", "l", "b", "f")
 
 
-def test_no_window_by_the_key_alone(spark):
+def test_no_window_by_the_key_alone(spark, many_slices):
     calls = spark.createDataFrame([(1, "a", "r", "tool_call")], "event_id int, caller string, receipt_id string, step_kind string").withColumn("ts", F.current_timestamp())
     for df in (trajectory.linked_sessions(calls), trajectory.next_steps(calls.withColumnRenamed("caller", "trajectory_id")), detect.trailing_hour(calls), detect.write_then_call(calls)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -67,6 +68,13 @@ def test_hot_caller(spark, many_slices):
     assert sorted(got) == sorted(want)
 
 
+def test_small_keys_stay_whole(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "i int, k string")
+    cut = sliced(df, ["k"], [F.col("i")])
+    assert not cut.split and "_slice" not in cut.rows.columns
+    assert rows(cut.scan(["k"], [F.col("i")], running={"n": F.lit(1)}).rows, "i", "n") == sorted(repr((i, i // 2 + 1)) for i in range(10))
+
+
 def graph(spark, groups):
     return spark.createDataFrame([(g, v, list(ps)) for g, edges in groups.items() for v, ps in edges.items()], "trajectory_id string, receipt_id string, parent_step_ids array<string>")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions.times import day
-from veritrail.operators.scan import scan, sliced
+from veritrail.operators.scan import sliced
 
 
 def caller_activity(calls: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def trailing_hour(calls: DataFrame) -> DataFrame:
     seconds = calls.groupBy("caller", at.alias("_for")).agg(F.count(F.lit(1)).alias("_c"))
     twice = seconds.select("caller", "_for", F.explode(F.array(F.struct(F.col("_for").alias("at"), F.lit(0).alias("past"), F.col("_c").alias("c")), F.struct((F.col("_for") - 3601).alias("at"), F.lit(1).alias("past"), F.lit(0).cast("long").alias("c")))).alias("x")).select("caller", "_for", "x.*")
     order = [F.col("at"), F.col("past")]
-    summed = scan(sliced(twice, ["caller"], order), ["caller"], order, running={"_upto": F.col("c")})
+    summed = sliced(twice, ["caller"], order).scan(["caller"], order, running={"_upto": F.col("c")}).rows
     hour = summed.groupBy("caller", "_for").agg(F.sum(F.when(F.col("past") == 0, F.col("_upto")).otherwise(-F.col("_upto"))).alias("last_hour")).withColumnRenamed("caller", "_caller")
     same = F.col("caller").eqNullSafe(F.col("_caller")) & at.eqNullSafe(F.col("_for"))
     return calls.join(hour, same).select("event_id", "caller", "last_hour")
@@ -64,7 +64,7 @@ def kind_drift(calls: DataFrame, split_s: int) -> DataFrame:
 def write_then_call(steps: DataFrame, within_s: int = 600) -> DataFrame:
     """Adjacent steps of a caller where a memory write is followed by a tool call within some seconds."""
     order = [F.col("ts"), F.col("receipt_id")]
-    before = scan(sliced(steps, ["caller"], order), ["caller"], order, previous={"_before": ["step_kind", "receipt_id", "ts"]})
+    before = sliced(steps, ["caller"], order).scan(["caller"], order, previous={"_before": ["step_kind", "receipt_id", "ts"]}).rows
     gap = F.unix_seconds("ts") - F.unix_seconds("_before.ts")
     return before.filter((F.col("_before.step_kind") == "memory_write") & (F.col("step_kind") == "tool_call") & (gap <= within_s)).select("caller", F.col("_before.receipt_id").alias("prev_id"), "receipt_id", gap.alias("gap_s"))
 

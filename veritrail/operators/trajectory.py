@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.operators.scan import scan, sliced
+from veritrail.operators.scan import sliced
 from veritrail.runtime import discard, materialize, ship
 
 SESSION_GAP_S = 1800
@@ -25,18 +25,17 @@ def linked_sessions(calls: DataFrame, gap: int = SESSION_GAP_S) -> DataFrame:
     Callers and sessions are scanned in slices, so one with most of the calls is spread over tasks.
     """
     order = [F.col("ts"), F.col("receipt_id")]
-    rows = scan(sliced(calls, ["caller"], order), ["caller"], order, previous={"_before": ["ts", "receipt_id"]})
+    rows = sliced(calls, ["caller"], order).scan(["caller"], order, previous={"_before": ["ts", "receipt_id"]}, running={"_row": F.lit(1)})
     new = F.coalesce((F.unix_micros("ts") - F.unix_micros("_before.ts") > gap * 1_000_000).cast("int"), F.lit(1))
-    rows = scan(rows.withColumn("_new", new), ["caller"], order, running={"_n": F.col("_new")})
-    rows = scan(rows, ["caller", "_n"], order, running={"_step": F.lit(1)})
+    rows = rows.add({"_new": new}).scan(["caller"], order, running={"_n": F.col("_new")}, latest={"_start": F.when(F.col("_new") == 1, F.col("_row"))}).rows
     session = F.concat_ws("/", "caller", F.col("_n").cast("string"))
     return rows.withColumn("session_id", session).withColumns(
         {
             "trajectory_id": F.concat(F.lit("trj_"), F.substring(F.sha2(F.col("session_id").cast("binary"), 256), 1, 32)),
-            "step_index": (F.col("_step") - 1).cast("int"),
+            "step_index": (F.col("_row") - F.col("_start")).cast("int"),
             "parent_step_ids": F.when(F.col("_new") == 1, F.array().cast("array<string>")).otherwise(F.array("_before.receipt_id")),
         }
-    ).drop("_new", "_n", "_before", "_step", "_slice")
+    ).drop("_new", "_n", "_before", "_row", "_start", "_slice")
 
 
 def next_steps(calls: DataFrame) -> DataFrame:
@@ -54,16 +53,15 @@ def next_steps(calls: DataFrame) -> DataFrame:
     order = [F.col("ts"), F.col("receipt_id").asc_nulls_last()]
     rows = calls.withColumns({"_agent": have("agent_id"), "_session": F.coalesce(have("request_session_id"), have("session_id"))}).drop("agent_id", "session_id")
     # rows of a time that have no receipt cannot be told apart; any number orders them
-    rows = sliced(rows.withColumn("_tie", F.monotonically_increasing_id()), ["trajectory_id"], order)
-    steps = scan(
-        rows,
+    ready = sliced(rows.withColumn("_tie", F.monotonically_increasing_id()), ["trajectory_id"], order)
+    steps = ready.scan(
         ["trajectory_id"],
         [*order, F.col("_tie")],
         running={"_step": F.lit(1)},
         latest={"agent_id": F.col("_agent"), "session_id": F.col("_session")},
         before={"_parent": F.col("receipt_id")},
         first={"trajectory_started_at": F.col("ts")},
-    )
+    ).rows
     steps = steps.withColumns({"step_index": (F.col("_step") - 1).cast("int"), "parent_step_ids": F.when(F.col("_parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("_parent"))})
     return steps.drop("_step", "_parent", "_agent", "_session", "_tie", "_slice").filter("receipt_id IS NOT NULL")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.operators import trajectory
-from veritrail.operators.scan import scan, sliced
+from veritrail.operators.scan import sliced
 from veritrail.plans import oracle as sql
 from veritrail.plans.catalog import query
 from veritrail.runtime import materialize
@@ -21,7 +21,7 @@ def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     order = [F.col("ts"), F.col("receipt_id")]
     calls = derived.calls(spark, sf_dir)
-    steps = scan(sliced(calls, ["caller"], order), ["caller"], order, running={"_step": F.lit(1)}, first={"_first": F.col("event_id")})
+    steps = sliced(calls, ["caller"], order).scan(["caller"], order, running={"_step": F.lit(1)}, first={"_first": F.col("event_id")}).rows
     steps = materialize(steps.select("caller", "receipt_id", (F.col("_step") - 1).alias("i"), F.floor((F.col("_step") - 1) / 3).alias("layer"), F.col("_first").alias("first")), "layered")
     ends = steps.groupBy("caller").agg(F.max("i").alias("last"), F.max_by("receipt_id", "i").alias("last_id"))
     above = steps.groupBy("caller", (F.col("layer") + 1).alias("layer")).agg(F.sort_array(F.collect_list("receipt_id")).alias("up"))  # three at most
