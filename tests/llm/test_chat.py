@@ -1,4 +1,5 @@
 import json
+import time
 
 from veritrail.llm import chat
 
@@ -93,3 +94,27 @@ def test_what_is_not_checked_is_not_valid(corpus):
     rows = [(1, 0, "system", tools, "x"), (1, 1, "assistant", call(("a", "f", {}, []), ("b", "g", {}, []), ("c", "g", {"a": 1}, [])), "x")]
     r = chat.format_chats(corpus(rows, "conversations", SCHEMA)).filter("turn = 1").first()
     assert (r.n_calls, r.n_valid, r.n_invalid) == (3, 1, 1)
+
+
+def test_checks_end():
+    """Schemas that double at each step and patterns that backtrack without end count as unchecked or are matched in linear time."""
+    doubling = {"definitions": {f"d{i}": {"allOf": [{"$ref": f"#/definitions/d{i + 1}"}] * 2} for i in range(31)} | {"d31": {"type": "string"}}, "$ref": "#/definitions/d0"}
+    start = time.monotonic()
+    assert chat.checked("x", doubling) is None
+    evil = "a" * 40 + "!"
+    assert chat.checked(evil, {"pattern": "^(a+)+$"}) == ["$: pattern"]
+    assert chat.checked(evil, {"pattern": "^(?=(a+)+$)a"}) is None
+    assert chat.checked("a" * 5000, {"pattern": "(?!b)a*a*a*c"}) is None
+    assert time.monotonic() - start < 20
+
+
+def test_linear_patterns_mean_the_same():
+    for source, texts in {r"^\d{2}-\w+$": ["12-ab", "12-é", "٣٤-a"], r"[\s]x": [" x", " x", "ax"], r"Ab": ["Ab", "ab"], "a$": ["a", "a\n"], r"\Sx\S": ["axb", " xb"], "^(?=.*1)a": ["a1", "ab"]}.items():
+        for t in texts:
+            assert chat._found(source, t) == bool(chat._pattern(source).search(t)), (source, t)
+
+
+def test_identifiers_of_any_type(spark):
+    rows = [("c-1", "0", "user", "hello"), ("c-1", "x", None, "there"), (None, "1", "user", '{"tool_call_id": "a", "content": 1}')]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")).collect()
+    assert sorted((r.conv_id or "", r.turn) for r in got if r.turn is not None) == [("", 1), ("c-1", 0)] and len(got) == 3

@@ -92,3 +92,25 @@ def test_forward_sums_all_segmentations():
             return 1.0 if at == len(word) else sum(probs[q, 1] * ways(j) for i, j, q in edges if i == at)
 
         assert sums[k, lengths[k], 1] == pytest.approx(ways(0))
+
+
+def test_errors_stay_what_they_are(spark):
+    """Keys for rows of any table, and an error of analysis after it is still one."""
+    from pyspark.errors import AnalysisException
+
+    from veritrail.llm.common import stable_rows
+
+    made = stable_rows(spark.range(5).selectExpr("id AS doc_id"))
+    assert made.select("_rid").distinct().count() == 5
+    with pytest.raises(AnalysisException):
+        made.select("no_such_column").collect()
+
+
+def test_text_ids(spark):
+    from veritrail.llm import similar
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([("b", text), ("a", text), ("c", "another text of its own with some more words"), (None, None)], "doc_id string, text string")
+    got = {r._id: (r.class_id, r.n_links) for r in similar.similar_classes(rows).collect()}
+    assert got["a"] == got["b"] == ("a", 1) and got["c"] == ("c", 0)
+    assert sorted((r.doc_id or "") for r in similar.keep_one(rows).collect()) == ["", "a", "c"]

@@ -22,7 +22,8 @@ JSON (numbers beyond a double too), or a malformed part of such an object, makes
 the message plain; rows without conv_id never link; half a surrogate pair is
 written as an escape; a result
 without a call is kept, not linked; a call whose tool is not declared, or whose
-schema cannot be checked in full, counts neither as valid nor as invalid; repeated rows are messages of their own.
+schema cannot be checked in full or in ``MAX_VISITS`` steps, counts neither as valid nor as invalid; repeated rows are
+messages of their own. Identifiers of conversations may be of any type; a turn that is no number counts as null.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count
+from re import _parser as sre_parser
 from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +179,72 @@ def _pattern(source: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
+#: Schema nodes that the check of one call visits at most, and steps that a backtracking match may need.
+MAX_VISITS, MAX_BACKTRACKS = 100_000, 10_000_000
+_SPACE = r"\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
+@functools.lru_cache(1000)
+def _linear(source: str) -> str | None:
+    """The pattern for an engine that takes linear time; None where that has no way to say it."""
+    out, inside, i = [], False, 0
+    while i < len(source):
+        c, x = source[i], source[i + 1 : i + 2]
+        if c == "\\" and x:
+            i += 2
+            if x in "sS" and not (inside and x == "S"):
+                out.append(_SPACE if inside else f"[{'^' * (x == 'S')}{_SPACE}]")
+            elif x == "u":
+                out.append(f"\\x{{{source[i : i + 4]}}}")
+                i += 4
+            else:
+                out.append("\\z" if x == "Z" else c + x)
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        i += 1
+    try:
+        pc.match_substring_regex(pa.array([""]), "".join(out))
+    except pa.ArrowInvalid:
+        return None
+    return "".join(out)
+
+
+@functools.lru_cache(1000)
+def _repeats(source: str) -> tuple[int, bool]:
+    """Number of open-ended repeats of a pattern, and whether one stands inside another."""
+    open_ended, nested = 0, False
+
+    def walk(parsed, inside: bool) -> None:
+        nonlocal open_ended, nested
+        for kind, value in parsed:
+            if str(kind) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                wide = value[1] > 16
+                open_ended += wide
+                nested |= inside and value[1] > 1
+                walk(value[2], inside or wide)
+            else:
+                for part in value if isinstance(value, (tuple, list)) else [value]:
+                    for p in part if isinstance(part, list) and not isinstance(part, sre_parser.SubPattern) else [part]:
+                        if isinstance(p, sre_parser.SubPattern):
+                            walk(p, inside)
+
+    walk(sre_parser.parse(source), False)
+    return open_ended, nested
+
+
+def _found(source: str, text: str) -> bool:
+    """Whether a pattern is found, in bounded time; what could take longer is not checked."""
+    pattern = _pattern(source)
+    whole = not any("\ud800" <= c <= "\udfff" for c in text)
+    if whole and (linear := _linear(pattern.pattern)) is not None:
+        return pc.match_substring_regex(pa.array([text]), linear)[0].as_py()
+    open_ended, nested = _repeats(pattern.pattern)
+    if nested or (len(text) + 1) ** (open_ended + 1) > MAX_BACKTRACKS:
+        raise Unchecked(source)
+    return pattern.search(text) is not None
+
+
 def _target(ref: str, root):
     """The part of the schema that ``#`` or ``#/a/b`` names."""
     if ref != "#" and not ref.startswith("#/"):
@@ -186,8 +256,11 @@ def _target(ref: str, root):
     return found
 
 
-def problems(value, schema, at: str = "$", root=None) -> list[str]:
-    """Where ``value`` breaks ``schema``; raises Unchecked where that depends on a keyword of ``UNCHECKED``."""
+def problems(value, schema, at: str = "$", root=None, visits: Iterator[int] | None = None) -> list[str]:
+    """Where ``value`` breaks ``schema``; raises Unchecked where that depends on a keyword of ``UNCHECKED`` or takes too long."""
+    visits = count() if visits is None else visits
+    if next(visits) > MAX_VISITS:
+        raise Unchecked("too many steps")
     if isinstance(schema, bool):
         return [] if schema else [f"{at}: nothing is allowed"]
     if not isinstance(schema, dict) or not all(isinstance(schema.get(k) or {}, dict) for k in ("properties", "patternProperties")):
@@ -197,7 +270,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
     found = [k for k in UNCHECKED if k in schema]
     if found or "$id" in schema and schema is not root:
         raise Unchecked(found)
-    below = lambda v, s, where=at: problems(v, s, where, root)
+    below = lambda v, s, where=at: problems(v, s, where, root, visits)
     fits = lambda s, v=value: not below(v, s)
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
@@ -223,7 +296,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
         out += [f"{at}.{k}: required" for k in schema.get("required") or [] if k not in value]
         for k, v in value.items():
             own = [known[k]] if k in known else []
-            own += [s for p, s in patterns.items() if _pattern(p).search(k)]
+            own += [s for p, s in patterns.items() if _found(p, k)]
             for s in own:
                 out += below(v, s, f"{at}.{k}")
             if not own and schema.get("additionalProperties") is False:
@@ -250,7 +323,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
             n = sum(fits(schema["contains"], v) for v in value)
             if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
                 out.append(f"{at}: contains")
-    if isinstance(value, str) and "pattern" in schema and not _pattern(schema["pattern"]).search(value):
+    if isinstance(value, str) and "pattern" in schema and not _found(schema["pattern"], value):
         out.append(f"{at}: pattern")
     size = len(value) if isinstance(value, (str, list, dict)) else None
     unit = {str: "Length", list: "Items", dict: "Properties"}.get(type(value))
@@ -321,7 +394,7 @@ def format_chats(df: DataFrame) -> DataFrame:
     """One row per message of ``df`` (conv_id, turn, role, text) with its links, order and canonical JSON."""
     spark = df.sparkSession
     prepare(spark)
-    rid = "_rid struct<f:long,i:long>, conv_id long, turn long, role string"
+    rid = f"_rid struct<f:long,i:long>, conv_id {df.schema['conv_id'].dataType.simpleString()}, turn long, role string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("depends_on", pa.list_(pa.string()))])
@@ -330,7 +403,7 @@ def format_chats(df: DataFrame) -> DataFrame:
             columns = list(zip(*map(parse, batch.column("text").to_pylist()))) or [()] * 5
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_rid", "conv_id", "turn", "role")], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["_rid", "conv_id", "turn", "role", "kind", "calls", "result_of", "tools", "body"])
 
-    base = stable_rows(df).select("_rid", F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    base = stable_rows(df).select("_rid", "conv_id", F.col("turn").try_cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = materialize(base.mapInArrow(read, f"{rid}, {_PARSED}"), "messages")
     calls = parsed.filter("kind = 'calls'").select("_rid", "conv_id", "turn", F.posexplode("calls").alias("nth", "c")).select("_rid", "conv_id", "turn", "nth", "c.*")
     first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "_rid", "nth", "name")).alias("call")).select("conv_id", "id", F.col("call._rid").alias("call_rid"), F.col("call.turn").alias("call_turn"), F.col("call.name").alias("call_name"))

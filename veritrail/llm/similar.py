@@ -202,9 +202,9 @@ def similar_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Class and number of links of each row: _rid, _id, class_id, class_node (of null ids too), n_links, n_grams."""
     spark = df.sparkSession
     prepare(spark)
-    docs = (df if "_rid" in df.columns else stable_rows(df)).select("_rid", F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
+    docs = (df if "_rid" in df.columns else stable_rows(df)).select("_rid", F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     rid = "struct<f:long,i:long>"
-    signed = materialize(docs.mapInArrow(_signatures, f"_rid {rid}, _id long, k1 long, k2 long, n long, bands array<long>").withColumn("node", F.struct("k1", "k2")), "signatures")
+    signed = materialize(docs.mapInArrow(_signatures, f"_rid {rid}, _id {docs.schema['_id'].dataType.simpleString()}, k1 long, k2 long, n long, bands array<long>").withColumn("node", F.struct("k1", "k2")), "signatures")
     classes = materialize(signed.filter("n > 0").groupBy("node").agg(F.count("*").alias("mult"), F.min("_id").alias("least"), F.first("n").alias("n"), F.min("_rid").alias("_rid"), F.first("bands").alias("bands")), "classes")
     release(spark)
     banded = classes.select("node", F.explode("bands").alias("band"))

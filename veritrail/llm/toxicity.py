@@ -34,16 +34,16 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import bucket_of_id, extended, prepare, slices
+from veritrail.llm.common import bucket_of_id, extended, hash_below, prepare, slices
 from veritrail.runtime import materialize
 
 MAX_LABELLED = 200_000
-MAX_TOKENS = 20_000
 #: Pseudo-counts of the prior, as a share of all counted tokens.
 PRIOR_SHARE = 0.1
 MIN_ODDS = 1.0
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     if total > MAX_LABELLED:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * MAX_LABELLED // total)
+        known = known.filter(hash_below("doc_id", MAX_LABELLED, total))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("text", "toxic")
     counts = rows.mapInArrow(_count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -171,19 +171,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     half = lambda n, share: F.when(n > 0, n * F.log(n / (seen * share))).otherwise(0.0)
     ratio = half(F.col("toxic"), n_toxic / (n_toxic + n_clean)) + half(F.col("clean"), n_clean / (n_toxic + n_clean))
     chance = (ratio >= math.log(max(2, distinct))) & (odds > 0)
-    first = counts.filter(chance).select("token", ratio.alias("ratio")).orderBy(F.col("ratio").desc(), "token").limit(MAX_TOKENS).collect()
-    sought = frozenset(bytes(r.token) for r in first)
+    sought = counts.filter(chance).select("token")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             pairs = set()
             for t, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 words = tokens(t)
-                pairs.update((w, words[i - 1] if i else b"", y) for i, w in enumerate(words) if w in sought)
+                pairs.update(zip(words, [b"", *words], repeat(y)))
             w, before, y = zip(*pairs) if pairs else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(before, pa.binary()), pa.array(y, pa.int32())], names=["token", "before", "toxic"])
 
-    apart = rows.mapInArrow(contexts, "token binary, before binary, toxic int").distinct().groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
+    apart = rows.mapInArrow(contexts, "token binary, before binary, toxic int").join(sought, "token", "left_semi").distinct().groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
     top = apart.filter(chance & (odds - 2 * error >= MIN_ODDS)).select("token", "clean", "toxic", odds.alias("odds")).orderBy("token").collect()
     share = PRIOR_SHARE
     rest_clean = max(1, n_clean - sum(r.clean for r in top))
