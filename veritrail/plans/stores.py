@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import canon
-from veritrail.operators import index, merkle, policy
+from veritrail.operators import index, merkle, plugins, policy
 from veritrail.plans import oracle as sql
-from veritrail.plans.catalog import CHUNK_POLICY, KEY, NOW, ORACLES, _verified, query
+from veritrail.plans.catalog import CHUNK_POLICY, KEY, NOW, ORACLES, TOOLS, _verified, query
 from veritrail.runtime import materialize, shared_dir
 from veritrail.sources import derived, kept
 
@@ -103,3 +103,31 @@ def kept_log_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_log_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _kept_log(spark, sf_dir)
     return log.proofs(log.entries().select("leaf_index"))
+
+
+class _ToolRules:
+    """The tool-call rules of the catalog, told in Python as a backend that knows nothing of Columns would."""
+
+    evaluator_name, policy_id, policy_version_hash = "custom", "tools", TOOLS.version_hash
+
+    def evaluate(self, inputs):
+        out = []
+        for r in inputs:
+            tool, fired = r["tool"], ["known_tools"]
+            broken = tool == "error"
+            if not broken and tool in ("click", "purchase"):
+                fired.append("no_round_users")
+                broken = r["caller"][-1] in "05"
+            if not broken and tool == "purchase":
+                fired.append("short_amounts")
+                broken = r["amount"] is not None and len(str(r["amount"])) > 2
+            out.append(("deny" if broken else "allow", fired))
+        return out
+
+
+@query(ORACLES["tool_admission"])
+def tool_admission_by_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of ``tool_admission`` from an evaluator of unknown make."""
+    calls = derived.calls(spark, sf_dir).select("event_id", "receipt_id", "event_type", "caller", "amount")
+    decided = plugins.evaluate(calls, _ToolRules, {"tool": F.col("event_type"), "caller": F.col("caller"), "amount": F.col("amount")})
+    return decided.select("event_id", "receipt_id", "decision", F.array_join("rules_fired", ",").alias("rules_fired"))
