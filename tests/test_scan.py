@@ -122,3 +122,29 @@ def test_random_graphs(spark, small):
 
 def test_no_receipts(spark):
     assert trajectory.cyclic(graph(spark, {"a": {"x": []}}).limit(0)).count() == 0
+
+
+def test_order_statistics_of_large_keys(spark, many_slices):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float(rng.randrange(300))])) for _ in range(900)]
+    got = {r.k: r for r in detect.sorted_percentiles(spark.createDataFrame(data, "k string, v double"), "k", "v").collect()}
+    for k in ("a", "b", None):
+        v = sorted(x for key, x in data if key == k and x is not None)
+        n = len(v)
+        want = (n, v[0], v[(n - 1) // 2], v[int(0.95 * (n - 1))], v[int(0.99 * (n - 1))], v[int(0.999 * (n - 1))], v[-1])
+        assert tuple(got[k][:8][1:8]) == want
+
+
+def test_seasonal_drift_states(spark):
+    day = 86400
+    rows = [("steady", 10, d) for d in range(10)] * 2 + [("gone", 3, d) for d in range(8)] + [("rising", 5, 1)] + [("rising", 5, 12)] * 6 + [("steady", 10, d) for d in (12, 13)] * 2 + [("fresh", 1, 12)] + [("falling", 7, d) for d in range(10)] * 3 + [("falling", 8, 13)]
+    calls = spark.createDataFrame([(c, d * day + h * 3600, "tool_call") for c, h, d in rows], "caller string, s long, step_kind string").withColumn("ts", F.timestamp_seconds("s"))
+    known, recent = detect.baseline(calls.filter(f"s < {10 * day}")), detect.baseline(calls.filter(f"s >= {10 * day}"))
+    halves = detect.merged_baseline(detect.baseline(calls.filter(f"s < {4 * day}")).unionByName(detect.baseline(calls.filter(f"s >= {4 * day} AND s < {10 * day}"))))
+    assert rows_of(halves) == rows_of(known)
+    got = {(r.caller, r.hour): r.state for r in detect.seasonal_drift(known, recent, factor=3, least=5).collect()}
+    assert got == {("steady", 10): "usual", ("gone", 3): "silent", ("rising", 5): "more", ("fresh", 1): "new", ("falling", 7): "less", ("falling", 8): "usual"}
+
+
+def rows_of(df):
+    return rows(df, *sorted(df.columns))

@@ -52,6 +52,56 @@ def trailing_hour(calls: DataFrame) -> DataFrame:
     return calls.join(hour, same).select("event_id", "caller", "last_hour")
 
 
+def baseline(calls: DataFrame, what: str = "step_kind") -> DataFrame:
+    """Sums per caller, hour of day and ``what`` (caller, hour, what, n, first_day, last_day), from which a baseline is kept.
+
+    Sums of batches are merged by :func:`merged_baseline`, so a baseline grows by batch and old calls are not read again.
+    """
+    day, hour = F.floor(F.unix_seconds("ts") / 86400), F.pmod(F.floor(F.unix_seconds("ts") / 3600), F.lit(24))
+    return calls.groupBy("caller", hour.cast("int").alias("hour"), what).agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+
+
+def merged_baseline(parts: DataFrame, what: str = "step_kind") -> DataFrame:
+    return parts.groupBy("caller", "hour", what).agg(F.sum("n").alias("n"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+
+
+def seasonal_drift(known: DataFrame, recent: DataFrame, factor: int = 3, least: int = 5, what: str = "step_kind") -> DataFrame:
+    """Recent calls against the baseline of the same caller and hour of day: caller, hour, usual, seen, days, recent_days, state.
+
+    ``known`` and ``recent`` are sums from :func:`baseline`. A day of the recent part is held against a day of the baseline,
+    in whole numbers: ``more`` where the rate is at least ``factor`` times the usual one with ``least`` calls or more, ``new``
+    for a caller without a baseline, ``silent`` for one with ``least`` calls before and none now, ``less`` where the rate fell
+    by the factor, ``usual`` otherwise. Days are counted over the whole of each part.
+    """
+    span = lambda df: df.agg((F.max("last_day") - F.min("first_day") + 1).cast("long")).first()[0] or 1
+    days, recent_days = span(known), span(recent)
+    per_hour = lambda df, n: df.groupBy("caller", "hour").agg(F.sum("n").alias(n))
+    callers = known.select(F.col("caller").alias("_caller")).distinct()
+    now = recent.select(F.col("caller").alias("_now")).distinct()
+    both = per_hour(known, "usual").join(per_hour(recent, "seen"), ["caller", "hour"], "full").na.fill(0, ["usual", "seen"])
+    both = both.join(callers, F.col("caller") == F.col("_caller"), "left").join(now, F.col("caller") == F.col("_now"), "left")
+    rate, usual = F.col("seen") * days, F.col("usual") * recent_days
+    state = (
+        F.when(F.col("_caller").isNull(), "new")
+        .when(F.col("_now").isNull() & (F.col("usual") >= least), "silent")
+        .when((F.col("seen") >= least) & (rate >= usual * factor), "more")
+        .when((F.col("usual") >= least) & (rate * factor <= usual), "less")
+        .otherwise("usual")
+    )
+    return both.select("caller", "hour", "usual", "seen", F.lit(days).alias("days"), F.lit(recent_days).alias("recent_days"), state.alias("state"))
+
+
+def source_mix(calls: DataFrame, agent: str = "agent_id", source: str = "content_source") -> DataFrame:
+    """Share of each content source in what an agent read in an hour of day, and in all hours: agent, hour, source, n, share, usual."""
+    hour = F.pmod(F.floor(F.unix_seconds("ts") / 3600), F.lit(24)).cast("int")
+    cells = calls.groupBy(F.col(agent).alias("agent"), hour.alias("hour"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    in_hour = cells.groupBy("agent", "hour").agg(F.sum("n").alias("_hour"))
+    of_source = cells.groupBy("agent", "source").agg(F.sum("n").alias("_source"))
+    whole = cells.groupBy("agent").agg(F.sum("n").alias("_all"))
+    joined = cells.join(in_hour, ["agent", "hour"]).join(of_source, ["agent", "source"]).join(whole, "agent")
+    return joined.select("agent", "hour", "source", "n", F.round(F.col("n") / F.col("_hour"), 9).alias("share"), F.round(F.col("_source") / F.col("_all"), 9).alias("usual"))
+
+
 def kind_drift(calls: DataFrame, split_s: int) -> DataFrame:
     """KL divergence of each caller's step kinds after ``split_s`` (epoch) from all callers' before it, kinds add-one smoothed."""
     late = F.unix_seconds("ts") >= split_s
@@ -78,16 +128,18 @@ def kind_ratio(calls: DataFrame) -> DataFrame:
 def sorted_percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """count, min, max, mean and the p50, p95, p99, p999 of each key: the value at place floor(p * (n - 1)) of all in order.
 
-    Equal values are counted before they are sorted, so a key with very many rows
-    but few different values is no hot one. Nulls of ``value`` do not count.
+    Equal values are counted before they are sorted, and the values of a key are numbered in slices where they are
+    many, so neither a key with very many rows nor one with very many different values is sorted in one task. Nulls
+    of ``value`` do not count.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("c").over(Window.partitionBy(key))
-    ranked = counts.withColumns({"upto": upto, "n": total})
+    totals = counts.groupBy(key).agg(F.sum("c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.col(value) * F.col("c")).alias("_sum"))
+    order = [F.col(value)]
+    upto = sliced(counts, [key], order).scan([key], order, running={"upto": F.col("c")}).rows
+    ranked = upto.withColumnRenamed(key, "_key").join(totals, F.col("_key").eqNullSafe(F.col(key)))
     places = {"p50": F.expr("(n - 1) div 2"), **{name: F.floor(F.lit(p) * (F.col("n") - 1)) for name, p in (("p95", 0.95), ("p99", 0.99), ("p999", 0.999))}}
     at = [F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()]
-    return ranked.groupBy(key).agg(F.max("n").alias("count"), F.min(value).alias("min"), *at, F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"))
+    return ranked.groupBy(key).agg(F.max("n").alias("count"), F.max("min").alias("min"), *at, F.max("max").alias("max"), (F.max("_sum") / F.max("n")).alias("mean"))
 
 
 def labelled(rows: DataFrame, names: DataFrame, max_names: int = 100_000) -> DataFrame:
