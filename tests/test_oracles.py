@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from veritrail.plans import catalog, graphs, stores, streams, trends  # noqa: F401
+from veritrail.plans import audits, catalog, graphs, stores, streams, trends  # noqa: F401
 
 DATA = os.environ.get("VERITRAIL_TEST_DATA", "/root/testdata/sf0.001")
 
