@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     half = lambda n, share: F.when(n > 0, n * F.log(n / (seen * share))).otherwise(0.0)
     ratio = half(F.col("toxic"), n_toxic / (n_toxic + n_clean)) + half(F.col("clean"), n_clean / (n_toxic + n_clean))
     chance = (ratio >= math.log(max(2, distinct))) & (odds > 0)
-    sought = counts.filter(chance).select("token")
+    sought = materialize(counts.filter(chance).select("token"), "sought")  # its size decides how the join is made
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
