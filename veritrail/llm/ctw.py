@@ -178,14 +178,23 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
+#: ln gamma of 1/2, 3/2, ... and of 1, 2, ... for counts below 2**16, which nearly all nodes have.
+_OF_HALF, _OF_ONE = (_lgamma(np.arange(1 << 16) + x) for x in (0.5, 1.0))
+
 
+def _ln_gamma(x: np.ndarray, shift: float, table: np.ndarray) -> np.ndarray:
+    """ln gamma(x + shift) for whole x."""
+    x = np.asarray(x)
+    out = table[np.minimum(x, len(table) - 1).astype("int64")]
+    large = x >= len(table)
+    if large.any():
+        out[large] = _lgamma(x[large] + shift)
+    return out
 
-def _above(node: np.ndarray) -> np.ndarray:
-    """Nodes of the same choice whose context is shorter by its oldest byte."""
-    return node >> U(16) << U(8) | (node & U(0xFF))
+
+def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return _ln_gamma(a, 0.5, _OF_HALF) + _ln_gamma(b, 0.5, _OF_HALF) - _ln_gamma(a + b, 1.0, _OF_ONE) - math.log(math.pi)
 
 
 def _mix(zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -196,52 +205,83 @@ def _mix(zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[tuple[np
 
 
 class Trees:
-    """The context trees below some pairs of most recent bytes, from distinct byte strings and their counts."""
+    """The context trees below some pairs of most recent bytes, from sorted distinct byte strings and their counts.
+
+    A string is its context, the most recent byte highest, and the symbol. In order of strings of a depth, the nodes of
+    every binary choice are runs of strings that agree in the context and the bits of the symbol before the choice, so
+    each depth is sorted once and the eight choices need no sort of their own.
+    """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
-        keys = keys >> U(1)  # the mark of the kind goes
-        symbol, context = keys & U(0xFF), keys >> U(8)
-        ids, ones = [], []
-        for i in range(8):
-            z = (U(1) << U(i)) | (symbol >> U(8 - i))
-            ids.append(context << U(8) | z)
-            ones.append((symbol >> U(7 - i)) & U(1))
-        self.bits = np.concatenate(ones).astype(bool)
-        node, self.at = np.unique(np.concatenate(ids), return_inverse=True)
-        weight = np.tile(n.astype(float), 8)
-        one = np.bincount(self.at, weights=weight * self.bits, minlength=len(node))
-        zero = np.bincount(self.at, weights=weight * ~self.bits, minlength=len(node))
-        weighted = kt(zero, one)
-        self.up: list[tuple] = []  # of each depth above: parent of each node, its weight and estimate
-        self.leaf = (one + 0.5) / (zero + one + 1)
+        strings, counts = keys >> U(1), n.astype(float)  # the mark of the kind goes
+        #: Of each depth from the deepest: strings, counts, and the place of each string among those of the depth above.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
         for _ in range(DEPTH - 2):
-            parent, place = np.unique(_above(node), return_inverse=True)
-            zero, one, below = (np.bincount(place, weights=x, minlength=len(parent)) for x in (zero, one, weighted))
-            given, weighted = _mix(zero, one, below)
-            self.up.append((place, *given))
-            node = parent
-        self.top = node, zero, one, weighted
+            shorter = strings >> U(16) << U(8) | (strings & U(0xFF))  # without the oldest byte
+            above, place = np.unique(shorter, return_inverse=True)
+            self.levels.append((strings, counts, place))
+            strings, counts = above, np.bincount(place, weights=counts, minlength=len(above))
+        self.levels.append((strings, counts, None))
+
+    def _climb(self, i: int):
+        """Of choice ``i`` and each depth from the deepest: node of each string, first string, zeros, ones, weight and estimate, ln weighted probability."""
+        weighted = starts = place = None
+        for strings, counts, up in self.levels:
+            run = strings >> U(8 - i)
+            new = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
+            at, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            one = counts * ((strings >> U(7 - i)) & U(1))
+            total, one = (np.add.reduceat(x, first) if len(first) else x for x in (counts, one))
+            zero = total - one
+            if weighted is None:
+                given, weighted = (None, (one + 0.5) / (total + 1)), kt(zero, one)
+            else:
+                given, weighted = _mix(zero, one, np.bincount(at[place[starts]], weights=weighted, minlength=len(first)))
+            yield at, first, zero, one, given, weighted
+            starts, place = first, up
+
+    def tops(self) -> tuple[np.ndarray, ...]:
+        """Choice (most recent byte and bits before it), zeros, ones and ln weighted probability of the nodes of two bytes of context."""
+        out = []
+        strings = self.levels[-1][0]
+        for i in range(8):
+            for _, first, zero, one, _, weighted in self._climb(i):
+                pass
+            out.append((self._choice(strings[first], i), zero, one, weighted))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    @staticmethod
+    def _choice(strings: np.ndarray, i: int) -> np.ndarray:
+        """Most recent byte and choice of strings with two bytes of context."""
+        return ((strings >> U(16)) << U(8) | U(1) << U(i) | (strings & U(0xFF)) >> U(8 - i)).astype("int64")
 
     def log_probabilities(self, root: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 probability of the last byte of each string; root, first: weight and estimate of each binary choice, without context and by the most recent byte."""
-        q, anc = self.leaf, np.arange(len(self.leaf))
-        for place, w, estimate in self.up:
-            anc = place[anc]
-            q = w[anc] * estimate[anc] + (1 - w[anc]) * q
-        z = _above(self.top[0]).astype(int)[anc]
-        q = first[0][z] * first[1][z] + (1 - first[0][z]) * q
-        z &= 0xFF
-        q = root[0][z] * root[1][z] + (1 - root[0][z]) * q
-        q = q[self.at]
-        return np.log10(np.where(self.bits, q, 1 - q)).reshape(8, -1).sum(axis=0)
-
-
-def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]], np.ndarray] | None:
-    """Distinct keys of one task and their counts, its rows (chunk, number of keys, packed keys), and the place of each row's keys among the distinct ones."""
+        strings = self.levels[0][0]
+        out = np.zeros(len(strings))
+        for i in range(8):
+            q = where = None
+            for (texts, _, up), (at, _, _, _, (w, estimate), _) in zip(self.levels, self._climb(i)):
+                if q is None:
+                    q, where = estimate[at], np.arange(len(strings))
+                else:
+                    node = at[where]
+                    q = w[node] * estimate[node] + (1 - w[node]) * q
+                where = where if up is None else up[where]
+            z = self._choice(texts, i)[where]
+            q = first[0][z] * first[1][z] + (1 - first[0][z]) * q
+            z &= 0xFF
+            q = root[0][z] * root[1][z] + (1 - root[0][z]) * q
+            out += np.log10(np.where(((strings >> U(7 - i)) & U(1)).astype(bool), q, 1 - q))
+        return out
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, bytes]], np.ndarray] | None:
+    """Distinct keys of one task and their counts, its rows (chunk, part, number of keys, packed keys), and the place of each row's keys among the distinct ones."""
     rows, keys, counts = [], [], []
     for b in batches:
-        for chunk, n, k, c in zip(*(b.column(x).to_pylist() for x in ("chunk", "n", "keys", "counts"))):
-            rows.append((chunk, n, k))
+        for chunk, part, n, k, c in zip(*(b.column(x).to_pylist() for x in ("chunk", "part", "n", "keys", "counts"))):
+            rows.append((chunk, part, n, k))
             keys.append(_unpack_keys(k, n))
             counts.append(_unpack(c, n, "int64"))
     if not rows:
@@ -256,16 +296,17 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarra
     return key[new], np.bincount(place, weights=n), rows, place
 
 
-def _answers(rows: list[tuple[int, int, bytes]], logs: np.ndarray, place: np.ndarray, words: bool) -> Iterator[pa.RecordBatch]:
+def _answers(rows: list[tuple[int, int, int, bytes]], logs: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of one task with the values of their keys."""
     at = 0
     for lo in range(0, len(rows), 2000):
         part, packed = rows[lo : lo + 2000], []
-        for _, n, _ in part:
+        for _, _, n, _ in part:
             packed.append(_pack(logs[place[at : at + n]]))
             at += n
-        arrays = [pa.array([r[0] for r in part], pa.int32()), pa.array([words] * len(part)), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary()), pa.array(packed, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "words", "n", "keys", "logs"])
+        columns = list(zip(*part))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(packed, pa.binary())], names=["chunk", "part", "n", "keys", "logs"])
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +318,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _word_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = _collected(batches)
     if found is not None:
-        yield from _answers(found[2], np.log10(found[1] + 1), found[3], True)
+        yield from _answers(found[2], np.log10(found[1] + 1), found[3])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = _collected(batches)
     if found is not None:
-        node, zero, one, weighted = Trees(*found[:2]).top
-        z, at = np.unique(_above(node), return_inverse=True)
+        choice, zero, one, weighted = Trees(*found[:2]).tops()
+        z, at = np.unique(choice, return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(z.astype("int32")), *[pa.array(np.bincount(at, weights=x, minlength=len(z))) for x in (zero, one, weighted)]], names=["z", "zero", "one", "weighted"])
 
 
@@ -318,26 +359,30 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _collected(batches)
         if found is not None:
-            yield from _answers(found[2], Trees(*found[:2]).log_probabilities(root, first), found[3], False)
+            yield from _answers(found[2], Trees(*found[:2]).log_probabilities(root, first), found[3])
 
-    schema = "chunk int, words boolean, n long, keys binary, logs binary"
+    schema = "chunk int, part long, n long, keys binary, logs binary"
     # Not written: the shuffle to the chunks holds them already, and what an executor loses comes again from the reported keys.
     answers = grams.mapInArrow(values, schema).unionByName(words.mapInArrow(_word_values, schema))
     denominator = math.log10(train_tokens + vocabulary + 1)
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        def known(words: bool) -> tuple[np.ndarray, np.ndarray]:
-            rows = right.filter(pc.equal(right.column("words"), words))
-            parts = list(zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "logs"))))
-            key = np.concatenate([np.zeros(0, U), *[_unpack_keys(k, n) for n, k, _ in parts]])
-            logs = np.concatenate([np.zeros(0), *[_unpack(x, n, "float64") for n, _, x in parts]])
-            order = np.argsort(key)
-            return key[order], logs[order]
-
-        key, logs = known(True)
+        def known(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """Keys and values of some parts, one part after the other."""
+            sizes = rows.column("n").to_numpy()
+            ends = np.cumsum(sizes)
+            key, logs = np.empty(int(sizes.sum()), U), np.empty(int(sizes.sum()))
+            for n, end, k, x in zip(sizes.tolist(), ends.tolist(), rows.column("keys"), rows.column("logs")):
+                key[end - n : end] = _unpack_keys(k.as_py(), n)
+                logs[end - n : end] = _unpack(x.as_py(), n, "float64")
+            return key, logs
+
+        right = right.sort_by("part")
+        key, logs = known(right.filter(pc.less(right.column("part"), 0)))
         value = dict(zip(key.view("int64").tolist(), logs.tolist()))
-        gram, logs = known(False)
+        gram, logs = known(right.filter(pc.greater_equal(right.column("part"), 0)))  # parts are ranges of keys
+        del right, key
         of_word: dict[bytes, float] = {}
         end = value.get(END_TOKEN, 0.0)
         out = {k: [] for k, _ in kinds}
