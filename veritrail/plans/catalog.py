@@ -76,21 +76,20 @@ def fingerprint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.windows(docs, "t", keep=("doc_id",)).drop("rolling_hash")
 
 
-@query(
-    f"""SELECT doc_id, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(t, 1, {text.WINDOW}), ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (a * {text.ROLLING_BASE} + c) % {text.ROLLING_MODULUS})::BIGINT AS rolling_hash
-    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents)"""
-)
+_ROLLING_SQL = f"""SELECT doc_id, "offset"::INT AS "offset", list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(t[("offset" + 1) : ("offset" + {text.WINDOW})], ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (a * {text.ROLLING_BASE} + c) % {text.ROLLING_MODULUS})::BIGINT AS rolling_hash
+    FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {text.WINDOW} THEN [0] ELSE range(0, length(t) - {text.WINDOW} + 1, {text.STRIDE}) END) AS "offset"
+    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents))"""
+
+
+@query(f"SELECT doc_id, count(*) AS windows, min(rolling_hash) AS least, max(rolling_hash) AS greatest, bit_xor(rolling_hash) AS mixed FROM ({_ROLLING_SQL}) GROUP BY doc_id")
 def rolling_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling hash of each document's first window."""
+    """A sketch of each document from the rolling hashes of all its windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
-    return docs.select("doc_id", text.rolling_hash(F.substring("t", 1, text.WINDOW)).alias("rolling_hash"))
+    rows = text.windows(docs, "t", keep=("doc_id",)).groupBy("doc_id")
+    return rows.agg(F.count("*").alias("windows"), F.min("rolling_hash").alias("least"), F.max("rolling_hash").alias("greatest"), F.bit_xor("rolling_hash").alias("mixed"))
 
 
-@query(
-    f"""SELECT doc_id, "offset"::INT AS "offset", list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(t[("offset" + 1) : ("offset" + {text.WINDOW})], ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (a * {text.ROLLING_BASE} + c) % {text.ROLLING_MODULUS})::BIGINT AS rolling_hash
-    FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {text.WINDOW} THEN [0] ELSE range(0, length(t) - {text.WINDOW} + 1, {text.STRIDE}) END) AS "offset"
-    FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents))"""
-)
+@query(_ROLLING_SQL)
 def rolling_hash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling hash of every window of the whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
@@ -154,16 +153,22 @@ def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir).select("request_id", "chunk_index", "document_id", "outcome")
 
 
+#: Steps of a retriever that cuts texts anew; windows of the index start every STRIDE characters, so every second cut is one of them.
+_CUT = text.STRIDE * 3 // 2
+
+
 @query(
-    f"""WITH {sql.WINDOW_BEST}, cut AS (SELECT doc_id, {sql.fp(sql.norm(f't[{text.STRIDE + 1} : {text.STRIDE + text.WINDOW}]'))} AS fingerprint FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents) WHERE length(t) >= {text.STRIDE + text.WINDOW})
-  SELECT doc_id, b.document_id, b.chunk_offset, CASE WHEN b.document_id IS NULL THEN 'UNVERIFIED' WHEN {sql.hmac(sql.PAYLOAD.replace('fingerprint', 'b.fingerprint'))} <> b.signature THEN 'TAMPERED'
+    f"""WITH {sql.WINDOW_BEST}, places AS (SELECT doc_id, t, unnest(range(0, greatest(length(t) - {text.WINDOW}, 0) + 1, {_CUT})) AS o FROM (SELECT doc_id, {sql.norm('text')} AS t FROM documents)),
+  cut AS (SELECT doc_id, o, {sql.fp(sql.norm(f't[(o + 1) : (o + {text.WINDOW})]'))} AS fingerprint FROM places)
+  SELECT doc_id, o::INT AS cut_offset, b.document_id, b.chunk_offset, CASE WHEN b.document_id IS NULL THEN 'UNVERIFIED' WHEN {sql.hmac(sql.PAYLOAD.replace('fingerprint', 'b.fingerprint'))} <> b.signature THEN 'TAMPERED'
     WHEN NOT b.authorized THEN 'UNAUTHORIZED' WHEN b.superseded THEN 'STALE' ELSE 'VERIFIED' END AS outcome FROM cut LEFT JOIN best b ON cut.fingerprint = b.fingerprint"""
 )
 def rechunked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that a retriever cut anew, verified through the sliding windows of the index."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t")).filter(F.length("t") >= text.STRIDE + text.WINDOW)
-    cut = docs.select("doc_id", text.chunk_fingerprint(F.substring("t", text.STRIDE + 1, text.WINDOW)).alias("fingerprint"))
-    return index.verify(cut, index.index_rows(derived.window_log(spark, sf_dir)), KEY).select("doc_id", "document_id", "chunk_offset", "outcome")
+    """Whole texts that a retriever cut anew, verified through the sliding windows of the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    at = docs.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - text.WINDOW, F.lit(0)), F.lit(_CUT))).alias("cut_offset"))
+    cut = at.select("doc_id", "cut_offset", text.chunk_fingerprint(F.substring("t", F.col("cut_offset") + 1, F.lit(text.WINDOW))).alias("fingerprint"))
+    return index.verify(cut, index.index_rows(derived.window_log(spark, sf_dir)), KEY).select("doc_id", "cut_offset", "document_id", "chunk_offset", "outcome")
 
 
 @query(f"WITH {sql.VERIFIED} SELECT outcome, origin, count(*) AS chunks FROM verified GROUP BY ALL")
@@ -557,17 +562,21 @@ def trajectory_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps with some receipts lost, so that parents dangle."""
-    return materialize(_steps(spark, sf_dir).filter("event_id % 11 <> 0"), "steps")
+    """All steps, some under another identifier than the one that their successors name, so that parents dangle."""
+    renamed = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("renamed-"), "receipt_id")).otherwise(F.col("receipt_id"))
+    return materialize(_steps(spark, sf_dir).withColumn("receipt_id", renamed), "steps")
+
+
+_BROKEN_SQL = f"{sql.STEPS}, kept AS (SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN 'renamed-' || receipt_id ELSE receipt_id END AS receipt_id) FROM steps)"
 
 
-@query(f"WITH {sql.STEPS}, kept AS (SELECT * FROM steps WHERE event_id % 11 <> 0) SELECT trajectory_id, receipt_id, parent AS parent_id FROM kept k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent)")
+@query(f"WITH {_BROKEN_SQL} SELECT trajectory_id, receipt_id, parent AS parent_id FROM kept k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent)")
 def dangling_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.dangling(_broken(spark, sf_dir))
 
 
 @query(
-    f"""WITH {sql.STEPS}, kept AS (SELECT * FROM steps WHERE event_id % 11 <> 0),
+    f"""WITH {_BROKEN_SQL},
   g AS (SELECT k.trajectory_id, bool_and(k.parent IS NULL OR p.receipt_id IS NOT NULL) AS whole, bool_or(k.parent IS NULL) AS root FROM kept k LEFT JOIN kept p ON p.trajectory_id = k.trajectory_id AND p.receipt_id = k.parent GROUP BY k.trajectory_id)
   SELECT trajectory_id, unnest(['has_trajectory_block', 'shared_trajectory_id', 'no_dangling_parents', 'dag_acyclic', 'has_root_step']) AS "check", unnest([true, true, whole, true, root]) AS ok FROM g"""
 )
