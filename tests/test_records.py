@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import hmac
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,13 +141,14 @@ def test_retry_keeps_order_and_counts_what_is_lost(spark, tmp_path):
             raise OSError
         seen.append(df)
 
-    retry = sinks.Retrying(sink, keep=2)
+    gone = []
+    retry = sinks.Retrying(sink, keep=2, hold=lambda x: x, drop=gone.append)
     for x in (1, 2, 3):
         retry(x)
     assert list(retry.waiting) == [2, 3]
     down[0] = False
     retry(4)
-    assert seen == [2, 3, 4] and not retry.waiting
+    assert seen == [2, 3, 4] and not retry.waiting and gone == [1, 2, 3]
     down[0] = True
     retry(5)
     assert retry.close() == 1
@@ -157,3 +159,40 @@ def test_retry_keeps_order_and_counts_what_is_lost(spark, tmp_path):
     rows = spark.createDataFrame([("2024-02-03T23:30:00-01:00", "{}")], "issued_at string, receipt string")
     sinks.daily_lines(str(tmp_path / "o"), "audit")(rows)
     assert [p.name for p in (tmp_path / "o").iterdir() if p.is_dir()] == ["file=audit-2024-02-04"]
+
+
+def test_batches_wait_as_rows(spark, tmp_path):
+    """What waits can be written after its source is gone; a closed sink in a fan-out is raised, a broken one is not."""
+    source = tmp_path / "in"
+    spark.range(3).selectExpr("concat('r', id) AS receipt_id").write.parquet(str(source))
+    seen, down = [], [True]
+
+    def sink(df):
+        if down[0]:
+            raise OSError
+        seen.extend(r.receipt_id for r in df.collect())
+
+    retry = sinks.Retrying(sink)
+    retry(spark.read.parquet(str(source)))
+    shutil.rmtree(source)
+    down[0] = False
+    retry(spark.createDataFrame([("r9",)], "receipt_id string"))
+    assert sorted(seen) == ["r0", "r1", "r2", "r9"]
+    assert retry.close() == 0
+    reached = []
+    both = sinks.fan_out([lambda df: 1 / 0, lambda df: reached.append(df.count()), retry])
+    with pytest.raises(sinks.SinkClosed):
+        both(spark.range(2))
+    assert reached == [2]
+
+
+def test_events_are_forwarded(spark):
+    rows = spark.createDataFrame(
+        [("source_blocked", "r", "STALE", "deny", ["a"], "h", "d", "f", 4, "t"), ("action_allowed", "s", None, "allow", ["a"], "h", None, None, 1, None)],
+        "kind string, receipt_id string, outcome string, decision string, rules_fired array<string>, inputs_hash string, document_id string, fingerprint string, severity_id int, title string",
+    ).withColumns({"issued_at": F.lit("2024-01-01T00:00:00Z"), "trajectory_id": F.lit(None).cast("string")})
+    out = []
+    sinks.forward_events(lambda df: out.extend(df.collect()))(rows)
+    got = {r.receipt_id: json.loads(r.receipt) for r in out}
+    assert got["r"]["class_uid"] == 2004 and got["r"]["finding_info"]["types"] == ["STALE"] and got["s"]["class_uid"] == 6003
+    assert {r.issued_at for r in out} == {"2024-01-01T00:00:00Z"}

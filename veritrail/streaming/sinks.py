@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import re
 from collections import deque
@@ -12,11 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veritrail.functions.times import instant
+from veritrail.operators import events
+from veritrail.runtime import discard, materialize
 
 log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame], None]
 
 
+class SinkClosed(RuntimeError):
+    """A batch was given to a sink that takes no more."""
+
+
 def dated(df: DataFrame, issued_at: str = "issued_at") -> DataFrame:
     """Add year, month, day and hour of issue (UTC), which do not depend on when a job runs."""
     hours = F.floor(F.unix_seconds(instant(F.col(issued_at))) / 3600)
@@ -64,7 +71,10 @@ def console(column: str = "receipt") -> Sink:
 
 
 def fan_out(sinks: Sequence[Sink]) -> Sink:
-    """Write a batch to each sink in order; one that fails is reported by the kind of its error and does not stop the others."""
+    """Write a batch to each sink in order; one that fails is reported by the kind of its error and does not stop the others.
+
+    A sink that is closed is a fault of the caller, not of the sink, and is raised.
+    """
 
     def write(df: DataFrame) -> None:
         kept = df.persist()
@@ -72,6 +82,8 @@ def fan_out(sinks: Sequence[Sink]) -> Sink:
             for i, sink in enumerate(sinks):
                 try:
                     sink(kept)
+                except SinkClosed:
+                    raise
                 except Exception as e:  # noqa: BLE001
                     log.warning("sink %d failed: %s", i, type(e).__name__)
         finally:
@@ -80,41 +92,64 @@ def fan_out(sinks: Sequence[Sink]) -> Sink:
     return write
 
 
+def through(change: Callable[[DataFrame], DataFrame], sink: Sink) -> Sink:
+    """A sink that changes each batch before it hands it on."""
+    return lambda df: sink(change(df))
+
+
+def forward_events(sink: Sink) -> Sink:
+    """Write rows as :func:`veritrail.operators.events.skeleton` takes them as lines of security events, with all their parts."""
+
+    def change(df: DataFrame) -> DataFrame:
+        made = events.blocks(events.skeleton(df))
+        parts = [c for c in made.columns if c not in {*df.columns, *events.READ}]
+        return made.select("receipt_id", "issued_at", F.to_json(F.struct("receipt_id", "severity_id", *parts)).alias("receipt"))
+
+    return through(change, sink)
+
+
 class Retrying:
     """A sink that keeps failed batches and offers them again, oldest first, before the next one.
 
-    At most ``keep`` batches wait; beyond that the oldest is lost, which is
-    logged once each time the queue becomes full. A batch waits as its plan, so
-    its source must still be there when it is written. Where nothing may be lost,
-    let the stream's checkpoint retry instead (``start``). For one caller at a time.
+    A batch waits as rows in the shared folder, so it can be written whatever becomes of its source; ``hold`` and ``drop``
+    put rows there and take them away. At most ``keep`` batches wait; beyond that the oldest is lost, which is logged once
+    each time the queue becomes full. Where nothing may be lost, let the stream's checkpoint retry instead (``start``).
+    For one caller at a time.
     """
 
-    def __init__(self, sink: Sink, keep: int = 1000):
-        self.sink, self.waiting, self.closed, self._told = sink, deque(maxlen=keep), False, False
+    def __init__(self, sink: Sink, keep: int = 1000, hold: Callable[[DataFrame], DataFrame] = functools.partial(materialize, label="waiting"), drop: Callable[[DataFrame], None] = discard):
+        self.sink, self.keep, self.hold, self.drop = sink, keep, hold, drop
+        self.waiting, self.closed, self._told = deque(), False, False
 
     def _wait(self, df: DataFrame) -> None:
-        if len(self.waiting) == self.waiting.maxlen and not self._told:
-            log.warning("queue of %d batches is full, the oldest are lost", self.waiting.maxlen)
-            self._told = True
-        self.waiting.append(df)
+        self.waiting.append(self.hold(df))
+        if len(self.waiting) > self.keep:
+            self.drop(self.waiting.popleft())
+            if not self._told:
+                log.warning("queue of %d batches is full, the oldest are lost", self.keep)
+                self._told = True
 
     def _drain(self) -> bool:
         while self.waiting:
             try:
                 self.sink(self.waiting[0])
+            except SinkClosed:
+                raise
             except Exception as e:  # noqa: BLE001
                 log.warning("%d batches wait: %s", len(self.waiting), type(e).__name__)
                 return False
-            self.waiting.popleft()
+            self.drop(self.waiting.popleft())
             self._told = False
         return True
 
     def __call__(self, df: DataFrame) -> None:
         if self.closed:
-            raise RuntimeError("the sink is closed")
+            raise SinkClosed("the sink is closed")
         if self._drain():
             try:
                 return self.sink(df)
+            except SinkClosed:
+                raise
             except Exception as e:  # noqa: BLE001
                 log.warning("a batch waits: %s", type(e).__name__)
         self._wait(df)
@@ -123,6 +158,8 @@ class Retrying:
         """Offer what waits once more; the number of batches that are lost."""
         self.closed = True
         self._drain()
+        for df in self.waiting:
+            self.drop(df)
         return len(self.waiting)
 
 
