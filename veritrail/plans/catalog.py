@@ -144,8 +144,9 @@ def lookup_best_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.best_rows(index.index_rows(derived.signed_log(spark, sf_dir))).select("fingerprint", "document_id", "superseded", "ingested_at", "authorized")
 
 
-def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.verify(derived.retrieved(spark, sf_dir).drop("text"), index.index_rows(derived.signed_log(spark, sf_dir)), KEY)
+def _verified(spark: SparkSession, sf_dir: str, residency: bool = False) -> DataFrame:
+    log = derived.ingest_log(spark, sf_dir)
+    return index.verify(derived.retrieved(spark, sf_dir, log, residency), index.index_rows(derived.signed_log(spark, sf_dir, log)), KEY)
 
 
 @query(f"WITH {sql.VERIFIED} SELECT request_id, chunk_index, document_id, outcome FROM verified")

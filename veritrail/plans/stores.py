@@ -29,7 +29,7 @@ GATED_POLICY = {
 def policy_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both halves of one policy document on every retrieved chunk: its gate on outcomes, then its access rules."""
     p = policy.load(GATED_POLICY)
-    v = _verified(spark, sf_dir)
+    v = _verified(spark, sf_dir, residency=True)
     meta = F.map_filter(F.create_map(F.lit("residency"), F.col("residency")), lambda _, x: x.isNotNull())
     bound = policy.map_binding({"request.purpose": (F.lit("search"), "string")}, {"chunk": meta})
     admitted, flagged, fired = p.admits(F.col("outcome"), bound, F.lit(NOW))
@@ -74,12 +74,13 @@ def kept_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved chunks against the best rows as they are kept, in buckets of fingerprints."""
     store = kept.IndexStore(spark, _new_store(spark, "index"), buckets=16)
-    log = derived.signed_log(spark, sf_dir)
+    plain = derived.ingest_log(spark, sf_dir)
+    log = derived.signed_log(spark, sf_dir, plain)
     middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
     store.ingest(log.filter(F.col("seq") <= middle))
     store.ingest(log.filter(F.col("seq") > middle))
     store.publish(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = store.verify(derived.retrieved(spark, sf_dir).drop("text"), KEY)
+    found = store.verify(derived.retrieved(spark, sf_dir, plain, residency=False), KEY)
     return found.select("request_id", "chunk_index", "document_id", "outcome")
 
 

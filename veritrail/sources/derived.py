@@ -48,9 +48,9 @@ def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(log, "log")
 
 
-def signed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest log with signatures; some rows have their offset changed afterwards."""
-    signed = index.sign(ingest_log(spark, sf_dir), TEST_KEY)
+def signed_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
+    """The ingest log (as it is written, or anew) with signatures; some rows have their offset changed afterwards."""
+    signed = index.sign(ingest_log(spark, sf_dir) if log is None else log, TEST_KEY)
     return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
 
 
@@ -64,15 +64,25 @@ def window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
 
 
-def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that requests retrieved: all documents, benchmark items and conversation turns, eight a request."""
+def retrieved(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, residency: bool = True) -> DataFrame:
+    """Chunks that requests retrieved: all documents, benchmark items and conversation turns, eight a request.
+
+    With the written ingest log, documents take their fingerprints from there, so that their texts are not read and
+    hashed a second time, and no chunk has its text; ``residency`` then says whether that of documents is looked up.
+    """
     parts = []
     for name, key, extra in (("documents", "doc_id", "lang"), ("benchmark", "item_id", "cast(null AS string)"), ("conversations", "conv_id * 100 + turn", "cast(null AS string)")):
-        t = table(spark, sf_dir, name)
         n = F.expr(key).cast("long")
-        parts.append(t.select(F.concat(F.lit(f"{name}-"), F.floor(n / 8).cast("long")).alias("request_id"), (n % 8).cast("int").alias("chunk_index"), F.lit(name).alias("origin"), n.alias("n"), F.expr(extra).alias("residency"), "text"))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.withColumn("fingerprint", text.chunk_fingerprint(F.col("text")))
+        if log is not None and name == "documents":
+            known = log.select(F.col("seq").alias("doc_id"), "fingerprint")
+            t = known.join(table(spark, sf_dir, name).select("doc_id", "lang"), "doc_id") if residency else known.withColumn("lang", F.lit(None).cast("string"))
+            fingerprint = F.col("fingerprint")
+        else:
+            t = table(spark, sf_dir, name)
+            fingerprint = text.chunk_fingerprint(F.col("text"))
+        body = [F.col("text")] if log is None else []
+        parts.append(t.select(F.concat(F.lit(f"{name}-"), F.floor(n / 8).cast("long")).alias("request_id"), (n % 8).cast("int").alias("chunk_index"), F.lit(name).alias("origin"), n.alias("n"), F.expr(extra).alias("residency"), *body, fingerprint.alias("fingerprint")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
