@@ -58,15 +58,21 @@ _TILE = 2 << 20
 #: The bits of a key below its two most recent context bytes.
 _BELOW_PAIR = 8 * (DEPTH - 1) + 1
 _CODEC = pa.Codec("zstd", 1)
+#: Lowest bytes of the values of byte strings that are not sent.
+DROPPED = 2
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Eight-byte numbers as compressed bytes, all first bytes before all second ones."""
-    return _CODEC.compress(np.ascontiguousarray(x).view("uint8").reshape(-1, 8).T.tobytes(), asbytes=True)
+def _pack(x: np.ndarray, drop: int = 0) -> bytes:
+    """Eight-byte numbers as compressed bytes, all first bytes before all second ones; the ``drop`` lowest bytes are rounded away."""
+    if drop:
+        x = np.ascontiguousarray(x).view(U) + (U(1) << U(8 * drop - 1))
+    return _CODEC.compress(np.ascontiguousarray(x).view("uint8").reshape(-1, 8)[:, drop:].T.tobytes(), asbytes=True)
 
 
-def _unpack(raw: bytes, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(_CODEC.decompress(raw, 8 * n, asbytes=True), "uint8").reshape(8, n).T.copy().view(kind).ravel()
+def _unpack(raw: bytes, n: int, kind: str, drop: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), "uint8")
+    out[:, drop:] = np.frombuffer(_CODEC.decompress(raw, (8 - drop) * n, asbytes=True), "uint8").reshape(8 - drop, n).T
+    return out.view(kind).ravel()
 
 
 def _pack_keys(sorted_keys: np.ndarray) -> bytes:
@@ -91,12 +97,14 @@ def _gram_keys(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
     sizes: list[int] = []
 
     def keys(parts: list[bytes], who: list[int]):
-        raw = np.frombuffer(b"".join(parts), "uint8")
-        at = np.concatenate([np.arange(len(p) - DEPTH) + o for p, o in zip(parts, np.cumsum([0, *map(len, parts[:-1])]) + DEPTH)])
-        key = raw[at].astype(U)
+        wide = np.frombuffer(b"".join(parts), "uint8").astype(U)
+        key = wide[DEPTH:].copy()
         for j in range(1, DEPTH + 1):  # the most recent byte of the context is the highest
-            key |= raw[at - j].astype(U) << U(8 * (DEPTH + 1 - j))
-        return key << U(1), np.repeat(who, [len(p) - DEPTH for p in parts])
+            key |= wide[DEPTH - j : -j] << U(8 * (DEPTH + 1 - j))
+        inside = np.ones(len(key), bool)  # a string must not reach over the end of a piece
+        ends = np.cumsum([len(p) for p in parts[:-1]], dtype="int64")
+        inside[(ends[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+        return key[inside] << U(1), np.repeat(who, [len(p) - DEPTH for p in parts])
 
     for i, t in enumerate(texts):
         raw = bytes([START]) * DEPTH + (t or "").encode() + bytes([END])
@@ -297,12 +305,12 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarra
 
 
 def _answers(rows: list[tuple[int, int, int, bytes]], logs: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of one task with the values of their keys."""
+    """The rows of one task with the values of their keys; those of byte strings (parts from 0) to some eleven digits, which is less to move."""
     at = 0
     for lo in range(0, len(rows), 2000):
         part, packed = rows[lo : lo + 2000], []
-        for _, _, n, _ in part:
-            packed.append(_pack(logs[place[at : at + n]]))
+        for _, number, n, _ in part:
+            packed.append(_pack(logs[place[at : at + n]], DROPPED if number >= 0 else 0))
             at += n
         columns = list(zip(*part))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -368,20 +376,20 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        def known(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        def known(rows: pa.Table, drop: int) -> tuple[np.ndarray, np.ndarray]:
             """Keys and values of some parts, one part after the other."""
             sizes = rows.column("n").to_numpy()
             ends = np.cumsum(sizes)
             key, logs = np.empty(int(sizes.sum()), U), np.empty(int(sizes.sum()))
             for n, end, k, x in zip(sizes.tolist(), ends.tolist(), rows.column("keys"), rows.column("logs")):
                 key[end - n : end] = _unpack_keys(k.as_py(), n)
-                logs[end - n : end] = _unpack(x.as_py(), n, "float64")
+                logs[end - n : end] = _unpack(x.as_py(), n, "float64", drop)
             return key, logs
 
         right = right.sort_by("part")
-        key, logs = known(right.filter(pc.less(right.column("part"), 0)))
+        key, logs = known(right.filter(pc.less(right.column("part"), 0)), 0)
         value = dict(zip(key.view("int64").tolist(), logs.tolist()))
-        gram, logs = known(right.filter(pc.greater_equal(right.column("part"), 0)))  # parts are ranges of keys
+        gram, logs = known(right.filter(pc.greater_equal(right.column("part"), 0)), DROPPED)  # parts are ranges of keys
         del right, key
         of_word: dict[bytes, float] = {}
         end = value.get(END_TOKEN, 0.0)
