@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veritrail.operators import detect, scan, trajectory
+from veritrail.operators import detect, index, scan, trajectory
 from veritrail.operators.scan import sliced
 
+from .test_kept import COLUMNS, events
+
 
 @pytest.fixture()
 def many_slices(spark, monkeypatch):
@@ -148,3 +150,10 @@ def test_seasonal_drift_states(spark):
 
 def rows_of(df):
     return rows(df, *sorted(df.columns))
+
+
+def test_superseded_counts_of_a_large_document(spark, many_slices, monkeypatch):
+    log = spark.createDataFrame(events(250, seed=8, docs=2), COLUMNS)
+    got = rows_of(index.superseded_counts(log))
+    monkeypatch.setattr(scan, "WHOLE_KEY", 10**6)
+    assert got == rows_of(index.superseded_counts(log)) and len(got) > 10

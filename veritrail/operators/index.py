@@ -5,17 +5,17 @@ An event has ``seq``, ``kind`` (add, supersede or set_authorization),
 ``chunk_length``, ``ingested_at`` and ``authorized``. Nothing is updated in place:
 rows, document state and supersession are aggregates with map-side combine, so
 neither a document nor a fingerprint with very many events is gathered anywhere;
-only ``superseded_counts`` sorts the events of each document in one task.
+``superseded_counts`` scans large documents in slices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veritrail.functions.canon import Secret, has_control, mac, row_payload
 from veritrail.functions.times import instant
+from veritrail.operators.scan import sliced
 
 SIGNED = ("fingerprint", "document_id", "document_version", "ingested_at", "chunk_offset", "chunk_length")
 OUTCOMES = ("VERIFIED", "STALE", "UNAUTHORIZED", "UNVERIFIED", "TAMPERED")
@@ -161,10 +161,13 @@ def superseded_counts(events: DataFrame) -> DataFrame:
     """For each supersede event, the stored rows that it newly marks."""
     # The first event after a row that names another version: runs of events that name one version are numbered
     # by their place, so a row needs the start of the next run only, not a meeting with every event.
-    marks = events.filter("kind IN ('add', 'supersede')").select("document_id", "seq", "document_version")
-    order = Window.partitionBy("document_id").orderBy("seq")
-    starts = marks.withColumn("_before", F.lag("document_version").over(order)).filter("_before IS NULL OR _before <> document_version")
-    runs = starts.select("document_id", "seq", F.lead("seq").over(order).alias("at"))
-    both = runs.select("document_id", "seq", "at", F.lit(0).alias("_row")).unionByName(stored_rows(events).select("document_id", "seq", F.lit(None).cast("long").alias("at"), F.lit(1).alias("_row")))
-    first = both.withColumn("_last", F.last(F.when(F.col("_row") == 0, F.struct("at")), ignorenulls=True).over(Window.partitionBy("document_id").orderBy("seq", "_row"))).filter("_row = 1 AND _last.at IS NOT NULL").select("document_id", F.col("_last.at").alias("at"))
+    # Documents are scanned in slices, forwards for the event before and backwards for the run after.
+    key, forward = ["document_id"], [F.col("seq")]
+    marks = events.filter("kind IN ('add', 'supersede')").select("document_id", "seq", "document_version").distinct()
+    before = sliced(marks, key, forward).scan(key, forward, previous={"_before": ["document_version"]}).rows
+    starts = before.filter("_before IS NULL OR _before.document_version <> document_version").select("document_id", "seq")
+    runs = sliced(starts, key, [F.col("seq").desc()]).scan(key, [F.col("seq").desc()], previous={"_after": ["seq"]}).rows.select("document_id", "seq", F.col("_after.seq").alias("at"))
+    both = runs.withColumn("_row", F.lit(0)).unionByName(stored_rows(events).select("document_id", "seq", F.lit(None).cast("long").alias("at"), F.lit(1).alias("_row")))
+    inside = [F.col("seq"), F.col("_row")]
+    first = sliced(both, key, inside).scan(key, inside, latest={"_last": F.when(F.col("_row") == 0, F.struct("at"))}).rows.filter("_row = 1 AND _last.at IS NOT NULL").select("document_id", F.col("_last.at").alias("at"))
     return events.filter("kind = 'supersede'").select("document_id", F.col("seq").alias("at"), "document_version").join(first.groupBy("document_id", "at").agg(F.count("*").alias("marked")), ["document_id", "at"], "left").select("document_id", F.col("at").alias("seq"), F.coalesce("marked", F.lit(0)).alias("marked"))
