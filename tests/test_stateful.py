@@ -12,9 +12,10 @@ SCHEMA = "receipt_id string, caller string, step_kind string, issued timestamp"
 
 @pytest.fixture()
 def rocks(spark):
-    stateful.use_rocks(spark)
-    yield spark
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    before = spark.conf.get(stateful.PROVIDER, None)
+    with stateful.rocks(spark):
+        yield spark
+    assert spark.conf.get(stateful.PROVIDER, None) == before
 
 
 def test_out_of_order_and_repeated(rocks, tmp_path):

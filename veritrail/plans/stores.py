@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from veritrail.functions import canon
 from veritrail.operators import index, merkle, plugins, policy
 from veritrail.plans import oracle as sql
 from veritrail.plans.catalog import CHUNK_POLICY, KEY, NOW, ORACLES, TOOLS, _verified, query
-from veritrail.runtime import materialize, shared_dir
+from veritrail.runtime import materialize, scratch_dir
 from veritrail.sources import derived, kept
 
 GATED_POLICY = {
@@ -36,10 +34,6 @@ def policy_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("request_id", "chunk_index", admitted.alias("admitted"), flagged.alias("flagged"), F.array_join(fired, ",").alias("rules_fired"))
 
 
-def _new_store(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
-
-
 def _mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signed log with supersede and set_authorization events between the adds, and adds that must be refused."""
     log = derived.signed_log(spark, sf_dir)
@@ -63,7 +57,7 @@ def _mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kept_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index kept over three batches that meet in the same documents and come out of order."""
-    store = kept.IndexStore(spark, _new_store(spark, "index"), buckets=16)
+    store = kept.IndexStore(spark, scratch_dir(spark, "index"), buckets=16)
     log = _mixed_log(spark, sf_dir)
     for k in (2, 0, 1):
         store.ingest(log.filter(F.pmod("seq", F.lit(3)) == k))
@@ -73,7 +67,7 @@ def kept_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sql.VERIFIED} SELECT request_id, chunk_index, document_id, outcome FROM verified")
 def kept_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved chunks against the best rows as they are kept, in buckets of fingerprints."""
-    store = kept.IndexStore(spark, _new_store(spark, "index"), buckets=16)
+    store = kept.IndexStore(spark, scratch_dir(spark, "index"), buckets=16)
     plain = derived.ingest_log(spark, sf_dir)
     log = derived.signed_log(spark, sf_dir, plain)
     middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
@@ -87,7 +81,7 @@ def kept_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kept_log(spark: SparkSession, sf_dir: str) -> kept.MerkleLog:
     """Stored rows appended to a log in three uneven batches."""
     stored = materialize(index.stored_rows(index.sign(derived.ingest_log(spark, sf_dir), KEY)), "stored")
-    log = kept.MerkleLog(spark, _new_store(spark, "log"))
+    log = kept.MerkleLog(spark, scratch_dir(spark, "log"))
     a, b = stored.agg(F.expr("percentile_approx(seq, array(0.07D, 0.61D))")).first()[0] or (0, 0)
     for part in (F.col("seq") <= a, (F.col("seq") > a) & (F.col("seq") <= b), F.col("seq") > b):
         log.append(stored.filter(part).select("seq", "fingerprint", F.encode(canon.row_payload(*index.SIGNED), "UTF-8").alias("payload")), ["seq"])

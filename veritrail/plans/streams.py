@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.plans.catalog import ORACLES, query
-from veritrail.runtime import shared_dir
+from veritrail.runtime import scratch_dir
 from veritrail.sources import derived
 from veritrail.streaming import stateful
 
@@ -18,8 +16,7 @@ END = "2200-01-01 00:00:00"
 
 def replayed(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
     """Steps in order from the calls as files of a stream, a time range after the other; its result as a table."""
-    stateful.use_rocks(spark)
-    folder = f"{shared_dir(spark)}/veritrail/stream-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "stream")
     calls = derived.calls(spark, sf_dir).select("receipt_id", "caller", "step_kind", F.col("ts").alias("issued"))
     cuts = calls.agg(F.expr(f"percentile_approx(unix_micros(issued), array({', '.join(f'{k / batches}D' for k in range(1, batches))}))")).first()[0] or [0] * (batches - 1)
     number = sum((F.when(F.unix_micros("issued") > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -27,8 +24,9 @@ def replayed(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
         calls.filter(number == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     spark.createDataFrame([("end", "end", "end")], "receipt_id string, caller string, step_kind string").withColumn("issued", F.lit(END).cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = stateful.steps_in_order(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    out.awaitTermination()
+    with stateful.rocks(spark):
+        out = stateful.steps_in_order(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        out.awaitTermination()
     return spark.read.schema(stateful.STEPS).parquet(f"{folder}/out")
 
 

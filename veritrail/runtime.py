@@ -54,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/veritrail/{label}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hpath)
+    files.deleteOnExit(hpath)
+    return path
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; ``options`` go to the writer.
 

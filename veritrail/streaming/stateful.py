@@ -9,6 +9,7 @@ the last step, and one count for each second of the trailing hour.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ STEPS = "caller string, receipt_id string, issued timestamp, step_kind string, l
 HOUR = 3600
 #: Seconds of receipts that one timer takes.
 SLOT = 60
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -81,9 +83,18 @@ class StepsInOrder(StatefulProcessor):
         pass
 
 
-def use_rocks(spark: SparkSession) -> None:
-    """State that is larger than memory and can hold timers; set before a query starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+@contextlib.contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State that is larger than memory and can hold timers, for queries that start inside; the session's setting comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def steps_in_order(events: DataFrame, late: str = LATE) -> DataFrame:
