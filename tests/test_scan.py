@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import detect, index, scan, trajectory
 from veritrail.operators.scan import sliced
+from veritrail.runtime import materialize
 
 from .test_kept import COLUMNS, events
 
@@ -157,3 +158,21 @@ def test_superseded_counts_of_a_large_document(spark, many_slices, monkeypatch):
     got = rows_of(index.superseded_counts(log))
     monkeypatch.setattr(scan, "WHOLE_KEY", 10**6)
     assert got == rows_of(index.superseded_counts(log)) and len(got) > 10
+
+
+@pytest.mark.parametrize("layers_a_pass", [1, 48])
+def test_layers_of_large_graphs_in_passes(spark, monkeypatch, layers_a_pass):
+    monkeypatch.setattr(trajectory, "LAYERS", layers_a_pass)
+    got = [r.trajectory_id for r in trajectory.cyclic(graph(spark, GROUPS), small=0).collect()]
+    assert sorted(got) == sorted(LOOPED)
+
+
+def test_edges_of_a_group_stay_in_one_task(spark):
+    """Over more than a broadcast holds, the join by the group became a broadcast only as it ran, and groups were torn apart."""
+    name = lambda i: F.sha2(F.concat_ws("-", "g", i.cast("string")), 256)
+    steps = spark.range(2400 * 60).select((F.col("id") / 60).cast("long").cast("string").alias("g"), (F.col("id") % 60).cast("int").alias("i"))
+    first = F.col("i") - F.col("i") % 3 - 3  # layers of three; every third group leads back to its start
+    up = F.when(first >= 0, F.transform(F.sequence(first, first + 2), name)).when((F.col("i") == 0) & (F.col("g") % 3 == 0), F.array(name(F.lit(59)))).otherwise(F.array().cast("array<string>"))
+    made = materialize(steps.select(F.col("g").alias("trajectory_id"), name(F.col("i")).alias("receipt_id"), up.alias("parent_step_ids")).repartition(16, "receipt_id"), "steps")
+    got = {r.trajectory_id for r in trajectory.cyclic(made).collect()}
+    assert got == {str(g) for g in range(0, 2400, 3)}

@@ -16,6 +16,8 @@ from veritrail.runtime import discard, materialize, ship
 SESSION_GAP_S = 1800
 #: Edges of a group up to which its cycles are looked for in the memory of one task.
 SMALL_GRAPH = 200_000
+#: Layers of a large graph that go between two searches for chains.
+LAYERS = 48
 CHECKS = ("has_trajectory_block", "shared_trajectory_id", "no_dangling_parents", "dag_acyclic", "has_root_step")
 
 
@@ -106,53 +108,103 @@ def _small_cyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def cyclic(receipts: DataFrame, group: str = "trajectory_id", small: int = SMALL_GRAPH) -> DataFrame:
-    """Groups with a cycle; dangling parents are ignored.
+    """Groups with a cycle. A parent without a receipt has no parents itself, so it is on no cycle.
 
-    Groups of at most ``small`` edges are sorted topologically, each in memory of a task. Larger ones are taken apart
-    by joins: a round first follows receipts with one parent upwards by doubling, until what has no parent or several,
-    so that chains of any length take log2(n) steps; then their edges go, other edges lead to the ends of their
-    chains, and edges to receipts without parents go. A group whose edges all lead to receipts with parents has a
-    cycle; one without edges has none. Rounds are as many as there are layers of receipts with several parents.
+    Groups of at most ``small`` parents are sorted topologically, each in memory of a task; larger ones by joins
+    (:func:`_large_cyclic`). The larger ones are told by a broadcast, as they are at most one per ``small`` parents:
+    after a join by the group Spark would leave out the exchange by the group and may then read its input in any order.
     """
-    have = receipts.select(group, F.col("receipt_id").alias("parent_id")).distinct()
-    known = materialize(edges(receipts, group).distinct().join(have, [group, "parent_id"]).select(group, "receipt_id", "parent_id"), "edges")
-    sizes = known.groupBy(group).agg(F.count("*").alias("_n"))
     ship(receipts.sparkSession)
-    schema = known.select(group).schema
-    few = known.join(sizes.filter(F.col("_n") <= small), group, "left_semi").repartition(group).sortWithinPartitions(group).mapInArrow(_small_cyclic, schema)
-    found = [materialize(few, "cyclic")]
-    left = materialize(known.join(sizes.filter(F.col("_n") > small), group, "left_semi"), "edges")
-    discard(known)
+    child = receipts.filter(F.size(F.coalesce("parent_step_ids", F.array())) > 0).select(group, "receipt_id", "parent_step_ids")
+    if small <= 0:
+        return _large_cyclic(child, group)
+    large = materialize(child.groupBy(group).agg(F.sum(F.size("parent_step_ids")).alias("_n")).filter(F.col("_n") > small).select(group), "large")
+    schema = child.select(group).schema
+    in_task = lambda rows: materialize(edges(rows, group).repartition(group).sortWithinPartitions(group).mapInArrow(_small_cyclic, schema), "cyclic")
+    if large.isEmpty():
+        return in_task(child)
+    some = F.broadcast(large)
+    return in_task(child.join(some, group, "left_anti")).unionByName(_large_cyclic(child.join(some, group, "left_semi"), group))
+
+
+def _large_cyclic(child: DataFrame, group: str) -> DataFrame:
+    """Groups with a cycle, by joins over numbers of receipts; ``child`` has the receipts with parents.
+
+    Receipts with one parent are first followed upwards by doubling, so that chains of any length take log2(n) steps
+    (:func:`_without_chains`). Then layers go from the top, each by the edges of the layer before alone: those edges meet
+    their children, and a child all of whose parents have gone is in the next layer. So each edge moves once, not once a
+    layer. After ``LAYERS`` layers the edges that are left lose their chains again. What never goes is on or below a cycle.
+    """
+    rows = materialize(child.withColumn("_id", F.monotonically_increasing_id()), "receipts")
+    ids = materialize(rows.groupBy(group, "receipt_id").agg(F.min("_id").alias("_v"), F.max("_id").alias("_last")), "ids")
+    # a receipt that comes twice is one vertex
+    twice = rows.join(ids.filter("_v < _last"), [group, "receipt_id"]).select("_id", "_v")
+    parents = ids.select(group, F.col("receipt_id").alias("parent_id"), F.col("_v").alias("parent"))
+    met = rows.select(group, "_id", F.explode("parent_step_ids").alias("parent_id")).join(parents, [group, "parent_id"])
+    left = materialize(met.join(twice, "_id", "left").select(F.coalesce("_v", "_id").alias("child"), "parent").distinct(), "edges")
     while not left.isEmpty():
-        shorter = _without_chains(left, group)
-        discard(left)
-        # groups in which every parent has parents itself
-        children = shorter.select(group, F.col("receipt_id").alias("parent_id")).distinct()
-        tops = shorter.join(children, [group, "parent_id"], "left_anti").select(group).distinct()
-        found.append(materialize(shorter.join(tops, group, "left_anti").select(group).distinct(), "cyclic"))
-        left = materialize(shorter.join(tops, group, "left_semi").join(children, [group, "parent_id"], "left_semi"), "edges")
-        discard(shorter)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _without_chains(graph: DataFrame, group: str) -> DataFrame:
-    """Edges of receipts with several parents, led to the ends of the chains above; a chain that ends nowhere stays as a loop."""
-    parents = graph.groupBy(group, "receipt_id").agg(F.count("*").alias("_n"), F.min("parent_id").alias("_end"))
-    chain = materialize(parents.filter("_n = 1").select(group, "receipt_id", "_end"), "chains")
-    longest = chain.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(longest).bit_length()):
-        up = chain.select(group, F.col("receipt_id").alias("_end"), F.col("_end").alias("_far"))
-        longer = materialize(chain.join(up, [group, "_end"], "left").select(group, "receipt_id", F.coalesce("_far", "_end").alias("_end")), "chains")
-        moved = not longer.join(chain, [group, "receipt_id", "_end"], "left_anti").isEmpty()
+        shorter = _without_chains(left)
+        after, ended = _without_layers(shorter)
+        for old in (left, shorter):
+            if old is not after:
+                discard(old)
+        left = after
+        if ended:
+            break
+    return materialize(ids.join(left.select(F.col("child").alias("_v")).distinct(), "_v", "left_semi").select(group).distinct(), "cyclic")
+
+
+def _without_layers(graph: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges (child, parent) below what has no parents, without up to ``LAYERS`` layers; whether there is no further layer."""
+    spark = graph.sparkSession
+    waits = graph.groupBy("child").agg(F.count("*").alias("waits"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # kept by parent, so that a layer moves to its edges and they stay where they are
+    by_parent = graph.join(waits, "child").repartition(parts, "parent").persist()
+    tops = graph.select("parent").distinct().join(waits.select(F.col("child").alias("parent")), "parent", "left_anti")
+    state = materialize(tops.select(F.col("parent").alias("child"), F.lit(0).cast("long").alias("waits"), F.lit(0).cast("long").alias("met")), "layer")
+    went, ended = [], False
+    for _ in range(LAYERS):
+        layer = state.filter("met = waits").select(F.col("child").alias("parent"))
+        if layer.isEmpty():
+            ended = True
+            break
+        went.append(state)
+        met = by_parent.join(layer.hint("shuffle_hash"), "parent").select("child", "waits", F.lit(1).cast("long").alias("met"))
+        waiting = state.filter("met < waits")
+        state = materialize(met.unionByName(waiting).groupBy("child").agg(F.max("waits").alias("waits"), F.sum("met").alias("met")), "layer")
+    if not went:
+        by_parent.unpersist()
+        return graph, True
+    gone = reduce(DataFrame.unionByName, [s.filter("met = waits").select(F.col("child").alias("parent")) for s in went])
+    left = materialize(by_parent.join(gone.hint("shuffle_hash"), "parent", "left_anti").select("child", "parent"), "edges")
+    by_parent.unpersist()
+    for s in (*went, state):
+        discard(s)
+    return left, ended
+
+
+def _without_chains(graph: DataFrame) -> DataFrame:
+    """Edges (child, parent) of receipts with several parents, led to the ends of the chains above; a chain that ends nowhere stays as a loop."""
+    single = graph.groupBy("child").agg(F.count("*").alias("_n"), F.min("parent").alias("_end")).filter("_n = 1")
+    chain = materialize(single.select("child", "_end"), "chains")
+    longest = chain.count()
+    if not longest:
+        discard(chain)
+        return graph
+    for _ in range(longest.bit_length()):
+        up = chain.select(F.col("child").alias("_end"), F.col("_end").alias("_far"))
+        longer = materialize(chain.join(up, "_end", "left").select("child", F.coalesce("_far", "_end").alias("_end"), F.col("_far").isNotNull().alias("_moved")), "chains")
+        moved = not longer.filter("_moved").isEmpty()
         discard(chain)
         chain = longer
         if not moved:
             break
     # what still ends in a chain after more steps than it has members goes round
-    round_ = chain.join(chain.select(group, F.col("receipt_id").alias("_end")), [group, "_end"], "left_semi").select(group, "receipt_id", F.col("receipt_id").alias("parent_id"))
-    ends = chain.select(group, F.col("receipt_id").alias("parent_id"), "_end")
-    several = graph.join(parents.filter("_n > 1"), [group, "receipt_id"], "left_semi")
-    led = several.join(ends, [group, "parent_id"], "left").select(group, "receipt_id", F.coalesce("_end", "parent_id").alias("parent_id"))
+    round_ = chain.join(chain.select(F.col("child").alias("_end")), "_end", "left_semi").select("child", F.col("child").alias("parent"))
+    ends = chain.select(F.col("child").alias("parent"), "_end")
+    several = graph.join(chain.select("child"), "child", "left_anti")
+    led = several.join(ends, "parent", "left").select("child", F.coalesce("_end", "parent").alias("parent"))
     return materialize(led.unionByName(round_).distinct(), "edges")
 
 
