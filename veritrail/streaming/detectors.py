@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 LATE = "1 hour"
 
 
-def once(events: DataFrame, late: str = LATE) -> DataFrame:
+def once(events: DataFrame, late: str = LATE, at: str = "issued") -> DataFrame:
     """Each receipt once, however often it was sent within the time for late data."""
-    return events.withWatermark("issued", late).dropDuplicatesWithinWatermark(["receipt_id"])
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(["receipt_id"])
 
 
 def rates(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:

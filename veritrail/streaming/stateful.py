@@ -1,10 +1,13 @@
 """Detectors over a stream with state of their own per caller: adjacent steps, and rates of the trailing hour.
 
 Receipts may come late and out of order within the watermark. A receipt waits in the
-state of its caller until the watermark has passed its minute; a timer then takes all of
-that minute in order of time and identifier, so every receipt is seen after all before
-it and none is taken again. State of a caller: receipts within the time for late data,
-the last step, and one count for each second of the trailing hour.
+state of its caller until the watermark, which goes by whole seconds, has reached its second;
+a timer then takes all up to the watermark in order of time and identifier, so every receipt is
+seen after all before it and none is taken again. None that is older than the watermark may
+wait, as Spark refuses such rows when they leave. State of a caller: receipts within the time for
+late data, the last step, and one count for each second of the trailing hour. These are
+lists, read and written whole, and a caller has one timer, for its first receipt that waits:
+a batch costs a few calls to the state for each caller, not for each receipt.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from veritrail.streaming.detectors import LATE, once
 
 STEPS = "caller string, receipt_id string, issued timestamp, step_kind string, last_hour long, prev_id string, prev_kind string, gap_s long"
 HOUR = 3600
-#: Seconds of receipts that one timer takes.
-SLOT = 60
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,31 +35,45 @@ class StepsInOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "issued long, receipt_id string", "step_kind string")
+        self.waiting = handle.getListState("waiting", "issued long, receipt_id string, step_kind string")
+        self.due = handle.getValueState("due", "ms long")
         self.last = handle.getValueState("last", "issued long, receipt_id string, step_kind string")
-        self.hour = handle.getMapState("hour", "second long", "n long")
+        self.hour = handle.getListState("hour", "second long, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slots = set()
-        for frame in rows:
-            for issued, receipt, kind in zip(frame["us"], frame["receipt_id"], frame["step_kind"]):
-                self.waiting.updateValue((int(issued), receipt), (kind,))
-                slots.add(int(issued) // 1_000_000 // SLOT)
-        for s in slots:
-            self.handle.registerTimer((s + 1) * SLOT * 1000)
-        yield pd.DataFrame()
+        came = [(int(issued), receipt, kind) for frame in rows for issued, receipt, kind in zip(frame["us"], frame["receipt_id"], frame["step_kind"])]
+        if came:
+            self.waiting.appendList(came)
+            self._wake(min(r[0] for r in came))
+        return iter(())
+
+    def _wake(self, issued: int) -> None:
+        """A timer for the second of a receipt, where none comes before."""
+        ms, due = issued // 1_000_000 * 1000, self.due.get()
+        if due is None or ms < due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator() if k[0] < end)
-        if not ready:  # a later timer of this caller came first and took them
-            yield pd.DataFrame()
-            return
-        before = self.last.get() if self.last.exists() else None
-        counts = {k[0]: v[0] for k, v in self.hour.iterator()}
-        for issued, receipt, _ in ready:
+        end = (max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // 1000 + 1) * 1_000_000
+        ready, left = [], []
+        for row in self.waiting.get():
+            (ready if row[0] < end else left).append(tuple(row))
+        self.due.clear()
+        if left:
+            self.waiting.put(left)
+            self._wake(min(r[0] for r in left))
+        else:
+            self.waiting.clear()
+        if not ready:
+            return iter(())
+        ready.sort(key=lambda r: r[:2])
+        before = self.last.get()
+        counts = dict(tuple(r) for r in self.hour.get())
+        for issued, _, _ in ready:
             counts[issued // 1_000_000] = counts.get(issued // 1_000_000, 0) + 1
-            self.waiting.removeKey((issued, receipt))
         at = np.array(sorted(counts))
         upto = np.concatenate([[0], np.cumsum([counts[s] for s in at.tolist()])])
         seconds = np.array([issued // 1_000_000 for issued, _, _ in ready])
@@ -71,36 +86,35 @@ class StepsInOrder(StatefulProcessor):
             before = (issued, receipt, kind)
         self.last.update(before)
         now = ready[-1][0] // 1_000_000
-        for s in {issued // 1_000_000 for issued, _, _ in ready}:
-            self.hour.updateValue((s,), (counts[s],))
-        for s in [s for s in counts if s < now - HOUR]:
-            if self.hour.containsKey((s,)):
-                self.hour.removeKey((s,))
+        self.hour.put([(s, n) for s, n in counts.items() if s >= now - HOUR])
         frame = pd.DataFrame(out, columns=["caller", "receipt_id", "issued", "step_kind", "last_hour", "prev_id", "prev_kind", "gap_s"])
-        yield frame.astype({"gap_s": "Int64"})
+        return iter((frame.astype({"gap_s": "Int64"}),))
 
     def close(self) -> None:
         pass
 
 
 @contextlib.contextmanager
-def rocks(spark: SparkSession) -> Iterator[None]:
-    """State that is larger than memory and can hold timers, for queries that start inside; the session's setting comes back after."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+def rocks(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """State that is larger than memory and can hold timers, in ``parts`` parts, for queries that start inside; the session's settings come back after."""
+    new = {PROVIDER: ROCKS} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {name: spark.conf.get(name, None) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def steps_in_order(events: DataFrame, late: str = LATE) -> DataFrame:
     """Stream of :data:`STEPS` from a stream with receipt_id, caller, step_kind and issued; receipts that come twice count once."""
     ship(events.sparkSession)
-    seen = once(events, late).select("caller", "receipt_id", "step_kind", "issued", F.unix_micros("issued").alias("us"))
+    seen = once(events.withColumn("second", F.date_trunc("second", "issued")), late, "second").select("caller", "receipt_id", "step_kind", "second", F.unix_micros("issued").alias("us"))
     return seen.groupBy("caller").transformWithStateInPandas(StepsInOrder(), STEPS, "append", "eventTime", eventTimeColumnName="issued")
 
 
