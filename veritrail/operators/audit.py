@@ -36,6 +36,6 @@ def receipt_audit(raw: DataFrame, key: bytes, proofs: DataFrame | None = None, a
 
 def trajectory_audit(audited: DataFrame, group: str) -> DataFrame:
     """One row per group of receipts: whether all receipts and all graph checks are good, and what failed."""
-    good = audited.groupBy(group).agg(F.bool_and("ok").alias("receipts_ok"), F.count("*").alias("receipts"))
-    failed = trajectory.dag_checks(audited, group).groupBy(group).agg(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("check")))).alias("failed_checks"))
-    return good.join(failed, group).withColumn("ok", F.col("receipts_ok") & (F.size("failed_checks") == 0))
+    state = trajectory.graph_state(audited, group, {"receipts_ok": F.bool_and("ok"), "receipts": F.count("*")}).filter(F.col(group).isNotNull())
+    failed = F.array_sort(F.transform(F.filter("checks", lambda c: ~c["ok"]), lambda c: c["check"]))
+    return state.select(group, "receipts_ok", "receipts", failed.alias("failed_checks")).withColumn("ok", F.col("receipts_ok") & (F.size("failed_checks") == 0))

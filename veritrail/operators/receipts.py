@@ -7,7 +7,6 @@ over the JSON text, as another party must get the same bytes.
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import json
 
@@ -54,6 +53,11 @@ def payload(receipt_json: str) -> bytes:
     return canonical_json(value).encode()
 
 
+def _mac(raw: bytes, value: dict) -> str:
+    """The signature of a receipt without its signature block."""
+    return hmac.digest(raw, canonical_json(value).encode(), "sha256").hex()
+
+
 def sign_json(receipt_json: Column, key: bytes | Secret) -> Column:
     """The receipt with its signature block, as canonical JSON."""
 
@@ -63,7 +67,8 @@ def sign_json(receipt_json: Column, key: bytes | Secret) -> Column:
 
         def one(text):
             value = json.loads(text)
-            value["signature"] = {"algorithm": ALGORITHM, "value": hmac.new(raw, payload(text), hashlib.sha256).hexdigest()}
+            value.pop("signature", None)
+            value["signature"] = {"algorithm": ALGORITHM, "value": _mac(raw, value)}
             return canonical_json(value)
 
         return s.map(one, na_action="ignore")
@@ -81,12 +86,12 @@ def signature_state(receipt_json: Column, key: bytes | Secret) -> Column:
         def one(text):
             try:
                 value = json.loads(text)
-                signature = value.get("signature")
-            except (ValueError, AttributeError):
+                signature = value.pop("signature", None)
+            except (ValueError, AttributeError, TypeError):
                 return "malformed"
             if not signature:
                 return "unsigned"
-            good = hmac.new(raw, payload(text), hashlib.sha256).hexdigest()
+            good = _mac(raw, value)
             same = isinstance(signature, dict) and signature.get("algorithm") == ALGORITHM and hmac.compare_digest(str(signature.get("value")), good)
             return "valid" if same else "invalid"
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.operators.scan import sliced
@@ -208,28 +208,27 @@ def _without_chains(graph: DataFrame) -> DataFrame:
     return materialize(led.unionByName(round_).distinct(), "edges")
 
 
-def dag_checks(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
-    """One row per group of receipts and check. ``receipts``: group, receipt_id, trajectory_id, parent_step_ids (null: no block)."""
+def graph_state(receipts: DataFrame, group: str = "trajectory_id", more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group: ``checks``, an array of (check, ok) in order, and the aggregates ``more`` of its receipts."""
     base = receipts.groupBy(group).agg(
-        F.count("*").alias("n"),
         F.count_if(F.col("parent_step_ids").isNull()).alias("missing"),
-        F.countDistinct("trajectory_id").alias("ids"),
+        (F.min("trajectory_id") == F.max("trajectory_id")).alias("one_id"),
         F.count_if(F.size(F.coalesce("parent_step_ids", F.array())) == 0).alias("roots"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
-    bad = dangling(receipts, group).groupBy(group).agg(F.count("*").alias("dangling"))
+    bad = dangling(receipts, group).select(group).distinct().withColumn("dangling", F.lit(True))
     looped = cyclic(receipts, group).withColumn("cyclic", F.lit(True))
     all_ = base.join(bad, group, "left").join(looped, group, "left")
-    state = {
-        "has_trajectory_block": F.col("missing") == 0,
-        "shared_trajectory_id": F.col("ids") == 1,
-        "no_dangling_parents": F.coalesce("dangling", F.lit(0)) == 0,
-        "dag_acyclic": ~F.coalesce("cyclic", F.lit(False)),
-        "has_root_step": F.col("roots") > 0,
-    }
+    whole, one = F.col("missing") == 0, F.coalesce("one_id", F.lit(False))
+    state = (whole, one, ~F.coalesce("dangling", F.lit(False)), ~F.coalesce("cyclic", F.lit(False)), F.col("roots") > 0)
+    rows = [F.struct(F.lit(c).alias("check"), ok.alias("ok")) for c, ok in zip(CHECKS, state)]
     # The first two checks stop the audit where they fail.
-    rows = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(c).alias("check"), state[c].alias("ok")) for i, c in enumerate(CHECKS)])
-    out = all_.select(group, F.explode(rows).alias("x"), state[CHECKS[0]].alias("a"), state[CHECKS[1]].alias("b")).select(group, "x.*", "a", "b")
-    return out.filter("no = 0 OR a AND (no = 1 OR b)").select(group, "check", "ok")
+    return all_.select(group, F.when(~whole, F.array(*rows[:1])).when(~one, F.array(*rows[:2])).otherwise(F.array(*rows)).alias("checks"), *(more or {}))
+
+
+def dag_checks(receipts: DataFrame, group: str = "trajectory_id") -> DataFrame:
+    """One row per group of receipts and check. ``receipts``: group, receipt_id, trajectory_id, parent_step_ids (null: no block)."""
+    return graph_state(receipts, group).select(group, F.explode("checks").alias("x")).select(group, "x.*")
 
 
 def rollup(receipts: DataFrame) -> DataFrame:

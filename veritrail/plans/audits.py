@@ -56,7 +56,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 7
     text = F.when(kind == 1, F.replace(signed, F.lit('"issuer"'), F.lit('"issued_by"'))).when(kind == 2, body).when(kind == 3, F.concat(signed, F.lit("}"))).otherwise(signed)
     raw = steps.select("event_id", "trajectory_id", "receipt_id", "parent_step_ids", text.alias("receipt"))
-    return materialize(audit.receipt_audit(raw, KEY), "audited")
+    return materialize(audit.receipt_audit(raw, KEY).drop("receipt"), "audited")
 
 
 _STATE = "CASE event_id % 7 WHEN 1 THEN 'invalid' WHEN 2 THEN 'unsigned' WHEN 3 THEN 'malformed' ELSE 'valid' END"
@@ -71,9 +71,8 @@ def forged_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {sql.STEPS} SELECT trajectory_id, bool_and(event_id % 7 NOT IN (1, 2, 3)) AS receipts_ok, count(*) AS receipts, '' AS failed_checks, bool_and(event_id % 7 NOT IN (1, 2, 3)) AS ok FROM steps GROUP BY trajectory_id"""
 )
 def trajectory_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audited = _audited(spark, sf_dir).withColumn("audit", F.col("trajectory_id"))
-    found = audit.trajectory_audit(audited, "audit")
-    return found.select(F.col("audit").alias("trajectory_id"), "receipts_ok", "receipts", F.array_join("failed_checks", ",").alias("failed_checks"), "ok")
+    found = audit.trajectory_audit(_audited(spark, sf_dir), "trajectory_id")
+    return found.select("trajectory_id", "receipts_ok", "receipts", F.array_join("failed_checks", ",").alias("failed_checks"), "ok")
 
 
 # --- admission of memory and models ------------------------------------------
