@@ -2,6 +2,7 @@ import hashlib
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritrail.functions import canon, text
@@ -92,3 +93,13 @@ def test_instants_do_not_depend_on_the_session_zone(spark):
             assert spark.range(1).select(iso(F.lit(1704067200250))).first()[0] == "2024-01-01T00:00:00.250Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("width, stride", [(128, 64), (128, 96), (700, 600), (3, 5)])
+def test_windows_of_long_texts_cross_blocks(spark, width, stride):
+    texts = ["", "aé", "日本" * 64, "x" * 512 + "é", "".join(map(chr, range(0x4E00, 0x4E00 + 17000))) + "ende" * 4000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    places = lambda t: range(0, max(len(t) - width, 0) + 1, stride)
+    for empty in (True, False):
+        got = sorted((r.i, r.offset, r.part or "") for r in text.parts(df, "t", width, stride, ("i",), empty).collect())
+        assert got == sorted((i, o, (t or "")[o : o + width]) for i, t in enumerate([*texts, None]) if t or empty for o in places(t or ""))

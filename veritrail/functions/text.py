@@ -16,6 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType
 
 WINDOW, STRIDE = 128, 64
+#: Code points of the blocks that a text is cut into on the way to its windows.
+BLOCKS = (16384, 512)
 #: The characters removed as zero-width, the base and the modulus of the rolling hash.
 ZERO_WIDTH = "​‌‍⁠﻿"
 ROLLING_BASE, ROLLING_MODULUS = 1000003, (1 << 61) - 1
@@ -74,22 +76,51 @@ def fingerprint(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+def digest(text: Column) -> Column:
+    """The 32 bytes of a fingerprint, for tables of many."""
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+
+
+def packed(fingerprint: Column) -> Column:
+    """The bytes of a fingerprint that is given as text."""
+    return F.unhex(F.substring_index(fingerprint, ":", -1))
+
+
+def unpacked(digest: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.lower(F.hex(digest)))
+
+
 def chunk_fingerprint(text: Column, **enabled: bool) -> Column:
     return fingerprint(normalize(text, **enabled))
 
 
-def window_offsets(normal: str, width: int = WINDOW, stride: int = STRIDE) -> Column:
-    """Offsets (code points) of the windows of a normalized text column; none for an empty text, one for a short one."""
-    return F.expr(f"CASE WHEN length({normal}) = 0 THEN array() WHEN length({normal}) <= {width} THEN array(0) ELSE sequence(0, length({normal}) - {width}, {stride}) END").cast("array<int>")
+def parts(df, normal: str, width: int = WINDOW, stride: int = STRIDE, keep: tuple[str, ...] = (), empty: bool = False):
+    """One row per window of column ``normal``: the kept columns, offset and part; with ``empty``, one for an empty or null text too.
+
+    A substring counts code points from the start of its text, so long texts are cut into blocks first, each with the
+    rest of its last window, and windows are cut from blocks.
+    """
+    # A window leaves the generator as a row of its own, so no row beyond it carries the whole text.
+    def explode(rows, offsets, size):
+        cut = F.transform(offsets, lambda o: F.struct((F.col("_at") + o).alias("at"), F.substring("_text", o + 1, F.lit(size)).alias("part")))
+        return rows.select(*keep, F.explode(cut).alias("_w")).select(*keep, F.col("_w.at").alias("_at"), F.col("_w.part").alias("_text"))
+
+    rows, outer = df.select(*keep, F.lit(0).alias("_at"), F.col(normal).alias("_text")), None
+    for size in BLOCKS:
+        step = max(size // stride, 1) * stride
+        if outer is not None and step >= outer:
+            continue
+        last = "length(_text) - 1" if outer is None else f"least(length(_text) - 1, {outer - 1})"
+        rows, outer = explode(rows, F.expr(f"sequence(0, greatest(coalesce({last}, 0), 0), {step})"), step - stride + width), step
+    whole = "array(0)" if empty else "IF(length(_text) > 0, array(0), array())"
+    inner = F.expr(f"CASE WHEN coalesce(length(_text), 0) < {width} THEN IF(_at = 0, {whole}, array()) ELSE sequence(0, least(length(_text) - {width}, {outer - stride}), {stride}) END").cast("array<int>")
+    return explode(rows, inner, width).withColumnsRenamed({"_at": "offset", "_text": "part"})
 
 
 def windows(df, normal: str, width: int = WINDOW, stride: int = STRIDE, keep: tuple[str, ...] = ()):
     """One row per window of column ``normal``: the kept columns, offset, length, fingerprint, rolling_hash."""
-    # The window leaves the generator as a row of its own, so no row beyond it carries the whole text.
-    cut = F.transform(window_offsets(normal, width, stride), lambda o: F.struct(o.alias("offset"), F.substring(normal, o + 1, F.lit(width)).alias("part")))
-    out = df.select(*keep, F.explode(cut).alias("_w"))
-    part = F.col("_w.part")
-    return out.select(*keep, "_w.offset", F.length(part).alias("length"), fingerprint(part).alias("fingerprint"), _rolling_hash(part).alias("rolling_hash"))
+    part = F.col("part")
+    return parts(df, normal, width, stride, keep).select(*keep, "offset", F.length(part).alias("length"), fingerprint(part).alias("fingerprint"), _rolling_hash(part).alias("rolling_hash"))
 
 
 @pandas_udf(LongType())

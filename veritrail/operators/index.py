@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.canon import Secret, has_control, mac, row_payload
 from veritrail.functions.times import instant
+from veritrail.functions.text import unpacked
+from veritrail.operators.merkle import numbered
 from veritrail.operators.scan import sliced
 
 SIGNED = ("fingerprint", "document_id", "document_version", "ingested_at", "chunk_offset", "chunk_length")
@@ -140,6 +142,40 @@ def verify_best(chunks: DataFrame, best: DataFrame, key: bytes | Secret) -> Data
     return chunks.join(best, "fingerprint", "left").withColumn("outcome", outcome(key))
 
 
+def ranked_adds(events: DataFrame) -> DataFrame:
+    """Every accepted add with supersession, the state of its document, and ``rank``, its place in the order of :func:`best_rows`.
+
+    For chunks with many parts (sliding windows) in the index: these share all but digest, offset and length with their
+    chunk, so they move with the rank alone and meet the rest where a part was found (:func:`best_parts`, :func:`found_parts`).
+    """
+    events = accepted(events)
+    rows = with_supersession(events.filter("kind = 'add'").drop("authorized"), events).join(document_state(events), "document_id")
+    rows = rows.withColumn("_age", -F.unix_millis(instant(F.col("ingested_at"))))
+    return numbered(rows, ["superseded", "_age", "document_id", "document_version", "seq"], "rank").drop("_age")
+
+
+def with_version(adds: DataFrame) -> DataFrame:
+    """Add ``version``, one number for all adds of a document's version, to ranked adds."""
+    one = adds.groupBy("document_id", "document_version").agg(F.min("rank").alias("version"))
+    return adds.join(one, ["document_id", "document_version"])
+
+
+def best_parts(parts: DataFrame) -> DataFrame:
+    """One row per digest (rank, chunk_offset, chunk_length) from parts with digest, rank, version, seq, chunk_offset, chunk_length.
+
+    As :func:`stored_rows` and :func:`best_rows`: the first add of a digest in each version of a document counts, and of those the least rank.
+    """
+    first = parts.groupBy("digest", "version").agg(F.min(F.struct("seq", "chunk_offset", "chunk_length", "rank")).alias("x"))
+    return first.groupBy("digest").agg(F.min(F.struct("x.rank", "x.chunk_offset", "x.chunk_length")).alias("x")).select("digest", "x.*")
+
+
+def found_parts(chunks: DataFrame, best: DataFrame, adds: DataFrame) -> DataFrame:
+    """Chunks (with ``digest``) with fingerprint and the columns of their best row, null where there is none."""
+    # chunks that are not found are dealt to all tasks by negative numbers, which no rank is
+    met = chunks.join(best, "digest", "left").withColumn("rank", F.coalesce("rank", -1 - F.abs(F.hash("digest")).cast("long")))
+    return met.join(adds.drop("fingerprint", "chunk_offset", "chunk_length"), "rank", "left").withColumn("fingerprint", unpacked(F.col("digest"))).drop("digest", "rank")
+
+
 def verify_memory(chunks: DataFrame, index: DataFrame, key: bytes | Secret) -> DataFrame:
     """Verify entries of a memory store. ``step_kind`` and ``content_source`` of a row win over the defaults."""
     found = verify(chunks, index, key)

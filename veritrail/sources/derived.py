@@ -13,6 +13,7 @@ from veritrail.functions.times import iso, micros_of_local
 from veritrail.operators import index
 from veritrail.runtime import materialize
 from veritrail.runtime import spread_table as table
+from veritrail.runtime import table as stored_table
 
 #: A key for derived test data; production keys never stand in code.
 TEST_KEY = b"veritrail-test-key"
@@ -28,18 +29,18 @@ def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The log is written, as an index keeps it: rows, state and supersession each read it, and texts are hashed once.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # hashed before the join, so that no text moves
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.chunk_fingerprint(F.col("text")).alias("fingerprint"), F.length("text").alias("n"), "source")
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    fp = text.chunk_fingerprint(F.col("text"))
     log = (
         docs.join(toxic, "doc_id", "left")
         .select(
             F.col("doc_id").alias("seq"),
             F.lit("add").alias("kind"),
-            fp.alias("fingerprint"),
+            "fingerprint",
             F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 40).cast("long")).alias("document_id"),
             F.lit(0).alias("chunk_offset"),
-            F.length("text").alias("chunk_length"),
+            F.col("n").alias("chunk_length"),
             iso(F.lit(EPOCH_MS) + F.col("doc_id") * 1000).alias("ingested_at"),
             (F.coalesce("toxic", F.lit(0)) == 0).alias("authorized"),
         )
@@ -48,20 +49,38 @@ def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(log, "log")
 
 
+def signed(log: DataFrame) -> DataFrame:
+    """Rows with signatures; some have their offset changed afterwards."""
+    return index.sign(log, TEST_KEY).withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
+
+
 def signed_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
-    """The ingest log (as it is written, or anew) with signatures; some rows have their offset changed afterwards."""
-    signed = index.sign(ingest_log(spark, sf_dir) if log is None else log, TEST_KEY)
-    return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
+    """The ingest log (as it is written, or anew), signed."""
+    return signed(ingest_log(spark, sf_dir) if log is None else log)
+
+
+def _window_rows(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """Columns of ``chunks`` (seq, fingerprint and others) for each sliding window of each text but the whole text, with digest, offset and part."""
+    # texts meet their chunk before they are cut, so windows do not move
+    docs = stored_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    met = docs.join(chunks.hint("shuffle_hash"), "seq").withColumn("t", text.normalize(F.col("text")))
+    parts = text.parts(met, "t", keep=tuple(chunks.columns)).withColumn("digest", text.digest(F.col("part")))
+    return parts.filter(F.col("digest") != text.packed(F.col("fingerprint")))
 
 
 def window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest log, signed, with an add for each sliding window of each text besides that of the whole text."""
     whole = ingest_log(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), text.normalize(F.col("text")).alias("t"))
-    parts = text.windows(docs, "t", keep=("seq",)).select("seq", F.col("fingerprint").alias("_part"), "offset", "length")
-    more = whole.join(parts, "seq").filter("_part <> fingerprint").withColumns({"fingerprint": F.col("_part"), "chunk_offset": F.col("offset"), "chunk_length": F.col("length")})
-    signed = index.sign(whole.unionByName(more.select(*whole.columns)), TEST_KEY)
-    return signed.withColumn("chunk_offset", F.when(F.col("seq") % TAMPER_EVERY == 0, F.col("chunk_offset") + 1).otherwise(F.col("chunk_offset")))
+    more = _window_rows(spark, sf_dir, whole).withColumns({"fingerprint": text.unpacked(F.col("digest")), "chunk_offset": F.col("offset"), "chunk_length": F.length("part")})
+    return signed(whole.unionByName(more.select(*whole.columns)))
+
+
+def window_parts(spark: SparkSession, sf_dir: str, adds: DataFrame) -> DataFrame:
+    """As :func:`window_log`, unsigned, for ranked adds of the ingest log: digest, rank, version, seq, chunk_offset, chunk_length of texts and windows."""
+    chunks = index.with_version(adds).select("seq", "rank", "version", "fingerprint", "chunk_offset", "chunk_length")
+    rest = ["rank", "version", "seq"]
+    windows = _window_rows(spark, sf_dir, chunks.select("fingerprint", *rest)).select("digest", *rest, F.col("offset").alias("chunk_offset"), F.length("part").alias("chunk_length"))
+    return chunks.select(text.packed(F.col("fingerprint")).alias("digest"), *rest, "chunk_offset", "chunk_length").unionByName(windows)
 
 
 def retrieved(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, residency: bool = True) -> DataFrame:
