@@ -196,3 +196,11 @@ def test_events_are_forwarded(spark):
     got = {r.receipt_id: json.loads(r.receipt) for r in out}
     assert got["r"]["class_uid"] == 2004 and got["r"]["finding_info"]["types"] == ["STALE"] and got["s"]["class_uid"] == 6003
     assert {r.issued_at for r in out} == {"2024-01-01T00:00:00Z"}
+
+
+def test_native_json_is_canonical(spark):
+    texts = ["", 'q"\\', "".join(map(chr, range(0x20))), "\x7f é   \U0001f600", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(canon.quoted(F.col("t")).alias("q"), canon.object_of({"b": canon.quoted(F.col("t")), "a": F.lit("1")}).alias("o")).collect()
+    assert [r.q for r in got] == [None if t is None else canon.canonical_json(t) for t in texts]
+    assert [r.o for r in got] == [canon.canonical_json({"a": 1} if t is None else {"a": 1, "b": t}) for t in texts]

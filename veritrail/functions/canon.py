@@ -21,9 +21,14 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+#: How JSON writes the characters that a string cannot hold as they are; the backslash comes first.
+ESCAPES = {"\\": "\\\\", '"': '\\"'} | {chr(i): f"\\u{i:04x}" for i in range(32)} | {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
 def canonical_json(value) -> str:
     """Sorted keys, no white space, no escapes beyond JSON's own."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _ENCODER.encode(value)
 
 
 def sha256_text(text: str) -> str:
@@ -33,7 +38,28 @@ def sha256_text(text: str) -> str:
 @pandas_udf(StringType())
 def canonical(s: pd.Series) -> pd.Series:
     """Canonical form of JSON text; null for null, an error for text that is no JSON."""
-    return s.map(lambda x: canonical_json(json.loads(x)), na_action="ignore")
+    known: dict[str, str] = {}  # callers and other small objects come again and again
+
+    def one(text):
+        if (out := known.get(text)) is None:
+            out = known[text] = canonical_json(json.loads(text))
+        return out
+
+    return s.map(one, na_action="ignore")
+
+
+def quoted(text: Column) -> Column:
+    """Canonical JSON of a text, natively; null for null."""
+    out = text
+    for plain, escaped in ESCAPES.items():
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
+
+
+def object_of(fields: dict[str, Column]) -> Column:
+    """Canonical JSON of an object from the canonical JSON of its fields; a null one is left out."""
+    named = [F.concat(F.lit(f"{canonical_json(k)}:"), v) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.array_join(F.array(*named), ","), F.lit("}"))
 
 
 def json_hash(json_text: Column) -> Column:
@@ -124,5 +150,8 @@ def value_hash(value: Column, kind: str = "text") -> Column:
 
 def merged(first: Column, second: Column) -> Column:
     """One JSON object from the texts of two that share no key, as ``to_json`` writes them."""
-    both = F.concat(first.substr(F.lit(1), F.length(first) - 1), F.lit(","), second.substr(F.lit(2), F.length(second)))
-    return F.when(second == "{}", first).when(first == "{}", second).otherwise(both)
+    # bound as one element, so that neither side is written again for each place that names it
+    a, b = (lambda x: x["a"]), (lambda x: x["b"])
+    both = lambda x: F.concat(a(x).substr(F.lit(1), F.length(a(x)) - 1), F.lit(","), F.substring(b(x), 2, 2147483647))
+    one = F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), lambda x: F.when(b(x) == "{}", a(x)).when(a(x) == "{}", b(x)).otherwise(both(x)))
+    return F.get(one, F.lit(0))

@@ -13,9 +13,9 @@ from veritrail.functions import canon
 
 
 def request_block(caller_json: Column, jurisdiction: Column, purpose: Column, timestamp: Column) -> Column:
-    """What a rule could read of a request; its session is left out."""
-    rest = F.to_json(F.struct(jurisdiction.alias("jurisdiction"), purpose.alias("purpose"), timestamp.alias("timestamp")), {"ignoreNullFields": "false"})
-    return canon.merged(F.concat(F.lit('{"caller":'), F.coalesce(caller_json, F.lit("{}")), F.lit("}")), rest)
+    """What a rule could read of a request, as canonical JSON; its session is left out. All but the caller are texts."""
+    texts = {"jurisdiction": jurisdiction, "purpose": purpose, "timestamp": timestamp}
+    return canon.object_of({"caller": F.coalesce(canon.canonical(caller_json), F.lit("{}"))} | {k: F.coalesce(canon.quoted(v), F.lit("null")) for k, v in texts.items()})
 
 
 def with_default(object_json: Column, name: str, value: Column) -> Column:
@@ -25,19 +25,19 @@ def with_default(object_json: Column, name: str, value: Column) -> Column:
 
 
 def chunk_inputs(metadata_json: Column, ingested_at: Column, content_source: Column, request: Column) -> Column:
-    """Inputs of a chunk's decision; a null metadata is an empty object. ``metadata_json`` is an object as ``to_json`` writes it."""
+    """Inputs of a chunk's decision; a null metadata is an empty object. ``metadata_json`` is an object as ``to_json`` writes it, ``request`` comes from :func:`request_block`."""
     meta = F.coalesce(metadata_json, F.lit("{}"))
     meta = with_default(with_default(meta, "ingested_at", ingested_at), "content_source", content_source)
-    return canon.canonical(F.concat(F.lit('{"chunk_metadata":'), meta, F.lit(',"request_context":'), request, F.lit("}")))
+    return canon.object_of({"chunk_metadata": canon.canonical(meta), "request_context": request})
 
 
 def tool_inputs(name: Column, operation: Column, parameters_json: Column, request: Column, target_system: Column | None = None, invocation_id: Column | None = None) -> Column:
-    """Inputs of a tool call's decision, always with its whole parameters; absent names of target and invocation are left out."""
-    none = F.lit(None).cast("string")
-    kept = F.to_json(F.struct(name.alias("name"), operation.alias("operation")), {"ignoreNullFields": "false"})
-    optional = F.to_json(F.struct((none if target_system is None else target_system).alias("target_system"), (none if invocation_id is None else invocation_id).alias("invocation_id")))
-    tool = canon.merged(canon.merged(kept, optional), F.concat(F.lit('{"parameters":'), F.coalesce(parameters_json, F.lit("{}")), F.lit("}")))
-    return canon.canonical(F.concat(F.lit('{"tool_parameters":'), tool, F.lit(',"request_context":'), request, F.lit("}")))
+    """Inputs of a tool call's decision, always with its whole parameters; absent names of target and invocation are left out. ``request`` comes from :func:`request_block`."""
+    # only what may come in any form is parsed; the rest is written around it
+    fields = {k: F.coalesce(canon.quoted(v), F.lit("null")) for k, v in (("name", name), ("operation", operation))}
+    fields |= {k: canon.quoted(v) for k, v in (("target_system", target_system), ("invocation_id", invocation_id)) if v is not None}
+    fields["parameters"] = F.coalesce(canon.canonical(parameters_json), F.lit("{}"))
+    return canon.object_of({"request_context": request, "tool_parameters": canon.object_of(fields)})
 
 
 def inputs_hash(inputs: Column) -> Column:
