@@ -28,17 +28,17 @@ def status(any_blocked: Column, any_other: Column) -> Column:
     return F.when(any_blocked, "FAIL").when(any_other, "PARTIAL").otherwise("PASS")
 
 
-def source_summary(sources: DataFrame, key: str, blocked: Column) -> DataFrame:
-    """Counts per outcome and status of the sources of each receipt; ``blocked`` is the verification gate alone."""
+def source_summary(sources: DataFrame, key: str, blocked: Column, *more: Column) -> DataFrame:
+    """Counts per outcome and status of the sources of each receipt, and the aggregates ``more``; ``blocked`` is the verification gate alone."""
     counts = [F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("VERIFIED", "STALE", "UNAUTHORIZED", "UNVERIFIED", "TAMPERED")]
-    out = sources.groupBy(key).agg(F.count("*").alias("total_chunks"), *counts, F.bool_or(blocked).alias("_b"), F.bool_or(F.col("outcome") != "VERIFIED").alias("_o"))
+    out = sources.groupBy(key).agg(F.count("*").alias("total_chunks"), *counts, F.bool_or(blocked).alias("_b"), F.bool_or(F.col("outcome") != "VERIFIED").alias("_o"), *more)
     return out.withColumn("overall_status", status(F.col("_b"), F.col("_o"))).drop("_b", "_o")
 
 
-def action_summary(actions: DataFrame, key: str) -> DataFrame:
-    """Counts of decisions; a null decision (no policy) is an allowed action."""
+def action_summary(actions: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Counts of decisions, and the aggregates ``more``; a null decision (no policy) is an allowed action."""
     denied = F.coalesce(F.col("decision") == "deny", F.lit(False))
-    return actions.groupBy(key).agg(F.count("*").alias("total_actions"), F.count_if(~denied).alias("actions_allowed"), F.count_if(denied).alias("actions_denied"))
+    return actions.groupBy(key).agg(F.count("*").alias("total_actions"), F.count_if(~denied).alias("actions_allowed"), F.count_if(denied).alias("actions_denied"), *more)
 
 
 def combined_status(sources: Column, denied: Column) -> Column:
@@ -68,8 +68,11 @@ def sign_json(receipt_json: Column, key: bytes | Secret) -> Column:
         def one(text):
             value = json.loads(text)
             value.pop("signature", None)
-            value["signature"] = {"algorithm": ALGORITHM, "value": _mac(raw, value)}
-            return canonical_json(value)
+            # each field is written once, for the signed bytes and for the receipt
+            fields = {k: f"{canonical_json(k)}:{canonical_json(v)}" for k, v in value.items()}
+            body = "{" + ",".join([fields[k] for k in sorted(fields)]) + "}"
+            fields["signature"] = f'"signature":{{"algorithm":"{ALGORITHM}","value":"{hmac.digest(raw, body.encode(), "sha256").hex()}"}}'
+            return "{" + ",".join([fields[k] for k in sorted(fields)]) + "}"
 
         return s.map(one, na_action="ignore")
 
@@ -141,13 +144,12 @@ def _decision(df: DataFrame, reference: Column, name: str) -> Column:
         return F.lit(None).cast("string")
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     body = F.to_json(F.struct(reference.alias(name), "decision", F.coalesce("rules_fired", F.array().cast("array<string>")).alias("rules_fired"), have("inputs_hash").alias("inputs_hash")), KEPT)
-    inputs = F.concat(F.lit('{"inputs":'), F.coalesce(have("inputs"), F.lit("null")), F.lit("}"))
-    return F.when(F.col("decision").isNotNull(), merged(body, inputs))
+    return F.when(F.col("decision").isNotNull(), F.concat(F.lit('{"inputs":'), F.coalesce(have("inputs"), F.lit("null")), F.lit(","), F.substring(body, 2, 2147483647)))
 
 
 def _control(head: dict[str, str], decisions: Column) -> Column:
-    items = F.coalesce(decisions, F.lit("[]"))
-    return merged(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()])), F.concat(F.lit('{"decisions":'), items, F.lit("}")))
+    named = "".join(f",{canonical_json(k)}:{canonical_json(v)}" for k, v in head.items())
+    return F.concat(F.lit('{"decisions":'), F.coalesce(decisions, F.lit("[]")), F.lit(f"{named}}}"))
 
 
 def full_receipts(heads: DataFrame, flags, sources: DataFrame | None = None, actions: DataFrame | None = None, access: dict[str, str] | None = None, tools: dict[str, str] | None = None) -> DataFrame:
@@ -179,17 +181,17 @@ def full_receipts(heads: DataFrame, flags, sources: DataFrame | None = None, act
             ("leaf_index", "inclusion_proof", "claims", "content_source"),
         )
         rows = rows.select("request_id", "chunk_index", "outcome", item.alias("item"), _decision(rows, F.col("fingerprint"), "chunk_fingerprint").alias("decided"))
-        listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "item", "decided"))).alias("_s"))
-        out = out.join(listed.join(source_summary(rows, "request_id", flags.blocks(F.col("outcome"))), "request_id"), "request_id", "left")
+        listed = F.array_sort(F.collect_list(F.struct("chunk_index", "item", "decided"))).alias("_s")
+        out = out.join(source_summary(rows, "request_id", flags.blocks(F.col("outcome")), listed), "request_id", "left")
     else:
         out = out.withColumns({c: F.lit(0) for c in counts} | {"_s": empty("array<struct<item:string,decided:string>>"), "overall_status": F.lit(None).cast("string")})
     if actions is not None:
         item = _object(actions, ("action_index", "name", "operation", "parameters_hash"), ("target_system", "invocation_id"))
         parameters = F.coalesce("parameters", F.lit("null")) if "parameters" in actions.columns else F.lit("null")
-        item = merged(item, F.concat(F.lit('{"parameters":'), parameters, F.lit("}")))
+        item = F.concat(F.lit('{"parameters":'), parameters, F.lit(","), F.substring(item, 2, 2147483647))
         rows = actions.select("request_id", "action_index", item.alias("item"), _decision(actions, F.col("action_index"), "action_index").alias("decided"), (F.col("decision") if "decision" in actions.columns else F.lit(None).cast("string")).alias("decision"))
-        listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("action_index", "item", "decided"))).alias("_a"))
-        out = out.join(listed.join(action_summary(rows, "request_id"), "request_id"), "request_id", "left")
+        listed = F.array_sort(F.collect_list(F.struct("action_index", "item", "decided"))).alias("_a")
+        out = out.join(action_summary(rows, "request_id", listed), "request_id", "left")
     else:
         none = F.lit(None).cast("long")
         out = out.withColumns({"_a": F.lit(None).cast("array<struct<item:string,decided:string>>"), "total_actions": none, "actions_allowed": none, "actions_denied": none})
