@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -48,3 +49,14 @@ def test_frames(spark, odd, none, reference):
     ids = spark.createDataFrame([([220, 220],), ([],), (None,)], "ids array<int>")
     got = [bytes(r.decoded) for r in bpe.decode(ids, PATH).collect()]
     assert got == [reference.decode_bytes([220, 220]), b"", b""]
+
+
+def test_decoding_lists_of_ids():
+    """Empty lists, lists of nothing, and an id that is not in the vocabulary; no aggregate of texts is sorted."""
+    c = bpe.coder(RAW, P.PATTERN)
+    ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in RAW.splitlines())}
+    lists = [[], [5, 300, 7], [], [1 << 30, 260], [0], []]
+    flat = np.array([i for x in lists for i in x], "int32")
+    assert c.decode_ids(flat, np.array([len(x) for x in lists])) == [b"".join(ranks.get(i, b"") for i in x) for x in lists]
+    assert c.decode_ids(np.zeros(0, "int32"), np.array([0, 0])) == [b"", b""] and c.decode_ids(np.zeros(0, "int32"), np.zeros(0, "int64")) == []
+    assert "agg" not in bpe.DECODE_SQL

@@ -5,7 +5,7 @@ row per token and position; every round joins neighbouring tokens with the
 merge table, contracts each piece's leftmost pair of minimum rank, and stops
 when no piece has a pair left. The ids of a text go out as numbers and as
 text from one array, and that array is what decoding reads: ids join the
-vocabulary and the bytes are aggregated in order of position, text by text.
+vocabulary, and the bytes in order of position are cut into texts.
 
 A piece of more than ``LONG_PIECE`` bytes is first cut where no vocabulary entry
 that stands in it crosses the cut, so that no merge can; its parts are then
@@ -83,10 +83,8 @@ WITH RECURSIVE t(w, pos, tok, done) AS (
 SELECT w, tok FROM t WHERE done ORDER BY pos
 """
 
-DECODE_SQL = """
-SELECT w, string_agg(hex, '' ORDER BY pos) AS hex
-FROM ids JOIN vocab USING (tok) GROUP BY w
-"""
+DECODE_SQL = "SELECT bytes FROM ids LEFT JOIN vocab USING (tok) ORDER BY pos"
+
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     """Ranks by token bytes from a file with one base64 token and its rank a line."""
@@ -113,7 +111,7 @@ class Coder:
         falling = np.concatenate([l[merged < l], r[merged < r]])
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": WORKER_MEMORY, "allocator_flush_threshold": "1MB"})
         self._table("merges", {"l": l.copy(), "r": r.copy(), "merged": merged.copy(), "alone": np.isin(merged, falling)})
-        self._table("vocab", {"tok": np.fromiter(self.ranks.values(), "int32"), "hex": [b.hex() for b in self.ranks]})
+        self._table("vocab", {"tok": np.fromiter(self.ranks.values(), "int32"), "bytes": pa.array(list(self.ranks), pa.binary())})
         self._forget()
 
     def _forget(self) -> None:
@@ -170,13 +168,14 @@ class Coder:
         self._remember([pieces[i] for i in long], flat, np.diff(ends))
 
     def decode_ids(self, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        """Bytes of each list of ids (``flat``, one after the other), by a join with the vocabulary and an ordered aggregate."""
-        w = np.repeat(np.arange(len(lengths), dtype="int32"), lengths)
-        got = self._rows(DECODE_SQL, "ids", {"w": w, "pos": np.arange(len(flat), dtype="int64"), "tok": flat})
-        out = [b""] * len(lengths)
-        for k, h in zip(got.column("w").to_pylist(), got.column("hex").to_pylist()):
-            out[k] = bytes.fromhex(h)
-        return out
+        """Bytes of each list of ids (``flat``, one after the other), by a join with the vocabulary in order of position; an id that is not there has none."""
+        got = self._rows(DECODE_SQL, "ids", {"pos": np.arange(len(flat), dtype="int64"), "tok": flat})
+        # the values of a column stand one after the other, so a text is one cut out of them
+        values = pa.chunked_array([[], *got.column("bytes").chunks], pa.binary()).combine_chunks().cast(pa.large_binary())
+        raw, ends = values.buffers()[2], np.frombuffer(values.buffers()[1], "int64")[values.offset : values.offset + len(values) + 1]
+        cuts = ends[np.concatenate([[0], np.cumsum(lengths)]).astype("int64")].tolist() if len(values) else [0] * (len(lengths) + 1)
+        raw = memoryview(raw) if raw is not None else b""
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def _remember(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.start) - 1
