@@ -167,6 +167,71 @@ def test_layers_of_large_graphs_in_passes(spark, monkeypatch, layers_a_pass):
     assert sorted(got) == sorted(LOOPED)
 
 
+@pytest.fixture()
+def tables(monkeypatch):
+    """Labels of the tables that are written while cycles are looked for."""
+    labels = []
+    monkeypatch.setattr(trajectory, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    return labels
+
+
+def test_tables_do_not_grow_with_layers_or_groups(spark, tables):
+    """A layer of receipts with the same parents was a step of its own; loops went on for as long as all groups together."""
+
+    def written(groups):
+        tables.clear()
+        assert {r.trajectory_id for r in trajectory.cyclic(graph(spark, groups), small=0).collect()} == {g for g in groups if g.startswith("back")}
+        return len(tables)
+
+    both = lambda depth: {"back": layers(depth, 3, back=True), "dag": layers(depth, 3)}
+    assert written(both(64)) <= written(both(16)) + 2
+    assert written({f"back{i}": chain(3, close=True) for i in range(40)}) == written({"back": chain(3, close=True)})
+
+
+def test_receipts_that_come_twice(spark):
+    rows = [
+        ("split", "a", ["b"]), ("split", "a", ["c"]), ("split", "b", ["x"]), ("split", "c", ["d"]), ("split", "d", ["a"]),  # through the second a alone
+        ("whole", "a", ["b", "c"]), ("whole", "a", ["c"]), ("whole", "b", ["c"]), ("whole", "c", ["x"]), ("whole", "c", ["y"]),
+        ("nulls", "a", ["b", None]), ("nulls", "b", [None]), ("nulls", None, ["a"]), ("nulls", "c", None),
+        ("order", "a", ["b", "c"]), ("order", "d", ["c", "b", "b"]), ("order", "c", ["d"]),
+    ]
+    df = spark.createDataFrame(rows, "trajectory_id string, receipt_id string, parent_step_ids array<string>")
+    assert sorted(r.trajectory_id for r in trajectory.cyclic(df, small=0).collect()) == ["order", "split"]
+
+
+@pytest.mark.parametrize("layers_a_pass", [1, 48])
+def test_chains_between_joints(spark, monkeypatch, tables, layers_a_pass):
+    """Joints with several chains between them are one chain once these are gone, here without any layer."""
+    monkeypatch.setattr(trajectory, "LAYERS", layers_a_pass)
+
+    def joints(n, back):
+        out = {"j0": [f"j{n}"] if back else []}
+        for j in range(n):
+            for c in range(2):
+                out |= {f"j{j}_{c}_{i}": [f"j{j}_{c}_{i - 1}" if i else f"j{j}"] for i in range(c, 4)} | {f"j{j}_{c}_{c}": [f"j{j}"]}
+            out[f"j{j + 1}"] = [f"j{j}_0_3", f"j{j}_1_3"]
+        return out
+
+    got = [r.trajectory_id for r in trajectory.cyclic(graph(spark, {"back": joints(9, True), "dag": joints(9, False), "below": joints(3, False) | {"j0": ["r"], "r": ["r"]}}), small=0).collect()]
+    assert sorted(got) == ["back", "below"] and "layer" not in tables
+
+
+def test_random_graphs_with_receipts_twice(spark):
+    rng, rows, want = random.Random(21), [], set()
+    for g in range(60):
+        n = rng.randrange(3, 14)
+        data = [(f"g{g}", f"v{i}", [f"v{j}" for j in rng.sample(range(n + 1), min(n, rng.choice([1, 1, 1, 2, 3]))) if j > i or rng.random() < 0.1]) for i in [*range(n), rng.randrange(n)]]
+        rows += data
+        reach = {}
+        for _, v, ps in data:
+            reach.setdefault(v, set()).update(ps)
+        for _ in range(n):
+            reach = {v: ps | {q for p in ps for q in reach.get(p, ())} for v, ps in reach.items()}
+        want |= {f"g{g}"} if any(v in ps for v, ps in reach.items()) else set()
+    df = spark.createDataFrame(rows, "trajectory_id string, receipt_id string, parent_step_ids array<string>")
+    assert {r.trajectory_id for r in trajectory.cyclic(df, small=0).collect()} == want and 10 < len(want) < 55
+
+
 def test_edges_of_a_group_stay_in_one_task(spark):
     """Over more than a broadcast holds, the join by the group became a broadcast only as it ran, and groups were torn apart."""
     name = lambda i: F.sha2(F.concat_ws("-", "g", i.cast("string")), 256)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.functions import text
 from veritrail.operators.scan import sliced
 from veritrail.runtime import discard, materialize, ship
 
@@ -128,30 +129,36 @@ def cyclic(receipts: DataFrame, group: str = "trajectory_id", small: int = SMALL
 
 
 def _large_cyclic(child: DataFrame, group: str) -> DataFrame:
-    """Groups with a cycle, by joins over numbers of receipts; ``child`` has the receipts with parents.
-
-    Receipts with one parent are first followed upwards by doubling, so that chains of any length take log2(n) steps
-    (:func:`_without_chains`). Then layers go from the top, each by the edges of the layer before alone: those edges meet
-    their children, and a child all of whose parents have gone is in the next layer. So each edge moves once, not once a
-    layer. After ``LAYERS`` layers the edges that are left lose their chains again. What never goes is on or below a cycle.
+    """Groups with a cycle, by joins over numbers of sets of parents; ``child`` has the receipts with parents.
+
+    Receipts of a group with the same parents are one vertex, their set of parents; it is below another set where it names
+    a receipt that has that one. A cycle of receipts goes through their sets, and from one of sets to the next leads a
+    receipt that is named, so no cycle is lost or made, also where a receipt comes twice. Sets with one parent are then
+    followed upwards by doubling, so that chains of any length take log2(n) steps (:func:`_without_chains`), again while
+    this takes half of the edges. Of what is left, layers go from the top, each by the edges of the layer before alone
+    (:func:`_without_layers`), up to ``LAYERS`` before chains are looked for again. What never goes is on or below a cycle.
     """
-    rows = materialize(child.withColumn("_id", F.monotonically_increasing_id()), "receipts")
-    ids = materialize(rows.groupBy(group, "receipt_id").agg(F.min("_id").alias("_v"), F.max("_id").alias("_last")), "ids")
-    # a receipt that comes twice is one vertex
-    twice = rows.join(ids.filter("_v < _last"), [group, "receipt_id"]).select("_id", "_v")
-    parents = ids.select(group, F.col("receipt_id").alias("parent_id"), F.col("_v").alias("parent"))
-    met = rows.select(group, "_id", F.explode("parent_step_ids").alias("parent_id")).join(parents, [group, "parent_id"])
-    left = materialize(met.join(twice, "_id", "left").select(F.coalesce("_v", "_id").alias("child"), "parent").distinct(), "edges")
-    while not left.isEmpty():
-        shorter = _without_chains(left)
-        after, ended = _without_layers(shorter)
-        for old in (left, shorter):
-            if old is not after:
-                discard(old)
-        left = after
-        if ended:
-            break
-    return materialize(ids.join(left.select(F.col("child").alias("_v")).distinct(), "_v", "left_semi").select(group).distinct(), "cyclic")
+    rows = materialize(child.select(group, "receipt_id", F.sort_array(F.array_distinct("parent_step_ids")).alias("_up")), "receipts")
+    key = text.digest(F.to_json(F.struct(F.col(group), "_up"))).alias("_key")
+    sets = materialize(rows.select(group, "_up").distinct().withColumn("_v", F.monotonically_increasing_id()), "sets")
+    longest = sets.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    named = sets.select(group, F.col("_v").alias("child"), F.explode("_up").alias("receipt_id"))
+    met = named.join(rows.select(group, "receipt_id", key), [group, "receipt_id"]).select("child", "_key").distinct()
+    left = materialize(met.join(sets.select(key, F.col("_v").alias("parent")), "_key").select("child", "parent"), "edges")
+    discard(rows)
+    found, n, ended = [], left.count(), False
+    while n and not ended:
+        shorter, loops = _without_chains(left, longest)
+        found += loops
+        after, m = shorter, shorter.count()
+        if 2 * m > n:
+            after, ended = _without_layers(shorter)
+            m = after.count()
+        for old in {id(x): x for x in (left, shorter) if x is not after}.values():
+            discard(old)
+        left, n = after, m
+    looped = reduce(DataFrame.unionByName, [left, *found]).select(F.col("child").alias("_v"))
+    return materialize(sets.join(looped.distinct(), "_v", "left_semi").select(group).distinct(), "cyclic")
 
 
 def _without_layers(graph: DataFrame) -> tuple[DataFrame, bool]:
@@ -184,28 +191,33 @@ def _without_layers(graph: DataFrame) -> tuple[DataFrame, bool]:
     return left, ended
 
 
-def _without_chains(graph: DataFrame) -> DataFrame:
-    """Edges (child, parent) of receipts with several parents, led to the ends of the chains above; a chain that ends nowhere stays as a loop."""
+def _without_chains(graph: DataFrame, longest: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (child, parent) of vertices with several parents, led to the ends of the chains above; what is on or below a loop of single parents.
+
+    No chain has more than ``longest`` vertices. Only those whose end is not found yet move up, each in a table of its step.
+    """
     single = graph.groupBy("child").agg(F.count("*").alias("_n"), F.min("parent").alias("_end")).filter("_n = 1")
-    chain = materialize(single.select("child", "_end"), "chains")
-    longest = chain.count()
-    if not longest:
-        discard(chain)
-        return graph
-    for _ in range(longest.bit_length()):
-        up = chain.select(F.col("child").alias("_end"), F.col("_end").alias("_far"))
-        longer = materialize(chain.join(up, "_end", "left").select("child", F.coalesce("_far", "_end").alias("_end"), F.col("_far").isNotNull().alias("_moved")), "chains")
-        moved = not longer.filter("_moved").isEmpty()
-        discard(chain)
-        chain = longer
-        if not moved:
+    steps = [materialize(single.select("child", "_end", F.lit(True).alias("_open")), "chains")]
+    known = lambda: reduce(DataFrame.unionByName, [steps[-1], *[s.filter("NOT _open") for s in steps[:-1]]])
+    members = steps[0].count()
+    if not members:
+        discard(steps[0])
+        return graph, []
+    for _ in range(min(members, longest).bit_length()):
+        up = known().select(F.col("child").alias("_end"), F.col("_end").alias("_far"), F.col("_open").alias("_more"))
+        higher = steps[-1].filter("_open").join(up, "_end", "left")
+        steps.append(materialize(higher.select("child", F.coalesce("_far", "_end").alias("_end"), F.coalesce("_more", F.lit(False)).alias("_open")), "chains"))
+        if steps[-1].filter("_open").isEmpty():
             break
-    # what still ends in a chain after more steps than it has members goes round
-    round_ = chain.join(chain.select(F.col("child").alias("_end")), "_end", "left_semi").select("child", F.col("child").alias("parent"))
-    ends = chain.select(F.col("child").alias("parent"), "_end")
-    several = graph.join(chain.select("child"), "child", "left_anti")
-    led = several.join(ends, "parent", "left").select("child", F.coalesce("_end", "parent").alias("parent"))
-    return materialize(led.unionByName(round_).distinct(), "edges")
+    # what still goes on after more steps than a chain has members goes round; its group is known, so edges to it go
+    loops = materialize(steps[-1].filter("_open").select("child", F.col("_end").alias("parent")), "loops")
+    ends = known().select(F.col("child").alias("parent"), "_end", "_open")
+    several = graph.join(steps[0].select("child"), "child", "left_anti")
+    led = several.join(ends, "parent", "left").filter("NOT coalesce(_open, false)").select("child", F.coalesce("_end", "parent").alias("parent"))
+    led = materialize(led.distinct(), "edges")
+    for s in steps:
+        discard(s)
+    return led, [loops]
 
 
 def graph_state(receipts: DataFrame, group: str = "trajectory_id", more: dict[str, Column] | None = None) -> DataFrame:
